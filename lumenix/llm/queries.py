@@ -54,3 +54,27 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenix.llm import quality
 
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenix.llm import exact_dedup
+
+    return exact_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op3_exact_dedup"] = r"""
+WITH n AS (
+  SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS body FROM documents
+), k AS (
+  SELECT doc_id, body, first_value(doc_id) OVER (PARTITION BY body ORDER BY points DESC, doc_id NULLS LAST) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size FROM n
+)
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(body) AS text_sha256 FROM k
+"""
+
+
+@query
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenix.llm import minhash
+
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.MinHashParams(words=4))
