@@ -78,3 +78,26 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenix.llm import minhash
 
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.MinHashParams(words=4))
+
+
+@query
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenix.llm import common, warc
+
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"), common.fresh_path(spark, "archive"))
+
+
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(hex, {10 * k + 1}, 10))::BIGINT >> {35 - 5 * i}) & 31) + 1)::INT, 1)" for k in range(4) for i in range(8)
+)
+ORACLES["op5_warc"] = f"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+), k AS (
+  SELECT *, max(page_id) OVER (PARTITION BY body) AS first_page FROM p
+)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id IS DISTINCT FROM first_page THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first_page THEN first_page END AS refers_to
+FROM k
+"""
