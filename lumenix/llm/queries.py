@@ -101,3 +101,25 @@ SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
        CASE WHEN page_id IS DISTINCT FROM first_page THEN first_page END AS refers_to
 FROM k
 """
+
+
+@query
+def op4_bitsliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenix.llm import bitsliced
+
+    indexed = bitsliced.index(table(spark, sf_dir, "embeddings"))
+    return bitsliced.search(indexed, indexed.where("vec_id % 100 = 0").select("vec_id", "q"))
+
+
+ORACLES["op4_bitsliced_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), r AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
