@@ -1,0 +1,185 @@
+"""Ziv-Merhav cross-parsing: how well reference text predicts a document, as a relative entropy in bits a word.
+
+A document is factored greedily into longest matches with its reference, found in a suffix automaton over the
+reference's words; a word that does not occur there is a phrase by itself. With c phrases over n words and N words
+of reference the cross term is c * log2(N + 2) / n; the self term is c' * log2(c') / n for the c' phrases of the
+document's own incremental (Lempel-Ziv 1978) parse. The score is their difference: low for text like the reference.
+
+All reference text is used, in shards of about ``shard_bytes``, so the number of automata grows with the corpus
+and each has a bounded size. A document meets one shard, which never holds its own text (an equal text with another
+id may be there). Documents and shards meet by a hash of the row, so no source, size class or group of copies gathers
+in one task; within a task one automaton is held at a time and documents stream past it.
+
+Edge cases: null, empty and blank texts have no words and score 0; without any reference the cross term takes every
+word as a phrase of log2(2) bits; repeated rows are scored alike; texts of any length are read whole, long reference
+texts enter in pieces of ``piece_words`` words, over whose ends no match reaches.
+"""
+
+from __future__ import annotations
+
+import gc
+import math
+from collections.abc import Hashable, Iterator, Sequence
+from dataclasses import dataclass
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lumenix.llm import common
+
+
+@dataclass(frozen=True)
+class CrossParseParams:
+    shard_bytes: int = 400_000
+    unit_bytes: int = 4_000_000
+    piece_words: int = 2000
+
+
+def suffix_automaton(symbols: Sequence[Hashable]) -> list[dict]:
+    """Transitions of the smallest automaton of all factors of ``symbols``; state 0 is the start."""
+    nxt: list[dict] = [{}]
+    link, length, last = [-1], [0], 0
+    for c in symbols:
+        cur = len(nxt)
+        nxt.append({})
+        length.append(length[last] + 1)
+        link.append(0)
+        p = last
+        while p >= 0 and c not in nxt[p]:
+            nxt[p][c] = cur
+            p = link[p]
+        if p >= 0:
+            q = nxt[p][c]
+            if length[p] + 1 == length[q]:
+                link[cur] = q
+            else:
+                twin = len(nxt)
+                nxt.append(nxt[q].copy())
+                length.append(length[p] + 1)
+                link.append(link[q])
+                while p >= 0 and nxt[p].get(c) == q:
+                    nxt[p][c] = twin
+                    p = link[p]
+                link[q] = link[cur] = twin
+        last = cur
+    return nxt
+
+
+def cross_phrases(automaton: list[dict], symbols: Sequence[Hashable]) -> tuple[int, int]:
+    """Phrases of the greedy longest-match parse, and the length of the longest match."""
+    start, state, at, phrases, longest = automaton[0], automaton[0], 0, 0, 0
+    for c in symbols:
+        to = state.get(c)
+        if to is not None:
+            at += 1
+            state = automaton[to]
+            continue
+        if at:
+            phrases += 1
+            longest = max(longest, at)
+            to = start.get(c)
+        if to is None:
+            phrases += 1
+            at, state = 0, start
+        else:
+            at, state = 1, automaton[to]
+    return phrases + (at > 0), max(longest, at)
+
+
+def self_phrases(symbols: Sequence[Hashable]) -> int:
+    """Phrases of the incremental parse: each is the longest earlier phrase and one more symbol."""
+    seen: dict = {}
+    node, count = 0, 0
+    for c in symbols:
+        to = seen.get((node, c))
+        if to is None:
+            count += 1
+            seen[node, c] = count
+            node = 0
+        else:
+            node = to
+    return count + (node != 0)
+
+
+def relative_entropy(cross: int, own: int, n: int, reference: int) -> float:
+    if not n:
+        return 0.0
+    return (cross * math.log2(reference + 2) - own * math.log2(max(own, 1))) / n
+
+
+def pieces(reference: DataFrame, size: int) -> DataFrame:
+    """home, piece, text: each reference text in pieces of ``size`` words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, off = common.text_bytes(batch.column(1))
+            out: tuple[list, list, list] = ([], [], [])
+            for i, j in common.blocks(off, 1 << 21):
+                part, base = raw[off[i] : off[j]], off[i]
+                s, e, first = common.word_bounds(part, off[i : j + 1] - base)
+                for r in range(j - i):
+                    for k, lo in enumerate(range(int(first[r]), int(first[r + 1]), size)):
+                        hi = min(lo + size, int(first[r + 1])) - 1
+                        out[0].append(batch.column(0)[i + r])
+                        out[1].append(k)
+                        out[2].append(part[s[lo] : e[hi]].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([x.as_py() for x in out[0]], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], ["home", "piece", "body"])
+
+    return reference.select("home", "text").mapInArrow(run, "home long, piece int, body binary")
+
+
+def score(documents: DataFrame, reference: DataFrame, p: CrossParseParams = CrossParseParams()) -> DataFrame:
+    """doc_id, n_words, cross_phrases, self_phrases, longest_match, score of every document.
+
+    ``reference`` has doc_id and text like ``documents``; rows in both are kept apart by id and text.
+    """
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    size = lambda df: df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(2, -(-size(reference) // p.shard_bytes))
+    copies = max(1, -(-size(documents) // (p.unit_bytes * shards)))
+    home = F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards))
+    spread = F.pmod(F.xxhash64("text", "doc_id"), F.lit(copies))
+    docs = documents.select("doc_id", (F.pmod(home + (shards - 1), F.lit(shards)) + shards * spread).alias("unit"), F.lit(1).alias("side"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
+    # Piece k of a text with home h lies in shard h + k mod (shards - 1), never in h - 1, where the text is scored.
+    cut = pieces(reference.select(home.alias("home"), "text"), p.piece_words)
+    at = F.pmod(F.col("home") + F.pmod(F.col("piece"), F.lit(shards - 1)), F.lit(shards))
+    sides = cut.select(F.lit(None).cast(kind).alias("doc_id"), F.explode(F.sequence(at, at + (copies - 1) * shards, F.lit(shards))).alias("unit"), F.lit(0).alias("side"), "body")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, words, automaton = None, [], None
+        gc.disable()  # automata are trees of dicts without cycles
+        for batch in batches:
+            raw, off = common.text_bytes(batch.column(3).cast(pa.large_binary()).view(pa.large_string()))
+            rows: list[tuple] = []
+            sides_, units = batch.column(2).to_pylist(), batch.column(1).to_pylist()
+            for i, j in common.blocks(off, 1 << 21):
+                part = raw[off[i] : off[j]]
+                s, e, first = common.word_bounds(part, off[i : j + 1] - off[i])
+                h = common.hash_spans(part, s, e, True).tolist()
+                for r in range(j - i):
+                    if units[i + r] != unit:
+                        unit, words, automaton = units[i + r], [], None
+                    own = h[first[r] : first[r + 1]]
+                    if sides_[i + r] == 0:
+                        words += own
+                        words.append(-len(words) - 1)  # a mark that occurs once
+                        continue
+                    if automaton is None:
+                        automaton = suffix_automaton(words)
+                    cross, longest = cross_phrases(automaton, own)
+                    mine = self_phrases(own)
+                    rows.append((len(own), cross, mine, longest, relative_entropy(cross, mine, len(own), len(words))))
+            ids = batch.column(0).filter(pa.array([x == 1 for x in sides_], pa.bool_()))
+            columns = [pa.array([r[k] for r in rows], pa.int64() if k < 4 else pa.float64()) for k in range(5)]
+            yield pa.RecordBatch.from_arrays([ids, *columns], ["doc_id", "n_words", "cross_phrases", "self_phrases", "longest_match", "score"])
+        gc.enable()
+
+    both = docs.unionByName(sides).repartition("unit").sortWithinPartitions("unit", "side", F.xxhash64("body"))
+    return both.select("doc_id", "unit", "side", "body").mapInArrow(run, f"doc_id {kind}, n_words long, cross_phrases long, self_phrases long, longest_match long, score double")
+
+
+def good_reference(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """All documents labelled good and not toxic."""
+    good = labels.where((F.col("quality") == 1) & (F.col("toxic") == 0)).select(F.col("doc_id").alias("good_id")).distinct()
+    return documents.select("doc_id", "text").join(good, F.col("doc_id") == F.col("good_id"), "left_semi")
