@@ -4,7 +4,574 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lumenix.functions import identity
+from lumenix.functions import text as tx
+from lumenix.functions import vectors as vec
+from lumenix.operators import classify, cluster, evaluate, retrieve, store
+from lumenix.operators import score as sc
+from lumenix.operators.segment import windows
+from lumenix.sources import tables as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+LEXICAL = "worthless thanedble clown attion pathetic"
+ABSENT = LEXICAL + " qqabsentqq"
+ANY_QUERY = "the shea of nicht la"
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---------------------------------------------------------------- SQL building blocks
+
+DOCS = "SELECT 'docs' AS origin, 'doc/' || lpad(doc_id::VARCHAR, 9, '0') AS resource, text FROM documents"
+PAGES = "SELECT 'pages' AS origin, 'page/' || lpad(page_id::VARCHAR, 9, '0') AS resource, html AS text FROM pages"
+CHATS = "SELECT 'chats' AS origin, 'chat/' || lpad(conv_id::VARCHAR, 9, '0') AS resource, string_agg(role || ': ' || coalesce(text, ''), chr(10) ORDER BY turn, role, text) AS text FROM conversations GROUP BY conv_id"
+ALL = f"({DOCS}) UNION ALL ({PAGES}) UNION ALL ({CHATS})"
+
+
+def sql_windows(contents: str, lines: int, overlap: int) -> str:
+    step = lines - overlap
+    return f"""
+  SELECT origin, resource, i AS seg_no, b AS "start", b + strlen(body) AS "end", i * {step} + 1 AS first_line,
+         greatest(CASE WHEN last = n AND ends_with(body, chr(10)) THEN last - 1 ELSE last END, i * {step} + 1) AS last_line, body AS text
+  FROM (
+    SELECT origin, resource, n, i, least(i * {step} + {lines}, n) AS last,
+           coalesce(list_sum(list_transform(ls[1:i * {step}], lambda x: strlen(x) + 1)), 0)::BIGINT AS b,
+           array_to_string(ls[i * {step} + 1:least(i * {step} + {lines}, n)], chr(10)) || CASE WHEN i * {step} + {lines} < n THEN chr(10) ELSE '' END AS body
+    FROM (
+      SELECT *, unnest(range(0, CASE WHEN n <= {lines} THEN 1 ELSE 1 + ceil((n - {lines}) / {step})::INT END)) AS i
+      FROM (SELECT origin, resource, string_split(text, chr(10)) AS ls, len(string_split(text, chr(10))) AS n FROM ({contents}) WHERE text <> '')
+    )
+  ) WHERE strlen(body) > 0"""
+
+
+def sql_terms(text: str) -> str:
+    runs = f"list_filter(regexp_extract_all({text}, '[\\p{{L}}\\p{{N}}_]+'), lambda r: strlen(r) >= 2)"
+    parts = "list_filter(string_split(regexp_replace(r, '([\\p{Ll}\\p{N}])(\\p{Lu})', '\\1_\\2', 'g'), '_'), lambda p: strlen(p) >= 2 AND lower(p) <> lower(r))"
+    return f"flatten(list_transform({runs}, lambda r: list_append(list_transform({parts}, lambda p: lower(p)), lower(r))))"
+
+
+def sql_scored(contents: str, lines: int, overlap: int, text: str) -> str:
+    """CTEs up to ``hits(origin, resource, start, end, level, score)`` of one lexical query."""
+    return f"""
+seg AS ({sql_windows(contents, lines, overlap)}),
+rec AS (SELECT origin, resource, "start", "end", {sql_terms("text")} AS terms FROM seg),
+len AS (SELECT origin, resource, "start", "end", len(terms) AS n FROM rec),
+per AS (SELECT origin, count(*) AS c, avg(n) FILTER (WHERE n > 0) AS a FROM len GROUP BY origin),
+st AS (SELECT sum(c) AS n, sum(a * c) / sum(c) AS avgdl FROM per),
+q AS (SELECT DISTINCT unnest({sql_terms("'" + text + "'")}) AS term),
+tf AS (SELECT origin, resource, "start", "end", term, count(*) AS tf FROM (SELECT origin, resource, "start", "end", unnest(terms) AS term FROM rec) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, ln((st.n - df + 0.5) / (df + 0.5) + 1) AS idf FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), st),
+ceil AS (SELECT sum(idf * 2.2) AS c FROM w),
+hits AS (
+  SELECT origin, resource, "start", "end", 0 AS level,
+         least(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len.n / greatest(st.avgdl, 1)))) / any_value(ceil.c), 1) AS score
+  FROM tf JOIN w USING (term) JOIN len USING (origin, resource, "start", "end"), st, ceil
+  GROUP BY origin, resource, "start", "end"
+)"""
+
+
+def rounded_top(hits: DataFrame, k: int) -> DataFrame:
+    """The top k after rounding, so that the order of additions cannot turn ties."""
+    top = hits.select(*sc.PLACE, "level", F.round("score", 6).alias("score"))
+    return sc.rank(top, k)
+
+
+SQL_TOP = 'SELECT origin, resource, "start", "end", level, round(score, 6) AS score FROM hits ORDER BY round(score, 6) DESC, origin, resource, "start", level, "end" LIMIT {k}'
+
+
+def lexical_index(contents: DataFrame, lines: int = 4, overlap: int = 1) -> retrieve.Index:
+    return retrieve.Index({"lexical": retrieve.Dimension(records=sc.structural(windows(contents, lines, overlap)), fingerprint=f"structural/{lines}/{overlap}")})
+
+
+def all_contents(spark: SparkSession, d: str) -> DataFrame:
+    return src.documents(spark, d).unionByName(src.pages(spark, d)).unionByName(src.conversations(spark, d))
+
+
+# ---------------------------------------------------------------- segments and terms
+
+
+@query(f"SELECT * EXCLUDE (text) FROM ({sql_windows(DOCS, 40, 8)})")
+def seg_window_40_8(spark: SparkSession, d: str) -> DataFrame:
+    return windows(src.documents(spark, d)).drop("text")
+
+
+@query(f"SELECT * EXCLUDE (body), sha256(body) AS digest FROM (SELECT * EXCLUDE (text), text AS body FROM ({sql_windows(ALL, 4, 1)}))")
+def seg_window_4_1(spark: SparkSession, d: str) -> DataFrame:
+    return windows(all_contents(spark, d), 4, 1).withColumn("digest", F.sha2("text", 256)).drop("text")
+
+
+@query(f"SELECT resource, term, count(*) AS tf FROM (SELECT resource, unnest({sql_terms('text')}) AS term FROM ({DOCS})) GROUP BY ALL")
+def tok_term_freq(spark: SparkSession, d: str) -> DataFrame:
+    return src.documents(spark, d).select("resource", F.explode(tx.terms(F.col("text"))).alias("term")).groupBy("resource", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+@query(f"SELECT term, count(*) AS df FROM (SELECT DISTINCT origin, resource, seg_no, unnest({sql_terms('text')}) AS term FROM ({sql_windows(PAGES, 40, 8)})) GROUP BY term")
+def tok_doc_freq(spark: SparkSession, d: str) -> DataFrame:
+    rec = sc.structural(windows(src.pages(spark, d)))
+    return rec.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+@query(f"""
+WITH t AS (SELECT resource, {sql_terms('text')} AS ts FROM ({DOCS}))
+SELECT resource, array_to_string(list_transform(list_sort(list_distinct(ts)), lambda x: x || CASE WHEN len(list_filter(ts, lambda y: y = x)) > 1 THEN ':' || len(list_filter(ts, lambda y: y = x)) ELSE '' END), ' ') AS descriptor
+FROM t WHERE len(ts) <= 400""")
+def descriptor_codec(spark: SparkSession, d: str) -> DataFrame:
+    """Encoded from arrays, decoded to rows and encoded again from a map."""
+    t = src.documents(spark, d).select("resource", tx.terms(F.col("text")).alias("ts")).where(F.size("ts") <= 400)
+    coded = t.select("resource", classify.frequency_descriptor(F.col("ts")).alias("descriptor"))
+    back = F.map_from_entries(tx.decode_frequencies(F.col("descriptor")))
+    return coded.select("resource", F.when(F.col("descriptor") == "", "").otherwise(tx.encode_frequencies(back)).alias("descriptor"))
+
+
+# ---------------------------------------------------------------- statistics and BM25
+
+
+@query(f"""
+WITH rec AS (SELECT origin, len({sql_terms('text')}) AS n FROM ({sql_windows(ALL, 40, 8)}))
+SELECT origin, count(*) AS records, round(avg(n) FILTER (WHERE n > 0), 6) AS avg_len, round(avg(n) FILTER (WHERE n > 0) * count(*), 4) AS total_length FROM rec GROUP BY origin""")
+def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
+    return sc.statistics(sc.structural(windows(all_contents(spark, d))), []).select("origin", "records", F.round("avg_len", 6).alias("avg_len"), F.round("total_length", 4).alias("total_length"))
+
+
+@query(f"WITH {sql_scored(DOCS, 4, 1, LEXICAL)} {SQL_TOP.format(k=10)}")
+def bm25_lexical_topk(spark: SparkSession, d: str) -> DataFrame:
+    return rounded_top(lexical_index(src.documents(spark, d)).find({"lexical": retrieve.Term(LEXICAL)}, None), 10)
+
+
+@query(f"WITH {sql_scored(DOCS, 4, 1, ABSENT)} SELECT origin, resource, \"start\", \"end\", level, round(score, 6) AS score FROM hits")
+def bm25_multi_term_absent(spark: SparkSession, d: str) -> DataFrame:
+    """A term no record holds leaves the ceiling, so no score falls."""
+    hits = lexical_index(src.documents(spark, d)).find({"lexical": retrieve.Term(ABSENT)}, None)
+    return hits.select(*sc.PLACE, "level", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {sql_scored(DOCS, 40, 8, ABSENT)} SELECT term, round(idf, 9) AS idf, round(ceil.c, 8) AS ceiling FROM w, ceil")
+def bm25_ceiling(spark: SparkSession, d: str) -> DataFrame:
+    rec = sc.structural(windows(src.documents(spark, d)))
+    wanted = sc.query_terms(spark, ABSENT)
+    stats = sc.statistics(rec, wanted)
+    each = stats.select("records", F.explode(F.array(*[F.struct(F.lit(t).alias("term"), F.col(f"df_{i}").alias("df")) for i, t in enumerate(wanted)])).alias("x")).where("x.df > 0")
+    out = each.select(F.col("x.term").alias("term"), sc.idf(F.col("records"), F.col("x.df")).alias("idf"))
+    total = out.agg(F.sum(F.col("idf") * (sc.K1 + 1)).alias("ceiling"))
+    return out.join(F.broadcast(total)).select("term", F.round("idf", 9).alias("idf"), F.round("ceiling", 8).alias("ceiling"))
+
+
+@query(f"""
+WITH rec AS (SELECT origin, {sql_terms('text')} AS ts FROM ({sql_windows(ALL, 40, 8)})),
+per AS (SELECT origin, count(*) AS c, avg(len(ts)) FILTER (WHERE len(ts) > 0) AS a FROM rec GROUP BY origin)
+SELECT (SELECT sum(c) FROM per)::BIGINT AS records, (SELECT round(sum(a * c) / sum(c), 6) FROM per) AS average,
+       (SELECT count(*) FROM rec WHERE list_contains(ts, 'the')) AS df_the, (SELECT count(*) FROM rec WHERE list_contains(ts, 'nicht')) AS df_nicht""")
+def federated_stats(spark: SparkSession, d: str) -> DataFrame:
+    per = sc.statistics(sc.structural(windows(all_contents(spark, d))), ["the", "nicht"])
+    return per.agg(F.sum("records").alias("records"), F.round(F.sum("total_length") / F.sum("records"), 6).alias("average"), F.sum("df_0").alias("df_the"), F.sum("df_1").alias("df_nicht"))
+
+
+@query(f"WITH {sql_scored(ALL, 40, 8, ANY_QUERY)} {SQL_TOP.format(k=50)}")
+def federated_topk(spark: SparkSession, d: str) -> DataFrame:
+    members = {"docs": src.documents(spark, d), "pages": src.pages(spark, d), "chats": src.conversations(spark, d)}
+    fed = retrieve.federation({o: lexical_index(c, 40, 8) for o, c in members.items()})
+    return rounded_top(fed.find({"lexical": retrieve.Term(ANY_QUERY)}, None), 50)
+
+
+# ---------------------------------------------------------------- vectors
+
+QVEC = "(SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)"
+VREC = "SELECT 'vecs' AS origin, 'vec/' || lpad(vec_id::VARCHAR, 9, '0') AS resource, 0 AS \"start\", 0 AS \"end\", 0 AS level, embedding::DOUBLE[] AS v FROM embeddings"
+
+
+def vector_records(spark: SparkSession, d: str) -> DataFrame:
+    e = src.table(spark, d, "embeddings")
+    return e.select(F.lit("vecs").alias("origin"), F.concat(F.lit("vec/"), F.lpad(F.col("vec_id").cast("string"), 9, "0")).alias("resource"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(0).alias("level"), F.col("embedding").alias("vec"), "label")
+
+
+def query_vector(spark: SparkSession, d: str) -> list[float]:
+    return list(src.table(spark, d, "embeddings").where("vec_id = 0").select("embedding").first()[0])
+
+
+@query(f"WITH hits AS (SELECT origin, resource, \"start\", \"end\", level, least(list_dot_product(v, q), 1) AS score FROM ({VREC}), {QVEC} WHERE list_dot_product(v, q) > 0) {SQL_TOP.format(k=20)}")
+def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
+    return rounded_top(sc.cosine(vector_records(spark, d), query_vector(spark, d)), 20)
+
+
+@query(f"SELECT resource, round(least(list_dot_product(v, q), 1), 6) AS score FROM ({VREC}), {QVEC} WHERE list_dot_product(v, q) > 0")
+def cosine_positive(spark: SparkSession, d: str) -> DataFrame:
+    return sc.cosine(vector_records(spark, d), query_vector(spark, d)).select("resource", F.round("score", 6).alias("score"))
+
+
+CENTRES = """
+SELECT label, list(a / nrm ORDER BY i) AS v FROM (
+  SELECT label, i, a, sqrt(sum(a * a) OVER (PARTITION BY label)) AS nrm
+  FROM (SELECT label, i, avg(x) AS a FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i)
+) GROUP BY label"""
+
+
+@query(f"SELECT label, unnest(list_transform(v, lambda x: round(x, 6))) AS x, generate_subscripts(v, 1) AS i FROM ({CENTRES})")
+def vector_norm_mean(spark: SparkSession, d: str) -> DataFrame:
+    centres = vec.normalized_mean(vector_records(spark, d).groupBy("label"), F.col("vec"), 64)
+    return centres.select("label", F.posexplode("centroid").alias("i", "x")).select("label", F.round("x", 6).alias("x"), (F.col("i") + 1).alias("i"))
+
+
+def levelled(spark: SparkSession, d: str) -> DataFrame:
+    """Segments at level 0 and the centre of each label at level 1."""
+    base = vector_records(spark, d)
+    centres = vec.normalized_mean(base.groupBy("label"), F.col("vec"), 64)
+    up = centres.select(F.lit("vecs").alias("origin"), F.concat(F.lit("cluster/"), F.lpad(F.col("label").cast("string"), 4, "0")).alias("resource"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(1).alias("level"), F.col("centroid").alias("vec"))
+    return base.select(*sc.PLACE, "level", F.transform("vec", lambda x: x.cast("double")).alias("vec")).unionByName(up)
+
+
+SQL_LEVELS = f"""
+WITH r AS ({VREC} UNION ALL SELECT 'vecs', 'cluster/' || lpad(label::VARCHAR, 4, '0'), 0, 0, 1, v FROM ({CENTRES})),
+hits AS (SELECT origin, resource, "start", "end", level, least(list_dot_product(v, q), 1) AS score FROM r, {QVEC} WHERE list_dot_product(v, q) > 0 AND @where@)
+"""
+
+
+@query(SQL_LEVELS.replace("@where@", "level > 0") + 'SELECT resource, level, round(score, 6) AS score FROM hits')
+def level_filter(spark: SparkSession, d: str) -> DataFrame:
+    q = query_vector(spark, d)
+    index = retrieve.Index({"semantic": retrieve.Dimension(vectors=levelled(spark, d), encode=lambda _: q, levels=(0, 1))})
+    return index.find_at({"semantic": retrieve.Term("any")}, None, retrieve.parse_levels("clusters")).select("resource", "level", F.round("score", 6).alias("score"))
+
+
+# ---------------------------------------------------------------- fusion
+
+WHOLE = 1_000_000_000
+SQL_FUSE = f"""
+WITH {sql_scored(DOCS, WHOLE, 0, LEXICAL)},
+sem AS (
+  SELECT 'docs' AS origin, 'doc/' || lpad(vec_id::VARCHAR, 9, '0') AS resource, 0 AS "start", strlen(text) AS "end", 0 AS level, least(list_dot_product(embedding::DOUBLE[], q), 1) AS score
+  FROM embeddings JOIN documents ON vec_id = doc_id, {QVEC} WHERE list_dot_product(embedding::DOUBLE[], q) > 0
+),
+both_ AS (SELECT *, 2.0 AS weight FROM hits UNION ALL SELECT *, 0.5 FROM sem)
+"""
+
+
+def two_dimensions(spark: SparkSession, d: str) -> retrieve.Index:
+    docs, q = src.documents(spark, d), query_vector(spark, d)
+    places = docs.select("origin", "resource", F.octet_length("text").alias("end"))
+    v = vector_records(spark, d).withColumn("resource", F.regexp_replace("resource", "^vec/", "doc/")).drop("origin", "end").join(places, "resource")
+    rec = sc.structural(windows(docs, WHOLE, 0))
+    return retrieve.Index({"lexical": retrieve.Dimension(records=rec), "semantic": retrieve.Dimension(vectors=v.select(*sc.PLACE, "level", "vec"), encode=lambda _: q)})
+
+
+@query(SQL_FUSE + 'SELECT resource, level, round(sum(weight * score) / 2.5, 6) AS score, count(*) AS matched FROM both_ GROUP BY origin, resource, "start", "end", level')
+def fuse_weighted_mean(spark: SparkSession, d: str) -> DataFrame:
+    hits = two_dimensions(spark, d).find({"lexical": retrieve.Term(LEXICAL, 2.0), "semantic": retrieve.Term("stored vector", 0.5)}, None)
+    return hits.select("resource", "level", F.round("score", 6).alias("score"), F.size("per_dimension").cast("bigint").alias("matched"))
+
+
+@query(SQL_FUSE + 'SELECT resource, round(max(score), 6) AS score FROM both_ GROUP BY origin, resource, "start", "end", level')
+def fuse_max(spark: SparkSession, d: str) -> DataFrame:
+    scored = two_dimensions(spark, d).scored({"lexical": retrieve.Term(LEXICAL), "semantic": retrieve.Term("stored vector")}, retrieve.LevelFilter("segments"))
+    return sc.fuse(scored, {}, {0: list(scored)}, "max").select("resource", F.round("score", 6).alias("score"))
+
+
+# ---------------------------------------------------------------- regions
+
+SQL_REGIONS = f"""
+WITH {sql_scored(DOCS, 4, 1, ANY_QUERY)},
+ranked AS (SELECT origin, resource, "start" AS s, "end" AS e, round(score, 6) AS sc, row_number() OVER (ORDER BY round(score, 6) DESC, origin, resource, "start", "end") AS rn FROM hits),
+depths AS (SELECT unnest(@depths@) AS depth),
+a AS (SELECT depth, r.*, CASE WHEN s <= max(e) OVER (PARTITION BY depth, origin, resource ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS nw FROM depths JOIN ranked r ON rn <= depth),
+b AS (SELECT *, sum(nw) OVER (PARTITION BY depth, origin, resource ORDER BY s ROWS UNBOUNDED PRECEDING) AS isl FROM a),
+c AS (SELECT *, row_number() OVER (PARTITION BY depth, origin, resource, isl ORDER BY sc DESC, s) AS bn, min(s) OVER w AS rs, max(e) OVER w AS re, count(*) OVER w AS segs FROM b WINDOW w AS (PARTITION BY depth, origin, resource, isl)),
+d AS (SELECT *, row_number() OVER (PARTITION BY depth ORDER BY sc DESC, origin, resource, rs) AS pos, row_number() OVER (PARTITION BY depth, origin, resource ORDER BY sc DESC, rs) AS rr FROM c WHERE bn = 1),
+k AS (SELECT *, row_number() OVER (PARTITION BY depth ORDER BY pos) AS kp FROM d WHERE rr <= @per@),
+n AS (SELECT depth, least(count(*), @limit@) AS size FROM k GROUP BY depth),
+pick AS (SELECT min(depth) AS depth FROM n WHERE size = (SELECT max(size) FROM n)),
+more AS (SELECT depth, origin, resource, string_agg(s::VARCHAR, ',' ORDER BY pos) AS more FROM d WHERE rr > @per@ GROUP BY ALL)
+SELECT k.kp::INT AS place, k.resource, k.s::BIGINT AS "start", k.e::BIGINT AS "end", k.sc AS score, k.rs::BIGINT AS region_start, k.re::BIGINT AS region_end, k.segs::INT AS segments,
+       CASE WHEN k.rr = 1 THEN coalesce(more.more, '') ELSE '' END AS more
+FROM k JOIN pick USING (depth) LEFT JOIN more USING (depth, origin, resource) WHERE k.kp <= @limit@"""
+
+
+def sql_regions(depths: str, per: int, limit: int) -> str:
+    return SQL_REGIONS.replace("@depths@", depths).replace("@per@", str(per)).replace("@limit@", str(limit))
+
+
+def region_hits(spark: SparkSession, d: str) -> DataFrame:
+    hits = lexical_index(src.documents(spark, d)).find({"lexical": retrieve.Term(ANY_QUERY)}, None)
+    return hits.select(*sc.PLACE, "level", F.round("score", 6).alias("score"))
+
+
+def _flat(regions: DataFrame) -> DataFrame:
+    return regions.select("place", "resource", "start", "end", "score", "region_start", "region_end", "segments", F.concat_ws(",", F.transform("more", lambda x: x.cast("string"))).alias("more"))
+
+
+@query(sql_regions("[100]", 2, 40))
+def regions_shape(spark: SparkSession, d: str) -> DataFrame:
+    """One pass at a fixed depth."""
+    top = sc.rank(region_hits(spark, d), 100)
+    ranked = top.withColumn("rn", F.row_number().over(Window.orderBy(F.desc("score"), "origin", "resource", "start", "level", "end")))
+    return _flat(retrieve.shape(ranked, [100], 2, 40))
+
+
+@query(sql_regions("(SELECT list(160 * 2 ** i) FROM range(0, 12) t(i) WHERE i = 0 OR 160 * 2 ** (i - 1) < (SELECT count(*) FROM ranked))", 1, 40))
+def regions_topk(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(retrieve.regions(region_hits(spark, d), 1, 40))
+
+
+# ---------------------------------------------------------------- coverage and evaluation
+
+
+@query(f"""
+WITH lines AS (SELECT origin, resource, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no, len(string_split(text, chr(10))) AS n FROM ({DOCS})),
+q AS (SELECT DISTINCT unnest({sql_terms("'" + LEXICAL + "'")}) AS term),
+m AS (SELECT DISTINCT origin, resource, no, term FROM (SELECT origin, resource, no, unnest({sql_terms('line')}) AS term FROM lines WHERE NOT (no = n AND line = '')) JOIN q USING (term)),
+per AS (SELECT origin, resource, no, count(*) AS c FROM m GROUP BY ALL),
+best AS (SELECT origin, resource, arg_min(no, (-c, no)) AS line, sum(c)::BIGINT AS total FROM per GROUP BY ALL),
+cov AS (SELECT origin, resource, count(DISTINCT term)::INT AS coverage FROM m GROUP BY ALL)
+SELECT origin, resource, coverage, total, line::INT AS line, round(coverage / (SELECT count(*) FROM q), 6) AS confidence
+FROM best JOIN cov USING (origin, resource) ORDER BY coverage DESC, total DESC, resource, origin LIMIT 25""")
+def coverage_baseline(spark: SparkSession, d: str) -> DataFrame:
+    return sc.coverage(src.documents(spark, d), sc.query_terms(spark, LEXICAL), 25).withColumn("confidence", F.round("confidence", 6))
+
+
+K = 10
+SQL_QRELS = """
+SELECT b.item_id AS query_id, 'doc/' || lpad(doc_id::VARCHAR, 9, '0') AS resource,
+       1 + len(left(d.text, strpos(d.text, b.text) - 1)) - len(replace(left(d.text, strpos(d.text, b.text) - 1), chr(10), '')) AS start_line,
+       1 + len(left(d.text, strpos(d.text, b.text) - 1 + len(b.text))) - len(replace(left(d.text, strpos(d.text, b.text) - 1 + len(b.text)), chr(10), '')) AS end_line,
+       CASE WHEN l.quality = 1 THEN 2 ELSE 1 END AS grade, doc_id AS no
+FROM benchmark b JOIN documents d ON contains(d.text, b.text) LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l USING (doc_id)"""
+SQL_BATCH = f"""
+qrels AS ({SQL_QRELS}),
+seg AS ({sql_windows(DOCS, 4, 1)}),
+rec AS (SELECT origin, resource, "start", "end", first_line, last_line, {sql_terms('text')} AS terms FROM seg),
+st AS (SELECT count(*) AS n, avg(len(terms)) FILTER (WHERE len(terms) > 0) AS avgdl FROM rec),
+q AS (SELECT DISTINCT item_id AS query_id, unnest({sql_terms('text')}) AS term FROM benchmark),
+tf AS (SELECT resource, "start", "end", first_line, last_line, n, term, count(*) AS tf FROM (SELECT resource, "start", "end", first_line, last_line, len(terms) AS n, unnest(terms) AS term FROM rec) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, ln((st.n - df + 0.5) / (df + 0.5) + 1) AS idf FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), st),
+ceil AS (SELECT query_id, sum(idf * 2.2) AS c FROM q JOIN w USING (term) GROUP BY query_id),
+raw AS (SELECT query_id, resource, "start", "end", first_line, last_line, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * tf.n / greatest(st.avgdl, 1)))) AS r FROM q JOIN tf USING (term) JOIN w USING (term), st GROUP BY ALL),
+hits AS (SELECT * FROM (SELECT query_id, resource, first_line AS start_line, last_line AS end_line, least(r / c, 1) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(least(r / c, 1), 9) DESC, resource, "start") AS rank FROM raw JOIN ceil USING (query_id)) WHERE rank <= 30),
+f0 AS (SELECT query_id, resource, min(rank) AS first_at FROM hits GROUP BY ALL),
+fg AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY first_at) AS rank, coalesce(g, 0) AS grade FROM f0 LEFT JOIN (SELECT query_id, resource, max(grade) AS g FROM qrels GROUP BY ALL) USING (query_id, resource)),
+fi AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY g DESC) AS rank, g AS grade FROM (SELECT query_id, resource, max(grade) AS g FROM qrels GROUP BY ALL)),
+sp AS (SELECT h.query_id, h.rank, max({{'grade': j.grade, 'no': j.no}}) AS span FROM hits h LEFT JOIN qrels j ON h.query_id = j.query_id AND h.resource = j.resource AND h.start_line <= j.end_line AND j.start_line <= h.end_line GROUP BY ALL),
+sk AS (SELECT query_id, rank, span FROM (SELECT *, row_number() OVER (PARTITION BY query_id, span.no ORDER BY rank) AS turn FROM sp) WHERE span IS NULL OR span.no IS NULL OR turn = 1),
+sg AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank, coalesce(span.grade, 0) AS grade FROM sk),
+si AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC) AS rank, grade FROM qrels)"""
+
+
+def sql_metrics(actual: str, ideal: str, prefix: str) -> str:
+    return f"""
+  SELECT coalesce(i.query_id, a.query_id) AS query_id, round(coalesce(CASE WHEN best > 0 THEN least(1, greatest(0, dcg / best)) ELSE 0 END, 0), 6) AS {prefix}_ndcg,
+         round(coalesce(found, 0) / greatest(coalesce(relevant, 0), 1), 6) AS {prefix}_recall, round(coalesce(1 / first, 0), 6) AS {prefix}_mrr
+  FROM (SELECT query_id, coalesce(sum((2 ** grade - 1) / log2(rank + 1)) FILTER (WHERE rank <= {K}), 0) AS best, count(*) AS relevant FROM {ideal} GROUP BY query_id) i
+  FULL JOIN (SELECT query_id, sum((2 ** grade - 1) / log2(rank + 1)) AS dcg, count(*) FILTER (WHERE grade > 0) AS found, min(rank) FILTER (WHERE grade > 0) AS first FROM {actual} WHERE rank <= {K} GROUP BY query_id) a USING (query_id)"""
+
+
+def golden(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(hits, qrels): benchmark passages as queries, documents that hold them as answers, at the passage's lines."""
+    b, docs, labels = src.table(spark, d, "benchmark"), src.table(spark, d, "documents"), src.table(spark, d, "labels")
+    # The benchmark is a fixed query set, not a corpus: the optimizer broadcasts it by its measured size.
+    both = b.select(F.col("item_id").alias("query_id"), F.col("text").alias("passage")).join(docs.select("doc_id", "text"), F.expr("contains(text, passage)"))
+    head = F.expr("left(text, instr(text, passage) - 1)")
+    count = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+    best = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    qrels = both.withColumn("start_line", 1 + count(head)).withColumn("end_line", F.col("start_line") + count(F.col("passage"))).join(best, "doc_id", "left")
+    qrels = qrels.select("query_id", F.concat(F.lit("doc/"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("resource"), "start_line", "end_line", F.when(F.col("quality") == 1, 2).otherwise(1).alias("grade"), F.col("doc_id").alias("no"))
+    seg = windows(src.documents(spark, d), 4, 1)
+    hits = sc.bm25_batch(sc.structural(seg), b.select(F.col("item_id").alias("query_id"), "text"), 30)
+    placed = hits.join(seg.select("resource", "start", "first_line", "last_line"), ["resource", "start"])
+    return placed.select("query_id", "origin", "resource", "start", "end", F.col("first_line").alias("start_line"), F.col("last_line").alias("end_line"), "score", "rank"), qrels
+
+
+@query(f"WITH {SQL_BATCH} {sql_metrics('fg', 'fi', 'file')}")
+def eval_ndcg_file(spark: SparkSession, d: str) -> DataFrame:
+    return _report(spark, d).select("query_id", *[F.round(m, 6).alias(m) for m in evaluate.METRICS[:3]])
+
+
+@query(f"WITH {SQL_BATCH} {sql_metrics('sg', 'si', 'span')}")
+def eval_ndcg_span(spark: SparkSession, d: str) -> DataFrame:
+    return _report(spark, d).select("query_id", *[F.round(m, 6).alias(m) for m in evaluate.METRICS[3:]])
+
+
+def _report(spark: SparkSession, d: str) -> DataFrame:
+    hits, qrels = golden(spark, d)
+    return evaluate.score_queries(hits, qrels, K)
+
+
+SQL_REPORT = f"""{SQL_BATCH}, report AS (SELECT * FROM ({sql_metrics('fg', 'fi', 'file')}) FULL JOIN ({sql_metrics('sg', 'si', 'span')}) USING (query_id))"""
+SQL_FORMS = "SELECT item_id AS query_id, ['prose', 'question', 'keyword'][item_id % 3 + 1] AS form, ['concept', 'anchor'][item_id % 2 + 1] AS facet FROM benchmark"
+
+
+@query(f"WITH {SQL_REPORT} SELECT " + ", ".join(f"round(avg({m}), 4) AS {m}" for m in evaluate.METRICS) + " FROM report")
+def eval_recall_mrr(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.mean(_report(spark, d)).select(*[F.round(m, 4).alias(m) for m in evaluate.METRICS])
+
+
+@query(f"WITH {SQL_REPORT}, f AS ({SQL_FORMS}) SELECT form, facet, count(*) AS queries, " + ", ".join(f"round(avg({m}), 4) AS {m}" for m in evaluate.METRICS) + " FROM report JOIN f USING (query_id) GROUP BY GROUPING SETS ((form), (facet), ())")
+def eval_slices(spark: SparkSession, d: str) -> DataFrame:
+    forms, facets = F.array(*map(F.lit, ["prose", "question", "keyword"])), F.array(*map(F.lit, ["concept", "anchor"]))
+    q = src.table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.get(forms, (F.col("item_id") % 3).cast("int")).alias("form"), F.get(facets, (F.col("item_id") % 2).cast("int")).alias("facet"))
+    return evaluate.slices(_report(spark, d), q).select("form", "facet", "queries", *[F.round(m, 4).alias(m) for m in evaluate.METRICS])
+
+
+@query(f"""WITH {SQL_BATCH}, top AS (SELECT item_id AS query_id, coalesce(max(score), 0) AS top FROM benchmark LEFT JOIN hits ON item_id = query_id WHERE item_id % 5 = 0 GROUP BY item_id)
+SELECT round(avg(top) FILTER (WHERE query_id % 10 = 0), 6) AS mean_top, round(max(top) FILTER (WHERE query_id % 10 = 0), 6) AS worst_top, count(*) FILTER (WHERE query_id % 10 = 0) AS scored, count(*) FILTER (WHERE query_id % 10 <> 0) AS skipped FROM top""")
+def absent_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """Every fifth query stands for one without an answer; every other of those is curated for this corpus."""
+    hits, _ = golden(spark, d)
+    q = src.table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.when(F.col("item_id") % 5 == 0, "absent").otherwise("locate").alias("kind"), F.when(F.col("item_id") % 10 == 0, F.array(F.lit("docs"))).otherwise(F.array().cast("array<string>")).alias("absent_in"))
+    out = evaluate.absent_confidence(hits, q, ["docs"])
+    return out.select(F.round("mean_top", 6).alias("mean_top"), F.round("worst_top", 6).alias("worst_top"), "scored", "skipped")
+
+
+# ---------------------------------------------------------------- identity, store, lifecycle
+
+
+@query("SELECT sha256('lumenix/1/content:' || text) AS content_hash, count(*) AS copies FROM documents GROUP BY 1 HAVING count(*) > 1")
+def dup_content_objects(spark: SparkSession, d: str) -> DataFrame:
+    return src.documents(spark, d).groupBy(identity.content_hash(F.col("text")).alias("content_hash")).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+
+
+@query("""SELECT resource, sha256('lumenix/1/object:' || '3;' || '2:fp' || strlen(resource) || ':' || resource || strlen(text) || ':' || text) AS object_key
+FROM (SELECT 'doc/' || lpad(doc_id::VARCHAR, 9, '0') AS resource, text FROM documents)""")
+def object_keys(spark: SparkSession, d: str) -> DataFrame:
+    return src.documents(spark, d).select("resource", identity.object_key("fp", F.col("resource"), F.col("text")).alias("object_key"))
+
+
+SQL_SNAP = """
+now AS (SELECT 'doc/' || lpad(doc_id::VARCHAR, 9, '0') AS resource, strlen(text)::BIGINT AS size, doc_id * 1000 AS t FROM documents WHERE doc_id % 10 <> 3),
+was AS (SELECT 'doc/' || lpad(doc_id::VARCHAR, 9, '0') AS resource, strlen(text)::BIGINT + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS size, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE doc_id * 1000 END AS t FROM documents WHERE doc_id % 10 <> 9)"""
+
+
+@query(f"""WITH {SQL_SNAP} SELECT resource, CASE WHEN was.resource IS NULL THEN 'added' WHEN now.resource IS NULL THEN 'removed' WHEN now.size = was.size AND now.t = was.t THEN 'same' ELSE 'changed' END AS state
+FROM now FULL JOIN was USING (resource)""")
+def stale_diff(spark: SparkSession, d: str) -> DataFrame:
+    """Two states of the corpus: one lacks every tenth document, sizes and times differ for some."""
+    docs = src.table(spark, d, "documents").select("doc_id", F.concat(F.lit("doc/"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("resource"), F.octet_length("text").cast("bigint").alias("size"), (F.col("doc_id") * 1000).alias("mtime_ns"))
+    now = docs.where("doc_id % 10 <> 3").drop("doc_id")
+    was = docs.where("doc_id % 10 <> 9").withColumn("size", F.col("size") + F.when(F.col("doc_id") % 7 == 0, 1).otherwise(0)).withColumn("mtime_ns", F.when(F.col("doc_id") % 11 != 0, F.col("mtime_ns"))).drop("doc_id")
+    return store.drift(now, was)
+
+
+@query("SELECT 'doc/' || lpad(doc_id::VARCHAR, 9, '0') AS resource, CASE WHEN sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id % 4 <> 1) THEN 'reuse' ELSE 'compute' END AS action FROM documents")
+def reuse_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Three quarters are already indexed; equal texts share an object, so their copies are reused too."""
+    docs = src.table(spark, d, "documents").select("doc_id", F.concat(F.lit("doc/"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("resource"), identity.object_key("fp", F.col("text")).alias("object_key"))
+    return store.reuse_plan(docs, docs.where("doc_id % 4 <> 1")).select("resource", "action")
+
+
+@query("SELECT CASE WHEN doc_id % 2 = 0 THEN 'A' ELSE 'C' END AS tier, count(*) AS objects, sum(strlen(text))::BIGINT AS bytes FROM documents WHERE NOT (doc_id % 3 = 0 OR doc_id % 5 = 0) GROUP BY 1")
+def gc_unreachable(spark: SparkSession, d: str) -> DataFrame:
+    """Two manifests keep every third and every fifth document's object."""
+    docs = src.table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("object_key"), identity.content_hash(F.col("text")).alias("content_hash"), F.octet_length("text").cast("bigint").alias("len"), F.when(F.col("doc_id") % 2 == 0, "A").otherwise("C").alias("tier"))
+    empty = {n: spark.createDataFrame([], store.SCHEMAS[n]) for n in ("dimensions", "roots", "clusters")}
+    kept = [store.Manifest("fp", docs.where(f"doc_id % {k} = 0").drop("doc_id"), **empty) for k in (3, 5)]
+    return store.gc_report(docs.drop("doc_id"), kept)
+
+
+SQL_SIDES = """
+b AS (SELECT doc_id AS k, left(text, 20) AS v FROM documents WHERE doc_id % 10 <> 9),
+o AS (SELECT doc_id AS k, left(text, 20) || CASE WHEN doc_id % 4 = 0 THEN '+' ELSE '' END AS v FROM documents WHERE doc_id % 10 <> 8 AND doc_id % 20 <> 9),
+t AS (SELECT doc_id AS k, left(text, 20) || CASE WHEN doc_id % 6 = 0 THEN '-' ELSE '' END AS v FROM documents WHERE doc_id % 10 <> 7)"""
+
+
+@query(f"""WITH {SQL_SIDES}, j AS (SELECT coalesce(o.k, t.k, b.k) AS k, o.v AS o, t.v AS t, b.v AS b FROM o FULL JOIN t ON o.k = t.k FULL JOIN b ON b.k = coalesce(o.k, t.k))
+SELECT 'doc/' || lpad(k::VARCHAR, 9, '0') AS resource, CASE WHEN o IS NOT DISTINCT FROM t THEN o WHEN o IS NOT DISTINCT FROM b THEN t ELSE o END AS entry,
+       CASE WHEN o IS NOT DISTINCT FROM t THEN o WHEN o IS NOT DISTINCT FROM b THEN t ELSE o END IS NOT NULL AS present,
+       CASE WHEN o IS NOT DISTINCT FROM t OR o IS NOT DISTINCT FROM b OR t IS NOT DISTINCT FROM b THEN 'take' ELSE 'conflict' END AS outcome FROM j""")
+def manifest_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Roots merged three ways: edits, additions and deletions on either side or both."""
+    docs = src.table(spark, d, "documents").select("doc_id", F.concat(F.lit("doc/"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("resource"), F.left("text", F.lit(20)).alias("entry"))
+    edit = lambda k, mark: F.concat("entry", F.when(F.col("doc_id") % k == 0, mark).otherwise(""))
+    ours = docs.where("doc_id % 10 <> 8 and doc_id % 20 <> 9").withColumn("entry", edit(4, "+"))
+    theirs = docs.where("doc_id % 10 <> 7").withColumn("entry", edit(6, "-"))
+    return store.three_way(docs.where("doc_id % 10 <> 9"), ours, theirs, "resource", "entry")
+
+
+@query("""WITH k AS (SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'a/' || doc_id WHEN 1 THEN '/a/' || doc_id WHEN 2 THEN 'a\\' || doc_id WHEN 3 THEN 'c:/' || doc_id WHEN 4 THEN 'a/../' || doc_id WHEN 5 THEN 'a//' || doc_id WHEN 6 THEN 'a/b:' || doc_id WHEN 7 THEN './' || doc_id ELSE 'a' || chr(9) || doc_id END AS key FROM documents)
+SELECT key, NOT (key = '' OR starts_with(key, '/') OR contains(key, '\\') OR contains(string_split(key, '/')[1], ':') OR regexp_matches(key, '[\\x00-\\x1f\\x7f]') OR len(list_filter(string_split(key, '/'), lambda p: p IN ('', '.', '..'))) > 0) AS safe FROM k""")
+def key_safety(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("doc_id").cast("string")
+    shapes = ["a/", "/a/", "a\\", "c:/", "a/../", "a//", "a/b:", "./", "a\t"]
+    key = F.concat(F.get(F.array(*map(F.lit, shapes)), (F.col("doc_id") % 9).cast("int")), n)
+    return src.table(spark, d, "documents").select(key.alias("key")).withColumn("safe", tx.safe_key(F.col("key")))
+
+
+@query("""WITH m AS (SELECT doc_id, replace(text, chr(10), CASE doc_id % 3 WHEN 0 THEN chr(13) || chr(10) WHEN 1 THEN chr(13) ELSE chr(10) END) AS text FROM documents)
+SELECT doc_id, sha256(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS digest FROM m""")
+def newline_normalize(spark: SparkSession, d: str) -> DataFrame:
+    end = F.when(F.col("doc_id") % 3 == 0, "\r\n").when(F.col("doc_id") % 3 == 1, "\r").otherwise("\n")
+    raw = src.table(spark, d, "documents").select("doc_id", F.encode(F.replace("text", F.lit("\n"), end), "UTF-8").alias("content"))
+    return raw.select("doc_id", F.sha2(tx.content_or_null(F.col("content")), 256).alias("digest"))
+
+
+@query(f"""WITH s AS ({sql_windows(DOCS, 40, 8)})
+SELECT resource, seg_no, array_to_string(string_split(CASE WHEN ends_with(text, chr(10)) THEN left(text, len(text) - 1) ELSE text END, chr(10))[1:3], chr(10)) AS shown FROM s""")
+def snippets(spark: SparkSession, d: str) -> DataFrame:
+    rows = windows(src.documents(spark, d))
+    return rows.select("resource", "seg_no", F.array_join(F.slice(tx.lines(F.col("text")), 1, 3), "\n").alias("shown"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def event_windows(spark: SparkSession, d: str) -> DataFrame:
+    from lumenix.streaming.refresh import event_windows as hourly
+
+    return hourly(src.table(spark, d, "events")).withColumn("total", F.round("total", 4))
+
+
+# ---------------------------------------------------------------- no SQL counterpart
+
+
+@query()
+def declaration_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Declared names of page sources; on data without declarations this is empty."""
+    rec = classify.declaration_terms(windows(src.pages(spark, d), 4, 1))
+    return retrieve.Index({"declaration": retrieve.Dimension(records=rec)}).find({"declaration": retrieve.Term("track render article")}, 10)
+
+
+def _tree(spark: SparkSession, d: str) -> cluster.Tree:
+    base = vector_records(spark, d)
+    pool = base.select(F.col("resource").alias("id"), F.concat(F.lit("group "), F.col("label").cast("string")).alias("descriptor"), "vec", F.col("resource").alias("no"))
+    stub = classify.ChatClassifier(classify.stub_client(2))
+    return cluster.fabricate(pool, cluster.TreeParams(0.33, 2, 15, 3, 8), lambda items, level: [f"{stub([i], ['topic'], level)[0].get('topic', 'group')} of {len(i)}" for i in items], lambda text: [float(x) for x in vec.hash_vector(text.split(), 64)], "demo")
+
+
+@query()
+def cluster_tree(spark: SparkSession, d: str) -> DataFrame:
+    return _tree(spark, d).clusters.select("key", "level", "label")
+
+
+@query()
+def cluster_members(spark: SparkSession, d: str) -> DataFrame:
+    t = _tree(spark, d)
+    return cluster.leaves(t.edges, t.clusters.select(F.col("key").alias("cluster")))
+
+
+@query()
+def llm_stub_descriptors(spark: SparkSession, d: str) -> DataFrame:
+    facets = classify.Facets.parse(["summary", "names[3]"])
+    return classify.describe(windows(src.documents(spark, d)), ["descriptive"], lambda: classify.ChatClassifier(classify.stub_client(), facets))
+
+
+@query()
+def weight_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """Best of a grid of weights on the tuning half, from stored per-dimension scores."""
+    hits, qrels = golden(spark, d)
+    pool = hits.withColumn("per_dimension", F.create_map(F.lit("lexical"), F.col("score"), F.lit("early"), 1 / (1 + F.col("start"))))
+    return evaluate.weight_sweep(pool, qrels, [{"lexical": 1.0, "early": w} for w in (0.0, 0.5, 1.0, 2.0)])
+
+
+@query()
+def hash_embedding_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The offline embedder over window terms, scored by cosine."""
+    rec = sc.structural(windows(src.documents(spark, d)))
+    vectors = vec.embed_rows(rec.select(*sc.PLACE, "level", "terms"), "terms", "vec", lambda t: vec.hash_vector(t, 128)).drop("terms")
+    index = retrieve.Index({"semantic": retrieve.Dimension(vectors=vectors, encode=lambda t: [float(x) for x in vec.hash_vector(sc.query_terms(spark, t), 128)])})
+    return index.find({"semantic": retrieve.Term(ANY_QUERY)}, 20)
