@@ -1,0 +1,190 @@
+"""Building, refreshing and opening an index: the offline pipeline as Spark jobs over tables in one folder.
+
+    segments/    origin, resource, seg_no, start, end, first_line, last_line, text
+    records/     dimension=..., location, level, terms, len      (dimensions scored by terms)
+    vectors/     dimension=..., location, level, vec             (dimensions scored by cosine)
+    clusters/, edges/, snapshot/, objects/, manifest/
+
+A dimension's records are a partition, so a query reads the dimensions it asks and no others.
+"""
+
+from __future__ import annotations
+
+import json
+import os
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumenix.functions import identity
+from lumenix.functions import text as tx
+from lumenix.functions import vectors as vec
+from lumenix.operators import classify, cluster, retrieve, store
+from lumenix.operators import score as sc
+from lumenix.operators.segment import windows
+from lumenix.plans.config import Config, check_levels, default, parse
+from lumenix.sources import files
+
+
+@dataclass
+class Stages:
+    """Implementations by name. Embedders turn terms into a vector; ``llm`` builds a chat classifier in the worker."""
+
+    embedders: dict[str, Callable[[list[str]], list[float]]] = field(default_factory=lambda: {"hash": lambda t: vec.hash_vector(t, 256).tolist()})
+    llm: Callable[[], classify.ChatClassifier] | None = None
+
+    def missing(self, config: Config) -> list[str]:
+        """Active dimensions with a stage that cannot run here."""
+        known = {"structural", "declaration", "content"} | ({"llm"} if self.llm else set())
+        bad = lambda d: (d.classifier is not None and d.classifier.impl not in known) or (d.embedder is not None and d.embedder.impl not in self.embedders)
+        return [n for n, d in config.active().items() if bad(d)]
+
+
+@dataclass
+class BuildStats:
+    discovered: int = 0
+    indexed: int = 0
+    skipped: int = 0
+    segments: int = 0
+    written: int = 0
+    reused: int = 0
+    clusters: int = 0
+    unlabeled: int = 0
+    left_out: list[str] = field(default_factory=list)
+
+
+def read_config(root: str) -> Config:
+    path = os.path.join(root, files.INDEX_DIR, files.CONFIG)
+    return parse(open(path, encoding="utf-8").read()) if os.path.exists(path) else default()
+
+
+def _terms(segments: DataFrame, impl: str, name: str, stages: Stages, persist: bool) -> DataFrame:
+    """Term records of one dimension, with the descriptor's terms."""
+    if impl == "declaration":
+        return classify.declaration_terms(segments)
+    if impl == "llm":
+        found = classify.describe(segments, [name], stages.llm)
+        return sc.frequency_records(found) if persist else sc.term_records(found.withColumn("terms", tx.terms(F.col("descriptor"))))
+    return sc.structural(segments)
+
+
+def build(spark: SparkSession, contents: DataFrame, out: str, config: Config, stages: Stages | None = None, policy: store.Degraded = store.Degraded.ABORT, snapshot: DataFrame | None = None) -> BuildStats:
+    """Write all tables of an index over ``contents(origin, resource, text)``; unchanged objects are reused by key."""
+    stages = stages or Stages()
+    stats = BuildStats(left_out=store.decide(policy, stages.missing(config)))
+    active = {n: d for n, d in config.active().items() if n not in stats.left_out}
+    seg_path = f"{out}/segments"
+    windows(contents, config.lines, config.overlap).write.mode("overwrite").parquet(seg_path)
+    segments = spark.read.parquet(seg_path)
+    identities, roots, trees = [], None, []
+    for name, d in active.items():
+        impl = d.classifier.impl if d.classifier else "structural"
+        terms = _terms(segments, impl, name, stages, d.emits_descriptor)
+        if d.emits_tensor:
+            v = vec.embed_rows(terms.select(*sc.PLACE, "level", "terms"), "terms", "vec", stages.embedders[d.embedder.impl]).drop("terms")
+            v.write.mode("overwrite").parquet(f"{out}/vectors/dimension={name}")
+        if d.emits_descriptor:
+            terms.write.mode("overwrite").parquet(f"{out}/records/dimension={name}")
+        levels = [0]
+        if d.fabricator is not None:
+            tree = _fabricate(spark, out, name, d, stages)
+            levels, stats.clusters, stats.unlabeled = tree.levels, stats.clusters + tree.clusters.count(), stats.unlabeled + tree.unlabeled
+            trees.append((name, [r[0] for r in tree.clusters.select("key").orderBy("key").collect()]))
+        identities.append((name, d.fingerprint(), levels))
+        source = terms if d.emits_descriptor else spark.read.parquet(f"{out}/vectors/dimension={name}")
+        size = F.col("len") if d.emits_descriptor else F.size("vec")
+        body = F.to_json(F.array_sort(F.collect_list(F.struct("start", "end", size.cast("long").alias("n")))))
+        per = source.groupBy("origin", "resource").agg(body.alias("body")).join(contents.select("origin", "resource", identity.content_hash(F.col("text")).alias("input")), ["origin", "resource"])
+        keyed = per.withColumn("object_key", identity.object_key(d.fingerprint(), F.col("input"), F.lit(config.segmenter())))
+        fresh = store.as_objects(keyed, F.col("object_key"), F.col("body"), "C" if impl == "llm" else "B" if d.emits_tensor else "A").dropDuplicates(["object_key"])
+        total = fresh.count()
+        stats.written += (n := store.put(f"{out}/objects", fresh))
+        stats.reused += total - n
+        own = keyed.select(F.concat_ws(":", "origin", "resource").alias("resource"), "object_key")
+        roots = own if roots is None else roots.unionByName(own)
+    entry = roots.groupBy("resource").agg(F.to_json(F.array_sort(F.collect_set("object_key"))).alias("entry")) if roots is not None else spark.createDataFrame([], store.SCHEMAS["roots"])
+    objects = spark.read.parquet(f"{out}/objects").select("object_key", "content_hash", "len", "tier") if roots is not None else spark.createDataFrame([], store.SCHEMAS["objects"])
+    manifest = store.Manifest(config.fingerprint(), objects, spark.createDataFrame(identities, store.SCHEMAS["dimensions"]), entry, spark.createDataFrame(trees, store.SCHEMAS["clusters"]))
+    manifest.objects = objects.join(store.named_keys(manifest), "object_key", "left_semi")
+    store.save_manifest(manifest, f"{out}/manifest")
+    if snapshot is not None and not stats.left_out:
+        snapshot.write.mode("overwrite").parquet(f"{out}/snapshot")
+    with open(f"{out}/config.json", "w") as f:
+        json.dump({"fingerprint": config.fingerprint(), "dimensions": {n: {"levels": d.levels, "tensor": d.emits_tensor, "embedder": d.embedder.impl if d.embedder else None, "fingerprint": d.fingerprint()} for n, d in active.items()}}, f)
+    stats.indexed = contents.count()
+    stats.segments = segments.count()
+    return stats
+
+
+def _fabricate(spark: SparkSession, out: str, name: str, d, stages: Stages) -> cluster.Tree:  # type: ignore[no-untyped-def]
+    s = d.fabricator.settings
+    p = cluster.TreeParams(**{k: s[k] for k in ("threshold", "min_cluster", "max_cluster", "max_levels", "min_remaining") if k in s})
+    v = spark.read.parquet(f"{out}/vectors/dimension={name}").where("level = 0")
+    terms = spark.read.parquet(f"{out}/records/dimension={name}").where("level = 0")
+    key = identity.object_key(d.fingerprint(), F.col("origin"), F.col("resource"), F.col("start"), F.col("end"))
+    pool = v.join(terms.select(*sc.PLACE, F.array_join("terms", " ").alias("descriptor")), sc.PLACE)
+    pool = pool.select(key.alias("id"), "descriptor", "vec", F.struct("origin", "resource", "start").alias("no"), *sc.PLACE)
+    embed = stages.embedders[d.embedder.impl]
+    chat = stages.llm() if stages.llm and d.classifier.impl == "llm" else None
+
+    def label(items: list[list[str]], level: int) -> list[str | None]:
+        if chat is not None:
+            return [x.get(name) for x in chat(items, [name], level)]
+        return [" ".join(dict.fromkeys(" ".join(x).split())) or None for x in items]
+
+    tree = cluster.fabricate(pool.select("id", "descriptor", "vec", "no"), p, label, lambda t: embed(t.split()), d.fingerprint())
+    tree.clusters.write.mode("overwrite").parquet(f"{out}/clusters/dimension={name}")
+    tree.edges.join(pool.select(F.col("id").alias("child"), *sc.PLACE), "child", "left").write.mode("overwrite").parquet(f"{out}/edges/dimension={name}")
+    place = [F.lit("clusters").alias("origin"), F.col("key").alias("resource"), F.lit(0).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("end"), "level"]
+    up = tree.clusters.select(*place, F.col("vec").cast("array<float>").alias("vec"))
+    up.write.mode("append").parquet(f"{out}/vectors/dimension={name}")
+    return tree
+
+
+def open_index(spark: SparkSession, out: str, stages: Stages | None = None, config: Config | None = None) -> retrieve.Index:
+    """The index in a folder, its levels as built; a configuration that would hide levels is refused."""
+    stages = stages or Stages()
+    head = json.load(open(f"{out}/config.json"))
+    m = store.load_manifest(spark, f"{out}/manifest")
+    built = {r["name"]: tuple(r["levels"]) for r in m.dimensions.collect()}
+    dims = {}
+    for name, d in head["dimensions"].items():
+        if config is not None and name in config.dimensions:
+            check_levels(name, config.dimensions[name].search_levels(), built[name])
+        if d["tensor"]:
+            embed = stages.embedders[d["embedder"]]
+            dims[name] = retrieve.Dimension(vectors=spark.read.parquet(f"{out}/vectors/dimension={name}"), encode=lambda t, e=embed: e(sc.query_terms(spark, t)), levels=built[name], fingerprint=d["fingerprint"])
+        else:
+            dims[name] = retrieve.Dimension(records=spark.read.parquet(f"{out}/records/dimension={name}"), levels=built[name], fingerprint=d["fingerprint"])
+    return retrieve.Index(dims, frozenset(config.dimensions) if config else frozenset())
+
+
+def index_folder(spark: SparkSession, root: str, out: str | None = None, config: Config | None = None, stages: Stages | None = None, policy: store.Degraded = store.Degraded.ABORT) -> BuildStats:
+    """Discover, preprocess and build; the snapshot is taken before anything is read."""
+    config = config or read_config(root)
+    found = files.discover(spark, root, config.max_bytes)
+    snap = spark.createDataFrame(found.select("resource", "size", "mtime_ns").collect(), "resource string, size bigint, mtime_ns bigint")
+    contents = files.contents(found, os.path.basename(os.path.realpath(root))).persist()
+    stats = build(spark, contents, out or os.path.join(root, files.INDEX_DIR), config, stages, policy, snap)
+    stats.discovered = snap.count()
+    stats.skipped = stats.discovered - stats.indexed
+    contents.unpersist()
+    return stats
+
+
+def staleness(spark: SparkSession, root: str, out: str | None = None) -> store.StaleReport:
+    """What has moved since the build, from sizes and times alone."""
+    out = out or os.path.join(root, files.INDEX_DIR)
+    config = read_config(root)
+    now = files.discover(spark, root, config.max_bytes).select("resource", "size", "mtime_ns")
+    snap = f"{out}/snapshot"
+    was = spark.read.parquet(snap) if os.path.exists(snap) else now.limit(0)
+    recorded = json.load(open(f"{out}/config.json"))["fingerprint"] if os.path.exists(f"{out}/config.json") else ""
+    return store.stale_report(now, was, (recorded, config.fingerprint()), ("", ""))
+
+
+def refresh(spark: SparkSession, root: str, out: str | None = None, stages: Stages | None = None) -> BuildStats | None:
+    """Nothing if nothing moved; else a pass that reuses every unchanged object."""
+    return None if staleness(spark, root, out).fresh else index_folder(spark, root, out, None, stages)

@@ -1,0 +1,332 @@
+"""Windows, scoring, fusion, regions, evaluation, clustering: pinned facts and brute force."""
+
+import json
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lumenix.operators import classify, cluster, evaluate, retrieve
+from lumenix.operators import score as sc
+from lumenix.operators.segment import windows
+
+HIT = "origin string, resource string, start bigint, end bigint, level int, score double"
+
+
+def contents(spark, texts, origin="o"):
+    return spark.createDataFrame([(origin, f"r{i:03d}", t) for i, t in enumerate(texts)], "origin string, resource string, text string")
+
+
+def brute_windows(text, lines, overlap):
+    if not text:
+        return []
+    offs = [0]
+    for x in text.encode().split(b"\n"):
+        offs.append(offs[-1] + len(x) + 1)
+    total, n, out, a = len(text.encode()), text.count("\n") + 1, [], 0
+    while True:
+        b = min(a + lines, n)
+        end = total if b >= n else offs[b]
+        if offs[a] < end:
+            out.append((offs[a], end))
+        if b >= n:
+            return out
+        a += max(lines - overlap, 1)
+
+
+@pytest.mark.parametrize(("lines", "overlap"), [(40, 8), (4, 1), (3, 2), (1, 0)])
+def test_windows(spark, lines, overlap):
+    rng = random.Random(lines)
+    texts = ["\n".join("é" * rng.randint(0, 3) for _ in range(n)) + "\n" * (n % 3) for n in [0, 1, 2, 3, 4, 5, 39, 40, 41, 73, 200]] + ["", None, "\n", "x\n" * 40]
+    got = {}
+    for r in windows(contents(spark, texts), lines, overlap).collect():
+        got.setdefault(r["resource"], []).append(r)
+    for i, t in enumerate(texts):
+        rows = sorted(got.get(f"r{i:03d}", []), key=lambda r: r["start"])
+        assert [(r["start"], r["end"]) for r in rows] == brute_windows(t, lines, overlap)
+        for r in rows:
+            raw = t.encode()
+            assert r["text"].encode() == raw[r["start"] : r["end"]]
+            assert r["first_line"] == 1 + raw[: r["start"]].count(b"\n") and r["last_line"] == max(r["first_line"], 1 + raw[: r["end"] - 1].count(b"\n"))
+
+
+def test_window_spans_of_sixty_lines(spark):
+    text = "".join(f"line {i:02d} of the generated fixture\n" for i in range(60))
+    assert windows(contents(spark, [text])).count() == 2
+    with pytest.raises(ValueError):
+        windows(contents(spark, [text]), 4, 4)
+
+
+def index(spark, texts, origin="o"):
+    return retrieve.Index({"lexical": retrieve.Dimension(records=sc.structural(windows(contents(spark, texts, origin))))})
+
+
+def ask(ix, text, **k):
+    return ix.find({"lexical": retrieve.Term(text)}, **k).collect()
+
+
+def test_bm25_facts(spark):
+    texts = ["refresh token session", "token token other words here", "nothing at all", "refresh"]
+    ix = index(spark, texts)
+    hits = ask(ix, "refresh token")
+    assert hits[0]["resource"] == "r000" and all(0 < h["score"] <= 1 for h in hits)
+    assert [h["score"] for h in hits] == [h["score"] for h in ask(ix, "refresh token absentword")]
+    assert ask(ix, "absentword") == []
+    n, avg = 4, np.mean([3, 5, 3, 1])
+    idf = {t: math.log((n - d + 0.5) / (d + 0.5) + 1) for t, d in (("refresh", 2), ("token", 2))}
+    part = lambda t, tf, ln: idf[t] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * ln / avg))
+    ceiling = sum(v * 2.2 for v in idf.values())
+    assert hits[0]["score"] == pytest.approx((part("refresh", 1, 3) + part("token", 1, 3)) / ceiling)
+    batch = sc.bm25_batch(ix.dimensions["lexical"].records, spark.createDataFrame([(1, "refresh token"), (2, "other")], "query_id int, text string"), 10)
+    assert {r["resource"]: pytest.approx(r["score"]) for r in batch.where("query_id = 1").collect()} == {h["resource"]: h["score"] for h in hits}
+
+
+def test_empty_slots_count_in_n_but_not_in_the_average(spark):
+    rec = sc.term_records(spark.createDataFrame([("o", f"r{i}", 0, 1, 0, ["aa"] if i else []) for i in range(4)], "origin string, resource string, start int, end int, level int, terms array<string>"))
+    s = sc.federated_stats(rec, ["aa"])
+    assert (s.records, s.average, s.frequency) == (4, 1.0, {"aa": 3})
+    both = s.merge(sc.CorpusStats(1, 5.0, {"aa": 1, "bb": 1}))
+    assert (both.records, both.total_length, both.frequency) == (5, 9.0, {"aa": 4, "bb": 1})
+
+
+def test_federation(spark):
+    a, b = index(spark, ["refresh token"], "x"), index(spark, ["refresh alpha", "other"], "x")
+    fed = retrieve.federation({"A": a, "B": b})
+    hits = ask(fed, "refresh token")
+    assert [(h["origin"], h["resource"]) for h in hits] == [("A", "r000"), ("B", "r000")]  # one path, two hits
+    alone = ask(a, "refresh token")
+    assert ask(retrieve.federation({"A": a}), "refresh token")[0]["score"] == alone[0]["score"]
+    b.dimensions["lexical"].fingerprint = "other"
+    with pytest.raises(ValueError):
+        retrieve.federation({"A": a, "B": b})
+
+
+def vectors(spark, rows):
+    return spark.createDataFrame([("o", r, 0, 1, lv, v) for r, lv, v in rows], "origin string, resource string, start int, end int, level int, vec array<float>")
+
+
+def test_fusion(spark):
+    v1 = vectors(spark, [("a", 0, [1.0, 0.0]), ("b", 0, [0.0, 1.0]), ("c", 1, [1.0, 0.0])])
+    v2 = vectors(spark, [("a", 0, [0.0, 1.0]), ("b", 0, [1.0, 0.0])])
+    d = lambda v, levels: retrieve.Dimension(vectors=v, encode=lambda t: [1.0, 0.0], levels=levels)
+    ix = retrieve.Index({"one": d(v1, (0, 1)), "two": d(v2, (0,))}, frozenset({"one", "two", "three"}))
+    q = lambda w1, w2: {"one": retrieve.Term("x", w1), "two": retrieve.Term("x", w2)}
+    got = {h["resource"]: h["score"] for h in ix.find_at(q(1, 1), None).collect()}
+    assert got == {"a": 0.5, "b": 0.5, "c": 1.0}  # a dimension without records at level 1 leaves its denominator
+    assert {h["resource"]: h["score"] for h in ix.find_at(q(3, 1), None).collect()} == {"a": 0.75, "b": 0.25, "c": 1.0}
+    assert {h["resource"] for h in ix.find_at(q(1, 0), None).collect()} == {"a", "c"}
+    assert {h["resource"] for h in ix.find_at(q(1, float("nan")), None).collect()} == {"a", "c"}
+    assert [h["resource"] for h in ix.find_at(q(1, 1), None, retrieve.parse_levels("clusters")).collect()] == ["c"]
+    only = spark.createDataFrame([("o", "b", 0, 1)], "origin string, resource string, start int, end int")
+    assert [h["resource"] for h in ix.find_at(q(1, 1), None, candidates=only).collect()] == ["b"]
+    with pytest.raises(ValueError, match="not built"):
+        ix.find({"three": retrieve.Term("x")})
+    with pytest.raises(ValueError, match="unknown"):
+        ix.find({"four": retrieve.Term("x")})
+    with pytest.raises(ValueError):
+        ix.find({"one": retrieve.Term(" ")})
+
+
+def test_parsers():
+    assert retrieve.parse_levels(" all ").kind == "all" and retrieve.parse_levels("segment").allows(0)
+    assert retrieve.parse_levels("0,2-4").only == {0, 2, 3, 4}
+    for bad in ("1,,3", "4-2", "x", "-1", "70000", ""):
+        with pytest.raises(ValueError):
+            retrieve.parse_levels(bad)
+    assert retrieve.parse_dimension("a:2.5=x=y:z") == ("a", retrieve.Term("x=y:z", 2.5))
+    for bad in ("a", "=x", "a:nan=x", "a:-1=x", "a:1e7=x", "a:b=x"):
+        with pytest.raises(ValueError):
+            retrieve.parse_dimension(bad)
+
+
+def brute_regions(hits, per, limit):
+    def shape(read):
+        runs = [[h, h[2], h[3], 1, []] for h in read if h[4] > 0]
+        by = {}
+        for h in read:
+            if h[4] == 0:
+                by.setdefault(h[:2], []).append(h)
+        for hs in by.values():
+            cur = None
+            for h in sorted(hs, key=lambda h: h[2]):
+                if cur and h[2] <= cur[2]:
+                    cur[2], cur[3] = max(cur[2], h[3]), cur[3] + 1
+                    cur[0] = h if h[5] > cur[0][5] else cur[0]
+                else:
+                    runs.append(cur := [h, h[2], h[3], 1, []])
+        runs.sort(key=lambda r: (-r[0][5], r[0][0], r[0][1], r[1]))
+        kept, held = [], {}
+        for r in runs:
+            key = r[0][:2]
+            if r[0][4] > 0 or per == 0:
+                kept.append(r)
+            elif key not in held:
+                held[key] = [r, 1]
+                kept.append(r)
+            elif held[key][1] < per:
+                held[key][1] += 1
+                kept.append(r)
+            else:
+                held[key][0][4].append(r[0][2])
+        return kept[:limit]
+
+    depth, best = max(4 * limit, 20), []
+    while True:
+        s = shape(hits[:depth])
+        best = s if len(s) > len(best) else best
+        if len(best) >= limit or depth >= len(hits):
+            return [(r[0][1], r[0][2], r[0][4], r[1], r[2], r[3], tuple(r[4])) for r in best]
+        depth *= 2
+
+
+@pytest.mark.parametrize(("per", "limit"), [(2, 10), (0, 10), (1, 5), (2, 40), (3, 25)])
+def test_regions(spark, per, limit):
+    rng = random.Random(per * 100 + limit)
+    hits = set()
+    for i in range(300):
+        if i % 10 == 0:
+            hits.add(("o", f"cluster{i}", 0, 0, 1, round(rng.random(), 6)))
+        else:
+            start = rng.randrange(40) * 50
+            hits.add(("o", f"f{rng.randrange(12):02d}", start, start + rng.choice([50, 100]), 0, round(rng.random(), 6)))
+    unique = {h[:3]: h for h in hits}
+    ranked = sorted(unique.values(), key=lambda h: (-h[5], h[0], h[1], h[2]))
+    got = retrieve.regions(spark.createDataFrame(ranked, HIT), per, limit).collect()
+    assert [(r["resource"], r["start"], r["level"], r["region_start"], r["region_end"], r["segments"], tuple(r["more"])) for r in got] == brute_regions(ranked, per, limit)
+
+
+def brute_score(hits, qrels, k):
+    dcg = lambda gs: sum((2**g - 1) / math.log2(i + 2) for i, g in enumerate(gs[:k]))
+
+    def scores(actual, ideal):
+        best = dcg(ideal)
+        first = next((i for i, g in enumerate(actual[:k]) if g > 0), None)
+        return (min(1, max(0, dcg(actual) / best)) if best > 0 else 0, sum(g > 0 for g in actual[:k]) / max(len(ideal), 1), 0 if first is None else 1 / (first + 1))
+
+    files, seen, spans, claimed = [], set(), [], set()
+    for r, a, b in hits:
+        if r not in seen:
+            seen.add(r)
+            files.append(max([g for q, s, e, g in qrels if q == r], default=0))
+        over = [(g, i) for i, (q, s, e, g) in enumerate(qrels) if q == r and a <= e and s <= b]
+        if not over:
+            spans.append(0)
+        elif (m := max(over))[1] not in claimed:
+            claimed.add(m[1])
+            spans.append(m[0])
+    by = {}
+    for q, s, e, g in qrels:
+        by[q] = max(by.get(q, 0), g)
+    return scores(files, sorted(by.values(), reverse=True)) + scores(spans, sorted((g for *_, g in qrels), reverse=True))
+
+
+def test_evaluation(spark):
+    rng = random.Random(5)
+    hits, qrels, want = [], [], {}
+    for q in range(12):
+        h = [(f"f{rng.randrange(5)}", s := rng.randrange(50), s + rng.randrange(10)) for _ in range(rng.randrange(0, 25))]
+        j = [(f"f{rng.randrange(5)}", s := rng.randrange(50), s + rng.randrange(15), rng.choice([1, 2])) for _ in range(rng.randrange(1, 6))]
+        want[q] = brute_score(h, j, 10)
+        hits += [(q, i + 1, *x) for i, x in enumerate(h)]
+        qrels += [(q, *x, len(qrels) + i) for i, x in enumerate(j)]
+    H = spark.createDataFrame(hits, "query_id int, rank int, resource string, start_line int, end_line int")
+    J = spark.createDataFrame(qrels, "query_id int, resource string, start_line int, end_line int, grade int, no int")
+    rep = evaluate.score_queries(H, J, 10)
+    got = {r["query_id"]: [r[m] for m in evaluate.METRICS] for r in rep.collect()}
+    for q in want:
+        assert got[q] == pytest.approx(list(want[q])), q
+    assert evaluate.mean(rep).first()["file_ndcg"] == pytest.approx(np.mean([w[0] for w in want.values()]))
+    queries = spark.createDataFrame([(q, "prose" if q % 2 else "keyword", "absent" if q > 11 else "locate") for q in range(13)], "id int, form string, kind string")
+    assert evaluate.slices(rep, queries, ["form"]).count() == 3
+    evaluate.validate(queries, J)
+    with pytest.raises(ValueError):
+        evaluate.validate(queries.withColumn("kind", F.lit("locate")), J)
+    base = rep.withColumn("file_ndcg", F.col("file_ndcg") - 0.1)
+    assert {r["mark_file_ndcg"] for r in evaluate.compare(rep, base).collect()} == {"+"}
+    assert len(evaluate.subsets(["a", "b", "c"])) == 7
+
+
+def naive_round(v, threshold, low, high):
+    groups = [[i] for i in range(len(v))]
+    live = set(range(len(v)))
+    if len(v) < max(low, 2):
+        return []
+    centre = lambda g: (m := v[g].mean(0)) / (np.linalg.norm(m) or 1)
+    while True:
+        best = None
+        for i in sorted(live):
+            for j in sorted(live):
+                if j > i and len(groups[i]) + len(groups[j]) <= (high or len(v)):
+                    s = float(centre(groups[i]) @ centre(groups[j]))
+                    if best is None or s > best[0]:
+                        best = (s, i, j)
+        if best is None or best[0] < threshold:
+            return [groups[i] for i in sorted(live) if len(groups[i]) >= low]
+        groups[best[1]] += groups[best[2]]
+        live.remove(best[2])
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_cluster_round_equals_naive(seed):
+    rng = np.random.default_rng(seed)
+    v = rng.normal(size=(28, 4))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    for low, high in ((2, 4), (3, 0), (2, 7)):
+        assert cluster.Agglomerative(0.6, low, high).round(v) == naive_round(v, 0.6, low, high)
+
+
+def test_tree_and_leaves(spark):
+    v = [[1, 0], [0.99, 0.14], [0, 1], [0.14, 0.99], [-1, 0]]
+    pool = spark.createDataFrame([(f"s{i}", f"word{i // 2}", [float(x) for x in e], i) for i, e in enumerate(v)], "id string, descriptor string, vec array<double>, no int")
+    calls = []
+
+    def label(items, level):
+        calls.append((len(items), level))
+        return [i[0] if "word0" in i else None for i in items]
+
+    t = cluster.fabricate(pool, cluster.TreeParams(0.9, 2, 15, 3, 1), label, lambda s: [0.6, 0.8])
+    assert calls[0] == (2, 1) and t.levels[:2] == [0, 1] and t.unlabeled >= 1 and t.clusters.where("level = 1").count() == 1
+    key = t.clusters.where("level = 1").first()["key"]
+    again = cluster.fabricate(pool, cluster.TreeParams(0.9, 2, 15, 1, 1), label, lambda s: [0.6, 0.8], known={key: "kept label"})
+    assert again.reused == 1 and again.clusters.first()["label"] == "kept label"
+    assert {r["leaf"] for r in cluster.leaves(t.edges, spark.createDataFrame([(key,)], "cluster string")).collect()} == {"s0", "s1"}
+    cyc = spark.createDataFrame([("1", "2"), ("1", "3"), ("1", "l9"), ("2", "1"), ("2", "l8"), ("3", "3")], "parent string, child string")
+    assert {r["leaf"] for r in cluster.leaves(cyc, spark.createDataFrame([("1",)], "cluster string")).collect()} == {"l8", "l9"}
+    assert cluster.cluster_round(pool, cluster.Agglomerative(0.9, 2, 15)).count() == 4
+
+
+def test_declarations(spark):
+    seg = windows(contents(spark, ["fn refresh_token() {\n}\nfn other_token()", "plain words"]))
+    rec = classify.declaration_terms(seg).collect()
+    assert len(rec) == 1 and sorted(rec[0]["terms"]) == sorted(["refresh_token"] * 3 + ["other_token"] * 3 + ["refresh", "token", "other"]) and rec[0]["len"] == 9
+
+
+def test_chat_classifier(spark):
+    facets = classify.Facets.parse(["what", "names[2]", "all[]"])
+    assert facets.identity() == "what,names[2],all[]"
+    assert facets.compose({"what": " a b ", "names": ["x", "y", "z"], "all": []}) == "a b x y" and classify.Facets().compose("  p ") == "p"
+    sizes = []
+
+    def moody(system, user, schema):
+        n = user.count("--- Segment")
+        sizes.append(n)
+        if n > 2 or "poison" in user:
+            raise classify.ReplyError("no")
+        return json.dumps({"segments": [{"d": f"text {i}" if i else ""} for i in range(n)]})
+
+    c = classify.ChatClassifier(moody)
+    out = c([[x] for x in ["a", "b", "c", "poison", "e"]], ["d"])
+    assert len(out) == 5 and c.blank == 1 and out[3] == {} and sizes[0] == 5
+    with pytest.raises(classify.ReplyError):
+        classify.read_reply('{"segments": [1]}', 2)
+    assert classify.chunk_ranges([10, 10, 30, 5], 20, 60) == [(0, 2), (2, 3), (3, 4)] and classify.chunk_ranges([1] * 5, 99, 2) == [(0, 2), (2, 4), (4, 5)]
+    assert classify.truncated("é" * 3000) == "é" * 2500 and classify.for_level({0: "s", 2: "c"}, 1) == "s" and classify.for_level({0: "s", 2: "c"}, 5) == "c"
+    waits, answers = [], iter([(429, "", 500.0), (503, "", None), (200, "ok", None)])
+    assert classify.retrying(lambda *a: next(answers), sleep=waits.append)("s", "u", {}) == "ok" and waits == [120.0, 2.0]
+    with pytest.raises(classify.TransportError):
+        classify.retrying(lambda *a: (400, "", None), sleep=waits.append)("s", "u", {})
+    rows = classify.describe(windows(contents(spark, ["hello hello world"])), ["d"], lambda: classify.ChatClassifier(classify.stub_client(1))).collect()
+    assert rows[0]["descriptor"] == "hello"
+    assert classify.group_by_implementation({"b": "x", "a": "x", "c": "y"}) == {"x": ["a", "b"], "y": ["c"]}
