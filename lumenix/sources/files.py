@@ -8,6 +8,7 @@ import unicodedata
 from pathlib import Path
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,23 +79,53 @@ def ignored(key: Column, patterns: list[tuple[str, bool, str, bool]]) -> Column:
     return out
 
 
-def discover(spark: SparkSession, root: str, max_bytes: int = 4 << 20) -> DataFrame:
-    """resource, size, mtime_ns, content of the files under a root, without ignored, empty, oversized or oddly named ones.
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """path, resource, size, mtime_ns of all files under a root, hidden ones too; names that are not UTF-8 are left out.
 
-    Listing and reading are the binary file source's; the size bound is pushed down to it, so larger files are not read.
+    Spark's own file sources pass over names that begin with ``.`` or ``_``, so the tree is walked here; only names,
+    sizes and times are held.
     """
     ensure_importable(spark)
     base = os.path.realpath(root)
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).where((F.col("length") > 0) & (F.col("length") <= max_bytes))
-    key = F.regexp_replace(F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), "^file:/*", "/"), "^" + re.escape(base.rstrip("/")) + "/", "")
-    files = raw.select(nfc(key).alias("resource"), F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), "content")
-    hidden = F.col("resource").rlike(rf"(?:^|/)(?:\.git|{re.escape(INDEX_DIR)})(?:/|$)")
-    return files.where(tx.safe_key(F.col("resource")) & ~hidden & ~ignored(F.col("resource"), ignore_patterns(root)))
+    rows = []
+    for folder, names, found in os.walk(base):
+        names[:] = sorted(n for n in names if n not in (".git", INDEX_DIR))
+        for name in sorted(found):
+            path = os.path.join(folder, name)
+            try:
+                path.encode("utf-8")
+                stat = os.stat(path)
+            except (UnicodeEncodeError, OSError):
+                continue
+            rows.append((path, os.path.relpath(path, base).replace(os.sep, "/"), stat.st_size, stat.st_mtime_ns))
+    out = spark.createDataFrame(rows, "path string, resource string, size bigint, mtime_ns bigint")
+    return out.withColumn("resource", nfc("resource"))
+
+
+def discover(spark: SparkSession, root: str, max_bytes: int = 4 << 20) -> DataFrame:
+    """path, resource, size, mtime_ns of what is indexed: no ignored, empty, oversized or oddly named files."""
+    found = listing(spark, root).where((F.col("size") > 0) & (F.col("size") <= max_bytes))
+    return found.where(tx.safe_key(F.col("resource")) & ~ignored(F.col("resource"), ignore_patterns(root)))
+
+
+def _read(batches):  # type: ignore[no-untyped-def]
+    for batch in batches:
+        for i in range(batch.num_rows):  # one file at a time: each is bounded, a batch of them is not
+            try:
+                with open(batch.column(0)[i].as_py(), "rb") as f:
+                    body = f.read()
+            except OSError:
+                continue
+            yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, 1), pa.array([body], pa.binary())], ["resource", "content"])
 
 
 def contents(files: DataFrame, origin: str) -> DataFrame:
-    """origin, resource, text: binary files and invalid UTF-8 are left out; a byte order mark stays."""
-    return files.select(F.lit(origin).alias("origin"), "resource", tx.content_or_null(F.col("content")).alias("text")).where(F.col("text").isNotNull())
+    """origin, resource, text of discovered files, read where the task runs (the root is on a shared file system).
+
+    Binary files and invalid UTF-8 are left out; a byte order mark stays; a file that has gone is skipped.
+    """
+    read = files.select("path", "resource").mapInArrow(_read, "resource string, content binary")
+    return read.select(F.lit(origin).alias("origin"), "resource", tx.content_or_null(F.col("content")).alias("text")).where(F.col("text").isNotNull())
 
 
 def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
