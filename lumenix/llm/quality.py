@@ -78,13 +78,14 @@ def passage_features(raw: np.ndarray, offsets: np.ndarray, words: int) -> tuple[
         size = np.maximum(grams.sum(1, keepdims=True), 1)
         out[:, : _K * _K] = np.sqrt(grams / size)
         h = common.hash_spans(raw, s, e, True)
-        n = np.maximum(np.bincount(of_word, minlength=total), 1)
+        filled = np.bincount(of_word, minlength=total)
+        n = np.maximum(filled, 1)
         for k, lag in enumerate((1, 2, 3)):
             if len(h) > lag:
                 eq = (h[lag:] == h[:-lag]) & (of_word[lag:] == of_word[:-lag])
                 out[:, -1 - k] = np.bincount(of_word[lag:], eq, total) / n
         out[:, -4] = np.bincount(of_word, (e - s), total) / n / 10
-        out[:, -5] = np.log1p(n) / 5
+        out[:, -5] = np.log1p(filled) / 5
         order = np.lexsort((h, of_word))
         fresh = np.ones(len(h), bool)
         fresh[1:] = (h[order][1:] != h[order][:-1]) | (of_word[order][1:] != of_word[order][:-1])

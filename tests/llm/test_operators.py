@@ -1,0 +1,305 @@
+"""Operators on small tables: edge cases, and results against brute force."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+import public_tokenizers as P
+from pyspark.sql import functions as F
+
+from lumenix.llm import bitsliced, bpe, common, cross_parsing, exact_dedup, groups, language_id, minhash, packing, quality, toxicity, warc
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, keep_id string, node string, label int"
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
+
+
+def rows(texts, ids=None):
+    """With columns whose names clash with those of the operators."""
+    return [(i, t, "en", "s", 0, 0.5, "x", "y", 3) for i, t in zip(ids or range(len(texts)), texts)]
+
+
+def make(spark, texts, ids=None):
+    return spark.createDataFrame(rows(texts, ids), DOCS)
+
+
+def long_text(rng, n=3000):
+    return " ".join(rng.choice(WORDS) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def mixed():
+    rng = random.Random(4)
+    base = [long_text(rng, 60) for _ in range(12)]
+    out = [None, "", "  \n", "one", "one two", "one  two", "Éa 中文 x", long_text(rng)]
+    for b in base:
+        w = b.split()
+        w[30] = "changed"
+        out += [b, b, b.replace(" ", "\n"), " ".join(w), b + " tail"]
+    return out
+
+
+def norm(t):
+    return "".join(c for c in (t or "") if c not in " \t\n\x0b\x0c\r")
+
+
+def test_exact_dedup(spark, mixed):
+    got = {r["doc_id"]: r for r in exact_dedup.dedup(make(spark, mixed)).collect()}
+    assert len(got) == len(mixed)
+    for i, t in enumerate(mixed):
+        group = [j for j, u in enumerate(mixed) if norm(u) == norm(t)]
+        keep = min(group, key=lambda j: (-len(mixed[j] or ""), j))
+        r = got[i]
+        assert (r["keep_id"], r["group_size"], r["kept"]) == (keep, len(group), keep == i)
+        assert r["text_sha256"] == hashlib.sha256(norm(t).encode()).hexdigest()
+
+
+def test_exact_dedup_hot_group_null_ids_and_empty(spark):
+    n = 2500
+    hot = make(spark, ["same text"] * n + ["other"], [*range(n), None])
+    out = exact_dedup.dedup(hot)
+    assert out.where("keep_id = 0 and group_size = 2500").count() == n and out.where("kept").count() == 2
+    assert exact_dedup.dedup(make(spark, [])).count() == 0
+    assert exact_dedup.keep_first(hot).columns == hot.columns and exact_dedup.keep_first(hot).count() == 2
+
+
+def test_chunks_rebuild_the_text_and_are_bounded(spark):
+    rng = random.Random(1)
+    texts = [long_text(rng, 4000), "中" * 9000, "a" * 10_000, "", "\U0001f600" * 5000]
+    df = make(spark, texts).select("doc_id", exact_dedup.normalized(F.col("text")).alias("n")).select("doc_id", "n", exact_dedup.chunks(F.col("n")).alias("c"))
+    for r in df.collect():
+        assert "".join(r["c"]) == r["n"] and all(len(c) <= 4096 for c in r["c"])
+    a = df.where("doc_id = 0").first()["c"]
+    edited = make(spark, ["inserted " + texts[0]]).select(exact_dedup.chunks(exact_dedup.normalized(F.col("text"))).alias("c")).first()["c"]
+    assert len(set(a) & set(edited)) > len(a) // 2  # cuts follow the content
+
+
+def test_a_seed_with_collisions_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "identifier", lambda c, seed: [F.lit(0), F.lit(0)] if seed == 0 else [F.xxhash64(F.lit(seed), c), F.lit(seed)])
+    docs = make(spark, ["a", "b", "a"])
+    assert not exact_dedup.injective(docs, 0) and exact_dedup.injective(docs, 1)
+    assert exact_dedup.dedup(docs).where("kept").count() == 2
+
+
+def brute_components(texts, ids, words, percent=80):
+    fold = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    sets = []
+    for t in texts:
+        w = [x for x in (t or "").translate(fold).replace("\x0b", " ").replace("\x0c", " ").replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") if x]
+        sets.append({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set())
+    comp = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                a, b = comp[i], comp[j]
+                comp = [min(a, b) if c in (a, b) else c for c in comp]
+    return [(len(s), min(ids[j] for j in range(len(texts)) if comp[j] == comp[i])) for i, s in enumerate(sets)]
+
+
+@pytest.mark.parametrize("words", [4, 5])
+def test_near_duplicates(spark, mixed, words):
+    rng = random.Random(9)
+    texts = list(mixed)
+    base = [rng.choice(WORDS) + str(rng.randint(0, 9)) for _ in range(60)]
+    for k in range(40):  # a family at all similarities, so that buckets hold several components
+        w = list(base)
+        for _ in range(k // 6):
+            w[rng.randrange(60)] = f"new{rng.randint(0, 99)}"
+        texts.append(" ".join(w))
+    ids = list(range(len(texts)))
+    rng.shuffle(ids)
+    got = {r["doc_id"]: r for r in minhash.near_duplicates(make(spark, texts, ids), minhash.MinHashParams(words=words, stars=2, star_share=3)).collect()}
+    for i, (n, comp) in zip(ids, brute_components(texts, ids, words)):
+        assert (got[i]["n_shingles"], got[i]["component_id"], got[i]["kept"]) == (n, comp, comp == i)
+
+
+def test_near_duplicates_edge_cases(spark):
+    assert minhash.near_duplicates(make(spark, [])).count() == 0
+    same_id = make(spark, ["a b c d e f", "g h i j k l", "a b c d e f", None], [7, 7, None, None])
+    out = sorted(minhash.near_duplicates(same_id).collect(), key=str)
+    assert len(out) == 4 and {r["component_id"] for r in out if r["n_shingles"]} == {7}
+    kept = minhash.keep_first(make(spark, ["a b c d e f"] * 3 + [None, ""]))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 3, 4]
+
+
+def test_attach_salts_hot_groups(spark):
+    df = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(4000)], "id long, key string")
+    out = groups.attach(df, ["key"], [F.min("id").alias("first")], row_salt=["id"])
+    assert out.count() == 4000 and out.where("key = 'hot' and first = 1 and group_rows = 2666").count() == 2666
+    assert out.columns == ["key", "id", "group_rows", "first"]
+
+
+def test_warc_round_trip(spark, tmp_path):
+    pages = [(1, "http://a", "<p>x</p>"), (2, "http://b", None), (3, "http://c", "<p>x</p>"), (4, None, ""), (5, "u\r\nX-Evil: 1", "é\r\n\r\nWARC/1.1\r\n" * 3000), (None, "n", "q")]
+    df = spark.createDataFrame([(*p, 0) for p in pages], "page_id long, url string, html string, payload int")
+    got = {r["page_id"]: r for r in warc.archive_round_trip(df, str(tmp_path / "a")).collect()}
+    assert len(got) == len(pages)
+    for i, _, html in pages:
+        raw = (html or "").encode()
+        same = [j for j, _, h in pages if (h or "") == (html or "") and j is not None]
+        first = max(same, default=None)
+        assert (got[i]["payload_bytes"], got[i]["payload_digest"]) == (len(raw), warc.sha1_base32(raw))
+        assert (got[i]["record_type"], got[i]["refers_to"]) == (("response", None) if first == i else ("revisit", first))
+    back = warc.read(spark, str(tmp_path / "a"))
+    assert back.where("payload_bytes = 8 and record_type = 'response'").select("payload").first()[0] == b"<p>x</p>"
+    assert back.where("record_type = 'revisit' and target_uri like 'http%'").count() == 2
+    small = warc.archive_round_trip(df, str(tmp_path / "b"), least_bytes=1)
+    assert small.where("record_type = 'revisit'").count() == 1
+    assert warc.archive_round_trip(df.limit(0), str(tmp_path / "c")).count() == 0
+
+
+def test_warc_predicates_keep_payloads_packed(tmp_path):
+    import io
+
+    data = b"".join(warc.render({"record_type": t, "record_id": f"<urn:{i}>", "payload": b"p" * 100_000}) for i, t in enumerate(["response", "metadata", "response"]))
+    file = tmp_path / "x.warc.gz"
+    file.write_bytes(data)
+    import pyarrow as pa
+
+    rows_ = list(warc.records(pa.PythonFile(io.BytesIO(data), "r"), [("EqualTo", "record_type", "metadata")], True))
+    assert [(r["record_id"], len(r["payload"])) for r in rows_] == [("<urn:1>", 100_000)]
+    with pytest.raises(EOFError):
+        list(warc.records(pa.PythonFile(io.BytesIO(data[:-500]), "r"), [], True))
+
+
+def test_warc_reads_plain_and_foreign_archives(tmp_path):
+    import gzip
+
+    import pyarrow as pa
+
+    rec = lambda i, body: f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:{i}>\r\nContent-Type: text/plain\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+    bodies = [b"", b"abc", b"\r\n\r\nWARC/1.0\r\n", b"z" * 70_000]
+    plain = b"".join(rec(i, b) for i, b in enumerate(bodies))
+    packed = b"".join(gzip.compress(rec(i, b)) for i, b in enumerate(bodies))
+    for data in (plain, packed):
+        assert [r["payload"] for r in warc.records(pa.BufferReader(data), [], True)] == bodies
+        assert [r["record_id"] for r in warc.records(pa.BufferReader(data), [("In", "record_id", ("<urn:3>",))], False)] == ["<urn:3>"]
+
+
+def test_search_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    v = [(i, [float(x) for x in rng.normal(size=6) / 3]) for i in range(400)]
+    v[7] = (7, None)
+    v[8] = (8, [float("nan")] * 6)
+    v[9] = (9, [None] * 6)
+    v[10] = (10, [float("inf")] * 6)
+    v += [(500 + i, v[3][1]) for i in range(15)]  # ties
+    df = spark.createDataFrame([(*r, "x") for r in v], "vec_id long, embedding array<float>, q string")
+    p = bitsliced.SearchParams(segment_rows=100, query_block=3)
+    indexed = bitsliced.index(df, p)
+    got = bitsliced.search(indexed, indexed.where("vec_id % 50 = 0").select("vec_id", "q"), p).collect()
+    q = {i: np.floor(1024 * np.array(e, np.float32).astype(np.float64)).astype(np.int64) for i, e in v if i not in (7, 8, 9, 10)}
+    for a in (i for i in q if i % 50 == 0):
+        want = sorted(((-int(q[a] @ q[b]), b) for b in q if b != a))[:10]
+        assert [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == a] == [(b, -s) for s, b in want]
+    assert bitsliced.search(bitsliced.index(df.limit(0)), indexed.limit(0).select("vec_id", "q")).count() == 0
+
+
+def test_byte_bpe(spark, mixed):
+    import tiktoken
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    enc = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    got = {r["doc_id"]: r for r in bpe.round_trip(make(spark, mixed), path, P.PATTERN).collect()}
+    for i, t in enumerate(mixed):
+        ids = np.asarray(enc.encode_ordinary(t or ""), "<u4")
+        assert (got[i]["n_tokens"], got[i]["ids_sha256"]) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest())
+        assert got[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
+    back = bpe.decode(bpe.encode(make(spark, mixed), path, P.PATTERN), path, P.PATTERN)
+    assert all(bytes(r["raw"]) == (mixed[r["doc_id"]] or "").encode() for r in back.collect())
+
+
+def test_packing(spark, mixed):
+    lib = packing.library_encoder(P.path("byte_bpe_50k.json"))
+    params = packing.PackParams(capacity=64, open_windows=3, merge_partitions=2)
+    got = packing.pack(make(spark, mixed).repartition(5), P.path("byte_bpe_50k.json"), params).collect()
+    per, seq = {}, {}
+    for r in got:
+        per.setdefault(r["doc_id"], []).append(r)
+        seq.setdefault(r["sequence_id"], []).append(r)
+    for i, t in enumerate(mixed):
+        ids, at = lib.packed(t or "") + bytes(4), 0
+        for r in sorted(per[i], key=lambda r: r["start"]):
+            assert r["start"] == at and r["doc_tokens"] == len(ids) // 4
+            at += r["length"]
+            assert r["ids_crc32"] == zlib.crc32(ids[4 * r["start"] : 4 * at])
+        assert at == len(ids) // 4
+    for s in seq.values():
+        at = 0
+        for r in sorted(s, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 64 and at & (at - 1) == 0
+    assert packing.pack(make(spark, []), P.path("byte_bpe_50k.json"), params).count() == 0
+
+
+def test_cross_parsing(spark, mixed):
+    docs = make(spark, mixed)
+    got = {r["doc_id"]: r for r in cross_parsing.score(docs, docs.where("doc_id < 20").select("doc_id", "text"), cross_parsing.CrossParseParams(shard_bytes=3000, unit_bytes=5000, piece_words=50)).collect()}
+    assert len(got) == len(mixed)
+    for i, t in enumerate(mixed):
+        n = len((t or "").split())
+        assert got[i]["n_words"] == n and got[i]["cross_phrases"] <= n and (n == 0) == (got[i]["score"] == 0.0 and got[i]["self_phrases"] == 0)
+    assert cross_parsing.score(docs, docs.limit(0)).count() == len(mixed)
+    assert cross_parsing.score(docs.limit(0), docs).count() == 0
+
+
+def test_cross_parsing_never_meets_its_own_text(spark):
+    rng = random.Random(2)
+    texts = [" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(300)) for _ in range(30)]
+    docs = make(spark, texts)
+    out = cross_parsing.score(docs, docs.select("doc_id", "text"), cross_parsing.CrossParseParams(shard_bytes=4000, piece_words=20))
+    assert out.where("longest_match > 5").count() == 0
+
+
+def classified(spark, n=160):
+    rng = random.Random(8)
+    en = lambda: " ".join(rng.choice(WORDS) for _ in range(40))
+    de = lambda: " ".join(rng.choice("der die das und ist nicht ein schön größe über".split()) for _ in range(40))
+    texts = [(en() if i % 2 else de()) for i in range(n)]
+    return [(i, t, "en" if i % 2 else "de") for i, t in enumerate(texts)]
+
+
+def test_language_id(spark):
+    data = classified(spark) + [(900, None, "en"), (901, "12 !?", "de"), (902, "", None), (None, "alpha beta gamma", "en"), (903, "der die das " * 100_000, None)]
+    df = spark.createDataFrame([(*r, 1.0, True) for r in data], "doc_id long, text string, lang string, score double, held_out boolean")
+    got = {r["doc_id"]: r for r in language_id.identify(df, language_id.LanguageParams(steps=800)).collect()}
+    for i, _, lang in data[:160]:
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) and got[i]["lang_pred"] == lang and 0.5 < got[i]["score"] <= 1
+    assert [got[i]["lang_pred"] for i in (900, 901, 902, 903)] == ["und", "und", "und", "de"] and got[None]["held_out"] is False
+    none = language_id.identify(df.withColumn("lang", F.lit(None).cast("string")))
+    assert none.where("lang_pred <> 'und'").count() == 0 and none.count() == len(data)
+    assert language_id.identify(df.limit(0)).count() == 0
+
+
+def test_quality_and_toxicity(spark):
+    rng = random.Random(6)
+    data, labels = [], []
+    for i in range(240):
+        junk, toxic = i % 3 == 0, i % 4 == 0
+        w = [rng.choice(WORDS) for _ in range(80)]
+        if junk:
+            w = [x.upper() + "!!" for x in w]
+        if toxic:
+            for _ in range(6):
+                w[rng.randrange(80)] = "vile" + rng.choice(["ness", "ly", "st", ""])
+        data.append((i, " ".join(w)))
+        labels.append((i, int(not junk), int(toxic)))
+    data += [(500, None), (501, ""), (None, "alpha"), (502, "alpha " * 50_000)]
+    docs = spark.createDataFrame([(*r, 0.1, 7) for r in data], "doc_id long, text string, score double, label int")
+    lab = spark.createDataFrame([*labels, labels[0], (500, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    q = {r["doc_id"]: r for r in quality.classify(docs, lab, quality.QualityParams(steps=200)).collect()}
+    t = {r["doc_id"]: r for r in toxicity.classify(docs, lab, toxicity.ToxicityParams(steps=150)).collect()}
+    assert len(q) == len(t) == len(data) and all(0 <= r["score"] <= 1 for r in [*q.values(), *t.values()])
+    right = lambda got, col: np.mean([got[x[0]]["predicted"] == x[col] for x in labels if got[x[0]]["held_out"]])
+    assert right(q, 1) > 0.95 and right(t, 2) > 0.9
+    assert all(r["predicted"] == int(r["score"] >= 0.7) for r in q.values()) and all(r["predicted"] == int(r["score"] >= 0.5) for r in t.values())
+    assert all(t[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i, _ in data[:240])
+    assert {r["score"] for r in quality.classify(docs, lab.limit(0)).collect()} == {0.5}
+    assert toxicity.classify(docs.limit(0), lab).count() == 0
+
+
+def test_materialized_tables_live_in_the_named_folder(spark):
+    out = common.materialize(spark.range(3).toDF("x"), "probe")
+    assert common.shared_dir(spark) in out.inputFiles()[0] and out.count() == 3
