@@ -5,7 +5,6 @@ from __future__ import annotations
 import argparse
 import json
 import os
-import sys
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -102,8 +101,9 @@ def main(argv: list[str] | None = None) -> int:
             print(store.prune(f"{out}/objects", m))
         else:
             store.gc_report(store.read(spark, f"{out}/objects").drop("payload"), m).show()
-    return 0
+    done = 0
+    return done
 
 
 if __name__ == "__main__":
-    sys.exit(main())
+    raise SystemExit(main())

@@ -33,7 +33,7 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-# ---------------------------------------------------------------- SQL building blocks
+# -- SQL building blocks
 
 DOCS = "SELECT 'docs' AS origin, 'doc/' || lpad(doc_id::VARCHAR, 9, '0') AS resource, text FROM documents"
 PAGES = "SELECT 'pages' AS origin, 'page/' || lpad(page_id::VARCHAR, 9, '0') AS resource, html AS text FROM pages"
@@ -100,7 +100,7 @@ def all_contents(spark: SparkSession, d: str) -> DataFrame:
     return src.documents(spark, d).unionByName(src.pages(spark, d)).unionByName(src.conversations(spark, d))
 
 
-# ---------------------------------------------------------------- segments and terms
+# -- segments and terms
 
 
 @query(f"SELECT * EXCLUDE (text) FROM ({sql_windows(DOCS, 40, 8)})")
@@ -136,7 +136,7 @@ def descriptor_codec(spark: SparkSession, d: str) -> DataFrame:
     return coded.select("resource", F.when(F.col("descriptor") == "", "").otherwise(tx.encode_frequencies(back)).alias("descriptor"))
 
 
-# ---------------------------------------------------------------- statistics and BM25
+# -- statistics and BM25
 
 
 @query(f"""
@@ -186,7 +186,7 @@ def federated_topk(spark: SparkSession, d: str) -> DataFrame:
     return rounded_top(fed.find({"lexical": retrieve.Term(ANY_QUERY)}, None), 50)
 
 
-# ---------------------------------------------------------------- vectors
+# -- vectors
 
 QVEC = "(SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)"
 VREC = "SELECT 'vecs' AS origin, 'vec/' || lpad(vec_id::VARCHAR, 9, '0') AS resource, 0 AS \"start\", 0 AS \"end\", 0 AS level, embedding::DOUBLE[] AS v FROM embeddings"
@@ -245,7 +245,7 @@ def level_filter(spark: SparkSession, d: str) -> DataFrame:
     return index.find_at({"semantic": retrieve.Term("any")}, None, retrieve.parse_levels("clusters")).select("resource", "level", F.round("score", 6).alias("score"))
 
 
-# ---------------------------------------------------------------- fusion
+# -- fusion
 
 WHOLE = 1_000_000_000
 SQL_FUSE = f"""
@@ -278,7 +278,7 @@ def fuse_max(spark: SparkSession, d: str) -> DataFrame:
     return sc.fuse(scored, {}, {0: list(scored)}, "max").select("resource", F.round("score", 6).alias("score"))
 
 
-# ---------------------------------------------------------------- regions
+# -- regions
 
 SQL_REGIONS = f"""
 WITH {sql_scored(DOCS, 4, 1, ANY_QUERY)},
@@ -323,7 +323,7 @@ def regions_topk(spark: SparkSession, d: str) -> DataFrame:
     return _flat(retrieve.regions(region_hits(spark, d), 1, 40))
 
 
-# ---------------------------------------------------------------- coverage and evaluation
+# -- coverage and evaluation
 
 
 @query(f"""
@@ -431,7 +431,7 @@ def absent_confidence(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.round("mean_top", 6).alias("mean_top"), F.round("worst_top", 6).alias("worst_top"), "scored", "skipped")
 
 
-# ---------------------------------------------------------------- identity, store, lifecycle
+# -- identity, store, lifecycle
 
 
 @query("SELECT sha256('lumenix/1/content:' || text) AS content_hash, count(*) AS copies FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -526,7 +526,7 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
     return hourly(src.table(spark, d, "events")).withColumn("total", F.round("total", 4))
 
 
-# ---------------------------------------------------------------- no SQL counterpart
+# -- no SQL counterpart
 
 
 @query()

@@ -40,7 +40,7 @@ def normalized_mean(grouped, a: Column, width: int, name: str = "centroid"):  #
     return df.withColumn(name, unit(F.array(*[F.col(f"c{i}") for i in range(width)]))).drop(*[f"c{i}" for i in range(width)])
 
 
-# ---------------------------------------------------------------- embedders
+# -- embedders
 
 _RUN = re.compile(r"\w+")
 

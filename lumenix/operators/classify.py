@@ -50,7 +50,7 @@ def group_by_implementation(dimensions: Mapping[str, str]) -> dict[str, list[str
     return dict(sorted(out.items()))
 
 
-# ---------------------------------------------------------------- model-written descriptors
+# -- model-written descriptors
 
 ITEM_BYTES, BATCH_CHARS, BATCH_ITEMS = 5_000, 24_000, 60
 DEFAULT_PROMPTS = {0: "Describe what each numbered text does and says, for a search index.", 1: "Name what the numbered groups of descriptions have in common, for a search index."}
@@ -90,7 +90,7 @@ class Part:
     def schema(self) -> dict:
         if not self.is_list:
             return {"type": "string"}
-        return {"type": "array", "items": {"type": "string"}} | ({"maxItems": self.cap} if self.cap else {})
+        return dict(type="array", items=dict(type="string")) | ({"maxItems": self.cap} if self.cap else {})
 
     def said(self) -> str:
         return self.name + (f" (short strings, the most important first{f', {self.cap} at most' if self.cap else ''})" if self.is_list else "")

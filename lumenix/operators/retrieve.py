@@ -162,7 +162,7 @@ def federation(members: Mapping[str, Index]) -> Index:
     return out
 
 
-# ---------------------------------------------------------------- regions
+# -- regions
 
 
 def shape(ranked: DataFrame, depths: list[int], per_resource: int, limit: int) -> DataFrame:

@@ -26,7 +26,7 @@ class Tampered(ValueError):
     """Stored bytes differ from their recorded hash."""
 
 
-# ---------------------------------------------------------------- objects
+# -- objects
 
 
 def as_objects(df: DataFrame, key: Column, payload: Column, tier: str = "A") -> DataFrame:
@@ -86,7 +86,7 @@ def reuse_plan(candidates: DataFrame, known: DataFrame) -> DataFrame:
     return candidates.join(k, F.col("object_key") == F.col("known_key"), "left").withColumn("action", F.when(F.col("known_key").isNull(), "compute").otherwise("reuse")).drop("known_key")
 
 
-# ---------------------------------------------------------------- manifests
+# -- manifests
 
 
 @dataclass
@@ -167,7 +167,7 @@ def named_keys(m: Manifest) -> DataFrame:
     return of_roots.unionByName(m.clusters.select(F.explode("keys").alias("object_key"))).distinct()
 
 
-# ---------------------------------------------------------------- three-way merge
+# -- three-way merge
 
 
 def three_way(base: DataFrame, ours: DataFrame, theirs: DataFrame, key: str, value: str) -> DataFrame:
@@ -247,7 +247,7 @@ def merge(base: Manifest | None, ours: Manifest, theirs: Manifest) -> Merged:
     return Merged(kept, [f"clusters of {d!r} were dropped: both sides rebuilt them; the next build makes them anew" for d in dropped], stale)
 
 
-# ---------------------------------------------------------------- drift
+# -- drift
 
 
 def drift(resources: DataFrame, snapshot: DataFrame) -> DataFrame:
@@ -293,7 +293,7 @@ def decide(policy: Degraded, missing: list[str], ask=None) -> list[str]:  # type
     raise RuntimeError(f"these dimensions cannot be built here: {sorted(missing)}")
 
 
-# ---------------------------------------------------------------- collection
+# -- collection
 
 
 def unreachable(objects: DataFrame, manifests: list[Manifest]) -> DataFrame:

@@ -72,7 +72,7 @@ def test_display(spark):
     assert one(spark, " a \n\tb​c‮d ", tx.quoted) == "a bcd"
     assert one(spark, "x" * 300, tx.quoted) == "x" * 240 + "…"
     shown = one(spark, "\n".join("abcdef"), lambda c: tx.snippet(c, F.lit(5), F.lit(10), 4))
-    assert shown.split("\n") == ["[TRUNCATED 4 lines before]", "a", "b", "c", "d", "[TRUNCATED 2 lines after]"]
+    assert shown.split("\n") == ["[TRUNCATED 4 lines before]", *"abcd", "[TRUNCATED 2 lines after]"]
 
 
 def test_content(spark):
