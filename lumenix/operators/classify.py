@@ -130,7 +130,7 @@ class Facets:
 
 def reply_schema(dimensions: Sequence[str], facets: Facets) -> dict:
     item = {"type": "object", "properties": {d: facets.schema() for d in dimensions}, "required": list(dimensions), "additionalProperties": False}
-    return {"type": "object", "properties": {"segments": {"type": "array", "items": item}}, "required": ["segments"], "additionalProperties": False}
+    return dict(type="object", properties=dict(segments=dict(type="array", items=item)), required=["segments"], additionalProperties=False)
 
 
 def messages(prompt: str, dimensions: Sequence[str], items: Sequence[str], level: int, facets: Facets) -> tuple[str, str]:
@@ -236,7 +236,8 @@ def stub_client(words: int = 6) -> ChatClient:
 
     def client(system: str, user: str, schema: dict) -> str:
         items = re.split(r"(?:^|\n\n)--- (?:Segment|Group) \d+ ---\n", user)[1:]
-        shape = schema["properties"]["segments"]["items"]
+        entries = schema["properties"]["segments"]
+        shape = entries["items"]
 
         def value(kind: dict, text: str) -> Any:
             ranked = sorted(Counter(w for w in re.findall(r"\w{4,}", text.lower())).items(), key=lambda x: (-x[1], x[0]))
