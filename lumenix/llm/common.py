@@ -53,7 +53,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-# ---------------------------------------------------------------- Arrow text
+# -- Arrow text
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +81,7 @@ def blocks(offsets: np.ndarray, budget: int) -> Iterator[tuple[int, int]]:
         i = j
 
 
-# ---------------------------------------------------------------- word hashing
+# -- word hashing
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True

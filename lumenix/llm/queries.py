@@ -132,3 +132,31 @@ def op1_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     reference = common.materialize(cross_parsing.good_reference(documents, table(spark, sf_dir, "labels")), "reference")
     return cross_parsing.score(documents, reference)
+
+
+ORACLES["op10_minhash"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+                 ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) END AS sh FROM w
+), k AS (
+  SELECT doc_id, len(sh) AS n, sh, md5(array_to_string(list_sort(sh), chr(10))) AS same FROM s
+), u AS (
+  SELECT min(doc_id) AS rep, any_value(n) AS n, any_value(sh) AS sh, same FROM k WHERE n > 0 GROUP BY same
+), e AS (
+  SELECT rep, unnest(sh) AS x FROM u
+), p AS (
+  SELECT a.rep AS a, b.rep AS b, count(*) AS i FROM e a JOIN e b USING (x) WHERE a.rep < b.rep GROUP BY a.rep, b.rep
+), l AS (
+  SELECT a, b FROM p JOIN u ua ON a = ua.rep JOIN u ub ON b = ub.rep WHERE 100 * i >= 80 * (ua.n + ub.n - i)
+), g AS (
+  SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), r AS (
+  SELECT rep AS a, rep AS b FROM u UNION SELECT r.a, g.b FROM r JOIN g ON r.b = g.a
+), c AS (
+  SELECT a, min(b) AS component_id FROM r GROUP BY a
+)
+SELECT k.doc_id, k.n::BIGINT AS n_shingles, coalesce(c.component_id, k.doc_id) AS component_id, k.doc_id = coalesce(c.component_id, k.doc_id) AS kept
+FROM k LEFT JOIN u ON k.same = u.same AND k.n > 0 LEFT JOIN c ON c.a = u.rep
+"""

@@ -71,7 +71,7 @@ def render(record: dict) -> bytes:
     return _member("\r\n".join(lines).encode(), block + b"\r\n\r\n")
 
 
-# ---------------------------------------------------------------- reading
+# -- reading
 
 
 class _Inflated:
@@ -392,7 +392,7 @@ def write(df: DataFrame, path: str) -> None:
     df.write.format("warc").mode("append").save(path)
 
 
-# ---------------------------------------------------------------- pages
+# -- pages
 
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
