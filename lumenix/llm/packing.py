@@ -13,12 +13,14 @@ an empty table gives an empty result; a null id is packed like any other.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,20 +38,51 @@ class PackParams:
     end_id: int = 0
 
 
+#: The split of byte-level tokenizers.
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 Piece = tuple[object, int, bytes, int]  # id, start, packed ids, tokens of the document
 _LOADED: dict[str, PieceEncoder] = {}
 
 
+def as_ranks(path: str) -> dict[bytes, int] | None:
+    """The ranks a tokenizer file amounts to, or None if it does anything besides plain byte-level merges in id order."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    odd = [spec.get("normalizer"), *(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))]
+    if model.get("type") != "BPE" or any(odd) or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+        return None
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
+    vocab = model["vocab"]
+    merged = [(a + b if isinstance(m, list) else m.replace(" ", "", 1)) for m in model["merges"] for a, b in [m if isinstance(m, list) else ("", "")]]
+    if len(vocab) != 256 + len(merged) or any(vocab[t] != 256 + k for k, t in enumerate(merged)):
+        return None
+    return {bytes(byte_of[c] for c in t): i for t, i in vocab.items()}
+
+
 def encoder(path: str) -> PieceEncoder:
-    """One tokenizer per worker process and file; special strings in a text are ordinary text."""
+    """One tokenizer per worker process and file; special strings in a text are ordinary text.
+
+    A file that is plain byte-level merges in id order is run by the faster of the two libraries, whose ids are the same;
+    any other is run by ``tokenizers``.
+    """
     if path not in _LOADED:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        _LOADED[path] = PieceEncoder(lambda pieces: [e.ids for e in t.encode_batch_fast(pieces, add_special_tokens=False)])
+        if ranks := as_ranks(path):
+            fast = tiktoken.Encoding(path, pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
+            _LOADED[path] = PieceEncoder(lambda pieces: [fast.encode_ordinary(p) for p in pieces])
+        else:
+            _LOADED[path] = library_encoder(path)
     return _LOADED[path]
 
 
+def library_encoder(path: str) -> PieceEncoder:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    return PieceEncoder(lambda pieces: [e.ids for e in t.encode_batch_fast(pieces, add_special_tokens=False)])
+
+
 class Packer:
     """Open windows of one partition; ``emit`` gets the pieces of each finished sequence in order."""
 
