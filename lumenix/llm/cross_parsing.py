@@ -180,6 +180,6 @@ def score(documents: DataFrame, reference: DataFrame, p: CrossParseParams = Cros
 
 
 def good_reference(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """All documents labelled good and not toxic."""
+    """All documents labelled good and not toxic. Labels grow with the corpus, so the join is by shuffle at any size."""
     good = labels.where((F.col("quality") == 1) & (F.col("toxic") == 0)).select(F.col("doc_id").alias("good_id")).distinct()
-    return documents.select("doc_id", "text").join(good, F.col("doc_id") == F.col("good_id"), "left_semi")
+    return documents.select("doc_id", "text").join(good.hint("merge"), F.col("doc_id") == F.col("good_id"), "left_semi")
