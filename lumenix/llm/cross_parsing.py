@@ -5,24 +5,30 @@ reference's words; a word that does not occur there is a phrase by itself. With
 of reference the cross term is c * log2(N + 2) / n; the self term is c' * log2(c') / n for the c' phrases of the
 document's own incremental (Lempel-Ziv 1978) parse. The score is their difference: low for text like the reference.
 
-All reference text is used, in shards of about ``shard_bytes``, so the number of automata grows with the corpus
-and each has a bounded size. A document meets one shard, which never holds its own text (an equal text with another
-id may be there). Documents and shards meet by a hash of the row, so no source, size class or group of copies gathers
-in one task; within a task one automaton is held at a time and documents stream past it.
+Every document is parsed against the whole reference except its own text (an equal text with another id stays in). The
+reference is written once, as hashes of words with a number of its owner (id and text). Each task reads it pass by pass,
+``held_shards`` shards at a time, for ``held_units`` units of documents held in memory, and keeps for every word position
+the longest match any pass has given; the greedy parse follows when all passes are done. Scores do not depend on how the
+reference or the documents are cut. Work grows with documents times reference; memory does not.
+
+In a pass, match lengths are found level by level: positions whose grams of the length tested also occur in another
+owner's text go up, the others down, and only reference positions that share a gram with a document stay. Grams are
+compared by 64-bit hashes.
 
 Edge cases: null, empty and blank texts have no words and score 0; without any reference the cross term takes every
-word as a phrase of log2(2) bits; repeated rows are scored alike; texts of any length are read whole, long reference
-texts enter in pieces of ``piece_words`` words, over whose ends no match reaches.
+word as a phrase of log2(2) bits; repeated rows are scored alike; texts of any length are read whole on both sides.
 """
 
 from __future__ import annotations
 
-import gc
 import math
 from collections.abc import Hashable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,9 +37,14 @@ from lumenix.llm import common
 
 @dataclass(frozen=True)
 class CrossParseParams:
+    """Bytes of a shard of reference text and of a unit of documents, and how many of each a task holds at a time; results do
+    not depend on them. ``piece_words`` has no effect: reference texts are not cut."""
+
     shard_bytes: int = 400_000
     unit_bytes: int = 4_000_000
     piece_words: int = 2000
+    held_shards: int = 60
+    held_units: int = 8
 
 
 def suffix_automaton(symbols: Sequence[Hashable]) -> list[dict]:
@@ -108,25 +119,109 @@ def relative_entropy(cross: int, own: int, n: int, reference: int) -> float:
     return (cross * math.log2(reference + 2) - own * math.log2(max(own, 1))) / n
 
 
-def pieces(reference: DataFrame, size: int) -> DataFrame:
-    """home, piece, text: each reference text in pieces of ``size`` words."""
+class Words:
+    """Word hashes of several texts behind each other; a gram is ``n`` words of one text from a position on."""
+
+    def __init__(self, texts: list[np.ndarray], owners: list[int]):
+        sizes = np.array([len(t) for t in texts], np.int64)
+        words = np.concatenate([np.zeros(0, np.uint64), *texts])
+        self.owner = np.repeat(np.array(owners, np.int64), sizes)
+        self.left = np.repeat(np.cumsum(sizes), sizes).astype(np.int32) - np.arange(len(words), dtype=np.int32)
+        up, self.down = common._powers(max(len(words), 1))
+        self.total = np.zeros(len(words) + 1, np.uint64)
+        np.cumsum(words * up[: len(words)], out=self.total[1:])
+
+    def grams(self, at: np.ndarray, n: int) -> np.ndarray:
+        return (self.total[at + n] - self.total[at]) * self.down[at]
+
+
+def seen_in(grams: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Which ``grams`` may be among the others: no miss, few false hits."""
+    bits = min(max(len(among).bit_length() + 3, 8), 24)
+    table = np.zeros(1 << bits, bool)
+    table[among >> np.uint64(64 - bits)] = True
+    return table[grams >> np.uint64(64 - bits)]
+
+
+def occurs_elsewhere(grams: np.ndarray, owner: np.ndarray, among: np.ndarray, among_owner: np.ndarray) -> np.ndarray:
+    """Which ``grams`` are among the others with another owner."""
+    keep = seen_in(among, grams)
+    among, among_owner = among[keep], among_owner[keep]
+    if not len(among):
+        return np.zeros(len(grams), bool)
+    order = np.argsort(among)
+    among, among_owner = among[order], among_owner[order]
+    first = np.flatnonzero(np.append(True, among[1:] != among[:-1]))
+    among, least, most = among[first], np.minimum.reduceat(among_owner, first), np.maximum.reduceat(among_owner, first)
+    out = seen_in(grams, among)
+    grams, owner = grams[out], owner[out]
+    at = np.minimum(np.searchsorted(among, grams), len(among) - 1)
+    out[out] = (among[at] == grams) & ((least[at] != owner) | (most[at] != owner))
+    return out
+
+
+def lengthen(longest: np.ndarray, d: Words, r: Words) -> None:
+    """Raise ``longest``, the longest match from each position of ``d``, to what the texts in ``r`` give."""
+    if not len(d.left) or not len(r.left):
+        return
+    end = int(min(d.left.max(), r.left.max())) + 1
+    todo = [(np.arange(len(d.left), dtype=np.int32), np.arange(len(r.left), dtype=np.int32), 0, end)]
+    while todo:
+        at, other, lo, hi = todo.pop()  # matches of ``lo`` words are known or looked for, those of ``hi`` do not occur here
+        at = at[(longest[at] < hi - 1) & (longest[at] < d.left[at])]
+        if hi - lo < 2 or not len(at) or not len(other):
+            continue
+        n = min(lo + max(1, lo // 2), hi - 1) if hi == end else (lo + hi) // 2
+        fit = other[r.left[other] >= n]
+        grams = r.grams(fit, n)
+        new = at[(longest[at] < n) & (d.left[at] >= n)]
+        if len(new):
+            found = occurs_elsewhere(d.grams(new, n), d.owner[new], grams, r.owner[fit])
+            longest[new[found]] = n
+        above = longest[at] >= n
+        if n > 2:
+            fit = fit[seen_in(grams, d.grams(at[above], n))]
+        todo += [(at[~above], other, lo, n), (at[above], fit, n, hi)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, off = common.text_bytes(batch.column(1))
-            out: tuple[list, list, list] = ([], [], [])
-            for i, j in common.blocks(off, 1 << 21):
-                part, base = raw[off[i] : off[j]], off[i]
-                s, e, first = common.word_bounds(part, off[i : j + 1] - base)
-                for r in range(j - i):
-                    for k, lo in enumerate(range(int(first[r]), int(first[r + 1]), size)):
-                        hi = min(lo + size, int(first[r + 1])) - 1
-                        out[0].append(batch.column(0)[i + r])
-                        out[1].append(k)
-                        out[2].append(part[s[lo] : e[hi]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([x.as_py() for x in out[0]], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], ["home", "piece", "body"])
-
-    return reference.select("home", "text").mapInArrow(run, "home long, piece int, body binary")
+
+def greedy_phrases(longest: Sequence[int]) -> tuple[int, int]:
+    """``cross_phrases`` of a text from the longest match at each of its positions."""
+    i = phrases = most = 0
+    while i < len(longest):
+        phrases += 1
+        most = max(most, longest[i])
+        i += longest[i] or 1
+    return phrases, most
+
+
+def _hashed(column: pa.Array) -> Iterator[np.ndarray]:
+    """The word hashes of each text."""
+    raw, off = common.text_bytes(column)
+    for i, j in common.blocks(off, 1 << 21):
+        part = raw[off[i] : off[j]]
+        s, e, first = common.word_bounds(part, off[i : j + 1] - off[i])
+        h = common.hash_spans(part, s, e, True)
+        yield from (h[first[r] : first[r + 1]] for r in range(j - i))
+
+
+def _passes(files: list[str], size: int) -> Iterator[Words]:
+    """The written reference, about ``size`` bytes of text at a time."""
+    texts: list[np.ndarray] = []
+    owners: list[int] = []
+    held = 0
+    for file in files:
+        store, path = fs.FileSystem.from_uri(file)
+        with store.open_input_file(path) as f:
+            for batch in pq.ParquetFile(f).iter_batches(1024):
+                for owner, text, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                    if held and held + text > size:
+                        yield Words(texts, owners)
+                        texts, owners, held = [], [], 0
+                    texts.append(np.frombuffer(words.as_buffer(), np.uint64))
+                    owners.append(owner)
+                    held += text
+    if texts:
+        yield Words(texts, owners)
 
 
 def score(documents: DataFrame, reference: DataFrame, p: CrossParseParams = CrossParseParams()) -> DataFrame:
@@ -135,48 +230,51 @@ def score(documents: DataFrame, reference: DataFrame, p: CrossParseParams = Cros
     ``reference`` has doc_id and text like ``documents``; rows in both are kept apart by id and text.
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
-    size = lambda df: df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(2, -(-size(reference) // p.shard_bytes))
-    copies = max(1, -(-size(documents) // (p.unit_bytes * shards)))
-    home = F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards))
-    spread = F.pmod(F.xxhash64("text", "doc_id"), F.lit(copies))
-    docs = documents.select("doc_id", (F.pmod(home + (shards - 1), F.lit(shards)) + shards * spread).alias("unit"), F.lit(1).alias("side"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
-    # Piece k of a text with home h lies in shard h + k mod (shards - 1), never in h - 1, where the text is scored.
-    cut = pieces(reference.select(home.alias("home"), "text"), p.piece_words)
-    at = F.pmod(F.col("home") + F.pmod(F.col("piece"), F.lit(shards - 1)), F.lit(shards))
-    sides = cut.select(F.lit(None).cast(kind).alias("doc_id"), F.explode(F.sequence(at, at + (copies - 1) * shards, F.lit(shards))).alias("unit"), F.lit(0).alias("side"), "body")
+    owner = F.xxhash64("doc_id", "text").alias("owner")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, words, automaton = None, [], None
-        gc.disable()  # automata are trees of dicts without cycles
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, off = common.text_bytes(batch.column(3).cast(pa.large_binary()).view(pa.large_string()))
-            rows: list[tuple] = []
-            sides_, units = batch.column(2).to_pylist(), batch.column(1).to_pylist()
-            for i, j in common.blocks(off, 1 << 21):
-                part = raw[off[i] : off[j]]
-                s, e, first = common.word_bounds(part, off[i : j + 1] - off[i])
-                h = common.hash_spans(part, s, e, True).tolist()
-                for r in range(j - i):
-                    if units[i + r] != unit:
-                        unit, words, automaton = units[i + r], [], None
-                    own = h[first[r] : first[r + 1]]
-                    if sides_[i + r] == 0:
-                        words += own
-                        words.append(-len(words) - 1)  # a mark that occurs once
-                        continue
-                    if automaton is None:
-                        automaton = suffix_automaton(words)
-                    cross, longest = cross_phrases(automaton, own)
-                    mine = self_phrases(own)
-                    rows.append((len(own), cross, mine, longest, relative_entropy(cross, mine, len(own), len(words))))
-            ids = batch.column(0).filter(pa.array([x == 1 for x in sides_], pa.bool_()))
+            words = [h.tobytes() for h in _hashed(batch.column(1))]
+            size = pa.array(np.diff(common.text_bytes(batch.column(1))[1]), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), size, pa.array(words, pa.binary())], ["owner", "bytes", "words"])
+
+    written = common.materialize(reference.select(owner, "text").mapInArrow(hashed, "owner long, bytes long, words binary"), "words")
+    n_reference = written.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    n_reference //= 8
+    files = sorted(written.inputFiles())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list[pa.Array] = []
+        texts: list[np.ndarray] = []
+        owners: list[int] = []
+        held = 0
+
+        def scored() -> pa.RecordBatch:
+            d = Words(texts, owners)
+            longest = np.zeros(len(d.left), np.int32)
+            for r in _passes(files, p.shard_bytes * p.held_shards):
+                lengthen(longest, d, r)
+            rows, at = [], 0
+            for h in texts:
+                cross, most = greedy_phrases(longest[at : at + len(h)].tolist())
+                own = self_phrases(h.tolist())
+                rows.append((len(h), cross, own, most, relative_entropy(cross, own, len(h), n_reference)))
+                at += len(h)
             columns = [pa.array([r[k] for r in rows], pa.int64() if k < 4 else pa.float64()) for k in range(5)]
-            yield pa.RecordBatch.from_arrays([ids, *columns], ["doc_id", "n_words", "cross_phrases", "self_phrases", "longest_match", "score"])
-        gc.enable()
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), *columns], ["doc_id", "n_words", "cross_phrases", "self_phrases", "longest_match", "score"])
+
+        for batch in batches:
+            ids.append(batch.column(0))
+            owners += batch.column(1).to_pylist()
+            texts += _hashed(batch.column(2))
+            held += batch.column(2).nbytes
+            if held >= p.unit_bytes * p.held_units:
+                yield scored()
+                ids, texts, owners, held = [], [], [], 0
+        if ids:
+            yield scored()
 
-    both = docs.unionByName(sides).repartition("unit").sortWithinPartitions("unit", "side", F.xxhash64("body"))
-    return both.select("doc_id", "unit", "side", "body").mapInArrow(run, f"doc_id {kind}, n_words long, cross_phrases long, self_phrases long, longest_match long, score double")
+    return documents.select("doc_id", owner, "text").mapInArrow(run, f"doc_id {kind}, n_words long, cross_phrases long, self_phrases long, longest_match long, score double")
 
 
 def good_reference(documents: DataFrame, labels: DataFrame) -> DataFrame:

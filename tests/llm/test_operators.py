@@ -253,6 +253,25 @@ def test_cross_parsing_never_meets_its_own_text(spark):
     assert out.where("longest_match > 5").count() == 0
 
 
+def test_cross_parsing_meets_the_whole_reference(spark):
+    """Brute force over all other texts, whatever the cut; a copy in any shard is found, words over piece_words too."""
+    rng = random.Random(5)
+    texts = [long_text(rng, rng.randint(1, 60)) for _ in range(25)] + [" ".join(f"r{i}" for i in range(300))] * 2 + ["alpha beta"] * 2
+    docs = make(spark, texts)
+    results = []
+    for held in (1, 60):
+        p = cross_parsing.CrossParseParams(shard_bytes=500, unit_bytes=400, piece_words=20, held_shards=held, held_units=held)
+        got = {r["doc_id"]: r for r in cross_parsing.score(docs, docs.where("doc_id <> 3").select("doc_id", "text"), p).collect()}
+        results.append(got)
+        total = sum(len(t.split()) for i, t in enumerate(texts) if i != 3)
+        for i, t in enumerate(texts):
+            symbols = [w for j, u in enumerate(texts) if j not in (3, i) for w in (*u.split(), ("end", j))]
+            phrases, longest = cross_parsing.cross_phrases(cross_parsing.suffix_automaton(symbols), t.split())
+            assert (got[i]["cross_phrases"], got[i]["longest_match"]) == (phrases, longest)
+            assert got[i]["score"] == cross_parsing.relative_entropy(phrases, got[i]["self_phrases"], len(t.split()), total)
+    assert results[0] == results[1] and results[0][25]["longest_match"] == 300
+
+
 def classified(spark, n=160):
     rng = random.Random(8)
     en = lambda: " ".join(rng.choice(WORDS) for _ in range(40))
