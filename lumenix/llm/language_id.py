@@ -2,7 +2,7 @@
 
 Weights are learned with follow-the-regularised-leader (proximal) under elastic-net penalties and the
 logits are calibrated with one temperature. Document frequencies cover every training row; weights are
-fitted on a bounded sample, ``LanguageParams.sample_per_label`` rows of each label.
+fitted on a bounded sample, ``LanguageParams.sample_per_label`` distinct texts of each label, or all it has.
 
 Edge cases: a null text or one without any letter is ``und`` with score 0; an empty table gives an empty
 result; with no usable label every text is ``und``; repeated rows are predicted alike; extra columns pass
@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -150,7 +150,7 @@ def predict(model: LanguageModel | None, text: str | None) -> tuple[str, float]:
 def fit(training: DataFrame, params: LanguageParams = LanguageParams()) -> LanguageModel | None:
     """Learn from ``training(text, label)``; None if no row has both a text and a label.
 
-    One pass gathers document frequencies over all rows, one the bounded sample. At most
+    One pass gathers document frequencies over all rows, two the bounded sample. At most
     ``max_labels`` labels (the most frequent) can be told apart.
     """
     rows = training.select("text", "label").where(F.col("label").isNotNull() & F.col("text").isNotNull())
@@ -158,8 +158,6 @@ def fit(training: DataFrame, params: LanguageParams = LanguageParams()) -> Langu
     if not counted:
         return None
     labels = sorted(r["label"] for r in counted)
-    wanted = {r["label"]: min(1.0, 1.3 * params.sample_per_label / r["count"]) for r in counted}
-
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, docs = np.zeros(params.buckets, np.int64), 0
         for batch in batches:
@@ -179,14 +177,16 @@ def fit(training: DataFrame, params: LanguageParams = LanguageParams()) -> Langu
         else:
             df[r["bucket"]] = r["df"]
     idf = np.log((1 + n) / (1 + df)) + 1
-    chance = F.pmod(F.xxhash64("text", "label"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    share = F.coalesce(*[F.when(F.col("label") == k, F.lit(v)) for k, v in wanted.items()], F.lit(0.0))
-    sample = (
-        rows.where((F.length("text") <= params.max_fit_chars) & (chance < share))
-        .orderBy(chance, "text")
-        .limit(params.sample_per_label * len(labels))
-        .collect()
-    )
+    # Each label is bounded by itself: its texts of the lowest hashes, every text once.
+    usable = rows.where(F.col("label").isin(labels) & (F.length("text") <= params.max_fit_chars) & F.col("text").rlike(r"\p{L}"))
+    usable = usable.withColumn("chance", F.xxhash64("text", "label"))
+    nth = F.row_number().over(Window.partitionBy("label").orderBy("chance"))
+    lowest = usable.select("label", "chance").distinct().withColumn("nth", nth).where(F.col("nth") <= params.sample_per_label)
+    bounds = {r["label"]: r["bound"] for r in lowest.groupBy("label").agg(F.max("chance").alias("bound")).collect()}
+    if not bounds:
+        return None
+    bound = F.coalesce(*[F.when(F.col("label") == k, F.lit(v)) for k, v in bounds.items()])
+    sample = usable.where(F.col("chance") <= bound).dropDuplicates(["label", "chance"]).orderBy("chance", "label").collect()
     data = [(c, labels.index(r["label"])) for r in sample if (c := ngram_counts(r["text"], params)) is not None]
     return fit_weights(data, labels, idf, params) if data else None
 

@@ -292,6 +292,18 @@ def test_language_id(spark):
     assert language_id.identify(df.limit(0)).count() == 0
 
 
+def test_language_sample_is_bounded_by_label(spark, monkeypatch):
+    """Rows of a frequent label, or copies of one text, take nothing from the other labels and texts."""
+    seen = []
+    monkeypatch.setattr(language_id, "fit_weights", lambda data, labels, *rest: seen.append((data, labels)))
+    many = [(f"alpha {'b' * (i % 50)} {WORDS[i % 20]} {chr(97 + i // 1000)}", "en") for i in range(3000)]
+    texts = [*many, *[(f"der die das {'x' * i}", "de") for i in range(60)], *[("copy", "fr")] * 500, *[(f"le la {'y' * i}", "fr") for i in range(60)], ("12", "xx"), ("uno", "it")]
+    language_id.fit(spark.createDataFrame(texts, "text string, label string"), language_id.LanguageParams(sample_per_label=50))
+    (data, labels), = seen
+    counts = {label: sum(y == k for _, y in data) for k, label in enumerate(labels)}
+    assert counts == {"de": 50, "en": 50, "fr": 50, "it": 1, "xx": 0}
+
+
 def test_quality_and_toxicity(spark):
     rng = random.Random(6)
     data, labels = [], []
