@@ -1,13 +1,13 @@
 """The cluster tree: greedy agglomerative rounds over a pool of vectors, labels from a classifier, walks down the tree.
 
 A round is sequential by definition (each merge depends on the one before), so it runs in one task over one
-dimension's pool, within ``MAX_POOL`` records; a larger pool is refused unless the caller names a block column,
-which clusters every block on its own.
+dimension's pool, of any size: it holds the vectors and one best partner a record, not the similarities of all pairs.
+Time grows with the square of the pool. A block column clusters every block of a round on its own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,27 +29,29 @@ class Agglomerative:
     def round(self, vectors: np.ndarray) -> list[list[int]]:
         """Groups of row numbers in merge order; rows in no group stay orphans.
 
-        The best partner of every row to its right is kept up to date, so a merge costs O(n d) and not a scan of
-        all pairs; ties fall to the lowest pair.
+        The best partner of every row to its right is kept up to date, so a merge costs O(n d) for each row it touches
+        and not a scan of all pairs; similarities are computed again when needed, so memory is O(n d). Ties fall to the
+        lowest pair.
         """
         n = len(vectors)
         if n < max(self.min_cluster, 2):
             return []
         cap = self.max_cluster or n
         centre = np.array(vectors, np.float64)
-        sim = centre @ centre.T
-        sim[np.tril_indices(n)] = -np.inf
         groups: list[list[int]] = [[i] for i in range(n)]
         size = np.ones(n, int)
-        best = sim.argmax(1)
-        top = sim[np.arange(n), best]
+        alive = np.ones(n, bool)
+        best, top = np.zeros(n, int), np.full(n, -np.inf)
 
-        def refresh(rows: np.ndarray) -> None:
+        def refresh(rows: Iterable[int]) -> None:
             for i in rows:
-                row = np.where(size + size[i] <= cap, sim[i], -np.inf)
-                best[i] = int(row.argmax())
-                top[i] = row[best[i]]
+                if i + 1 == n:
+                    continue
+                row = np.where(alive[i + 1 :] & (size[i + 1 :] + size[i] <= cap), centre[i + 1 :] @ centre[i], -np.inf)
+                at = int(row.argmax())
+                best[i], top[i] = i + 1 + at, row[at]
 
+        refresh(range(n))
         while True:
             i = int(top.argmax())
             if not top[i] >= self.threshold:
@@ -61,23 +63,18 @@ class Agglomerative:
             mean = vectors[groups[i]].astype(np.float64).mean(0)
             length = np.linalg.norm(mean)
             centre[i] = mean / length if length > 0 else mean
-            sim[j, :], sim[:, j], top[j] = -np.inf, -np.inf, -np.inf
-            alive = np.array([bool(g) for g in groups])
-            s = np.where(alive, centre @ centre[i], -np.inf)
-            sim[i, i + 1 :], sim[:i, i] = s[i + 1 :], s[:i]
+            alive[j], top[j] = False, -np.inf
+            s = centre[:i] @ centre[i]
             # Rows whose best partner was touched, or for which the grown group is now better, or may be too large.
             touched = np.flatnonzero(alive & ((best == j) | (best == i) | (np.arange(n) == i)))
             refresh(touched)
-            better = np.flatnonzero(alive[:i] & (size[:i] + size[i] <= cap) & ((sim[:i, i] > top[:i]) | ((sim[:i, i] == top[:i]) & (i < best[:i]))))
-            best[better], top[better] = i, sim[better, i]
+            better = np.flatnonzero(alive[:i] & (size[:i] + size[i] <= cap) & ((s > top[:i]) | ((s == top[:i]) & (i < best[:i]))))
+            best[better], top[better] = i, s[better]
         return [g for g in groups if len(g) >= self.min_cluster and g]
 
 
 def cluster_round(pool: DataFrame, how: Agglomerative, block: str | None = None) -> DataFrame:
     """group, nth, id of the members of one round over ``pool(no, id, vec)``, ordered by ``no``."""
-    if block is None and pool.count() > MAX_POOL:
-        raise ValueError(f"an exact round holds at most {MAX_POOL} records; name a block column to cluster blocks apart")
-
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("no").reset_index(drop=True)
         groups = how.round(np.array(pdf["vec"].tolist(), np.float64)) if len(pdf) else []
@@ -120,12 +117,10 @@ def fabricate(
 
     Each level: one round, one call that labels all groups not known from an earlier run, one vector per label.
     Groups left without a label dissolve into orphans, which join the next round; the level counter goes on. The
-    pool is bounded by ``MAX_POOL``, so it lives on the driver.
+    rounds run on the driver, which holds the pool.
     """
     spark = level0.sparkSession
     how = Agglomerative(params.threshold, params.min_cluster, params.max_cluster)
-    if level0.count() > MAX_POOL:
-        raise ValueError(f"a tree is built over at most {MAX_POOL} records")
     pool = [(r["id"], r["descriptor"], list(r["vec"])) for r in level0.where(F.col("vec").isNotNull() & (F.size("vec") > 0)).orderBy("no").collect()]
     clusters: list[tuple] = []
     edges: list[tuple] = []

@@ -330,3 +330,15 @@ def test_chat_classifier(spark):
     rows = classify.describe(windows(contents(spark, ["hello hello world"])), ["d"], lambda: classify.ChatClassifier(classify.stub_client(1))).collect()
     assert rows[0]["descriptor"] == "hello"
     assert classify.group_by_implementation({"b": "x", "a": "x", "c": "y"}) == {"x": ["a", "b"], "y": ["c"]}
+
+
+def test_trees_and_rounds_take_pools_of_any_size(spark):
+    """8,200 records, every second one alone in its direction but for one copy."""
+    n = 8200
+    rng = np.random.default_rng(3)
+    half = rng.normal(size=(n // 2, 32))
+    v = np.concatenate([half, half]) / np.linalg.norm(np.concatenate([half, half]), axis=1)[:, None]
+    pool = spark.createDataFrame([(f"s{i:05}", "x", [float(x) for x in row], i) for i, row in enumerate(v)], "id string, descriptor string, vec array<double>, no int")
+    t = cluster.fabricate(pool, cluster.TreeParams(0.999, 2, 2, 1, 1), lambda items, level: ["x"] * len(items), lambda s: [1.0])
+    assert t.clusters.count() == n // 2 and t.edges.select("child").distinct().count() == n
+    assert cluster.cluster_round(pool, cluster.Agglomerative(0.999, 2, 2)).groupBy("group").count().where("count = 2").count() == n // 2
