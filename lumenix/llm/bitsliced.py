@@ -10,8 +10,8 @@ winners are merged per query.
 Queries go in blocks of ``query_block`` against all segments, joined on the block's number: no cross join, and
 neither side is collected. Every (segment, block) pair is a task unit of bounded size.
 
-Edge cases: a null vector, one with null or non-finite components, or with a component beyond 2^22 in magnitude
-after scaling takes no part; vectors of another length than the query's are no candidates; rows that share the query's
+Edge cases: a null vector or one with null or non-finite components takes no part; components may be of any size, and
+a winner's score beyond 64 bits is an error, never a wrong number; vectors of another length than the query's are no candidates; rows that share the query's
 id are its own; a query that occurs in several rows is answered once for each distinct vector; fewer candidates than k
 give them all; an empty table gives an empty result.
 """
@@ -37,22 +37,29 @@ class SearchParams:
     query_block: int = 256
 
 
-LIMIT = 1 << 22
+WHOLE = float(1 << 52)  # doubles from here on have no fraction
 
 
 def quantised(vector: Column, scale: int) -> Column:
-    """floor(scale * x) of each component as a double product, as long; null if the vector takes no part."""
-    q = F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
-    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) * scale < float(LIMIT)))
+    """floor(scale * x) of each component, as double, which holds it at any size; null if the vector takes no part."""
+    y = lambda x: F.lit(float(scale)) * x.cast("double")
+    q = F.transform(vector, lambda x: F.when(F.abs(y(x)) < WHOLE, F.floor(y(x)).cast("double")).otherwise(y(x)))
+    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     return F.when(vector.isNotNull() & fine, q)
 
 
+def integers(rows: list) -> np.ndarray:
+    """Whole numbers given as doubles, in int64 where all fit, else as Python's."""
+    a = np.array(rows, np.float64)
+    return a.astype(np.int64) if not a.size or np.abs(a).max() < 2.0**62 else np.vectorize(int, otypes=[object])(a)
+
+
 def bitmaps(values: np.ndarray) -> np.ndarray:
     """(bits, words) slices of the two's complement of ``values``, rows in the low bits first."""
     n = len(values)
     bits = int(max(values.max(initial=0), -(values.min(initial=0) + 1))).bit_length() + 1
     out = np.zeros((bits, -(-n // 64)), np.uint64)
-    padded = np.zeros(out.shape[1] * 64, np.int64)
+    padded = np.zeros(out.shape[1] * 64, values.dtype)
     padded[:n] = values
     for b in range(bits):
         out[b] = np.packbits((padded >> b & 1).astype(np.uint8), bitorder="little").view(np.uint64)
@@ -143,7 +150,7 @@ def search_segment(ids: np.ndarray, values: np.ndarray, queries: list[tuple[int,
         for own in range(*np.searchsorted(ids, [query, query + 1])):
             allowed[own // 64] &= ~(np.uint64(1) << np.uint64(own % 64))
         for r in top_rows(score_slices(slices, vector), allowed, k):
-            yield query, int(ids[r]), int(values[r] @ vector)
+            yield query, int(ids[r]), sum(int(a) * int(b) for a, b in zip(values[r], vector))
 
 
 def index(vectors: DataFrame, p: SearchParams = SearchParams()) -> DataFrame:
@@ -170,8 +177,8 @@ def search(indexed: DataFrame, queries: DataFrame, p: SearchParams = SearchParam
             for rows, queries_ in zip(batch["rows"], batch["queries"]):
                 rows = sorted(rows, key=lambda r: (r["vec_id"], tuple(r["q"])))
                 ids = np.array([r["vec_id"] for r in rows], np.int64)
-                values = np.array([r["q"] for r in rows], np.int64)
-                asked = [(x["query_id"], np.array(x["q"], np.int64)) for x in queries_ if len(x["q"]) == values.shape[1]]
+                values = integers([r["q"] for r in rows])
+                asked = [(x["query_id"], integers(x["q"])) for x in queries_ if len(x["q"]) == values.shape[1]]
                 yield pd.DataFrame(list(search_segment(ids, values, asked, k)), columns=["query_id", "vec_id", "score"]).astype("int64")
 
     found = units.select("rows", "queries").mapInPandas(run, "query_id long, vec_id long, score long")

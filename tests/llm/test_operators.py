@@ -1,6 +1,7 @@
 """Operators on small tables: edge cases, and results against brute force."""
 
 import hashlib
+import math
 import random
 import zlib
 
@@ -272,6 +273,17 @@ def test_cross_parsing_meets_the_whole_reference(spark):
     assert results[0] == results[1] and results[0][25]["longest_match"] == 300
 
 
+def test_bitsliced_takes_components_of_any_size(spark):
+    """As Python's integers; before, vectors with a component of 4,096 or more were left out."""
+    v = [[5000.0, 0.5], [4096.0, -3.0], [-1e6, 2.0], [0.25, 8.0], [3.0, 1e8], [2.0**60, 0.0], [0.0, 1.5]]
+    df = spark.createDataFrame(list(enumerate(v)), "vec_id long, embedding array<double>")
+    indexed = bitsliced.index(df)
+    got = [tuple(r) for r in bitsliced.search(indexed, indexed.where("vec_id = 6").select("vec_id", "q")).collect()]
+    q = [[math.floor(1024 * x) for x in r] for r in v]
+    dots = [sum(x * y for x, y in zip(q[6], r)) for r in q]
+    assert sorted(got) == [(6, k + 1, b, dots[b]) for k, b in enumerate(sorted(range(6), key=lambda b: (-dots[b], b)))]
+
+
 def classified(spark, n=160):
     rng = random.Random(8)
     en = lambda: " ".join(rng.choice(WORDS) for _ in range(40))
