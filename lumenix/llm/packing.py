@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -41,7 +42,7 @@ class PackParams:
 #: The split of byte-level tokenizers.
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 Piece = tuple[object, int, bytes, int]  # id, start, packed ids, tokens of the document
-_LOADED: dict[str, PieceEncoder] = {}
+_LOADED: dict = {}
 
 
 def as_ranks(path: str) -> dict[bytes, int] | None:
@@ -61,22 +62,50 @@ def as_ranks(path: str) -> dict[bytes, int] | None:
     return {bytes(byte_of[c] for c in t): i for t, i in vocab.items()}
 
 
-def encoder(path: str) -> PieceEncoder:
-    """One tokenizer per worker process and file; special strings in a text are ordinary text.
+class AddedTokens:
+    """Cuts texts at a tokenizer file's added tokens, which stand for their ids; what lies between goes to ``inner``."""
+
+    def __init__(self, ids: dict[str, int], inner: PieceEncoder):
+        self.ids, self.inner = {t: i.to_bytes(4, "little") for t, i in ids.items()}, inner
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(ids, key=len, reverse=True))) + ")")
+
+    def packed(self, text: str) -> bytes:
+        return b"".join(self.ids[t] if k % 2 else self.inner.packed(t) for k, t in enumerate(self.cut.split(text)) if t)
+
+
+class WholeTexts:
+    """The library as it is, for files whose added tokens take blanks or word edges into account."""
+
+    def __init__(self, path: str):
+        self.library = Tokenizer.from_file(path)
+
+    def packed(self, text: str) -> bytes:
+        return b"".join(i.to_bytes(4, "little") for i in self.library.encode(text, add_special_tokens=False).ids)
+
+
+def encoder(path: str) -> PieceEncoder | AddedTokens | WholeTexts:
+    """One tokenizer per worker process and file, with the ids of ``Tokenizer.encode`` without special tokens around.
 
     A file that is plain byte-level merges in id order is run by the faster of the two libraries, whose ids are the same;
-    any other is run by ``tokenizers``.
+    any other is run by ``tokenizers``. Added tokens in a text stand for their ids.
     """
     if path not in _LOADED:
         if ranks := as_ranks(path):
             fast = tiktoken.Encoding(path, pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
-            _LOADED[path] = PieceEncoder(lambda pieces: [fast.encode_ordinary(p) for p in pieces])
+            inner = PieceEncoder(lambda pieces: [fast.encode_ordinary(p) for p in pieces])
+        else:
+            inner = library_encoder(path)
+        with open(path, encoding="utf-8") as f:
+            added = json.load(f).get("added_tokens") or []
+        if any(t.get(k) for t in added for k in ("lstrip", "rstrip", "single_word")):
+            _LOADED[path] = WholeTexts(path)
         else:
-            _LOADED[path] = library_encoder(path)
+            _LOADED[path] = AddedTokens({t["content"]: t["id"] for t in added}, inner) if added else inner
     return _LOADED[path]
 
 
 def library_encoder(path: str) -> PieceEncoder:
+    """By ``tokenizers``; added tokens in a text are ordinary text here, ``encoder`` cuts them out before."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True

@@ -80,6 +80,13 @@ def test_piece_encoder_equals_both_libraries(monkeypatch):
         assert full.packed(t) == np.asarray(enc.encode_ordinary(t), "<u4").tobytes()
 
 
+def test_added_tokens_stand_for_their_ids():
+    lib = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    mine = packing.encoder(P.path("byte_bpe_50k.json"))
+    for t in ("a <|endoftext|> b", "<|endoftext|><|endoftext|>", "<|endoftext|>  x<|endoftext| >", "plain"):
+        assert mine.packed(t) == np.asarray(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_packer_keeps_every_id_once(seed):
     rng = random.Random(seed)
