@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -11,7 +12,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _FALLBACK: dict[str, str] = {}
 
@@ -30,10 +32,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which all executors share; a temporary one only if it is unset."""
+    """The folder in ``spark.checkpoint.dir``, which all executors share. Only a local session without the setting gets a
+    temporary folder; on a cluster that is an error, as executors would write where no other can read."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _FALLBACK:
         _FALLBACK[app] = tempfile.mkdtemp(prefix="lumenix-")
@@ -50,7 +55,37 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` has written and nothing will read again."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` is called so (names are compared without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def one_of_each(kept: DataFrame, documents: DataFrame, same: Column) -> DataFrame:
+    """``kept``, some rows of ``documents``, with one of the rows that have an id and ``same`` in common: the one with the
+    longest text. Only rows whose id occurs more than once in ``documents`` are moved."""
+    name = unused_name(kept, "repeated_id")
+    again = documents.groupBy(F.col("doc_id").alias(name)).count().where("count > 1").select(name)
+    if again.isEmpty():
+        return kept
+    on = F.col("doc_id").eqNullSafe(F.col(name))
+    longest = F.max_by(F.struct(*[kept[c] for c in kept.columns]), F.struct(F.coalesce(F.length("text"), F.lit(0)), F.xxhash64("text")))
+    picked = kept.join(again, on, "left_semi").groupBy(F.col("doc_id"), F.sha2(same.cast("binary"), 256)).agg(longest.alias("picked"))
+    return kept.join(again, on, "left_anti").unionByName(picked.select("picked.*"))
 
 
 # -- Arrow text

@@ -8,7 +8,8 @@ on ordered identifier lists stand for the texts, and texts are not moved again.
 
 Edge cases: null counts as empty; all texts without other characters are equal (an empty list); ties in length
 go to the smaller id, a null id comes after any other; repeated rows are members like any others and all rows
-of the id that stays are ``kept``; an empty table gives an empty result.
+of the id that stays are ``kept`` (``keep_first`` returns one of them); only ``doc_id`` and ``text`` are read, so other
+columns may have any name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -78,6 +79,7 @@ def dedup(documents: DataFrame) -> DataFrame:
 
 
 def keep_first(documents: DataFrame) -> DataFrame:
-    """The documents that stay, all columns."""
-    kept = dedup(documents).where("kept").select(F.col("doc_id").alias("kept_doc_id")).distinct()
-    return documents.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_doc_id")), "left_semi")
+    """The documents that stay, all columns; of repeated rows (equal id and text) one. A column may have any name."""
+    name = common.unused_name(documents, "kept_doc_id")
+    kept = dedup(documents).where("kept").select(F.col("doc_id").alias(name)).distinct()
+    return common.one_of_each(documents.join(kept, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi"), documents, normalized(F.col("text")))

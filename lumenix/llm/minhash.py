@@ -1,26 +1,35 @@
 """Near-duplicate groups: one-permutation MinHash with optimal densification, banded buckets, star-shaped edges.
 
-1. One narrow pass turns each text into the size of its shingle set, a 128-bit fingerprint of the full set and
-   its band keys (``bands`` x ``band_rows`` bins of one permutation; an empty bin borrows from a bin drawn by a
-   universal hash of its own number). Equal sets become one node.
-2. Buckets with several nodes propose star edges: every member to one centre, so pairs grow with members, not
-   with their squares. Links are confirmed on full shingle sets.
-3. A bucket whose nodes are not in one component by then gets further stars, at most ``stars`` + 1 a round: around
-   a node of its largest component and of small ones. A centre leaves its bucket once it has been compared with all
-   nodes of other components, and a bucket is done when the rest is in one component. Pairs compared before are not
-   compared again, and no partner or candidate is dropped.
-
-With the default 24 bands of 4 bins a pair at exactly 0.8 is missed with probability 3e-6, and less above.
+1. One narrow pass turns each text into the size of its shingle set, a 128-bit fingerprint of the full set and its band
+   keys (``bands`` x ``band_rows`` bins of one permutation; an empty bin borrows from a bin drawn by a universal hash of
+   its own number). Equal sets become one node.
+2. Buckets with several nodes propose star edges: every member to the least one, so pairs grow with members, not with
+   their squares.
+3. Buckets whose nodes are not in one component by then are looked at again. Those of up to ``bucket_rows`` nodes are
+   compared by their bins within a task, which emits spanning forests over the components: eight in the first round, eight
+   times as many in each further one, so edges grow with nodes and rounds with the logarithm of a bucket. Larger ones get up to ``stars`` + 1 further stars a round, around a node of the largest component and of small
+   ones; a centre leaves its bucket once it has been compared. Rounds end when no bucket proposes an edge that has not
+   been tested. No partner or candidate is dropped.
+
+Nodes that share a bucket get a finer signature, one byte for each of ``fine_bins`` bins. Before texts are compared, a pair
+must pass an exact bound (sets of sizes m <= n are never more similar than m / n) and agree in so many fine bins that a pair
+at the wanted similarity fails with a probability of 3e-7 (five standard deviations), far below that of the bands. Links are
+confirmed on full shingle sets. With the default 24 bands of 5 bins a pair at exactly 0.8 meets in no bucket with
+probability 7e-5, and less above.
+
+Hot groups (copies of one text, a bucket, a component, a star) are split over salts wherever rows meet by key.
 
 Edge cases: null, empty and blank texts have an empty set and are their own component; fewer words than a
 shingle make one shingle of the whole sequence; repeated rows share a set; a row with a null id takes part, and
-a component is named by its smallest id that is not null; an empty table gives an empty result.
+a component is named by its smallest id that is not null; an empty table gives an empty result; only ``doc_id`` and
+``text`` are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -32,15 +41,24 @@ from lumenix.llm import common, groups
 
 @dataclass(frozen=True)
 class MinHashParams:
-    """Words to a shingle, similarity in percent, banding, stars to a bucket and round, members to a task's share of a star."""
+    """Words to a shingle, similarity in percent, banding, bins of the finer signature, nodes of a bucket that one task
+    compares, stars to a larger bucket and round, members to a task's share of a star."""
 
     words: int = 5
     percent: int = 80
     bands: int = 24
-    band_rows: int = 4
+    band_rows: int = 5
+    fine_bins: int = 512
+    bucket_rows: int = 2048
     stars: int = 16
     star_share: int = 2000
 
+    @property
+    def least_equal(self) -> int:
+        """Equal fine bins below which a pair is not tested: five standard deviations under the wanted similarity."""
+        n, j = self.fine_bins, self.percent / 100
+        return max(0, int(n * j - 5 * (n * j * (1 - j)) ** 0.5))
+
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -71,9 +89,8 @@ def fingerprint(shingles: np.ndarray) -> bytes:
     return np.array([a, b], np.uint64).tobytes()
 
 
-def band_keys(sets: list[np.ndarray], p: MinHashParams) -> np.ndarray:
-    """One row of band keys for each non-empty set."""
-    bins = p.bands * p.band_rows
+def signature(sets: list[np.ndarray], bins: int) -> np.ndarray:
+    """One row of bins for each non-empty set: the least hash there, or that of the bin it borrows from."""
     n = np.array([len(x) for x in sets], np.int64)
     allh = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
     slot = ((allh >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
@@ -91,7 +108,12 @@ def band_keys(sets: list[np.ndarray], p: MinHashParams) -> np.ndarray:
         ok = got != empty
         full[row[ok], col[ok]] = got[ok]
         row, col = row[~ok], col[~ok]
-    keys = np.zeros((len(sets), p.bands), np.uint64)
+    return full
+
+
+def band_keys(full: np.ndarray, p: MinHashParams) -> np.ndarray:
+    """One row of band keys for each signature."""
+    keys = np.zeros((len(full), p.bands), np.uint64)
     for k in range(p.band_rows):
         keys = common.mix64(keys * _MIX[6] + full[:, k :: p.band_rows])
     return common.mix64(keys + np.arange(p.bands, dtype=np.uint64) * _MIX[7]).view(np.int64)
@@ -106,8 +128,7 @@ def sketch(documents: DataFrame, p: MinHashParams) -> DataFrame:
             raw, off = common.text_bytes(batch.column(1))
             for i, j in common.blocks(off, 1 << 21):
                 sets = shingle_sets(raw[off[i] : off[j]], off[i : j + 1] - off[i], p.words)
-                some = [x for x in sets if len(x)]
-                keys = iter(band_keys(some, p))
+                keys = iter(band_keys(signature([x for x in sets if len(x)], p.bands * p.band_rows), p))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(i, j - i),
@@ -121,15 +142,41 @@ def sketch(documents: DataFrame, p: MinHashParams) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, node binary, keys array<long>")
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Rows of equal width from a binary column without nulls."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def near_in_size(m: np.ndarray, n: np.ndarray, p: MinHashParams) -> np.ndarray:
+    """Whether sets of these sizes can be similar enough at all."""
+    return 100 * np.minimum(m, n) >= p.percent * np.maximum(m, n)
+
+
+def plausible(pairs: DataFrame, nodes: DataFrame, p: MinHashParams) -> DataFrame:
+    """The ``pairs(a, b)`` whose sizes and bins allow a link; ``nodes(node, n, bins)``. ``pairs`` is a written table."""
+    of = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("bins").alias(f"bins_{k}"))
+    both = groups.lookup(pairs, of("a"), ["a"]).join(of("b"), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                m, n = (batch.column(k).to_numpy() for k in (2, 3))
+                same = (_matrix(batch.column(4)) == _matrix(batch.column(5))).sum(1)
+                yield batch.select([0, 1]).filter(pa.array(near_in_size(m, n, p) & (same >= p.least_equal)))
+
+    return both.select("a", "b", "n_a", "n_b", "bins_a", "bins_b").mapInArrow(run, "a binary, b binary")
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, p: MinHashParams) -> DataFrame:
-    """``pairs(a, b)`` of nodes that are similar enough on full sets; ``texts(node, text)``.
+    """``pairs(a, b)`` of nodes that are similar enough on full sets; ``texts(node, text)``. ``pairs`` is a written table.
 
     The text of ``a`` leads each group, its partners follow in a sorted stream. Stars with many members are
     split over tasks of about ``star_share`` members, each with its own copy of the centre.
     """
-    stars = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / p.star_share).cast("int").alias("shares"))
-    lead = texts.join(stars, texts["node"] == stars["a"]).select("a", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(None).cast("binary").alias("b"), "text")
-    rest = pairs.join(stars, "a").join(texts.withColumnRenamed("node", "b"), "b")
+    shares = F.ceil(F.col("group_rows") / p.star_share).cast("int")
+    stars = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("group_rows")).select("a", shares.alias("shares"))
+    lead = texts.select("node", "text").join(stars, F.col("node") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(None).cast("binary").alias("b"), "text")
+    rest = groups.attach(pairs, ["a"], []).select("a", "b", shares.alias("shares")).join(texts.select(F.col("node").alias("b"), "text"), "b")
     rest = rest.select("a", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int").alias("share"), "b", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,53 +208,158 @@ def components(edges: DataFrame) -> DataFrame:
     both = common.materialize(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     state = common.materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp"), F.lit(True).alias("moved")), "comp")
     while not state.where("moved").isEmpty():
-        near = both.join(state.select(F.col("node").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("m"))
-        spread = state.join(near, state["node"] == near["a"]).select("node", F.col("comp").alias("was"), F.least("comp", "m").alias("to"))
+        near = groups.lookup(both, state.select(F.col("node").alias("b"), "comp"), ["b"]).groupBy("a").agg(F.min("comp").alias("m"))
+        spread = common.materialize(state.join(near, state["node"] == near["a"]).select("node", F.col("comp").alias("was"), F.least("comp", "m").alias("to")), "spread")
         jump = state.select(F.col("node").alias("to"), F.col("comp").alias("far"))
-        new = spread.join(jump, "to").select("node", F.least("to", "far").alias("comp"), (F.least("to", "far") != F.col("was")).alias("moved"))
-        state = common.materialize(new, "comp")
-    return state.select("node", "comp")
+        new = groups.lookup(spread, jump, ["to"], row_salt=["node"]).select("node", F.least("to", "far").alias("comp"), (F.least("to", "far") != F.col("was")).alias("moved"))
+        old, state = state, common.materialize(new, "comp")
+        common.discard(old, spread)
+    common.discard(both)
+    return state
+
+
+def forests(at: DataFrame, failed: DataFrame, nodes: DataFrame, p: MinHashParams, most: int) -> DataFrame:
+    """key, a, b: edges that may join the components of each bucket in ``at(key, node, comp)``, without the pairs ``failed(a, b)``.
+
+    A bucket is compared in one task, by bins; it has ``bucket_rows`` nodes at most. Of all plausible pairs between
+    components up to ``most`` spanning forests are emitted, most equal bins first, so edges grow with nodes, not with pairs.
+    """
+    none = lambda kind: F.lit(None).cast(kind)
+    known = failed.join(at.select("key", F.col("node").alias("a")), "a").select("key", F.col("a").alias("node"), F.col("b").alias("comp"), none("long").alias("n"), none("binary").alias("bins"))
+    rows = at.join(nodes.select("node", "n", "bins"), "node").select("key", "node", "comp", "n", "bins").unionByName(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def edges() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks()
+            keys = t["key"].to_numpy()
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            out = [(int(keys[i]), a, b) for i, j in zip(cuts, cuts[1:]) if j > i for a, b in forest(t.slice(i, j - i), p, most)]
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["key", "a", "b"])
+
+        for batch in batches:  # sorted by key: all buckets but the last one of a batch are whole
+            if not len(batch):
+                continue
+            keys = batch.column(0).to_numpy()
+            last = int(np.searchsorted(keys, keys[-1]))
+            if last or (held and held[-1].column(0)[-1].as_py() != keys[0]):
+                held.append(batch.slice(0, last))
+                yield edges()
+                held = [batch.slice(last)]
+            else:
+                held.append(batch)
+        if held:
+            yield edges()
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, a binary, b binary")
+
+
+def forest(bucket: pa.Table, p: MinHashParams, most: int) -> list[tuple[bytes, bytes]]:
+    """Up to ``most`` spanning forests of plausible pairs between the components of one bucket; rows without bins are pairs that failed."""
+    nodes, comps, size, bins = (bucket[c].to_pylist() for c in ("node", "comp", "n", "bins"))
+    failed = {(a, b) for a, b, n in zip(nodes, comps, size) if n is None}
+    rows = sorted((a, c, n, x) for a, c, n, x in zip(nodes, comps, size, bins) if n is not None)
+    names, n = [r[0] for r in rows], np.array([r[2] for r in rows], np.int64)
+    sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
+    label = np.unique(np.array([r[1].hex() for r in rows]), return_inverse=True)[1]
+    sizes = np.bincount(label)
+    largest = int(sizes.argmax())
+    few = np.flatnonzero(label != largest)
+    found: list[tuple[int, int, int]] = []
+    for k in range(0, len(few), 32):
+        i = few[k : k + 32]
+        fit = (label[i][:, None] != label) & near_in_size(n[i][:, None], n, p) & ((label == largest) | (np.arange(len(rows)) > i[:, None]))
+        x, y = np.nonzero(fit)
+        same = np.concatenate([(sig[i[x[q : q + 4096]]] == sig[y[q : q + 4096]]).sum(1) for q in range(0, len(x), 4096)] or [np.zeros(0, np.int64)])
+        ok = same >= p.least_equal
+        found += zip((-same[ok]).tolist(), np.minimum(i[x], y)[ok].tolist(), np.maximum(i[x], y)[ok].tolist())
+    rest = [(i, j) for _, i, j in sorted(found) if (names[i], names[j]) not in failed]
+    parent: list[int] = []
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    out = []
+    for _ in range(most):
+        if not rest:
+            break
+        parent[:], later = range(len(sizes)), []
+        for i, j in rest:
+            a, b = root(int(label[i])), root(int(label[j]))
+            if a == b:
+                later.append((i, j))
+            else:
+                parent[a] = b
+                out.append((names[i], names[j]))
+        rest = later
+    return out
 
 
 def near_duplicates(documents: DataFrame, p: MinHashParams = MinHashParams()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per document."""
     sketched = common.materialize(sketch(documents, p), "sketch")
-    nodes = sketched.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
+    some = sketched.where(F.col("node").isNotNull())
+    nodes = common.materialize(some.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "nodes")
     rows = common.materialize(nodes.select("node", F.explode("keys").alias("key")), "bands")
     bucket = common.materialize(groups.attach(rows, ["key"], [F.min("node").alias("first")], at_least=2, row_salt=["node"]), "buckets")
-    labels = bucket.select("node", F.col("node").alias("comp")).distinct()
+    common.discard(rows)
+    shared = common.materialize(bucket.select("node").distinct().join(nodes.select("node", "rep"), "node"), "shared")
+    labels = common.materialize(shared.select("node", F.col("node").alias("comp")), "labels")
     if not bucket.isEmpty():
-        wanted = nodes.select("node", "rep").join(bucket.select("node").distinct(), "node")
-        texts = documents.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
+        texts = documents.select("doc_id", "text").join(shared, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
         texts = common.materialize(own_texts(texts, p), "texts")
-        pairs = bucket.where(F.col("node") != F.col("first")).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-        fresh = tested = common.materialize(pairs, "pairs")  # the first centre is the least node, so a < b
-        labels = relabelled(labels, common.materialize(confirmed(fresh, texts, p), "links"))
-        live = bucket.where((F.col("node") != F.col("first")) & (F.col("group_rows") > 2)).select("key", "node")
-        while True:
-            at = common.materialize(open_buckets(live.join(labels, "node")), "open")
-            if at.isEmpty():
+        fine = texts.select("node", "n", "bins")
+        first = common.materialize(bucket.where(F.col("node") != F.col("first")).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+        fresh = common.materialize(plausible(first, fine, p), "pairs")  # the first centre is the least node, so a < b
+        links = common.materialize(confirmed(fresh, texts, p), "links")
+        failed = common.materialize(fresh.join(links, ["a", "b"], "left_anti"), "failed")
+        labels = relabelled(labels, links)
+        common.discard(first, fresh, links)
+        live = bucket.where("group_rows > 2").select("key", "node")  # a bucket of two is settled by its star
+        for turn in count(1):
+            placed = common.materialize(live.join(labels, "node"), "placed")
+            at = common.materialize(open_buckets(placed), "open")
+            small, large = at.where(F.col("group_rows") <= p.bucket_rows), at.where(F.col("group_rows") > p.bucket_rows)
+            edges = common.materialize(forests(small, failed, fine, p, 8**turn), "forest")
+            planned, live = edges.select("a", "b").distinct(), small.join(edges.select("key").distinct(), "key", "left_semi").select("key", "node")
+            done, crowded = [placed, at, edges], not large.isEmpty()
+            if crowded:
+                centres = common.materialize(star_centres(large, p.stars), "centres")
+                met = groups.lookup(large, centres, ["key"], row_salt=["node"]).where(F.col("comp") != F.col("centre_comp"))
+                met = met.groupBy(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).agg(F.min("centre").alias("centre"))
+                other = F.when(F.col("a") == F.col("centre"), F.col("b")).otherwise(F.col("a"))
+                met = common.materialize(met.join(failed, ["a", "b"], "left_anti").select(F.col("centre").alias("a"), other.alias("b")), "stars")
+                planned = planned.unionByName(plausible(met, fine, p)).distinct()
+                live = live.unionByName(large.join(centres.select("key", F.col("centre").alias("node")), ["key", "node"], "left_anti").select("key", "node"))
+                done += [centres, met]
+            fresh = common.materialize(planned, "pairs")
+            if not crowded and fresh.isEmpty():
+                common.discard(*done, fresh)
                 break
-            centres = common.materialize(star_centres(at, p.stars), "centres")
-            met = at.join(centres, "key").where(F.col("comp") != F.col("centre_comp"))
-            pairs = met.groupBy(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).agg(F.min("centre").alias("centre"))
-            fresh = common.materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-            other = F.when(F.col("a") == F.col("centre"), F.col("b")).otherwise(F.col("a"))
-            labels = relabelled(labels, common.materialize(confirmed(fresh.select(F.col("centre").alias("a"), other.alias("b")), texts, p), "links"))
-            tested = tested.unionByName(fresh.select("a", "b"))
-            live = at.join(centres.select("key", F.col("centre").alias("node")), ["key", "node"], "left_anti").select("key", "node")
+            links = common.materialize(confirmed(fresh, texts, p), "links")
+            tested = fresh.join(links, ["a", "b"], "left_anti").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            old, failed = failed, common.materialize(failed.unionByName(tested), "failed")
+            labels = relabelled(labels, links)
+            live = common.materialize(live, "live")
+            common.discard(*done, fresh, links, old)
+        common.discard(texts, failed)
     named = nodes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
     named = common.materialize(named, "named")
-    named = named.join(named.groupBy("comp").agg(F.min("rep").alias("component_id")), "comp").select("node", "component_id")
-    out = sketched.select("doc_id", "n_shingles", "node").join(named, "node", "left")
+    named = common.materialize(groups.attach(named, ["comp"], [F.min("rep").alias("component_id")], row_salt=["node"]).select("node", "component_id"), "components")
+    out = groups.lookup(sketched.select("doc_id", "n_shingles", "node"), named, ["node"], "left", row_salt=["doc_id", "n_shingles"])
     comp = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    common.discard(nodes, bucket, shared, labels)
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.col("doc_id").eqNullSafe(comp).alias("kept"))
 
 
 def open_buckets(at: DataFrame) -> DataFrame:
-    """The rows (key, node, comp) of buckets that hold more than one component."""
-    several = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    return at.join(several, "key").select("key", "node", "comp")
+    """The rows (key, node, comp, group_rows) of buckets that hold more than one component."""
+    both = groups.attach(at.select("key", "node", "comp"), ["key"], [F.min("comp").alias("lo"), F.max("comp").alias("hi")], at_least=2, row_salt=["node"])
+    return both.where("lo <> hi").select("key", "node", "comp", "group_rows")
 
 
 def star_centres(at: DataFrame, stars: int) -> DataFrame:
@@ -223,26 +375,38 @@ def star_centres(at: DataFrame, stars: int) -> DataFrame:
 def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``labels(node, comp)`` after more links: only components that a link joins are solved again."""
     ends = links.join(labels.toDF("a", "ca"), "a").join(labels.toDF("b", "cb"), "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
-    joined = components(ends).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
-    return common.materialize(labels.join(joined, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "labels")
+    joined = components(ends)
+    moved = joined.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+    new = common.materialize(groups.lookup(labels, moved, ["comp"], "left", row_salt=["node"]).select("node", F.coalesce("to", "comp").alias("comp")), "labels")
+    common.discard(labels, joined)
+    return new
 
 
 def own_texts(texts: DataFrame, p: MinHashParams) -> DataFrame:
-    """Rows whose text has the set that ``node`` stands for, one per node (an id that several rows share fetches them all)."""
+    """node, text, n (size of its set), bins (a byte of each fine bin): rows whose text has the set that ``node`` stands for,
+    one per node (an id that several rows share fetches them all)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = common.text_bytes(batch.column(1))
             mine: list[bool] = []
+            sizes: list[int] = []
+            bins: list[bytes] = []
             for i, j in common.blocks(off, 1 << 21):
                 sets = shingle_sets(raw[off[i] : off[j]], off[i : j + 1] - off[i], p.words)
-                mine += [bool(len(x)) and fingerprint(x) == node for x, node in zip(sets, batch.column(0).slice(i, j - i).to_pylist())]
-            yield batch.filter(pa.array(mine, pa.bool_()))
+                own = [bool(len(x)) and fingerprint(x) == node for x, node in zip(sets, batch.column(0).slice(i, j - i).to_pylist())]
+                sets = [x for x, ok in zip(sets, own) if ok]
+                mine += own
+                sizes += [len(x) for x in sets]
+                bins += [x.tobytes() for x in (signature(sets, p.fine_bins) >> np.uint64(56)).astype(np.uint8)]
+            node, text = batch.filter(pa.array(mine, pa.bool_())).columns
+            yield pa.RecordBatch.from_arrays([node, text, pa.array(sizes, pa.int64()), pa.array(bins, pa.binary())], ["node", "text", "n", "bins"])
 
-    return texts.mapInArrow(run, texts.schema).dropDuplicates(["node"])
+    return texts.mapInArrow(run, "node binary, text string, n long, bins binary").dropDuplicates(["node"])
 
 
 def keep_first(documents: DataFrame, p: MinHashParams = MinHashParams()) -> DataFrame:
-    """One document of each group, all columns."""
-    kept = near_duplicates(documents, p).where("kept").select(F.col("doc_id").alias("kept_doc_id")).distinct()
-    return documents.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_doc_id")), "left_semi")
+    """One document of each group, all columns; of repeated rows (equal id and text) one. A column may have any name."""
+    name = common.unused_name(documents, "kept_doc_id")
+    kept = near_duplicates(documents, p).where("kept").select(F.col("doc_id").alias(name)).distinct()
+    return common.one_of_each(documents.join(kept, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi"), documents, F.coalesce("text", F.lit("")))

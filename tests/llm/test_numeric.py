@@ -121,10 +121,10 @@ def test_band_keys_find_similar_sets():
             base = rng.integers(0, 2**63, n).astype(np.uint64)
             other = np.concatenate([base[: int(np.ceil(n * 0.9))], rng.integers(0, 2**63, n // 10).astype(np.uint64)])
             assert jaccard({*base.tolist()}, {*other.tolist()}) >= 0.8
-            k = minhash.band_keys([np.unique(base), np.unique(other)], p)
+            k = minhash.band_keys(minhash.signature([np.unique(base), np.unique(other)], p.bands * p.band_rows), p)
             missed += not (k[0] == k[1]).any()
     assert not missed
-    a = minhash.band_keys([np.unique(rng.integers(0, 2**63, 300).astype(np.uint64)) for _ in range(50)], p)
+    a = minhash.band_keys(minhash.signature([np.unique(rng.integers(0, 2**63, 300).astype(np.uint64)) for _ in range(50)], p.bands * p.band_rows), p)
     assert len(np.unique(a)) == a.size
 
 

@@ -98,8 +98,8 @@ def brute_components(texts, ids, words, percent=80):
     return [(len(s), min(ids[j] for j in range(len(texts)) if comp[j] == comp[i])) for i, s in enumerate(sets)]
 
 
-@pytest.mark.parametrize("words", [4, 5])
-def test_near_duplicates(spark, mixed, words):
+@pytest.mark.parametrize("words, bucket_rows", [(4, 2048), (5, 2048), (4, 3)])
+def test_near_duplicates(spark, mixed, words, bucket_rows):
     rng = random.Random(9)
     texts = list(mixed)
     base = [rng.choice(WORDS) + str(rng.randint(0, 9)) for _ in range(60)]
@@ -110,7 +110,7 @@ def test_near_duplicates(spark, mixed, words):
         texts.append(" ".join(w))
     ids = list(range(len(texts)))
     rng.shuffle(ids)
-    got = {r["doc_id"]: r for r in minhash.near_duplicates(make(spark, texts, ids), minhash.MinHashParams(words=words, stars=2, star_share=3)).collect()}
+    got = {r["doc_id"]: r for r in minhash.near_duplicates(make(spark, texts, ids), minhash.MinHashParams(words=words, bucket_rows=bucket_rows, stars=2, star_share=3)).collect()}
     for i, (n, comp) in zip(ids, brute_components(texts, ids, words)):
         assert (got[i]["n_shingles"], got[i]["component_id"], got[i]["kept"]) == (n, comp, comp == i)
 
@@ -124,6 +124,28 @@ def test_near_duplicates_edge_cases(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 3, 4]
 
 
+@pytest.mark.parametrize("keep", [exact_dedup.keep_first, minhash.keep_first])
+def test_keep_first_with_repeated_rows_and_clashing_names(spark, keep):
+    docs = make(spark, ["aa bb", "aa bb", "aa bb", "cc dd", "ee", None], [1, 1, 2, 4, 4, None])
+    docs = docs.withColumn("kept_doc_id", F.lit(1)).withColumn("repeated_id", F.lit(2)).withColumn("picked", F.lit(3)).withColumn("kept", F.lit(4))
+    out = keep(docs)
+    assert out.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == [(1, "aa bb"), (4, "cc dd"), (4, "ee"), (None, None)]
+
+
+def test_a_hot_bucket_and_hot_copies(spark, monkeypatch):
+    monkeypatch.setattr(groups, "HOT_ROWS", 20)
+    rng = random.Random(3)
+    base = [rng.choice(WORDS) + str(rng.randint(0, 9)) for _ in range(50)]
+    texts = [" ".join(base)] * 40
+    for _ in range(40):
+        w = list(base)
+        w[rng.randrange(50)] = f"new{rng.randint(0, 999)}"
+        texts.append(" ".join(w))
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(make(spark, texts), minhash.MinHashParams(words=4, star_share=7)).collect()}
+    assert got == {i: c for i, (_, c) in enumerate(brute_components(texts, list(range(80)), 4))}
+
+
 def test_attach_salts_hot_groups(spark):
     df = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(4000)], "id long, key string")
     out = groups.attach(df, ["key"], [F.min("id").alias("first")], row_salt=["id"])
