@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1000
 HOT_ROWS = 1000
 SALTS = 64
+SIEVE_BITS = 1 << 24
 
 
 def _salted(rows: DataFrame, counts: DataFrame, found: DataFrame, keys: list[str], how: str, row_salt: list[str] | None) -> DataFrame:
@@ -43,3 +44,16 @@ def attach(rows: DataFrame, keys: list[str], aggregates: list[Column], at_least:
 def lookup(rows: DataFrame, found: DataFrame, keys: list[str], how: str = "inner", row_salt: list[str] | None = None) -> DataFrame:
     """``rows`` joined with ``found``, which has few rows per key. ``rows`` is read several times: a written table."""
     return _salted(rows, rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_rows")), found, keys, how, row_salt)
+
+
+def sieve(rows: DataFrame, keys: list[str], found: DataFrame) -> DataFrame:
+    """``rows`` whose key may be in ``found``, a written table: none that is goes missing, few others stay.
+
+    A bitmap of ``SIEVE_BITS`` bits, hence of bounded size, is broadcast, so that wide rows without a partner are not shuffled
+    for the exact join that follows. With far more keys than bits it lets everything pass.
+    """
+    at = F.pmod(F.xxhash64(*keys), F.lit(SIEVE_BITS))
+    bit = lambda: F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("sieve_at") % 64).cast("int"))
+    words = found.select(at.alias("sieve_at")).groupBy(F.shiftright("sieve_at", 6).alias("sieve_word")).agg(F.bit_or(bit()).alias("sieve_bits"))
+    met = rows.withColumn("sieve_at", at).join(F.broadcast(words), F.shiftright("sieve_at", 6) == F.col("sieve_word"))
+    return met.where(F.col("sieve_bits").bitwiseAND(bit()) != 0).drop("sieve_at", "sieve_word", "sieve_bits")

@@ -17,6 +17,8 @@ at the wanted similarity fails with a probability of 3e-7 (five standard deviati
 confirmed on full shingle sets. With the default 24 bands of 5 bins a pair at exactly 0.8 meets in no bucket with
 probability 7e-5, and less above.
 
+Texts and bands without a partner do not move: a bitmap of bounded size sieves them where they are read.
+
 Hot groups (copies of one text, a bucket, a component, a star) are split over salts wherever rows meet by key.
 
 Edge cases: null, empty and blank texts have an empty set and are their own component; fewer words than a
@@ -48,7 +50,7 @@ class MinHashParams:
     percent: int = 80
     bands: int = 24
     band_rows: int = 5
-    fine_bins: int = 512
+    fine_bins: int = 256
     bucket_rows: int = 2048
     stars: int = 16
     star_share: int = 2000
@@ -175,8 +177,9 @@ def confirmed(pairs: DataFrame, texts: DataFrame, p: MinHashParams) -> DataFrame
     """
     shares = F.ceil(F.col("group_rows") / p.star_share).cast("int")
     stars = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("group_rows")).select("a", shares.alias("shares"))
-    lead = texts.select("node", "text").join(stars, F.col("node") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(None).cast("binary").alias("b"), "text")
-    rest = groups.attach(pairs, ["a"], []).select("a", "b", shares.alias("shares")).join(texts.select(F.col("node").alias("b"), "text"), "b")
+    wide = lambda k: groups.sieve(texts.select(F.col("node").alias(k), "text"), [k], pairs.select(k)).hint("merge")
+    lead = wide("a").join(stars, "a").select("a", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(None).cast("binary").alias("b"), "text")
+    rest = groups.attach(pairs, ["a"], []).select("a", "b", shares.alias("shares")).join(wide("b"), "b")
     rest = rest.select("a", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int").alias("share"), "b", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +229,7 @@ def forests(at: DataFrame, failed: DataFrame, nodes: DataFrame, p: MinHashParams
     """
     none = lambda kind: F.lit(None).cast(kind)
     known = failed.join(at.select("key", F.col("node").alias("a")), "a").select("key", F.col("a").alias("node"), F.col("b").alias("comp"), none("long").alias("n"), none("binary").alias("bins"))
-    rows = at.join(nodes.select("node", "n", "bins"), "node").select("key", "node", "comp", "n", "bins").unionByName(known)
+    rows = at.join(nodes.select("node", "n", "bins").hint("merge"), "node").select("key", "node", "comp", "n", "bins").unionByName(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -304,13 +307,16 @@ def near_duplicates(documents: DataFrame, p: MinHashParams = MinHashParams()) ->
     sketched = common.materialize(sketch(documents, p), "sketch")
     some = sketched.where(F.col("node").isNotNull())
     nodes = common.materialize(some.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "nodes")
-    rows = common.materialize(nodes.select("node", F.explode("keys").alias("key")), "bands")
-    bucket = common.materialize(groups.attach(rows, ["key"], [F.min("node").alias("first")], at_least=2, row_salt=["node"]), "buckets")
-    common.discard(rows)
+    rows = nodes.select("node", F.explode("keys").alias("key"))
+    often = common.materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("group_rows")).where("group_rows > 1"), "keys")
+    met = common.materialize(groups.sieve(rows, ["key"], often), "bands")
+    bucket = common.materialize(groups.attach(met, ["key"], [F.min("node").alias("first")], at_least=2, row_salt=["node"]), "buckets")
+    common.discard(often, met)
     shared = common.materialize(bucket.select("node").distinct().join(nodes.select("node", "rep"), "node"), "shared")
     labels = common.materialize(shared.select("node", F.col("node").alias("comp")), "labels")
     if not bucket.isEmpty():
-        texts = documents.select("doc_id", "text").join(shared, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
+        some = groups.sieve(documents.select(F.col("doc_id").alias("rep"), "text"), ["rep"], shared)
+        texts = some.select(F.col("rep").alias("doc_id"), "text").hint("merge").join(shared, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
         texts = common.materialize(own_texts(texts, p), "texts")
         fine = texts.select("node", "n", "bins")
         first = common.materialize(bucket.where(F.col("node") != F.col("first")).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "stars")
