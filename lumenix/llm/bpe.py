@@ -4,10 +4,16 @@ Texts are cut before single blanks between non-blank characters. The split patte
 there in any case (no alternative reaches over such a blank, and the look-ahead only concerns runs of
 white space), so the pieces can be encoded one by one and their ids joined. That bounds what the
 library sees of a long text, and lets frequent pieces come from a bounded memo. Texts with other runs
-of white space go through the library in cuts at the same kind of boundary.
+of white space go through the library in cuts at the same kind of boundary, before any single white-space character.
 
-Edge cases: a null or empty text has no ids; any valid text survives the round trip; ids never hold
-special tokens (their strings in a text are ordinary text).
+The library's search overflows its stack on a run of about a million white-space characters. Such a run is one match by
+the pattern, but for its last character if a non-blank follows: runs of ``RUN`` or more are cut out and encoded as the
+one piece they are. All this holds for the pattern ``BYTE_LEVEL``; with any other, whole texts go to the library.
+
+Edge cases: a null or empty text has no ids; any valid text survives the round trip, runs of millions of characters of
+one kind and texts without a blank among them; ids never hold special tokens (their strings in a text are ordinary text);
+repeated rows are encoded alike; an empty table gives an empty result; only ``doc_id`` and ``text`` are read, so other
+columns may have any name.
 """
 
 from __future__ import annotations
@@ -26,8 +32,14 @@ from pyspark.sql import DataFrame
 
 MEMO_ENTRIES = 250_000
 LONG = 1 << 16
-_SAFE = re.compile(r"(?<=\S) (?=\S)")
-_LOADED: dict[tuple[str, str], "PieceEncoder"] = {}
+RUN = 1 << 13
+#: The split of byte-level tokenizers.
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: What the libraries take for white space; ``str.isspace`` has a few control characters more.
+WHITE = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_SAFE = re.compile(rf"(?<=\S){WHITE}(?=\S)")
+_RUNS: dict[int, re.Pattern] = {}
+_LOADED: dict[tuple[str, str], tuple] = {}
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -48,6 +60,21 @@ def safe_cuts(text: str, size: int = LONG) -> Iterator[str]:
     yield text[at:]
 
 
+def encode_split(enc: tiktoken.Encoding, text: str) -> list[int]:
+    """``enc.encode_ordinary(text)`` for the pattern ``BYTE_LEVEL``, whatever the length of its runs of white space."""
+    if len(text) < RUN:
+        return enc.encode_ordinary(text)
+    if RUN not in _RUNS:
+        _RUNS[RUN] = re.compile(WHITE + f"{{{RUN},}}")
+    out: list[int] = []
+    at = 0
+    for m in _RUNS[RUN].finditer(text):
+        end = m.end() - (m.end() < len(text))
+        out += enc.encode_ordinary(text[at : m.start()]) + enc._encode_single_piece(text[m.start() : end])
+        at = end
+    return out + enc.encode_ordinary(text[at:])
+
+
 def _pack(ids: list[int]) -> bytes:
     out = array("I", ids)
     if sys.byteorder != "little":
@@ -104,11 +131,24 @@ class PieceEncoder:
         return b"".join(found)
 
 
-def encoder(path: str, pattern: str) -> tuple[tiktoken.Encoding, PieceEncoder]:
+class LibraryEncoder:
+    """Whole texts by the library, for patterns whose boundaries are not known here."""
+
+    def __init__(self, enc: tiktoken.Encoding):
+        self._enc = enc
+
+    def packed(self, text: str) -> bytes:
+        return _pack(self._enc.encode_ordinary(text))
+
+
+def encoder(path: str, pattern: str) -> tuple[tiktoken.Encoding, PieceEncoder | LibraryEncoder]:
     """One encoder per worker process and rank file."""
     if (path, pattern) not in _LOADED:
         enc = tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
-        _LOADED[path, pattern] = (enc, PieceEncoder(lambda pieces: [enc.encode_ordinary(p) for p in pieces]))
+        if pattern == BYTE_LEVEL:
+            _LOADED[path, pattern] = (enc, PieceEncoder(lambda pieces: [encode_split(enc, p) for p in pieces]))
+        else:
+            _LOADED[path, pattern] = (enc, LibraryEncoder(enc))
     return _LOADED[path, pattern]
 
 

@@ -8,7 +8,9 @@ of ``merge_partitions`` such partitions are packed once more, and what then rema
 sequences and a last one, which is split at powers of two (lengths that need no padding).
 
 Edge cases: a null or empty text is its end mark alone, one token; repeated rows are packed once per row;
-an empty table gives an empty result; a null id is packed like any other.
+an empty table gives an empty result; a null id is packed like any other; texts of any length, runs of millions of
+characters of one kind among them, are encoded whole; only ``doc_id`` and ``text`` are read, so other columns may have any
+name.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lumenix.llm import common
-from lumenix.llm.bpe import PieceEncoder
+from lumenix.llm.bpe import BYTE_LEVEL, PieceEncoder, encode_split
 
 
 @dataclass(frozen=True)
@@ -39,8 +41,6 @@ class PackParams:
     end_id: int = 0
 
 
-#: The split of byte-level tokenizers.
-BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 Piece = tuple[object, int, bytes, int]  # id, start, packed ids, tokens of the document
 _LOADED: dict = {}
 
@@ -92,7 +92,7 @@ def encoder(path: str) -> PieceEncoder | AddedTokens | WholeTexts:
     if path not in _LOADED:
         if ranks := as_ranks(path):
             fast = tiktoken.Encoding(path, pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
-            inner = PieceEncoder(lambda pieces: [fast.encode_ordinary(p) for p in pieces])
+            inner = PieceEncoder(lambda pieces: [encode_split(fast, p) for p in pieces])
         else:
             inner = library_encoder(path)
         with open(path, encoding="utf-8") as f:

@@ -75,6 +75,12 @@ def test_piece_encoder_equals_both_libraries(monkeypatch):
         t = text(rng, 120)
         assert pieces.packed(t) == np.asarray(enc.encode_ordinary(t), "<u4").tobytes()
         assert mine.packed(t) == slow.packed(t) == np.asarray(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    monkeypatch.setattr(bpe, "RUN", 5)  # cut out nearly all runs of white space
+    blanks = "  \t\n\n\r\x0b\x0c\x85\xa0\u3000\u2028\x1c\x1fa'.1中"
+    for _ in range(2000):
+        t = text(rng, 120, blanks)
+        assert pieces.packed(t) == np.asarray(enc.encode_ordinary(t), "<u4").tobytes()
+        assert mine.packed(t) == np.asarray(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
     full = bpe.PieceEncoder(lambda p: [enc.encode_ordinary(x) for x in p], entries=3)
     for t in ("the cat sat on the mat " * 30, "a b c d e f g h", ""):
         assert full.packed(t) == np.asarray(enc.encode_ordinary(t), "<u4").tobytes()
@@ -112,6 +118,24 @@ def jaccard(a, b):
     return len(a & b) / len(a | b)
 
 
+@pytest.mark.parametrize("unit, n", [(" ", 5_000_000), ("\n", 2_500_000), ("\t ", 1_000_000), ("\r\n", 800_000), ("\u3000", 1_200_000), ("a", 2_000_000), ("-", 1_000_000), ("ab\n", 400_000), ("中", 500_000)])
+def test_long_runs_survive(unit, n):
+    """The library alone overflows its stack on a million white-space characters; the other library does not."""
+    enc, pieces = bpe.encoder(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    lib = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    for t in (unit * n, "x" + unit * n + "y", unit * n + "<|endoftext|>z"):
+        ids = pieces.packed(t)
+        assert enc.decode_bytes(np.frombuffer(ids, "<u4").tolist()) == t.encode()
+    t = "x" + unit * (n // 4) + "y<|endoftext|>" + unit * (n // 4)
+    assert packing.encoder(P.path("byte_bpe_50k.json")).packed(t) == np.asarray(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_runs_near_the_library_s_limit_have_its_ids():
+    enc, pieces = bpe.encoder(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    for t in (" " * 600_000, "x" + " \n" * 200_000 + "y", "\n" * 300_000 + " z"):
+        assert pieces.packed(t) == np.asarray(enc.encode_ordinary(t), "<u4").tobytes()
+
+
 def test_band_keys_find_similar_sets():
     rng = np.random.default_rng(2)
     p = minhash.MinHashParams()
