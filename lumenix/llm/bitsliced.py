@@ -1,19 +1,22 @@
 """Exact top-k inner-product search on a bit-sliced index.
 
-Rows are laid out in segments of at most ``segment_rows``, sorted by id. A segment keeps, for every attribute
-(a component turned into floor(scale * x)), one bitmap per bit of its two's complement. For a query, the slices
-of each attribute, shifted by the signed digits of the query's component, are added with bitmap arithmetic
-(carry-save adders, then one ripple) into the slices of the score. The top rows are taken from the most
-significant slice downward; rows of equal score at the boundary are resolved exactly, by smaller id. Segments'
-winners are merged per query.
+The index is written once: rows are spread over segments of about ``segment_rows``, sorted by id there, and a segment keeps,
+for every attribute (a component turned into floor(scale * x)), one bitmap per bit of its two's complement, and the ids. For
+a query, the slices of each attribute, shifted by the signed digits of the query's component, are added with bitmap
+arithmetic (carry-save adders, then one ripple) into the slices of the score. The top rows are taken from the most
+significant slice downward; rows of equal score at the boundary are resolved exactly, by smaller id, and a winner's score is
+read off its slices. Segments' winners are merged per query.
 
-Queries go in blocks of ``query_block`` against all segments, joined on the block's number: no cross join, and
-neither side is collected. Every (segment, block) pair is a task unit of bounded size.
+Queries go in blocks of ``query_block`` against all segments. A unit is one segment's bitmaps (about 90 bytes a row) and one
+block, joined on both numbers, so that no task meets more than its units and neither side is collected. Each row is shuffled
+once for each block, as bitmaps: work and shuffle are those of the stated queries times rows, in blocks.
 
 Edge cases: a null vector or one with null or non-finite components takes no part; components may be of any size, and
-a winner's score beyond 64 bits is an error, never a wrong number; vectors of another length than the query's are no candidates; rows that share the query's
-id are its own; a query that occurs in several rows is answered once for each distinct vector; fewer candidates than k
-give them all; an empty table gives an empty result.
+a winner's score beyond 64 bits is an error, never a wrong number; vectors of another length than the query's are no
+candidates; rows that share the query's id are its own; a query id that occurs with several vectors is answered once, with
+ranks of its own, for each distinct vector; a candidate id that occurs in several rows is a candidate for each; fewer
+candidates than k give them all; an empty table gives an empty result; only ``vec_id`` and ``embedding`` are read, so other
+columns may have any name.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +37,7 @@ class SearchParams:
     k: int = 10
     scale: int = 1024
     segment_rows: int = 16384
-    query_block: int = 256
+    query_block: int = 512
 
 
 WHOLE = float(1 << 52)  # doubles from here on have no fraction
@@ -48,7 +51,7 @@ def quantised(vector: Column, scale: int) -> Column:
     return F.when(vector.isNotNull() & fine, q)
 
 
-def integers(rows: list) -> np.ndarray:
+def integers(rows: list | np.ndarray) -> np.ndarray:
     """Whole numbers given as doubles, in int64 where all fit, else as Python's."""
     a = np.array(rows, np.float64)
     return a.astype(np.int64) if not a.size or np.abs(a).max() < 2.0**62 else np.vectorize(int, otypes=[object])(a)
@@ -140,47 +143,69 @@ def top_rows(slices: np.ndarray, allowed: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([rows(sure), rows(even)[: max(0, k - have)]])
 
 
-def search_segment(ids: np.ndarray, values: np.ndarray, queries: list[tuple[int, np.ndarray]], k: int) -> Iterator[tuple[int, int, int]]:
-    """(query, row id, score) of each query's winners in one segment; ``ids`` ascend."""
-    slices = [bitmaps(values[:, j]) for j in range(values.shape[1])]
+def search_segment(ids: np.ndarray, slices: list[np.ndarray], queries: Iterator[tuple[int, np.ndarray]], k: int) -> Iterator[tuple[int, int, int]]:
+    """(number of the query, row id, score) of each query's winners in one segment; ``ids`` ascend."""
     n, words = len(ids), -(-len(ids) // 64)
     every = np.packbits(np.arange(words * 64) < n, bitorder="little").view(np.uint64)
-    for query, vector in queries:
+    for number, (query, vector) in enumerate(queries):
         allowed = every.copy()
         for own in range(*np.searchsorted(ids, [query, query + 1])):
             allowed[own // 64] &= ~(np.uint64(1) << np.uint64(own % 64))
-        for r in top_rows(score_slices(slices, vector), allowed, k):
-            yield query, int(ids[r]), sum(int(a) * int(b) for a, b in zip(values[r], vector))
+        total = score_slices(slices, vector)
+        for r in top_rows(total, allowed, k):
+            bits = (total[:, r // 64] >> np.uint64(r % 64) & np.uint64(1)).tolist()
+            yield number, int(ids[r]), sum(b << i for i, b in enumerate(bits)) - (bits[-1] << len(bits))
 
 
-def index(vectors: DataFrame, p: SearchParams = SearchParams()) -> DataFrame:
-    """segment, vec_id, q: every usable row, in segments of about ``segment_rows`` (by hash of the id), written once."""
+def quantise(vectors: DataFrame, p: SearchParams = SearchParams()) -> DataFrame:
+    """vec_id, q, row: every row that takes part, written once, with a number of its own."""
     rows = vectors.select("vec_id", quantised(F.col("embedding"), p.scale).alias("q")).where(F.col("q").isNotNull() & F.col("vec_id").isNotNull() & (F.size("q") > 0))
-    rows = common.materialize(rows, "quantised")
+    return common.materialize(rows.withColumn("row", F.monotonically_increasing_id()), "quantised")
+
+
+def index(rows: DataFrame, p: SearchParams = SearchParams()) -> DataFrame:
+    """segment, size, ids, bits, slices: the bitmaps of all ``rows``, written once. Rows with one id spread over segments."""
     segments = max(1, -(-rows.count() // p.segment_rows))
-    return rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(segments)).cast("int").alias("segment"), "vec_id", "q")
+    placed = rows.select(F.pmod(F.xxhash64("row"), F.lit(segments)).cast("int").alias("segment"), F.size("q").alias("size"), "vec_id", "q")
+    grouped = placed.groupBy("segment", "size").agg(F.collect_list(F.struct("vec_id", "q")).alias("rows"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for segment, size, members in zip(batch.column(0), batch.column(1), batch.column(2)):
+                ids = members.values.field("vec_id").to_numpy().astype(np.int64)
+                values = members.values.field("q").flatten().to_numpy().reshape(len(ids), size.as_py())
+                order = np.lexsort((*values.T[::-1], ids))
+                maps = [bitmaps(integers(values[order, j])) for j in range(values.shape[1])]
+                row = [[segment.as_py()], [size.as_py()], [ids[order].tobytes()], [[len(m) for m in maps]], [b"".join(m.tobytes() for m in maps)]]
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.binary()))], ["segment", "size", "ids", "bits", "slices"])
+
+    return common.materialize(grouped.mapInArrow(run, "segment int, size int, ids binary, bits array<int>, slices binary"), "bitmaps")
 
 
 def search(indexed: DataFrame, queries: DataFrame, p: SearchParams = SearchParams()) -> DataFrame:
     """query_id, rank, vec_id, score for ``queries(vec_id, q)`` against all rows of ``indexed``."""
-    wanted = queries.select(F.col("vec_id").alias("query_id"), "q").distinct()
-    blocks = max(1, -(-wanted.count() // p.query_block))
-    wanted = wanted.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    block = wanted.groupBy("block").agg(F.collect_list(F.struct("query_id", "q")).alias("queries"))
-    sides = indexed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("size", F.size("q"))
-    grouped = sides.groupBy("segment", "block", "size").agg(F.collect_list(F.struct("vec_id", "q")).alias("rows"))
-    units = grouped.join(block, "block").repartition(F.col("segment"), F.col("block"), F.col("size"))
+    wanted = queries.select(F.col("vec_id").alias("query_id"), "q").distinct().withColumn("number", F.monotonically_increasing_id())
+    wanted = common.materialize(wanted, "queries")  # numbers stay what they are
+    blocks, segments = max(1, -(-wanted.count() // p.query_block)), (indexed.agg(F.max("segment")).first()[0] or 0) + 1
+    many = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    block = wanted.groupBy(F.pmod(F.xxhash64("number"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("number", "query_id", "q")).alias("queries"))
+    units = indexed.withColumn("block", many(blocks)).join(block.withColumn("segment", many(segments)).hint("merge"), ["segment", "block"])
     k = p.k
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, queries_ in zip(batch["rows"], batch["queries"]):
-                rows = sorted(rows, key=lambda r: (r["vec_id"], tuple(r["q"])))
-                ids = np.array([r["vec_id"] for r in rows], np.int64)
-                values = integers([r["q"] for r in rows])
-                asked = [(x["query_id"], integers(x["q"])) for x in queries_ if len(x["q"]) == values.shape[1]]
-                yield pd.DataFrame(list(search_segment(ids, values, asked, k)), columns=["query_id", "vec_id", "score"]).astype("int64")
-
-    found = units.select("rows", "queries").mapInPandas(run, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            for u in range(len(batch)):
+                ids_, bits, blob, asked = (batch.column(c)[u] for c in range(4))
+                ids, at, slices = np.frombuffer(ids_.as_py(), np.int64), 0, []
+                flat, words = np.frombuffer(blob.as_py(), np.uint64), -(-len(ids) // 64)
+                for b in bits.as_py():
+                    slices.append(flat[at : at + b * words].reshape(b, words))
+                    at += b * words
+                fitting = [x for x in asked.as_py() if len(x["q"]) == len(slices)]
+                found = list(search_segment(ids, slices, ((x["query_id"], integers(x["q"])) for x in fitting), k))
+                columns = [[fitting[i]["number"] for i, _, _ in found], [fitting[i]["query_id"] for i, _, _ in found], [v for _, v, _ in found], [s for _, _, s in found]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["number", "query_id", "vec_id", "score"])
+
+    found = units.select("ids", "bits", "slices", "queries").mapInArrow(run, "number long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("number").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -107,8 +107,8 @@ FROM k
 def op4_bitsliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenix.llm import bitsliced
 
-    indexed = bitsliced.index(table(spark, sf_dir, "embeddings"))
-    return bitsliced.search(indexed, indexed.where("vec_id % 100 = 0").select("vec_id", "q"))
+    rows = bitsliced.quantise(table(spark, sf_dir, "embeddings"))
+    return bitsliced.search(bitsliced.index(rows), rows.where("vec_id % 100 = 0"))
 
 
 ORACLES["op4_bitsliced_topk"] = """

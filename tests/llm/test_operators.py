@@ -210,13 +210,14 @@ def test_search_against_brute_force(spark):
     v += [(500 + i, v[3][1]) for i in range(15)]  # ties
     df = spark.createDataFrame([(*r, "x") for r in v], "vec_id long, embedding array<float>, q string")
     p = bitsliced.SearchParams(segment_rows=100, query_block=3)
-    indexed = bitsliced.index(df, p)
-    got = bitsliced.search(indexed, indexed.where("vec_id % 50 = 0").select("vec_id", "q"), p).collect()
+    rows_ = bitsliced.quantise(df, p)
+    got = bitsliced.search(bitsliced.index(rows_, p), rows_.where("vec_id % 50 = 0"), p).collect()
     q = {i: np.floor(1024 * np.array(e, np.float32).astype(np.float64)).astype(np.int64) for i, e in v if i not in (7, 8, 9, 10)}
     for a in (i for i in q if i % 50 == 0):
         want = sorted(((-int(q[a] @ q[b]), b) for b in q if b != a))[:10]
         assert [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == a] == [(b, -s) for s, b in want]
-    assert bitsliced.search(bitsliced.index(df.limit(0)), indexed.limit(0).select("vec_id", "q")).count() == 0
+    none = bitsliced.quantise(df.limit(0))
+    assert bitsliced.search(bitsliced.index(none), none).count() == 0
 
 
 def test_byte_bpe(spark, mixed):
@@ -299,13 +300,31 @@ def test_bitsliced_takes_components_of_any_size(spark):
     """As Python's integers; before, vectors with a component of 4,096 or more were left out."""
     v = [[5000.0, 0.5], [4096.0, -3.0], [-1e6, 2.0], [0.25, 8.0], [3.0, 1e8], [2.0**60, 0.0], [0.0, 1.5]]
     df = spark.createDataFrame(list(enumerate(v)), "vec_id long, embedding array<double>")
-    indexed = bitsliced.index(df)
-    got = [tuple(r) for r in bitsliced.search(indexed, indexed.where("vec_id = 6").select("vec_id", "q")).collect()]
+    rows_ = bitsliced.quantise(df)
+    got = [tuple(r) for r in bitsliced.search(bitsliced.index(rows_), rows_.where("vec_id = 6")).collect()]
     q = [[math.floor(1024 * x) for x in r] for r in v]
     dots = [sum(x * y for x, y in zip(q[6], r)) for r in q]
     assert sorted(got) == [(6, k + 1, b, dots[b]) for k, b in enumerate(sorted(range(6), key=lambda b: (-dots[b], b)))]
 
 
+def test_bitsliced_repeated_ids(spark):
+    """A hot id spreads over segments; each distinct vector of a query id has ranks of its own; no candidate is merged."""
+    rng = np.random.default_rng(6)
+    v = [(7 if i % 3 else 100 + i, rng.normal(size=5).round(2).tolist()) for i in range(90)] + [(100, [1.0] * 5), (100, [-1.0] * 5), (200, None)]
+    df = spark.createDataFrame([(a, b, 1, "x") for a, b in v], "vec_id long, embedding array<double>, segment int, q string")
+    p = bitsliced.SearchParams(segment_rows=20, query_block=1)
+    rows_ = bitsliced.quantise(df, p)
+    index = bitsliced.index(rows_, p)
+    assert index.select(F.max(F.length("ids") / 8)).first()[0] < 50 and index.count() > 3
+    got = [tuple(r) for r in bitsliced.search(index, rows_.where("vec_id in (100, 7)"), p).collect()]
+    q = [(a, [math.floor(1024 * x) for x in b]) for a, b in v if b]
+    want = []
+    for query, x in {(a, tuple(b)) for a, b in q if a in (100, 7)}:
+        top = sorted((-sum(i * j for i, j in zip(x, b)), a) for a, b in q if a != query)[:10]
+        want += [(query, k + 1, a, -s) for k, (s, a) in enumerate(top)]
+    assert sorted(got) == sorted(want)
+
+
 def classified(spark, n=160):
     rng = random.Random(8)
     en = lambda: " ".join(rng.choice(WORDS) for _ in range(40))
