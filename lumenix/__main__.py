@@ -32,7 +32,7 @@ def _find(spark: SparkSession, a: argparse.Namespace) -> None:
     shown = retrieve.regions(hits, a.per_file, a.limit)
     segs = None
     for label, root in build_roots(a.root).items():
-        s = spark.read.parquet(os.path.join(root, files.INDEX_DIR, "segments"))
+        s = build.segments_of(spark, os.path.join(root, files.INDEX_DIR))
         segs = s if segs is None else segs.unionByName(s)
     lines = segs.select("resource", "start", "first_line", "last_line", tx.snippet(F.col("text"), F.col("first_line"), F.col("last_line"), a.lines).alias("snippet"))
     for r in shown.join(lines, ["resource", "start"], "left").orderBy("place").collect():
@@ -67,6 +67,7 @@ def main(argv: list[str] | None = None) -> int:
     c.add_argument("-u", "--update", action="store_true")
     c = sub.add_parser("status", help="what is built, what has moved")
     c.add_argument("root", nargs="?", default=".")
+    c.add_argument("--brief", action="store_true")
     c = sub.add_parser("classify", help="what the declaration and term classifiers make of a file")
     c.add_argument("file")
     c = sub.add_parser("gc", help="objects that no manifest lists")
@@ -88,7 +89,8 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "status":
         out = os.path.join(a.root, files.INDEX_DIR)
         config = build.read_config(a.root)
-        print(json.dumps(store.status(store.load_manifest(spark, f"{out}/manifest"), {n: d.enabled for n, d in config.dimensions.items()}, build.staleness(spark, a.root))))
+        counts = store.status(store.load_manifest(spark, f"{out}/manifest"), {n: d.enabled for n, d in config.dimensions.items()}, build.staleness(spark, a.root))
+        print(store.brief(counts) if a.brief else json.dumps(counts))
     elif a.command == "classify":
         one = spark.createDataFrame([("x", a.file, open(a.file, encoding="utf-8").read())], "origin string, resource string, text string")
         seg = windows(one)

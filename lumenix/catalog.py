@@ -13,6 +13,7 @@ from lumenix.functions import vectors as vec
 from lumenix.operators import classify, cluster, evaluate, retrieve, store
 from lumenix.operators import score as sc
 from lumenix.operators.segment import windows
+from lumenix.sources import scratch
 from lumenix.sources import tables as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -375,19 +376,25 @@ def sql_metrics(actual: str, ideal: str, prefix: str) -> str:
 
 
 def golden(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(hits, qrels): benchmark passages as queries, documents that hold them as answers, at the passage's lines."""
+    """(hits, qrels): benchmark passages as queries, documents that hold them as answers, at the passage's lines.
+
+    Both are written tables, since every measure reads them several times.
+    """
     b, docs, labels = src.table(spark, d, "benchmark"), src.table(spark, d, "documents"), src.table(spark, d, "labels")
-    # The benchmark is a fixed query set, not a corpus: the optimizer broadcasts it by its measured size.
-    both = b.select(F.col("item_id").alias("query_id"), F.col("text").alias("passage")).join(docs.select("doc_id", "text"), F.expr("contains(text, passage)"))
+    both = evaluate.holders(docs.select("doc_id", "text"), b.select(F.col("item_id").alias("query_id"), F.col("text").alias("passage")))
     head = F.expr("left(text, instr(text, passage) - 1)")
     count = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+    placed = both.select("query_id", "doc_id", (1 + count(head)).alias("start_line"), (1 + count(head) + count(F.col("passage"))).alias("end_line"))
     best = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    qrels = both.withColumn("start_line", 1 + count(head)).withColumn("end_line", F.col("start_line") + count(F.col("passage"))).join(best, "doc_id", "left")
+    qrels = placed.join(best, "doc_id", "left")
     qrels = qrels.select("query_id", F.concat(F.lit("doc/"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("resource"), "start_line", "end_line", F.when(F.col("quality") == 1, 2).otherwise(1).alias("grade"), F.col("doc_id").alias("no"))
     seg = windows(src.documents(spark, d), 4, 1)
-    hits = sc.bm25_batch(sc.structural(seg), b.select(F.col("item_id").alias("query_id"), "text"), 30)
-    placed = hits.join(seg.select("resource", "start", "first_line", "last_line"), ["resource", "start"])
-    return placed.select("query_id", "origin", "resource", "start", "end", F.col("first_line").alias("start_line"), F.col("last_line").alias("end_line"), "score", "rank"), qrels
+    rec = scratch.materialize(sc.structural(seg, "first_line", "last_line"), "records")
+    hits = sc.bm25_batch(rec, b.select(F.col("item_id").alias("query_id"), "text"), 30)
+    lined = hits.join(rec.select("resource", "start", F.col("first_line").alias("start_line"), F.col("last_line").alias("end_line")), ["resource", "start"])
+    lined = scratch.materialize(lined.select("query_id", "origin", "resource", "start", "end", "start_line", "end_line", "score", "rank"), "hits")
+    scratch.discard(rec)
+    return lined, scratch.materialize(qrels, "qrels")
 
 
 @query(f"WITH {SQL_BATCH} {sql_metrics('fg', 'fi', 'file')}")

@@ -7,7 +7,7 @@ Time grows with the square of the pool. A block column clusters every block of a
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,8 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenix.functions import identity
-
-MAX_POOL = 8000
+from lumenix.sources import scratch
 
 
 @dataclass(frozen=True)
@@ -162,19 +161,17 @@ def fabricate(
     )
 
 
-def leaves(edges: DataFrame, roots: DataFrame, max_depth: int = 64) -> DataFrame:
-    """cluster, leaf of all segments below each of ``roots(cluster)``; cycles end because pairs are visited once.
+def leaves(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """cluster, leaf of all segments below each of ``roots(cluster)``, to the fixpoint: trees of any depth, and cycles end
+    because pairs are visited once.
 
-    Semi-naive: each round joins only the pairs found last with the edges.
+    Semi-naive: each round joins only the pairs found last with the edges, and is written to the shared folder.
     """
     parents = edges.select(F.col("parent").alias("p")).distinct()
-    frontier = roots.select("cluster", F.col("cluster").alias("node")).distinct()
-    seen = frontier
-    for _ in range(max_depth):
+    frontier = seen = scratch.materialize(roots.select("cluster", F.col("cluster").alias("node")).distinct(), "frontier")
+    while not frontier.isEmpty():
         step = frontier.join(edges, F.col("node") == F.col("parent")).select("cluster", F.col("child").alias("node")).distinct()
-        frontier = step.join(seen, ["cluster", "node"], "left_anti").persist()
-        if frontier.isEmpty():
-            break
+        frontier = scratch.materialize(step.join(seen, ["cluster", "node"], "left_anti"), "frontier")
         seen = seen.unionByName(frontier)
     return seen.join(parents, F.col("node") == F.col("p"), "left_anti").select("cluster", F.col("node").alias("leaf")).where("cluster <> leaf")
 
@@ -188,22 +185,28 @@ def orphans(pool: DataFrame, grouped: DataFrame) -> DataFrame:
     return pool.join(grouped.select("id"), "id", "left_anti")
 
 
-def pairs(pool: DataFrame, threshold: float) -> DataFrame:
-    """All pairs of a bounded pool whose similarity reaches the threshold, in numpy within one task."""
-    if pool.count() > MAX_POOL:
-        raise ValueError(f"pairs are listed for at most {MAX_POOL} records")
+def pairs(pool: DataFrame, threshold: float, block: int = 2048) -> DataFrame:
+    """All pairs of a pool of any size whose similarity reaches the threshold: a, b, similarity.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = list(batches)
-        if not parts:
-            return
-        pdf = pd.concat(parts).sort_values("id").reset_index(drop=True)
-        v = np.array(pdf["vec"].tolist(), np.float64)
-        for lo in range(0, len(v), 512):
-            s = v[lo : lo + 512] @ v.T
-            i, j = np.nonzero(s >= threshold)
-            ok = j > i + lo
-            yield pd.DataFrame({"a": pdf["id"].to_numpy()[i[ok] + lo], "b": pdf["id"].to_numpy()[j[ok]], "similarity": s[i[ok], j[ok]]})
+    Rows are spread over blocks of about ``block``; a unit is two blocks, compared in numpy, so a task holds two blocks and
+    each row moves once for every other block.
+    """
+    blocks = max(1, -(-pool.count() // block))
+    own = pool.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("own"))
+    units = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "vec")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = int(pdf["x"].iloc[0])
+        left = pdf[pdf["own"] == x].sort_values("id").reset_index(drop=True)
+        right = left if x == int(pdf["y"].iloc[0]) else pdf[pdf["own"] != x].sort_values("id").reset_index(drop=True)
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": left["id"][:0], "b": left["id"][:0], "similarity": np.zeros(0)})
+        s = np.array(left["vec"].tolist(), np.float64) @ np.array(right["vec"].tolist(), np.float64).T
+        i, j = np.nonzero(s >= threshold)
+        a, b = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
+        ok = j > i if right is left else a != b
+        first = a[ok] <= b[ok]
+        return pd.DataFrame({"a": np.where(first, a[ok], b[ok]), "b": np.where(first, b[ok], a[ok]), "similarity": s[i[ok], j[ok]]})
 
     kind = pool.schema["id"].dataType.simpleString()
-    return pool.select("id", "vec").coalesce(1).mapInPandas(run, f"a {kind}, b {kind}, similarity double")
+    return units.groupBy("x", "y").applyInPandas(run, f"a {kind}, b {kind}, similarity double")

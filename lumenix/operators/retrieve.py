@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenix.operators import score as sc
+from lumenix.sources import scratch
 
 MAX_WEIGHT = 1e6
 
@@ -84,7 +85,8 @@ def parse_dimension(spec: str) -> tuple[str, Term]:
 class Dimension:
     """A built dimension: term records (``terms``, ``len``) or unit vectors (``vec``), never both scored.
 
-    ``levels`` are those that hold records; ``encode`` turns query text into a vector.
+    ``levels`` are those that hold records; ``encode`` turns query text into a vector. ``scorer``, if given, maps (table,
+    query text) to location, level and a score in (0, 1], in place of BM25 or cosine.
     """
 
     records: DataFrame | None = None
@@ -92,6 +94,7 @@ class Dimension:
     encode: object = None
     levels: tuple[int, ...] = (0,)
     fingerprint: str = ""
+    scorer: Callable[[DataFrame, str], DataFrame] | None = None
 
 
 @dataclass
@@ -116,7 +119,9 @@ class Index:
             d = self.dimensions[name]
             if not any(levels.allows(x) for x in d.levels):
                 continue
-            if d.vectors is not None:
+            if d.scorer is not None:
+                out[name] = d.scorer(levels.apply(d.vectors if d.vectors is not None else d.records), term.text)
+            elif d.vectors is not None:
                 out[name] = sc.cosine(levels.apply(d.vectors), d.encode(term.text))  # type: ignore[operator]
             else:
                 spark = d.records.sparkSession
@@ -152,13 +157,13 @@ def federation(members: Mapping[str, Index]) -> Index:
         for name, d in member.dimensions.items():
             tag = lambda df: None if df is None else df.withColumn("origin", F.lit(origin))  # noqa: B023, E731
             if name not in out.dimensions:
-                out.dimensions[name] = Dimension(tag(d.records), tag(d.vectors), d.encode, d.levels, d.fingerprint)
+                out.dimensions[name] = Dimension(tag(d.records), tag(d.vectors), d.encode, d.levels, d.fingerprint, d.scorer)
                 continue
             have = out.dimensions[name]
             if have.fingerprint != d.fingerprint:
                 raise ValueError(f"dimension {name!r} was built differently in {origin!r}")
             join = lambda a, b: b if a is None else a if b is None else a.unionByName(b)
-            out.dimensions[name] = Dimension(join(have.records, tag(d.records)), join(have.vectors, tag(d.vectors)), have.encode, tuple(sorted({*have.levels, *d.levels})), have.fingerprint)
+            out.dimensions[name] = Dimension(join(have.records, tag(d.records)), join(have.vectors, tag(d.vectors)), have.encode, tuple(sorted({*have.levels, *d.levels})), have.fingerprint, have.scorer)
     return out
 
 
@@ -198,22 +203,31 @@ def shape(ranked: DataFrame, depths: list[int], per_resource: int, limit: int) -
     return runs.join(F.broadcast(pick), "depth").select("place", "origin", "resource", "start", "end", "level", "score", "region_start", "region_end", "segments", "more")
 
 
+def numbered(hits: DataFrame) -> DataFrame:
+    """``hits`` with their place ``rn`` in the ranking, written once. The sort is distributed; places are a partition's
+    offset plus the row's place there, so no task holds all hits and the driver sees one count a partition."""
+    spark = hits.sparkSession
+    out = scratch.materialize(sc.rank(hits).withColumn("_id", F.monotonically_increasing_id()), "ranked")
+    part, at = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    before, offsets = 0, []
+    for p, n in out.groupBy(part.alias("p")).count().orderBy("p").collect():
+        offsets.append((p, before))
+        before += n
+    table = spark.createDataFrame(offsets, "_part long, _before long")
+    return out.withColumn("_part", part).join(F.broadcast(table), "_part").withColumn("rn", (F.col("_before") + at + 1).cast("int")).drop("_part", "_before", "_id")
+
+
 def regions(hits: DataFrame, per_resource: int = 2, limit: int = 10) -> DataFrame:
     """Regions for the best places, reading as deep as the list needs: ``4 * limit`` hits (20 at least), then twice that, and so on.
 
-    Each step is a bounded top-k; the loop stops once the list is full or the hits run out.
+    Hits are scored and ranked once; each step reads deeper into the written ranking, and the loop stops once the list is
+    full or the hits run out.
     """
-    depth = max(4 * limit, 20)
+    ranked = numbered(hits)
+    total = ranked.count()
+    depths = [max(4 * limit, 20)]
     while True:
-        top = sc.rank(hits, depth + 1)
-        ranked = top.withColumn("rn", F.row_number().over(Window.orderBy(F.desc("score"), "origin", "resource", "start", "level", "end")))
-        ranked = ranked.where(F.col("rn") <= depth).persist()
-        n = ranked.count()
-        depths = [max(4 * limit, 20)]
-        while depths[-1] < depth:
-            depths.append(depths[-1] * 2)
-        shaped = shape(ranked, depths, per_resource, limit)
-        if n < depth or shaped.count() >= limit:
+        shaped = shape(ranked.where(F.col("rn") <= depths[-1]), depths, per_resource, limit)
+        if total < depths[-1] or shaped.count() >= limit:
             return shaped.orderBy("place")
-        ranked.unpersist()
-        depth *= 2
+        depths.append(2 * depths[-1])

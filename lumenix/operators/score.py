@@ -18,14 +18,14 @@ PLACE = ["origin", "resource", "start", "end"]
 K1, B = 1.2, 0.75
 
 
-def term_records(records: DataFrame) -> DataFrame:
-    """Records with ``terms`` (an array) to one row per record: location, level, terms, len."""
-    return records.select(*PLACE, "level", "terms", F.size("terms").cast("bigint").alias("len"))
+def term_records(records: DataFrame, *more: str) -> DataFrame:
+    """Records with ``terms`` (an array) to one row per record: location, level, terms, len, and further columns named."""
+    return records.select(*PLACE, "level", "terms", F.size("terms").cast("bigint").alias("len"), *more)
 
 
-def structural(segments: DataFrame) -> DataFrame:
+def structural(segments: DataFrame, *more: str) -> DataFrame:
     """The structural dimension: all terms of each window. An empty window keeps its slot."""
-    return term_records(segments.withColumn("terms", tx.terms(F.col("text"))).withColumn("level", F.lit(0)))
+    return term_records(segments.withColumn("terms", tx.terms(F.col("text"))).withColumn("level", F.lit(0)), *more)
 
 
 def postings(records: DataFrame, wanted: list[str] | None = None) -> DataFrame:
@@ -100,11 +100,11 @@ def bm25(records: DataFrame, wanted: list[str], stats: CorpusStats) -> DataFrame
     return raw.where("raw > 0").select(*PLACE, "level", F.least(F.col("raw") / ceiling, F.lit(1.0)).alias("score"))
 
 
-def frequency_records(records: DataFrame) -> DataFrame:
+def frequency_records(records: DataFrame, *more: str) -> DataFrame:
     """Records with a stored ``descriptor`` back to terms; prose descriptors are split at white space, case kept."""
     entries = tx.decode_frequencies(F.col("descriptor"))
     terms = F.flatten(F.transform(entries, lambda e: F.array_repeat(e["term"], F.least(e["tf"], F.lit(1_000_000)).cast("int"))))
-    return term_records(records.withColumn("terms", terms))
+    return term_records(records.withColumn("terms", terms), *more)
 
 
 def cosine(vectors: DataFrame, query: list[float]) -> DataFrame:

@@ -147,6 +147,12 @@ SCHEMAS = {
 }
 
 
+def manifest_digest(path: str) -> str:
+    """The recorded digest of the manifest in a folder; empty without one."""
+    head = f"{path}/head.json"
+    return json.load(open(head))["digest"] if os.path.exists(head) else ""
+
+
 def load_manifest(spark: SparkSession, path: str) -> Manifest:
     raw = open(f"{path}/head.json").read()
     if any(line.startswith(("<<<<<<<", ">>>>>>>")) for line in raw.split("\n")):
@@ -162,8 +168,9 @@ def load_manifest(spark: SparkSession, path: str) -> Manifest:
 
 
 def named_keys(m: Manifest) -> DataFrame:
-    """Every object key that roots (a JSON list of keys each) and cluster trees refer to."""
-    of_roots = m.roots.select(F.explode(F.from_json("entry", "array<string>")).alias("object_key"))
+    """Every object key that roots (a JSON list each, of keys or of dimensions with their keys) and cluster trees refer to."""
+    plain, keyed = F.from_json("entry", "array<string>"), F.from_json("entry", "array<struct<dimension:string,object_key:string>>")
+    of_roots = m.roots.select(F.explode(F.when(F.col("entry").startswith("[{"), keyed["object_key"]).otherwise(plain)).alias("object_key"))
     return of_roots.unionByName(m.clusters.select(F.explode("keys").alias("object_key"))).distinct()
 
 
@@ -311,8 +318,14 @@ def gc_report(objects: DataFrame, manifests: list[Manifest]) -> DataFrame:
     return unreachable(objects, manifests).groupBy("tier").agg(F.count(F.lit(1)).alias("objects"), F.sum("len").alias("bytes"))
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def prune(store: str, manifests: list[Manifest]) -> int:
-    """Rewrite the store without unreachable objects, beside it first, then in its place."""
+    """Rewrite the store without unreachable objects: beside it first, then both change places, the old one goes last, so
+    that a failure at any point leaves a whole store under one of the two names."""
     spark = manifests[0].objects.sparkSession
     have = read(spark, store)
     if have is None:
@@ -324,12 +337,41 @@ def prune(store: str, manifests: list[Manifest]) -> int:
         fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
         side = spark._jvm.org.apache.hadoop.fs.Path(store.rstrip("/") + "-kept")
         have.join(gone, "object_key", "left_anti").write.mode("overwrite").parquet(side.toString())
-        fs.delete(path, True)
-        fs.rename(side, path)
+        old = spark._jvm.org.apache.hadoop.fs.Path(store.rstrip("/") + "-old")
+        fs.delete(old, True)
+        if not (fs.rename(path, old) and fs.rename(side, path)):
+            raise OSError(f"{store} could not be replaced; its objects are in {old} and {side}")
+        fs.delete(old, True)
     gone.unpersist()
     return n
 
 
+def brief(counts: dict) -> str:
+    """``status`` in a few lines, for a prompt or a session's start."""
+    built = ", ".join(f"{n} (levels {', '.join(map(str, sorted(x)))})" for n, x in sorted(counts["dimensions"].items())) or "none"
+    lines = [f"{counts['resources']} resources, {counts['objects']} objects", f"dimensions: {built}"]
+    if counts["not_built"]:
+        lines.append(f"configured but not built: {', '.join(counts['not_built'])}")
+    if counts["stale"] is not None:
+        lines.append("the index is out of date" if counts["stale"] else "the index is up to date")
+    return "\n".join([*lines, *(f"advice: {a}" for a in counts["advice"])])
+
+
+def ledger(spark: SparkSession, path: str, m: Manifest) -> bool:
+    """Append this manifest's fingerprints (configuration, dimensions, content digest) unless the last entry is equal.
+
+    A line-per-entry file that is only appended to, so that two branches' entries merge as lines.
+    """
+    entry = {"config": m.config_fingerprint, "digest": m.digest(), "dimensions": {r["name"]: r["identity"] for r in m.dimensions.collect()}}
+    line = json.dumps(entry, sort_keys=True)
+    if os.path.exists(path) and (rows := open(path).read().splitlines()) and rows[-1] == line:
+        return False
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    with open(path, "a") as f:
+        f.write(line + "\n")
+    return True
+
+
 def status(m: Manifest, configured: Mapping[str, bool], report: StaleReport | None = None) -> dict:
     """Counts and advice about an index: what a status line or a session brief is written from."""
     built = {r["name"]: list(r["levels"]) for r in m.dimensions.collect()}

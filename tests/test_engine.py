@@ -342,3 +342,65 @@ def test_trees_and_rounds_take_pools_of_any_size(spark):
     t = cluster.fabricate(pool, cluster.TreeParams(0.999, 2, 2, 1, 1), lambda items, level: ["x"] * len(items), lambda s: [1.0])
     assert t.clusters.count() == n // 2 and t.edges.select("child").distinct().count() == n
     assert cluster.cluster_round(pool, cluster.Agglomerative(0.999, 2, 2)).groupBy("group").count().where("count = 2").count() == n // 2
+
+
+def test_windows_of_a_long_text_are_linear_and_split_it_once(spark, tmp_path):
+    import time
+
+    n = 1_000_000
+    spark.createDataFrame([("o", "r")], "origin string, resource string").withColumn("text", F.repeat(F.lit("ab\n"), n)).write.parquet(str(tmp_path / "t"))
+    cut = windows(spark.read.parquet(str(tmp_path / "t")), 4, 1)
+    began = time.monotonic()
+    got = cut.agg(F.count(F.lit(1)), F.max("last_line"), F.max("end"), F.sum(F.octet_length("text"))).first()
+    assert time.monotonic() - began < 30
+    assert tuple(got) == (333334, n, 3 * n, 3 * (n + 333333))
+    plan = cut._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+
+
+def test_windows_across_blocks(spark):
+    rng = random.Random(5)
+    texts = ["\n".join("x" * rng.randint(0, 3) for _ in range(n)) for n in (1, 2, 767, 768, 769, 770, 1536, 2000, 3001)]
+    for lines, overlap in ((4, 1), (1, 0), (40, 8)):
+        got = {}
+        for r in windows(spark.createDataFrame([("o", str(i), t) for i, t in enumerate(texts)], "origin string, resource string, text string"), lines, overlap).collect():
+            got[r["resource"], r["seg_no"]] = (r["start"], r["end"], r["text"])
+        want = {}
+        for i, t in enumerate(texts):
+            rows, step = t.split("\n"), lines - overlap
+            for k in range(1 if len(rows) <= lines else 1 + -(-(len(rows) - lines) // step)):
+                start = sum(len(x) + 1 for x in rows[: k * step])
+                body = "\n".join(rows[k * step : k * step + lines]) + ("\n" if k * step + lines < len(rows) else "")
+                if body:
+                    want[str(i), k] = (start, start + len(body), body)
+        assert got == want
+
+
+def test_holders_of_passages(spark):
+    texts = ["one two three four five", "xone two three fourx", "two three", "a\tb  c d", None, "three two one", "A b c", "hot"]
+    passages = ["one two three four", "two three", "b  c", "hot", "e t", "nothing here at all", "a\tb  c d"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked = spark.createDataFrame(list(enumerate(passages)), "query_id long, passage string")
+    got = sorted((r["query_id"], r["doc_id"]) for r in evaluate.holders(docs, asked).collect())
+    assert got == sorted((q, i) for q, p in enumerate(passages) for i, t in enumerate(texts) if t and p in t)
+    long = evaluate.holders(docs, asked.where("query_id in (0, 5)"))
+    assert "NestedLoop" not in long._jdf.queryExecution().toString()
+
+
+def test_pairs_of_a_pool_of_any_size(spark):
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(60, 4))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    pool = spark.createDataFrame([(f"p{i:02}", x.tolist()) for i, x in enumerate(v)], "id string, vec array<double>")
+    want = {(f"p{i:02}", f"p{j:02}") for i in range(60) for j in range(i + 1, 60) if v[i] @ v[j] >= 0.5}
+    for block in (7, 100):
+        got = [(r["a"], r["b"]) for r in cluster.pairs(pool, 0.5, block).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_regions_number_hits_without_one_task(spark):
+    rows = [("o", f"r{i % 7}", 10 * i, 10 * i + 5, 0, (i * 37 % 100) / 100) for i in range(300)]
+    hits = spark.createDataFrame(rows, "origin string, resource string, start long, end long, level int, score double").repartition(5)
+    got = [(r["rn"], r["resource"], r["start"]) for r in retrieve.numbered(hits).orderBy("rn").collect()]
+    want = sorted(rows, key=lambda r: (-r[5], r[0], r[1], r[2]))
+    assert got == [(k + 1, r[1], r[2]) for k, r in enumerate(want)]

@@ -1,11 +1,12 @@
 """Configuration rules, files, the object store, merges, drift, builds and refreshes."""
 
+import json
 import os
 
 import pytest
 from pyspark.sql import functions as F
 
-from lumenix.operators import retrieve, store
+from lumenix.operators import classify, retrieve, store
 from lumenix.plans import build, config
 from lumenix.sources import files, tables
 from lumenix.streaming import refresh
@@ -165,6 +166,86 @@ def test_build_with_clusters_and_policies(spark, tmp_path):
     assert store.decide(store.Degraded.ASK, ["x"], lambda m: True) == ["x"]
 
 
+LLM = """
+version = 1
+[dimensions.lexical.classifier]
+impl = "structural"
+[dimensions.purpose.classifier]
+impl = "llm"
+[dimensions.subject.classifier]
+impl = "llm"
+"""
+
+
+def test_models_are_asked_once_for_each_input(spark, tmp_path):
+    """Two dimensions share a call; a second build, a restored cache and a copy of a text ask nothing."""
+    log = str(tmp_path / "calls")
+
+    def make():
+        stub = classify.stub_client()
+
+        def client(system, user, schema):
+            with open(log, "a") as f:
+                f.write(f"{user.count('--- Segment')}\n")
+            return stub(system, user, schema)
+
+        return classify.ChatClassifier(client)
+
+    calls = lambda: open(log).read().split() if os.path.exists(log) else []
+    texts = [f"alpha beta gamma {w} " * 3 for w in ("one", "two", "three", "four", "five")]
+    rows = [("o", f"r{i}", t) for i, t in enumerate(texts)]
+    of = lambda r: spark.createDataFrame(r, "origin string, resource string, text string")
+    out, stages, c = str(tmp_path / "ix"), build.Stages(llm=make), config.parse(LLM)
+    first = build.build(spark, of(rows), out, c, stages)
+    assert calls() == ["1"] * 5 and (first.written, first.reused) == (15, 0)
+    again = build.build(spark, of(rows), out, c, stages)
+    assert len(calls()) == 5 and (again.written, again.reused) == (0, 15)
+    third = build.build(spark, of([*rows, ("o", "copy", texts[0]), ("o", "new", "delta epsilon")]), out, c, stages)
+    assert len(calls()) == 6 and (third.written, third.reused) == (3, 15)
+    find = lambda: [tuple(r) for r in build.open_index(spark, out, stages).find({"purpose": retrieve.Term("three alpha"), "subject": retrieve.Term("three")}, 20).select("resource", "score").collect()]
+    found = find()
+    assert found[0][0] == "r2"
+    head = json.loads((tmp_path / "ix" / "config.json").read_text())
+    (tmp_path / "ix" / "config.json").write_text(json.dumps(head | {"manifest": "another"}))
+    assert build.staleness(spark, str(tmp_path), out).index_replaced
+    assert find() == found and json.loads((tmp_path / "ix" / "config.json").read_text())["cache"] != head["cache"] and len(calls()) == 6
+    assert not build.staleness(spark, str(tmp_path), out).index_replaced
+
+
+def test_tampered_objects_are_refused(spark, tmp_path):
+    contents = spark.createDataFrame([("o", "r", "alpha beta")], "origin string, resource string, text string")
+    out = str(tmp_path / "ix")
+    build.build(spark, contents, out, config.default())
+    good = store.read(spark, f"{out}/objects").collect()
+    spark.createDataFrame([r.asDict() | {"payload": "[]"} for r in good], "object_key string, content_hash string, len long, tier string, payload string").write.mode("overwrite").parquet(f"{out}/objects")
+    with pytest.raises(store.Tampered):
+        build.open_index(spark, out)
+    with pytest.raises(store.Tampered):
+        build.build(spark, contents, out, config.default())
+
+
+def test_stages_can_be_replaced(spark, tmp_path):
+    contents = spark.createDataFrame([("o", "r", "alpha beta"), ("o", "s", "beta\ngamma")], "origin string, resource string, text string")
+
+    def shout(segments, names):
+        return segments.select("origin", "resource", "start", "end", F.lit(0).alias("level"), F.lit(names[0]).alias("dimension"), F.array(F.upper("text")).alias("terms"))
+
+    seen = []
+    stages = build.Stages(
+        classifiers={"shout": shout}, segmenter=lambda c, lines, overlap: build.windows(c, 1, 0), progress=lambda step, name, n: seen.append((step, n)),
+        scorers={"loud": lambda df, text: df.where(F.array_contains("terms", text)).select("origin", "resource", "start", "end", "level", F.lit(0.5).alias("score"))},
+    )
+    c = config.Config(dimensions={"loud": config.DimensionConfig(classifier=config.Stage("shout"))})
+    out = str(tmp_path / "ix")
+    assert build.build(spark, contents, out, c, stages).segments == 3
+    assert ("segments", 3) in seen and ("objects", 2) in seen
+    assert [(r["resource"], r["score"]) for r in build.open_index(spark, out, stages).find({"loud": retrieve.Term("GAMMA")}).collect()] == [("s", 0.5)]
+    m = store.load_manifest(spark, f"{out}/manifest")
+    assert store.brief(store.status(m, {"loud": True, "x": True})) == "2 resources, 2 objects\ndimensions: loud (levels 0)\nconfigured but not built: x\nadvice: build the missing dimensions"
+    book = str(tmp_path / "ledger" / "l")
+    assert store.ledger(spark, book, m) and not store.ledger(spark, book, m) and len(open(book).readlines()) == 1
+
+
 def objects(spark, rows):
     df = spark.createDataFrame(rows, "k string, body string")
     return store.as_objects(df, F.col("k"), F.col("body"))
