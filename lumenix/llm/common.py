@@ -2,69 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import re
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_FALLBACK: dict[str, str] = {}
-
-
-def ensure_importable(spark: SparkSession) -> None:
-    """Let Python workers import this package when the driver found it through ``sys.path`` alone."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ensure_importable(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which all executors share. Only a local session without the setting gets a
-    temporary folder; on a cluster that is an error, as executors would write where no other can read."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _FALLBACK:
-        _FALLBACK[app] = tempfile.mkdtemp(prefix="lumenix-")
-        atexit.register(shutil.rmtree, _FALLBACK[app], ignore_errors=True)
-    return _FALLBACK[app]
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage ends there, lost executors cost nothing."""
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written_to = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables that ``materialize`` has written and nothing will read again."""
-    for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_to)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+from lumenix.sources.scratch import discard, fresh_path, materialize, shared_dir  # noqa: F401
+from lumenix.sources.tables import ensure_importable, table  # noqa: F401
 
 
 def unused_name(df: DataFrame, name: str) -> str:
@@ -88,6 +34,37 @@ def one_of_each(kept: DataFrame, documents: DataFrame, same: Column) -> DataFram
     return kept.join(again, on, "left_anti").unionByName(picked.select("picked.*"))
 
 
+def labelled_sample(documents: DataFrame, known: DataFrame, most: int, fit_words: int, stretch: int) -> list[tuple[str, int]]:
+    """(text, label) of the ``most`` documents of each label in ``known(doc_id, label)`` with the lowest hashes, or all it has.
+
+    Of a text of more than ``fit_words`` words, stretches of ``stretch`` words spread evenly over the whole of it are taken,
+    ``fit_words`` in all; so the sample that reaches the driver is bounded, and no text is left out for its length.
+    """
+    nth = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = known.withColumn("nth", nth).where(F.col("nth") <= most).select(F.col("doc_id").alias("chosen_id"), "label")
+    met = documents.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen_id"))
+    one = met.groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # an id may have several rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [spread(t.as_py(), fit_words, stretch) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["doc_id", "label", "text"])
+
+    kind, label = (one.schema[c].dataType.simpleString() for c in ("doc_id", "label"))
+    rows = one.mapInArrow(run, f"doc_id {kind}, label {label}, text string").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    return [(r["text"], int(r["label"])) for r in rows]
+
+
+def spread(text: str, most: int, stretch: int) -> str:
+    """``text``, or ``most`` words of it in evenly spread stretches if it has more."""
+    raw, off = text_bytes(pa.array([text], pa.string()))
+    s, e, _ = word_bounds(raw, off)
+    if len(s) <= most:
+        return text
+    starts = np.linspace(0, len(s) - stretch, max(1, most // stretch)).astype(np.int64)
+    return " ".join(raw[s[i] : e[i + stretch - 1]].tobytes().decode("utf-8", "ignore") for i in starts)
+
+
 # -- Arrow text
 
 

@@ -34,8 +34,6 @@ class LanguageParams:
     l1: float = 0.02
     l2: float = 0.02
     sample_per_label: int = 1000
-    max_labels: int = 512
-    max_fit_chars: int = 50_000
     steps: int = 8000
 
 
@@ -150,14 +148,14 @@ def predict(model: LanguageModel | None, text: str | None) -> tuple[str, float]:
 def fit(training: DataFrame, params: LanguageParams = LanguageParams()) -> LanguageModel | None:
     """Learn from ``training(text, label)``; None if no row has both a text and a label.
 
-    One pass gathers document frequencies over all rows, two the bounded sample. At most
-    ``max_labels`` labels (the most frequent) can be told apart.
+    One pass gathers document frequencies over all rows, two the bounded sample. What reaches the driver are n-gram counts,
+    at most ``buckets`` of a text of any length.
     """
     rows = training.select("text", "label").where(F.col("label").isNotNull() & F.col("text").isNotNull())
-    counted = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(params.max_labels).collect()
-    if not counted:
+    labels = sorted(r["label"] for r in rows.select("label").distinct().collect())
+    if not labels:
         return None
-    labels = sorted(r["label"] for r in counted)
+
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, docs = np.zeros(params.buckets, np.int64), 0
         for batch in batches:
@@ -178,16 +176,27 @@ def fit(training: DataFrame, params: LanguageParams = LanguageParams()) -> Langu
             df[r["bucket"]] = r["df"]
     idf = np.log((1 + n) / (1 + df)) + 1
     # Each label is bounded by itself: its texts of the lowest hashes, every text once.
-    usable = rows.where(F.col("label").isin(labels) & (F.length("text") <= params.max_fit_chars) & F.col("text").rlike(r"\p{L}"))
+    usable = rows.where(F.col("text").rlike(r"\p{L}"))
     usable = usable.withColumn("chance", F.xxhash64("text", "label"))
     nth = F.row_number().over(Window.partitionBy("label").orderBy("chance"))
     lowest = usable.select("label", "chance").distinct().withColumn("nth", nth).where(F.col("nth") <= params.sample_per_label)
     bounds = {r["label"]: r["bound"] for r in lowest.groupBy("label").agg(F.max("chance").alias("bound")).collect()}
     if not bounds:
         return None
-    bound = F.coalesce(*[F.when(F.col("label") == k, F.lit(v)) for k, v in bounds.items()])
-    sample = usable.where(F.col("chance") <= bound).dropDuplicates(["label", "chance"]).orderBy("chance", "label").collect()
-    data = [(c, labels.index(r["label"])) for r in sample if (c := ngram_counts(r["text"], params)) is not None]
+    bound = F.create_map(*[F.lit(x) for kv in bounds.items() for x in kv])
+    sample = usable.where(F.col("chance") <= F.element_at(bound, F.col("label"))).dropDuplicates(["label", "chance"])
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [ngram_counts(t.as_py(), params) for t in batch.column(2)]
+            columns = [pa.array([None if c is None else c[k].astype("<i8").tobytes() for c in found], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["label", "chance", "at", "n"])
+
+    kind = sample.schema["label"].dataType.simpleString()
+    told = sample.select("label", "chance", "text").mapInArrow(counts, f"label {kind}, chance long, at binary, n binary")
+    rows_ = told.where(F.col("at").isNotNull()).orderBy("chance", "label").collect()
+    number = {k: i for i, k in enumerate(labels)}
+    data = [((np.frombuffer(r["at"], "<i8"), np.frombuffer(r["n"], "<i8")), number[r["label"]]) for r in rows_]
     return fit_weights(data, labels, idf, params) if data else None
 
 

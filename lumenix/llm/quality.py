@@ -5,7 +5,8 @@ weights are learned from document labels only, and the attention-weighted passag
 The whole text is read; memory grows with one block of rows, or with one text if that is longer.
 
 Edge cases: null and empty texts form one empty passage and get a score; without labels of both kinds every
-score is the share of label 1 (0.5 if there is none); repeated rows are scored alike.
+score is the share of label 1 (0.5 if there is none); repeated rows are scored alike; a score of exactly the threshold is
+predicted as 1; an empty table gives an empty result; extra columns pass through ``annotate`` untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ class QualityParams:
     rate: float = 0.01
     decay: float = 1e-4
     sample_per_label: int = 1500
-    max_fit_chars: int = 40_000
+    fit_words: int = 6400
     threshold: float = 0.7
 
 
@@ -168,16 +169,11 @@ def scores(m: dict[str, np.ndarray] | float, column: pa.Array, params: QualityPa
 
 
 def learn(documents: DataFrame, labels: DataFrame, params: QualityParams = QualityParams()) -> dict[str, np.ndarray] | float:
-    """Fit on at most ``sample_per_label`` documents of each label whose id's crc32 mod 4 is not 2."""
+    """Fit on ``sample_per_label`` documents of each label whose id's crc32 mod 4 is not 2, or all it has; of longer texts
+    on ``fit_words`` words spread over the whole of them."""
     known = labels.where(F.col("quality").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
     known = known.groupBy("doc_id").agg(F.max("quality").alias("label"))
-    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    share = F.coalesce(*[F.when(F.col("label") == k, F.lit(min(1.0, 1.3 * params.sample_per_label / n))) for k, n in counts.items()], F.lit(0.0))
-    chosen = known.where(chance < share).orderBy(chance, "doc_id").limit(2 * params.sample_per_label)
-    texts = documents.select("doc_id", "text").where(F.length("text") <= params.max_fit_chars)
-    rows = texts.join(F.broadcast(chosen), "doc_id").orderBy("doc_id").select("text", "label").limit(2 * params.sample_per_label).collect()
-    return fit([(r["text"], int(r["label"])) for r in rows], params)
+    return fit(common.labelled_sample(documents, known, params.sample_per_label, params.fit_words, params.passage_words), params)
 
 
 def annotate(docs: DataFrame, model: dict[str, np.ndarray] | float, params: QualityParams = QualityParams(), out: str = "score", threshold: float | None = None) -> DataFrame:

@@ -7,7 +7,8 @@ window's score. Windows are ``window`` words long and start every ``stride`` wor
 
 Edge cases: null and empty texts have no window and get the score of an empty one (the bias alone);
 without labels of both kinds every score is the share of label 1 (0 if there is none); repeated rows
-are scored alike; very long texts are scored block by block.
+are scored alike; a score of exactly 0.5 is predicted as 1; very long texts are scored block by block; an empty table gives an
+empty result; only ``doc_id``, ``text`` and the named columns of ``labels`` are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ class ToxicityParams:
     batch: int = 64
     rate: float = 0.01
     sample_per_label: int = 1200
-    max_fit_chars: int = 6000
+    fit_words: int = 4000
 
 
 @dataclass
@@ -264,16 +265,11 @@ def scores(m: dict[str, np.ndarray] | float, column: pa.Array, p: ToxicityParams
 
 
 def learn(documents: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams()) -> dict[str, np.ndarray] | float:
-    """Fit on at most ``sample_per_label`` documents of each label whose id's crc32 mod 5 is not 0."""
+    """Fit on ``sample_per_label`` documents of each label whose id's crc32 mod 5 is not 0, or all it has; of longer texts
+    on ``fit_words`` words spread over the whole of them."""
     known = labels.where(F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    share = F.coalesce(*[F.when(F.col("label") == k, F.lit(min(1.0, 1.6 * params.sample_per_label / n))) for k, n in counts.items()], F.lit(0.0))
-    chosen = known.where(chance < share).orderBy(chance, "doc_id").limit(3 * params.sample_per_label)
-    texts = documents.select("doc_id", "text").where(F.length("text") <= params.max_fit_chars)
-    rows = texts.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "label").limit(2 * params.sample_per_label).collect()
-    return fit([(r["text"], int(r["label"])) for r in rows], params)
+    return fit(common.labelled_sample(documents, known, params.sample_per_label, params.fit_words, params.window), params)
 
 
 def classify(documents: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams()) -> DataFrame:

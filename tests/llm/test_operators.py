@@ -387,3 +387,55 @@ def test_quality_and_toxicity(spark):
 def test_materialized_tables_live_in_the_named_folder(spark):
     out = common.materialize(spark.range(3).toDF("x"), "probe")
     assert common.shared_dir(spark) in out.inputFiles()[0] and out.count() == 3
+
+
+def test_fitted_samples_are_exact_and_take_long_texts(spark):
+    """Each label by itself; no text is left out for its length; repeated ids count once; stretches cover the whole text."""
+    rng = random.Random(8)
+    texts = [long_text(rng, 5) for _ in range(60)] + [long_text(rng, 900) + " end" for _ in range(9)] + [None]
+    docs = make(spark, texts + texts[:5], [*range(len(texts)), *range(5)])
+    known = spark.createDataFrame([(i, int(i >= 60)) for i in range(len(texts) + 20)], "doc_id long, label int")
+    got = common.labelled_sample(docs, known, 40, 100, 10)
+    assert sum(y == 0 for _, y in got) == 40 and sum(y == 1 for _, y in got) >= 8
+    assert all(len(t.split()) == 100 and t.endswith(" end") for t, y in got if y)
+    assert {t for t, y in got if not y} <= set(texts)
+    assert common.spread("a  b\nc", 3, 1) == "a  b\nc" and common.spread("", 3, 1) == ""
+
+
+def test_toxicity_learns_from_long_texts_alone(spark):
+    rng = random.Random(11)
+    bad = "vile rotten scum".split()
+    texts = [" ".join(rng.choice(WORDS + bad * (i % 2)) for _ in range(5000 if i % 2 else 60)) for i in range(60)]
+    docs = make(spark, texts)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    out = toxicity.classify(docs, labels, toxicity.ToxicityParams(steps=120, fit_words=800)).collect()
+    assert sum(r["predicted"] == r["doc_id"] % 2 for r in out) >= 57
+
+
+def test_thresholds_are_reached_by_equal_scores(spark, monkeypatch):
+    docs, labels = make(spark, ["a b", None]), spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(toxicity, "learn", lambda *a: 0.5)
+    monkeypatch.setattr(quality, "learn", lambda *a: 0.7)
+    for module in (toxicity, quality):
+        assert [r["predicted"] for r in module.classify(docs, labels).collect()] == [1, 1]
+
+
+def test_every_operator_takes_an_empty_table(spark):
+    none = make(spark, [])
+    assert bpe.round_trip(none, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).count() == 0
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality.classify(none, labels).count() == toxicity.classify(none, labels).count() == language_id.identify(none).count() == 0
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Context:
+        master, applicationId = "spark://host:7077", "x"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        conf, sparkContext = {}, Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session())
