@@ -44,7 +44,7 @@ class CrossParseParams:
     unit_bytes: int = 4_000_000
     piece_words: int = 2000
     held_shards: int = 60
-    held_units: int = 8
+    held_units: int = 4
 
 
 def suffix_automaton(symbols: Sequence[Hashable]) -> list[dict]:
