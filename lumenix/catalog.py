@@ -126,12 +126,13 @@ def tok_doc_freq(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-WITH t AS (SELECT resource, {sql_terms('text')} AS ts FROM ({DOCS}))
-SELECT resource, array_to_string(list_transform(list_sort(list_distinct(ts)), lambda x: x || CASE WHEN len(list_filter(ts, lambda y: y = x)) > 1 THEN ':' || len(list_filter(ts, lambda y: y = x)) ELSE '' END), ' ') AS descriptor
-FROM t WHERE len(ts) <= 400""")
+WITH t AS (SELECT resource, {sql_terms('text')} AS ts FROM ({DOCS})),
+c AS (SELECT resource, term, count(*) AS n FROM (SELECT resource, unnest(ts) AS term FROM t) GROUP BY ALL),
+j AS (SELECT resource, string_agg(term || CASE WHEN n > 1 THEN ':' || n ELSE '' END, ' ' ORDER BY term) AS descriptor FROM c GROUP BY resource)
+SELECT resource, coalesce(descriptor, '') AS descriptor FROM t LEFT JOIN j USING (resource) WHERE ts IS NOT NULL""")
 def descriptor_codec(spark: SparkSession, d: str) -> DataFrame:
     """Encoded from arrays, decoded to rows and encoded again from a map."""
-    t = src.documents(spark, d).select("resource", tx.terms(F.col("text")).alias("ts")).where(F.size("ts") <= 400)
+    t = src.documents(spark, d).select("resource", tx.terms(F.col("text")).alias("ts")).where(F.col("ts").isNotNull())
     coded = t.select("resource", classify.frequency_descriptor(F.col("ts")).alias("descriptor"))
     back = F.map_from_entries(tx.decode_frequencies(F.col("descriptor")))
     return coded.select("resource", F.when(F.col("descriptor") == "", "").otherwise(tx.encode_frequencies(back)).alias("descriptor"))
@@ -357,7 +358,7 @@ tf AS (SELECT resource, "start", "end", first_line, last_line, n, term, count(*)
 w AS (SELECT term, ln((st.n - df + 0.5) / (df + 0.5) + 1) AS idf FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), st),
 ceil AS (SELECT query_id, sum(idf * 2.2) AS c FROM q JOIN w USING (term) GROUP BY query_id),
 raw AS (SELECT query_id, resource, "start", "end", first_line, last_line, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * tf.n / greatest(st.avgdl, 1)))) AS r FROM q JOIN tf USING (term) JOIN w USING (term), st GROUP BY ALL),
-hits AS (SELECT * FROM (SELECT query_id, resource, first_line AS start_line, last_line AS end_line, least(r / c, 1) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(least(r / c, 1), 9) DESC, resource, "start") AS rank FROM raw JOIN ceil USING (query_id)) WHERE rank <= 30),
+hits AS (SELECT * FROM (SELECT query_id, resource, "start", "end", first_line AS start_line, last_line AS end_line, least(r / c, 1) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(least(r / c, 1), 9) DESC, resource, "start") AS rank FROM raw JOIN ceil USING (query_id)) WHERE rank <= 30),
 f0 AS (SELECT query_id, resource, min(rank) AS first_at FROM hits GROUP BY ALL),
 fg AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY first_at) AS rank, coalesce(g, 0) AS grade FROM f0 LEFT JOIN (SELECT query_id, resource, max(grade) AS g FROM qrels GROUP BY ALL) USING (query_id, resource)),
 fi AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY g DESC) AS rank, g AS grade FROM (SELECT query_id, resource, max(grade) AS g FROM qrels GROUP BY ALL)),
@@ -484,9 +485,9 @@ def gc_unreachable(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL_SIDES = """
-b AS (SELECT doc_id AS k, left(text, 20) AS v FROM documents WHERE doc_id % 10 <> 9),
-o AS (SELECT doc_id AS k, left(text, 20) || CASE WHEN doc_id % 4 = 0 THEN '+' ELSE '' END AS v FROM documents WHERE doc_id % 10 <> 8 AND doc_id % 20 <> 9),
-t AS (SELECT doc_id AS k, left(text, 20) || CASE WHEN doc_id % 6 = 0 THEN '-' ELSE '' END AS v FROM documents WHERE doc_id % 10 <> 7)"""
+b AS (SELECT doc_id AS k, sha256(text) AS v FROM documents WHERE doc_id % 10 <> 9),
+o AS (SELECT doc_id AS k, sha256(text) || CASE WHEN doc_id % 4 = 0 THEN '+' ELSE '' END AS v FROM documents WHERE doc_id % 10 <> 8 AND doc_id % 20 <> 9),
+t AS (SELECT doc_id AS k, sha256(text) || CASE WHEN doc_id % 6 = 0 THEN '-' ELSE '' END AS v FROM documents WHERE doc_id % 10 <> 7)"""
 
 
 @query(f"""WITH {SQL_SIDES}, j AS (SELECT coalesce(o.k, t.k, b.k) AS k, o.v AS o, t.v AS t, b.v AS b FROM o FULL JOIN t ON o.k = t.k FULL JOIN b ON b.k = coalesce(o.k, t.k))
@@ -495,7 +496,7 @@ SELECT 'doc/' || lpad(k::VARCHAR, 9, '0') AS resource, CASE WHEN o IS NOT DISTIN
        CASE WHEN o IS NOT DISTINCT FROM t OR o IS NOT DISTINCT FROM b OR t IS NOT DISTINCT FROM b THEN 'take' ELSE 'conflict' END AS outcome FROM j""")
 def manifest_merge(spark: SparkSession, d: str) -> DataFrame:
     """Roots merged three ways: edits, additions and deletions on either side or both."""
-    docs = src.table(spark, d, "documents").select("doc_id", F.concat(F.lit("doc/"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("resource"), F.left("text", F.lit(20)).alias("entry"))
+    docs = src.table(spark, d, "documents").select("doc_id", F.concat(F.lit("doc/"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("resource"), F.sha2("text", 256).alias("entry"))
     edit = lambda k, mark: F.concat("entry", F.when(F.col("doc_id") % k == 0, mark).otherwise(""))
     ours = docs.where("doc_id % 10 <> 8 and doc_id % 20 <> 9").withColumn("entry", edit(4, "+"))
     theirs = docs.where("doc_id % 10 <> 7").withColumn("entry", edit(6, "-"))
@@ -533,6 +534,282 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
     return hourly(src.table(spark, d, "events")).withColumn("total", F.round("total", 4))
 
 
+# -- parts of the engine on their own
+
+SNIPPET_LINES = "string_split(CASE WHEN ends_with(replace(text, chr(13) || chr(10), chr(10)), chr(10)) THEN left(replace(text, chr(13) || chr(10), chr(10)), -1) ELSE replace(text, chr(13) || chr(10), chr(10)) END, chr(10))"
+
+
+@query(f"""WITH s AS (SELECT resource, seg_no, first_line, {SNIPPET_LINES} AS ls FROM ({sql_windows(DOCS, 40, 8)}))
+SELECT resource, seg_no, sha256(CASE WHEN first_line > 1 THEN '[TRUNCATED ' || (first_line - 1) || ' lines before]' || chr(10) ELSE '' END || array_to_string(ls[1:12], chr(10))
+       || CASE WHEN len(ls) > 12 THEN chr(10) || '[TRUNCATED ' || (len(ls) - 12) || ' lines after]' ELSE '' END) AS digest FROM s""")
+def snippet_notices(spark: SparkSession, d: str) -> DataFrame:
+    """What is shown of each window, with notices of what is cut."""
+    shown = tx.snippet(F.col("text"), F.col("first_line"), F.col("last_line"))
+    return windows(src.documents(spark, d)).select("resource", "seg_no", F.sha2(shown, 256).alias("digest"))
+
+
+@query(f"SELECT resource, seg_no, sha256(text) AS digest, first_line::INT AS line FROM ({sql_windows(DOCS, 40, 8)})")
+def span_slices(spark: SparkSession, d: str) -> DataFrame:
+    """Windows cut out of whole texts again by their byte spans, and the line at which each begins."""
+    docs = src.documents(spark, d)
+    seg = windows(docs).select("resource", "seg_no", "start", "end")
+    both = docs.select("resource", "text").join(seg, "resource")
+    return both.select("resource", "seg_no", F.sha2(tx.slice_bytes(F.col("text"), F.col("start"), F.col("end")), 256).alias("digest"), tx.line_of(F.col("text"), F.col("start")).alias("line"))
+
+
+@query("SELECT doc_id, sha256(regexp_replace(replace(replace(replace(replace(text, chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t'), chr(27), '\\u{1b}'), '\\p{Cc}', '\\\\u{fffd}', 'g')) AS digest FROM documents")
+def terminal_texts(spark: SparkSession, d: str) -> DataFrame:
+    return src.table(spark, d, "documents").select("doc_id", F.sha2(tx.terminal_safe(F.col("text")), 256).alias("digest"))
+
+
+@query("SELECT doc_id, sha256(nfc_normalize(nfc_normalize(text) || chr(101) || chr(769))) AS digest FROM documents")
+def nfc_keys(spark: SparkSession, d: str) -> DataFrame:
+    from lumenix.sources import files
+
+    return src.table(spark, d, "documents").select("doc_id", F.concat("text", F.lit("e\u0301")).alias("key")).select("doc_id", F.sha2(files.nfc("key"), 256).alias("digest"))
+
+
+@query("""SELECT doc_id, '{' || concat_ws(',', '"doc_id":' || doc_id, '"lang":"' || lang || '"', '"n_chars":' || n_chars) || '}' AS json FROM documents""")
+def canonical_rows(spark: SparkSession, d: str) -> DataFrame:
+    return src.table(spark, d, "documents").select("doc_id", identity.canonical_json(F.col("doc_id"), F.col("lang"), F.col("n_chars")).alias("json"))
+
+
+@query(f"WITH {sql_scored(DOCS, 4, 1, ANY_QUERY)} SELECT origin, resource, \"start\", \"end\", level, round(score, 6) AS score FROM hits WHERE resource IN (SELECT 'doc/' || lpad(doc_id::VARCHAR, 9, '0') FROM documents WHERE lang = 'de')")
+def candidate_scope(spark: SparkSession, d: str) -> DataFrame:
+    """Only German documents may score; statistics stay those of the whole corpus."""
+    docs = src.documents(spark, d)
+    german = src.table(spark, d, "documents").where("lang = 'de'").select(F.concat(F.lit("doc/"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("resource"))
+    places = windows(docs, 4, 1).join(german, "resource", "left_semi")
+    hits = lexical_index(docs).find_at({"lexical": retrieve.Term(ANY_QUERY)}, None, retrieve.LevelFilter("segments"), places)
+    return hits.select(*sc.PLACE, "level", F.round("score", 6).alias("score"))
+
+
+@query(SQL_FUSE + "SELECT resource, round(score, 6) AS score FROM hits")
+def query_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Fields as typed: one with weight 0 and a blank one are not asked, so the rest decides alone."""
+    asked = dict(retrieve.parse_dimension(x) for x in (f"lexical:2.5={LEXICAL}", "semantic:0=stored vector"))
+    return two_dimensions(spark, d).find(asked, None).select("resource", F.round("score", 6).alias("score"))
+
+
+SQL_SPECS = "SELECT * FROM (VALUES ('0', 0, 0), ('clusters', 1, 9), ('1-3', 1, 3), ('all', 0, 9), ('segments', 0, 0)) t(spec, lo, hi)"
+
+
+@query(f"WITH r AS (SELECT 0 AS level FROM embeddings UNION ALL SELECT 1 FROM (SELECT DISTINCT label FROM embeddings)), s AS ({SQL_SPECS}) SELECT spec, count(*) AS records FROM s JOIN r ON level BETWEEN lo AND hi GROUP BY spec")
+def level_specs(spark: SparkSession, d: str) -> DataFrame:
+    rows = levelled(spark, d)
+    out: DataFrame | None = None
+    for spec in ("0", "clusters", "1-3", "all", "segments"):
+        part = retrieve.parse_levels(spec).apply(rows).groupBy(F.lit(spec).alias("spec")).agg(F.count(F.lit(1)).alias("records"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+SHAPES = ["def load_part{n}(x):", "pub fn MakeThing{n}(a: B) {{", "export class Shape{n} extends Base {{", "// def hidden_{n}", "if (ready{n}) {{", "const LIMIT_{n} = 4;"]
+NAMED = ["load_part{n}", "MakeThing{n}", "Shape{n}", "LIMIT_{n}"]
+
+
+def _filled(shape: str) -> list[str]:
+    return shape.format(n="\0").split("\0")
+
+
+def _source_lines(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("doc_id").cast("string")
+    lines = [F.concat(F.lit(a), n, F.lit(b)) for a, b in map(_filled, SHAPES)]
+    docs = src.table(spark, d, "documents")
+    return docs.select(F.lit("src").alias("origin"), F.concat(F.lit("doc/"), F.lpad(n, 9, "0")).alias("resource"), F.array_join(F.array(*lines), "\n").alias("text"))
+
+
+@query("SELECT 'doc/' || lpad(doc_id::VARCHAR, 9, '0') AS resource, concat_ws(' ', " + ", ".join(f"'{_filled(x)[0]}' || doc_id || '{_filled(x)[1]}'" for x in NAMED) + ") AS names FROM documents")
+def declared_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names declared by lines of source; a comment and control flow declare nothing."""
+    from lumenix.functions.declaration import declared_names as names
+
+    return _source_lines(spark, d).select("resource", F.array_join(names("text"), " ").alias("names"))
+
+
+@query("""WITH t AS (SELECT 'doc/' || lpad(doc_id::VARCHAR, 9, '0') AS resource, unnest([
+  {'term': 'load_part' || doc_id, 'tf': 3}, {'term': 'load', 'tf': 1}, {'term': 'part' || doc_id, 'tf': 1},
+  {'term': 'makething' || doc_id, 'tf': 3}, {'term': 'make', 'tf': 1}, {'term': 'thing' || doc_id, 'tf': 1},
+  {'term': 'shape' || doc_id, 'tf': 3}, {'term': 'limit_' || doc_id, 'tf': 3}, {'term': 'limit', 'tf': 1},
+  {'term': CASE WHEN doc_id > 9 THEN doc_id::VARCHAR END, 'tf': 1}]) AS x FROM documents)
+SELECT resource, x.term AS term, x.tf::BIGINT AS tf FROM t WHERE x.term IS NOT NULL""")
+def declaration_records(spark: SparkSession, d: str) -> DataFrame:
+    rec = classify.declaration_terms(windows(_source_lines(spark, d)))
+    return sc.postings(rec).select("resource", "term", "tf")
+
+
+@query("SELECT 'chat/' || lpad(conv_id::VARCHAR, 9, '0') AS resource, string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY turn, role, text) AS descriptor FROM conversations GROUP BY conv_id HAVING length(descriptor) > 0")
+def content_descriptors(spark: SparkSession, d: str) -> DataFrame:
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    per = src.table(spark, d, "conversations").groupBy("conv_id").agg(F.transform(turns, lambda t: F.coalesce(t["text"], F.lit(""))).alias("sources"))
+    return per.select(F.concat(F.lit("chat/"), F.lpad(F.col("conv_id").cast("string"), 9, "0")).alias("resource"), classify.content_descriptor(F.col("sources")).alias("descriptor")).where(F.col("descriptor").isNotNull())
+
+
+@query("SELECT 'region/' || n_regionkey AS cluster, 'customer/' || c_custkey AS leaf FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT 'nation/' || c_nationkey, 'customer/' || c_custkey FROM customer")
+def cluster_leaves(spark: SparkSession, d: str) -> DataFrame:
+    """A tree of three levels: regions over nations over customers."""
+    n, c = src.table(spark, d, "nation"), src.table(spark, d, "customer")
+    name = lambda kind, k: F.concat(F.lit(kind + "/"), F.col(k).cast("string"))
+    edges = n.select(name("region", "n_regionkey").alias("parent"), name("nation", "n_nationkey").alias("child"))
+    edges = edges.unionByName(c.select(name("nation", "c_nationkey").alias("parent"), name("customer", "c_custkey").alias("child")))
+    parents = edges.select(F.col("parent").alias("cluster")).distinct()
+    return cluster.leaves(edges, parents).where(F.col("leaf").startswith("customer/"))
+
+
+@query("SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.55")
+def similar_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return cluster.pairs(src.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), 0.55).select("a", "b")
+
+
+@query("SELECT vec_id AS id FROM embeddings WHERE label NOT IN (SELECT label FROM embeddings GROUP BY label HAVING count(*) % 2 = 0)")
+def orphan_records(spark: SparkSession, d: str) -> DataFrame:
+    """Records that no group holds; groups are labels with an even number of records."""
+    e = src.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    even = e.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 0")
+    return cluster.orphans(e, e.join(even, "label", "left_semi")).select("id")
+
+
+SQL_OBJECT = "sha256('lumenix/1/object:' || '2;' || '2:fp' || strlen(text) || ':' || text) AS object_key, sha256('lumenix/1/content:' || text) AS content_hash, strlen(text)::BIGINT AS len"
+
+
+def _text_objects(spark: SparkSession, d: str) -> DataFrame:
+    docs = src.table(spark, d, "documents").where("text is not null")
+    return store.as_objects(docs, identity.object_key("fp", F.col("text")), F.col("text"), "A")
+
+
+@query(f"SELECT DISTINCT {SQL_OBJECT} FROM documents WHERE text IS NOT NULL")
+def store_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Objects put, put again (which changes nothing), read and verified."""
+    path, fresh = scratch.fresh_path(spark, "objects"), _text_objects(spark, d)
+    store.put(path, fresh)
+    if store.put(path, fresh):
+        raise AssertionError("an object was written twice")
+    have = store.read(spark, path)
+    store.verify(have, have)
+    return have.select("object_key", "content_hash", "len")
+
+
+@query("SELECT DISTINCT sha256('lumenix/1/content:' || text) AS content_hash FROM documents WHERE text IS NOT NULL AND (doc_id % 3 = 0 OR doc_id % 5 = 0)")
+def store_prune(spark: SparkSession, d: str) -> DataFrame:
+    """What is left of the store once objects that neither of two manifests lists are gone."""
+    path, docs = scratch.fresh_path(spark, "objects"), src.table(spark, d, "documents").where("text is not null")
+    of = lambda df: store.as_objects(df, identity.object_key("fp", F.col("text")), F.col("text"))
+    store.put(path, of(docs))
+    empty = {n: spark.createDataFrame([], store.SCHEMAS[n]) for n in ("dimensions", "roots", "clusters")}
+    store.prune(path, [store.Manifest("fp", of(docs.where(f"doc_id % {k} = 0")).drop("payload"), **empty) for k in (3, 5)])
+    return store.read(spark, path).select("content_hash")
+
+
+@query("SELECT 'doc/' || lpad(doc_id::VARCHAR, 9, '0') AS resource, '[\"' || sha256(text) || '\"]' AS entry FROM documents WHERE text IS NOT NULL")
+def manifest_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Roots of a manifest that was written and read; writing equal content again changes nothing."""
+    docs = src.documents(spark, d).where("text is not null")
+    roots = docs.select("resource", F.to_json(F.array(F.sha2("text", 256))).alias("entry"))
+    empty = {n: spark.createDataFrame([], store.SCHEMAS[n]) for n in ("objects", "dimensions", "clusters")}
+    m = store.Manifest("fp", roots=roots, **empty)
+    path = scratch.fresh_path(spark, "manifest").removeprefix("file://")
+    if not store.save_manifest(m, path) or store.save_manifest(m, path) or not store.load_manifest(spark, path).same_content(m):
+        raise AssertionError("a manifest must be written once and read as it was")
+    return store.load_manifest(spark, path).roots
+
+
+@query(f"WITH u AS (SELECT DISTINCT {SQL_OBJECT}, CASE WHEN text IS NULL THEN 'x' ELSE 'A' END AS tier FROM documents WHERE text IS NOT NULL AND (doc_id % 2 = 0 OR doc_id % 3 = 0)) SELECT count(*) AS objects, sum(len)::BIGINT AS bytes FROM u")
+def object_union(spark: SparkSession, d: str) -> DataFrame:
+    """Objects of two manifests merged: equal ones once."""
+    docs = src.table(spark, d, "documents").where("text is not null")
+    empty = lambda: {n: spark.createDataFrame([], store.SCHEMAS[n]) for n in ("dimensions", "clusters")}
+    root = F.to_json(F.array(identity.object_key("fp", F.col("text")))).alias("entry")
+
+    def side(k: int) -> store.Manifest:
+        own = docs.where(f"doc_id % {k} = 0")
+        return store.Manifest("fp", store.as_objects(own, identity.object_key("fp", F.col("text")), F.col("text")).drop("payload"), roots=own.select(F.col("doc_id").cast("string").alias("resource"), root), **empty())
+
+    return store.merge(None, side(2), side(3)).manifest.objects.agg(F.count(F.lit(1)).alias("objects"), F.sum("len").alias("bytes"))
+
+
+@query(f"WITH {sql_scored(DOCS, 40, 8, LEXICAL)} {SQL_TOP.format(k=10)}")
+def built_index_topk(spark: SparkSession, d: str) -> DataFrame:
+    """An index built into a folder, opened and asked: records come from stored objects."""
+    from lumenix.plans import build, config
+
+    out = scratch.fresh_path(spark, "index").removeprefix("file://")
+    build.build(spark, src.documents(spark, d), out, config.default())
+    return rounded_top(build.open_index(spark, out).find({"lexical": retrieve.Term(LEXICAL)}, None), 10)
+
+
+@query(f"WITH {SQL_BATCH} SELECT query_id, count(DISTINCT resource) AS distinct_files, least(count(*), {K}) AS returned FROM hits GROUP BY query_id")
+def eval_counts(spark: SparkSession, d: str) -> DataFrame:
+    hits, qrels = golden(spark, d)
+    return evaluate.score_queries(hits, qrels, K).where("returned > 0").select("query_id", "distinct_files", F.col("returned").cast("bigint").alias("returned"))
+
+
+@query(f"WITH {SQL_BATCH} SELECT query_id, count(*) FILTER (WHERE right(resource, 1) IN ('1', '3', '5', '7', '9')) AS \"foreign\", round(count(*) FILTER (WHERE right(resource, 1) IN ('1', '3', '5', '7', '9')) / count(*), 6) AS share FROM hits WHERE rank <= {K} GROUP BY query_id")
+def eval_intrusions(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with odd numbers stand for a second corpus."""
+    hits, _ = golden(spark, d)
+    two = hits.withColumn("origin", F.when(F.right("resource", F.lit(1)).isin("1", "3", "5", "7", "9"), "other").otherwise("docs"))
+    return evaluate.intrusions(two, "docs", K).select("query_id", "foreign", F.round("share", 6).alias("share"))
+
+
+@query(f"""WITH {SQL_BATCH}, x AS (SELECT query_id, rank AS pos, 0 AS nth, resource, "start", "end" FROM hits WHERE rank % 3 <> 0
+  UNION ALL SELECT query_id, rank, n, resource || '/' || n, n * 5, n * 5 + 4 FROM hits, range(0, 2) t(n) WHERE rank % 3 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY pos, nth) AS rank, resource, "start", "end" FROM x) SELECT query_id, rank::INT AS rank, resource, "start", "end" FROM r WHERE rank <= {K}""")
+def eval_expansion(spark: SparkSession, d: str) -> DataFrame:
+    """Every third hit stands for a cluster of two members, which take its place."""
+    hits, _ = golden(spark, d)
+    marked = hits.withColumn("level", F.when(F.col("rank") % 3 == 0, 1).otherwise(0))
+    two = hits.select(F.col("resource").alias("cluster")).distinct().withColumn("nth", F.explode(F.array(F.lit(0), F.lit(1))))
+    members = two.select("cluster", F.concat("cluster", F.lit("/"), F.col("nth").cast("string")).alias("resource"), (F.col("nth") * 5).cast("bigint").alias("start"), (F.col("nth") * 5 + 4).cast("bigint").alias("end"), "nth")
+    both = marked.join(members.select(F.col("cluster").alias("resource")).distinct(), "resource", "left_semi")
+    split = both.where("level = 0").withColumn("resource", F.concat(F.lit("="), "resource")).unionByName(both.where("level = 1"))
+    out = evaluate.expand_clusters(split, members, K)
+    return out.withColumn("resource", F.regexp_replace("resource", "^=", ""))
+
+
+SQL_POOL = 'pool AS (SELECT query_id, resource, "start", round(score, 9) AS lexical, 1 / (1 + "start") AS early FROM hits)'
+
+
+def _pool(hits: DataFrame) -> DataFrame:
+    return hits.withColumn("per_dimension", F.create_map(F.lit("lexical"), F.round("score", 9), F.lit("early"), 1 / (1 + F.col("start"))))
+
+
+@query(f"WITH {SQL_BATCH}, {SQL_POOL}, r AS (SELECT query_id, resource, \"start\", row_number() OVER (PARTITION BY query_id ORDER BY (early * 0.5 + lexical * 1.0) / 1.5 DESC, resource, \"start\") AS rank FROM pool) SELECT query_id, rank::INT AS rank, resource, \"start\" FROM r WHERE rank <= {K}")
+def eval_refusion(spark: SparkSession, d: str) -> DataFrame:
+    hits, _ = golden(spark, d)
+    return evaluate.refuse_pool(_pool(hits), {"early": 0.5, "lexical": 1.0}, K).select("query_id", F.col("rank").cast("int").alias("rank"), "resource", "start")
+
+
+CRC_ODD = "(xor(list_reduce(list_transform(string_split(query_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda c, b: list_reduce([0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[], lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(c, b)), 4294967295::BIGINT), 4294967295) & 1)"
+
+
+def sql_sweep(settings: str, names: str) -> str:
+    """``settings(setting, lexical_w, early_w)`` to mean file nDCG on the tuning half."""
+    return f"""WITH {SQL_BATCH}, {SQL_POOL}, settings AS ({settings}),
+ranked AS (SELECT setting, query_id, resource, row_number() OVER (PARTITION BY setting, query_id ORDER BY (early * early_w + lexical * lexical_w) / (early_w + lexical_w) DESC, resource, "start") AS rank FROM pool, settings WHERE {CRC_ODD} = 0),
+files AS (SELECT setting, query_id, resource, min(rank) AS pos FROM ranked GROUP BY ALL),
+best AS (SELECT query_id, resource, max(grade) AS grade FROM qrels WHERE {CRC_ODD} = 0 GROUP BY ALL),
+graded AS (SELECT setting, query_id, row_number() OVER (PARTITION BY setting, query_id ORDER BY pos) AS rank, coalesce(grade, 0) AS grade FROM files LEFT JOIN best USING (query_id, resource)),
+dcg AS (SELECT setting, query_id, sum((2 ** grade - 1) / log2(rank + 1)) AS dcg FROM graded WHERE rank <= {K} GROUP BY ALL),
+ideal AS (SELECT query_id, sum((2 ** grade - 1) / log2(rank + 1)) AS best FROM (SELECT query_id, grade, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC) AS rank FROM best) WHERE rank <= {K} GROUP BY ALL),
+keyed AS (SELECT setting, query_id, best FROM ideal, settings),
+every AS (SELECT coalesce(k.setting, d.setting) AS setting, CASE WHEN best > 0 THEN least(1, greatest(0, dcg / best)) END AS score FROM keyed k FULL JOIN dcg d ON k.setting = d.setting AND k.query_id = d.query_id)
+SELECT {names}, round(avg(coalesce(score, 0)), 6) AS file_ndcg FROM every GROUP BY setting"""
+
+
+@query(sql_sweep("SELECT i AS setting, 1.0 AS lexical_w, w AS early_w FROM (VALUES (0, 0.0), (1, 0.5), (2, 1.0), (3, 2.0)) t(i, w)", "setting::INT AS setting"))
+def weight_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """Best of a grid of weights on the tuning half, from stored per-dimension scores."""
+    hits, qrels = golden(spark, d)
+    out = evaluate.weight_sweep(_pool(hits), qrels, [{"lexical": 1.0, "early": w} for w in (0.0, 0.5, 1.0, 2.0)])
+    return out.withColumn("file_ndcg", F.round("file_ndcg", 6))
+
+
+@query(sql_sweep("SELECT * FROM (VALUES ('early', 0.0, 1.0), ('lexical', 1.0, 0.0), ('early+lexical', 1.0, 1.0)) t(setting, lexical_w, early_w)", "setting AS dimensions"))
+def dimension_subsets(spark: SparkSession, d: str) -> DataFrame:
+    hits, qrels = golden(spark, d)
+    return evaluate.subset_scores(_pool(hits), qrels, ["early", "lexical"]).withColumn("file_ndcg", F.round("file_ndcg", 6))
+
+
 # -- no SQL counterpart
 
 
@@ -567,14 +844,6 @@ def llm_stub_descriptors(spark: SparkSession, d: str) -> DataFrame:
     return classify.describe(windows(src.documents(spark, d)), ["descriptive"], lambda: classify.ChatClassifier(classify.stub_client(), facets))
 
 
-@query()
-def weight_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """Best of a grid of weights on the tuning half, from stored per-dimension scores."""
-    hits, qrels = golden(spark, d)
-    pool = hits.withColumn("per_dimension", F.create_map(F.lit("lexical"), F.col("score"), F.lit("early"), 1 / (1 + F.col("start"))))
-    return evaluate.weight_sweep(pool, qrels, [{"lexical": 1.0, "early": w} for w in (0.0, 0.5, 1.0, 2.0)])
-
-
 @query()
 def hash_embedding_topk(spark: SparkSession, d: str) -> DataFrame:
     """The offline embedder over window terms, scored by cosine."""

@@ -30,10 +30,25 @@ def declaration_terms(segments: DataFrame) -> DataFrame:
     return term_records(named.withColumn("terms", F.concat(whole, parts)).withColumn("level", F.lit(0)))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once: as an argument of a lambda, not copied into its body."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def frequency_descriptor(terms: Column) -> Column:
-    """The stored form of an array of terms; quadratic in distinct terms of one window only."""
-    distinct = F.array_sort(F.array_distinct(terms))
-    return F.array_join(F.transform(distinct, lambda t: F.concat(t, F.when(F.size(F.filter(terms, lambda u: u == t)) > 1, F.concat(F.lit(":"), F.size(F.filter(terms, lambda u: u == t)).cast("string"))).otherwise(F.lit("")))), " ")
+    """The stored form of an array of terms: sorted, then counted by where runs begin, so linear after the sort."""
+
+    def of(s: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: ~F.get(s, i).eqNullSafe(F.get(s, i - 1)))
+
+        def spelled(runs: Column) -> Column:
+            n = lambda i, k: F.coalesce(F.get(runs, k + 1), F.size(s)) - i
+            one = lambda i, k: F.concat(F.get(s, i), F.when(n(i, k) > 1, F.concat(F.lit(":"), n(i, k).cast("string"))).otherwise(F.lit("")))
+            return F.array_join(F.transform(runs, one), " ")
+
+        return _let(first, spelled)
+
+    return F.when(F.size(terms) > 0, _let(F.array_sort(terms), of)).when(terms.isNotNull(), F.lit(""))
 
 
 def content_descriptor(sources: Column) -> Column:

@@ -178,6 +178,14 @@ def subsets(names: Sequence[str]) -> list[tuple[str, ...]]:
     return [c for n in range(1, len(names) + 1) for c in combinations(names, n)]
 
 
+def subset_scores(pool: DataFrame, qrels: DataFrame, names: Sequence[str], k: int = 10) -> DataFrame:
+    """dimensions, file_ndcg of every subset, on the tuning half: each dimension asked with weight 1 or not at all."""
+    all_ = subsets(names)
+    swept = weight_sweep(pool, qrels, [{n: float(n in c) for n in names} for c in all_], k)
+    label = F.get(F.array(*[F.lit("+".join(c)) for c in all_]), F.col("setting"))
+    return swept.select(label.alias("dimensions"), "file_ndcg")
+
+
 def compare(report: DataFrame, baseline: DataFrame, mark: float = 0.0005) -> DataFrame:
     """Per query and metric, the change from a stored baseline: ``+``, ``-`` or ``=`` within the mark."""
     names = ["file_ndcg", "file_recall", "span_ndcg", "span_recall"]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 KEYS = ("origin", "resource")
 #: Windows to a block. Offsets are added up over blocks and within a block, so no array of offsets is long.
 BLOCK = 256
+MOST = (1 << 31) - 1
 
 
 def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -33,14 +34,15 @@ def windows(contents: DataFrame, lines: int = 40, overlap: int = 8) -> DataFrame
     if lines <= 0 or overlap < 0 or overlap >= lines:
         raise ValueError("lines must be positive and overlap smaller than lines")
     stride = max(lines - overlap, 1)
+    reach = min(BLOCK * stride, MOST)  # lines from one block to the next; windows may be longer than any text
     base = contents.where(F.col("text").isNotNull() & (F.col("text") != "")).select(*KEYS, "text")
     base = _once(base, "_rows", F.split(F.col("text"), "\n", -1)).select(*KEYS, "_rows", F.size("_rows").alias("_n"))
     count = F.when(F.col("_n") <= lines, F.lit(1)).otherwise(1 + F.ceil((F.col("_n") - lines) / stride).cast("int"))
     base = base.withColumn("_count", count).withColumn("_blocks", F.ceil(F.col("_count") / BLOCK).cast("int"))
-    base = _once(base, "_offsets", _starts(F.col("_rows"), BLOCK * stride, F.col("_blocks"), F.lit(0).cast("bigint")))
+    base = _once(base, "_offsets", _starts(F.col("_rows"), reach, F.col("_blocks"), F.lit(0).cast("bigint")))
     block = base.select(*KEYS, "_rows", "_n", "_count", F.posexplode_outer("_offsets").alias("_block", "_offset"))
-    line = F.col("_block") * (BLOCK * stride)
-    piece = F.slice(F.col("_rows"), line + 1, F.lit((BLOCK - 1) * stride + lines))
+    line = F.col("_block") * reach
+    piece = F.slice(F.col("_rows"), line + 1, F.lit(min((BLOCK - 1) * stride + lines, MOST)))
     block = _once(block.select(*KEYS, "_n", "_count", "_block", "_offset", piece.alias("_lines")), "_starts", _starts(F.col("_lines"), stride, F.least(F.lit(BLOCK), F.col("_count") - F.col("_block") * BLOCK), F.col("_offset")))
     seg = block.select(*KEYS, "_lines", "_n", "_block", F.posexplode_outer("_starts").alias("_at", "start"))
     seg = seg.withColumn("seg_no", F.col("_block") * BLOCK + F.col("_at"))

@@ -361,7 +361,7 @@ def test_windows_of_a_long_text_are_linear_and_split_it_once(spark, tmp_path):
 def test_windows_across_blocks(spark):
     rng = random.Random(5)
     texts = ["\n".join("x" * rng.randint(0, 3) for _ in range(n)) for n in (1, 2, 767, 768, 769, 770, 1536, 2000, 3001)]
-    for lines, overlap in ((4, 1), (1, 0), (40, 8)):
+    for lines, overlap in ((4, 1), (1, 0), (40, 8), (1_000_000_000, 0)):
         got = {}
         for r in windows(spark.createDataFrame([("o", str(i), t) for i, t in enumerate(texts)], "origin string, resource string, text string"), lines, overlap).collect():
             got[r["resource"], r["seg_no"]] = (r["start"], r["end"], r["text"])
