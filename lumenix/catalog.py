@@ -638,6 +638,23 @@ def declaration_records(spark: SparkSession, d: str) -> DataFrame:
     return sc.postings(rec).select("resource", "term", "tf")
 
 
+@query("""WITH t AS (SELECT 'doc/' || lpad(doc_id::VARCHAR, 9, '0') AS resource, unnest([
+  {'term': 'load_part' || doc_id, 'tf': 3}, {'term': 'load', 'tf': 1}, {'term': 'part' || doc_id, 'tf': 1},
+  {'term': 'makething' || doc_id, 'tf': 3}, {'term': 'make', 'tf': 1}, {'term': 'thing' || doc_id, 'tf': 1},
+  {'term': 'shape' || doc_id, 'tf': 3}, {'term': 'limit_' || doc_id, 'tf': 3}, {'term': 'limit', 'tf': 1},
+  {'term': CASE WHEN doc_id > 9 THEN doc_id::VARCHAR END, 'tf': 1}]) AS x FROM documents),
+p AS (SELECT resource, x.term AS term, x.tf AS tf FROM t WHERE x.term IS NOT NULL),
+len AS (SELECT resource, sum(tf) AS n FROM p GROUP BY resource), st AS (SELECT count(*) AS n, avg(n) AS avgdl FROM len),
+w AS (SELECT term, ln((st.n - count(*) + 0.5) / (count(*) + 0.5) + 1) AS idf FROM p, st WHERE term IN ('makething', 'thing12', 'makething12', 'load', 'make') GROUP BY term, st.n)
+SELECT resource, round(least(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len.n / greatest(st.avgdl, 1)))) / (SELECT sum(idf * 2.2) FROM w), 1), 6) AS score
+FROM p JOIN w USING (term) JOIN len USING (resource), st GROUP BY resource ORDER BY score DESC, resource LIMIT 10""")
+def declaration_topk(spark: SparkSession, d: str) -> DataFrame:
+    """A name that is declared outranks its parts."""
+    rec = classify.declaration_terms(windows(_source_lines(spark, d)))
+    hits = retrieve.Index({"declaration": retrieve.Dimension(records=rec)}).find({"declaration": retrieve.Term("load MakeThing12")}, None)
+    return rounded_top(hits, 10).select("resource", "score")
+
+
 @query("SELECT 'chat/' || lpad(conv_id::VARCHAR, 9, '0') AS resource, string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY turn, role, text) AS descriptor FROM conversations GROUP BY conv_id HAVING length(descriptor) > 0")
 def content_descriptors(spark: SparkSession, d: str) -> DataFrame:
     turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
@@ -656,9 +673,9 @@ def cluster_leaves(spark: SparkSession, d: str) -> DataFrame:
     return cluster.leaves(edges, parents).where(F.col("leaf").startswith("customer/"))
 
 
-@query("SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.55")
+@query("SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.4")
 def similar_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return cluster.pairs(src.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), 0.55).select("a", "b")
+    return cluster.pairs(src.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), 0.4).select("a", "b")
 
 
 @query("SELECT vec_id AS id FROM embeddings WHERE label NOT IN (SELECT label FROM embeddings GROUP BY label HAVING count(*) % 2 = 0)")
@@ -813,13 +830,6 @@ def dimension_subsets(spark: SparkSession, d: str) -> DataFrame:
 # -- no SQL counterpart
 
 
-@query()
-def declaration_topk(spark: SparkSession, d: str) -> DataFrame:
-    """Declared names of page sources; on data without declarations this is empty."""
-    rec = classify.declaration_terms(windows(src.pages(spark, d), 4, 1))
-    return retrieve.Index({"declaration": retrieve.Dimension(records=rec)}).find({"declaration": retrieve.Term("track render article")}, 10)
-
-
 def _tree(spark: SparkSession, d: str) -> cluster.Tree:
     base = vector_records(spark, d)
     pool = base.select(F.col("resource").alias("id"), F.concat(F.lit("group "), F.col("label").cast("string")).alias("descriptor"), "vec", F.col("resource").alias("no"))
