@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenix.functions import text as tx
+from lumenix.sources import scratch
 from lumenix.sources.tables import ensure_importable
 
 INDEX_DIR = ".lumenix"
@@ -31,21 +32,20 @@ def nfc(keys: pd.Series) -> pd.Series:
     return keys.map(lambda k: None if k is None else unicodedata.normalize("NFC", k))
 
 
-def ignore_patterns(root: str) -> list[tuple[str, bool, str, bool]]:
-    """(folder, negated, pattern, folders only) of the tree's ignore files, outer ones first."""
+def ignore_patterns(listed: DataFrame) -> list[tuple[str, bool, str, bool]]:
+    """(folder, negated, pattern, folders only) of the listed tree's ignore files, outer ones first."""
     found = []
-    for folder, names, files in os.walk(root):
-        names[:] = sorted(n for n in names if n not in (".git", INDEX_DIR))
-        if ".gitignore" in files:
-            base = os.path.relpath(folder, root).replace(os.sep, "/")
-            for line in open(os.path.join(folder, ".gitignore"), encoding="utf-8", errors="replace").read().splitlines():
-                rule = line.rstrip() if not line.endswith("\\ ") else line
-                if not rule or rule.startswith("#"):
-                    continue
-                negated = rule.startswith("!")
-                rule = rule[1:] if negated else rule.removeprefix("\\")
-                found.append(("" if base == "." else base, negated, rule.rstrip("/"), rule.endswith("/")))
-    return found
+    files = listed.where((F.col("resource") == ".gitignore") | F.col("resource").endswith("/.gitignore")).select("path", "resource").collect()
+    for path, resource in sorted(map(tuple, files), key=lambda x: x[1].split("/")):
+        base = os.path.dirname(resource)
+        for line in open(path, encoding="utf-8", errors="replace").read().splitlines():
+            rule = line.rstrip() if not line.endswith("\\ ") else line
+            if not rule or rule.startswith("#"):
+                continue
+            negated = rule.startswith("!")
+            rule = rule[1:] if negated else rule.removeprefix("\\")
+            found.append((base, negated, rule.rstrip("/"), rule.endswith("/")))
+    return sorted(found, key=lambda x: x[0].split("/") if x[0] else [])
 
 
 def _glob(rule: str) -> str:
@@ -79,33 +79,55 @@ def ignored(key: Column, patterns: list[tuple[str, bool, str, bool]]) -> Column:
     return out
 
 
+def _entries(batches):  # type: ignore[no-untyped-def]
+    """What the folders of a batch hold; links to folders are not followed, names that are not UTF-8 are left out."""
+    for batch in batches:
+        rows = []
+        for folder in batch.column(0).to_pylist():
+            try:
+                inside = sorted(os.scandir(folder), key=lambda e: e.name)
+            except OSError:
+                continue
+            for e in inside:
+                try:
+                    e.path.encode("utf-8")
+                    if e.is_dir():
+                        if not e.is_symlink() and e.name not in (".git", INDEX_DIR):
+                            rows.append((e.path, True, 0, 0))
+                    else:
+                        stat = os.stat(e.path)
+                        rows.append((e.path, False, stat.st_size, stat.st_mtime_ns))
+                except (UnicodeEncodeError, OSError):
+                    continue
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.bool_(), pa.int64(), pa.int64()))], ["path", "folder", "size", "mtime_ns"])
+
+
 def listing(spark: SparkSession, root: str) -> DataFrame:
     """path, resource, size, mtime_ns of all files under a root, hidden ones too; names that are not UTF-8 are left out.
 
-    Spark's own file sources pass over names that begin with ``.`` or ``_``, so the tree is walked here; only names,
-    sizes and times are held.
+    Spark's own file sources pass over names that begin with ``.`` or ``_``, so folders are listed by tasks here, one level
+    of the tree after the other; no list of files reaches the driver.
     """
     ensure_importable(spark)
     base = os.path.realpath(root)
-    rows = []
-    for folder, names, found in os.walk(base):
-        names[:] = sorted(n for n in names if n not in (".git", INDEX_DIR))
-        for name in sorted(found):
-            path = os.path.join(folder, name)
-            try:
-                path.encode("utf-8")
-                stat = os.stat(path)
-            except (UnicodeEncodeError, OSError):
-                continue
-            rows.append((path, os.path.relpath(path, base).replace(os.sep, "/"), stat.st_size, stat.st_mtime_ns))
-    out = spark.createDataFrame(rows, "path string, resource string, size bigint, mtime_ns bigint")
-    return out.withColumn("resource", nfc("resource"))
+    folders = spark.createDataFrame([(base,)], "path string")
+    found: DataFrame | None = None
+    while True:
+        level = scratch.materialize(folders.mapInArrow(_entries, "path string, folder boolean, size bigint, mtime_ns bigint"), "listing")
+        files = level.where(~F.col("folder"))
+        found = files if found is None else found.unionByName(files)
+        folders = level.where("folder").select("path")
+        if folders.isEmpty():
+            break
+        folders = folders.repartition(spark.sparkContext.defaultParallelism)
+    return found.select("path", nfc(F.substr("path", F.lit(len(base.rstrip("/")) + 2))).alias("resource"), "size", "mtime_ns")
 
 
 def discover(spark: SparkSession, root: str, max_bytes: int = 4 << 20) -> DataFrame:
     """path, resource, size, mtime_ns of what is indexed: no ignored, empty, oversized or oddly named files."""
-    found = listing(spark, root).where((F.col("size") > 0) & (F.col("size") <= max_bytes))
-    return found.where(tx.safe_key(F.col("resource")) & ~ignored(F.col("resource"), ignore_patterns(root)))
+    every = listing(spark, root)
+    found = every.where((F.col("size") > 0) & (F.col("size") <= max_bytes))
+    return found.where(tx.safe_key(F.col("resource")) & ~ignored(F.col("resource"), ignore_patterns(every)))
 
 
 def _read(batches):  # type: ignore[no-untyped-def]
