@@ -43,7 +43,7 @@ class CrossParseParams:
     shard_bytes: int = 400_000
     unit_bytes: int = 4_000_000
     piece_words: int = 2000
-    held_shards: int = 60
+    held_shards: int = 24
     held_units: int = 4
 
 
