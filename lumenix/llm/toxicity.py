@@ -1,8 +1,8 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over character and word inputs.
 
-A word enters as its hashed embedding beside the pooled embeddings of its character trigrams (with word
-edges), so that unseen inflections of known terms are recognised. The network, trained in numpy with
-back-propagation through time, scores every overlapping window of a text; a document has its worst
+A word, without case and punctuation around it, enters as its hashed embedding beside the pooled embeddings
+of its character trigrams (with word edges), so that unseen inflections of known terms are recognised. The
+network, trained in numpy with back-propagation through time, scores every overlapping window of a text; a document has its worst
 window's score. Windows are ``window`` words long and start every ``stride`` words over the whole text.
 
 Edge cases: null and empty texts have no window and get the score of an empty one (the bias alone);
@@ -44,6 +44,10 @@ class ToxicityParams:
     fit_words: int = 4000
 
 
+_SOLID = np.zeros(256, bool)
+_SOLID[48:58] = _SOLID[65:91] = _SOLID[97:123] = _SOLID[128:] = True
+
+
 @dataclass
 class Words:
     """Distinct words of a block: their hash bucket and the trigram buckets of each, back to back."""
@@ -53,8 +57,19 @@ class Words:
     start: np.ndarray
 
 
+def bare(raw: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word spans without the punctuation around them; a word of nothing else stays as it is."""
+    at = np.flatnonzero(_SOLID[raw])
+    if not len(at):
+        return s, e
+    a, b = np.searchsorted(at, s), np.searchsorted(at, e)
+    some = b > a
+    return np.where(some, at[np.minimum(a, len(at) - 1)], s), np.where(some, at[np.maximum(b - 1, 0)] + 1, e)
+
+
 def distinct_words(raw: np.ndarray, s: np.ndarray, e: np.ndarray, p: ToxicityParams) -> tuple[Words, np.ndarray]:
-    """The distinct words (A-Z folded) and each occurrence's number among them."""
+    """The distinct words (A-Z folded, without punctuation around them) and each occurrence's number among them."""
+    s, e = bare(raw, s, e)
     h = common.hash_spans(raw, s, e, True)
     u, at, number = np.unique(h, return_index=True, return_inverse=True)
     lo, n = s[at], (e - s)[at]

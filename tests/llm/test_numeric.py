@@ -246,3 +246,13 @@ def test_constant_models_without_two_labels():
     assert quality.fit([], quality.QualityParams()) == 0.5 and toxicity.fit([("x", 0)]) == 0.0
     assert quality.scores(1.0, col, quality.QualityParams()).tolist() == [1, 1, 1]
     assert toxicity.scores(0.0, col, toxicity.ToxicityParams()).tolist() == [0, 0, 0]
+
+
+def test_punctuation_around_words_does_not_hide_them():
+    p = toxicity.ToxicityParams()
+    raw, off = common.text_bytes(pa.array(["Scum SCUM!! *scum*, “scum” don't !!! ***"]))
+    s, e, _ = common.word_bounds(raw, off)
+    words, number = toxicity.distinct_words(raw, s, e, p)
+    assert number[0] == number[1] == number[2] and len({*number.tolist()}) == 5
+    a, b = toxicity.bare(raw, s, e)
+    assert [raw[i:j].tobytes().decode() for i, j in zip(a, b)] == ["Scum", "SCUM", "scum", "“scum”", "don't", "!!!", "***"]
