@@ -263,14 +263,18 @@ def score(documents: DataFrame, reference: DataFrame, p: CrossParseParams = Cros
             columns = [pa.array([r[k] for r in rows], pa.int64() if k < 4 else pa.float64()) for k in range(5)]
             return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), *columns], ["doc_id", "n_words", "cross_phrases", "self_phrases", "longest_match", "score"])
 
+        most = p.unit_bytes * p.held_units
         for batch in batches:
-            ids.append(batch.column(0))
-            owners += batch.column(1).to_pylist()
-            texts += _hashed(batch.column(2))
-            held += batch.column(2).nbytes
-            if held >= p.unit_bytes * p.held_units:
-                yield scored()
-                ids, texts, owners, held = [], [], [], 0
+            off = common.text_bytes(batch.column(2))[1]
+            for i, j in common.blocks(off, most):  # a batch may hold more text than a unit
+                part = batch.slice(i, j - i)
+                ids.append(part.column(0))
+                owners += part.column(1).to_pylist()
+                texts += _hashed(part.column(2))
+                held += int(off[j] - off[i])
+                if held >= most:
+                    yield scored()
+                    ids, texts, owners, held = [], [], [], 0
         if ids:
             yield scored()
 
