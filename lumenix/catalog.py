@@ -678,6 +678,15 @@ def similar_pairs(spark: SparkSession, d: str) -> DataFrame:
     return cluster.pairs(src.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), 0.4).select("a", "b")
 
 
+@query("SELECT vec_id, i, embedding[i] AS x FROM embeddings, range(1, 65) t(i) WHERE vec_id % 3 <> 0")
+def tensor_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors as little-endian bytes and back; every third one is cut by a component and so has the wrong width."""
+    cut = F.when(F.col("vec_id") % 3 == 0, F.slice("embedding", 2, 64)).otherwise(F.col("embedding"))
+    coded = vec.encode_tensors(src.table(spark, d, "embeddings").select("vec_id", cut.alias("v")), "v", "tensor").select("vec_id", "tensor")
+    back = vec.decode_tensors(coded, "tensor", "v", 64).where("v is not null")
+    return back.select("vec_id", F.posexplode("v").alias("i", "x")).select("vec_id", (F.col("i") + 1).cast("bigint").alias("i"), "x")
+
+
 @query("SELECT vec_id AS id FROM embeddings WHERE label NOT IN (SELECT label FROM embeddings GROUP BY label HAVING count(*) % 2 = 0)")
 def orphan_records(spark: SparkSession, d: str) -> DataFrame:
     """Records that no group holds; groups are labels with an even number of records."""

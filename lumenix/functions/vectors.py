@@ -102,11 +102,54 @@ def tokenizing_embedder(spark, tokenizer_file: str, table: np.ndarray, normalize
             from tokenizers import Tokenizer
 
             loaded["t"] = Tokenizer.from_file(tokenizer_file)
-        return text.map(lambda x: static_vector(loaded["t"].encode(x or "", add_special_tokens=False).ids, held.value, normalize).tolist())
+        found = loaded["t"].encode_batch_fast(["" if x is None else x for x in text], add_special_tokens=False)
+        return pd.Series([static_vector(e.ids, held.value, normalize).tolist() for e in found])
 
     return embed
 
 
+TENSOR = "dtype string, shape array<int>, data binary"
+DTYPES = {"f32": "<f4", "f16": "<f2", "i8": "<i1"}
+
+
+def encode_tensors(df, source: str, name: str, dtype: str = "f32"):  # type: ignore[no-untyped-def]
+    """``df`` and a column ``name`` with each vector as little-endian bytes beside its type and shape."""
+    import pyarrow as pa
+
+    if dtype not in DTYPES:
+        raise ValueError(f"unknown dtype {dtype!r}")
+    at = df.columns.index(source)
+    kind = pa.struct([("dtype", pa.string()), ("shape", pa.list_(pa.int32())), ("data", pa.binary())])
+
+    def run(batches):  # type: ignore[no-untyped-def]
+        for batch in batches:
+            rows = [None if v.as_py() is None else {"dtype": dtype, "shape": [len(v)], "data": np.asarray(v.as_py(), DTYPES[dtype]).tobytes()} for v in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], [*batch.schema.names, name])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T._parse_datatype_string(TENSOR))]))
+
+
+def decode_tensors(df, source: str, name: str, width: int | None = None):  # type: ignore[no-untyped-def]
+    """``df`` and a column ``name`` with the vectors that ``encode_tensors`` wrote; null where type, shape, bytes or the asked
+    ``width`` do not fit."""
+    import pyarrow as pa
+
+    at = df.columns.index(source)
+
+    def one(t: dict | None) -> np.ndarray | None:
+        if t is None or t["dtype"] not in DTYPES or len(t["shape"] or ()) != 1 or (width is not None and t["shape"][0] != width):
+            return None
+        size = np.dtype(DTYPES[t["dtype"]]).itemsize
+        return np.frombuffer(t["data"], DTYPES[t["dtype"]]).astype(np.float32) if t["data"] is not None and len(t["data"]) == size * t["shape"][0] else None
+
+    def run(batches):  # type: ignore[no-untyped-def]
+        for batch in batches:
+            rows = [one(v.as_py()) for v in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(pa.float32()))], [*batch.schema.names, name])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.FloatType()))]))
+
+
 def embed_rows(df, source: str, name: str, embed: Callable[[Sequence], np.ndarray]):  # type: ignore[no-untyped-def]
     """``df`` and an array column ``name`` = embed(source), in Arrow batches: a stage of its own, so that nothing
     above it makes the optimizer embed twice."""

@@ -151,3 +151,16 @@ def test_nfc(spark):
     from lumenix.sources.files import nfc
 
     assert one(spark, unicodedata.normalize("NFD", "é.txt"), nfc) == "é.txt"
+
+
+def test_tensors(spark):
+    from lumenix.functions import vectors as vec
+
+    df = spark.createDataFrame([(1, [1.0, -2.5, 0.0]), (2, None), (3, [4.0])], "id int, v array<float>")
+    for dtype, size in (("f32", 4), ("f16", 2), ("i8", 1)):
+        coded = vec.encode_tensors(df, "v", "t", dtype)
+        first = coded.where("id = 1").first()["t"]
+        assert (first["dtype"], first["shape"], len(first["data"])) == (dtype, [3], 3 * size)
+        back = {r["id"]: r["b"] for r in vec.decode_tensors(coded, "t", "b").collect()}
+        assert back == {1: [1.0, -2.5 if dtype != "i8" else -2.0, 0.0], 2: None, 3: [4.0]}
+        assert vec.decode_tensors(coded, "t", "b", 3).where("b is not null").count() == 1
