@@ -39,3 +39,17 @@ def test_registered():
     from lumenix.llm import queries
 
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11)) and len(P.STAGES) == 5
+
+
+def test_an_empty_table_and_clashing_columns(spark, tmp_path):
+    """No document gives no piece; columns with the operators' own names pass through the filters."""
+    docs = table(spark, D, "documents").limit(0)
+    for name, stage in P.STAGES:
+        docs = stage(spark, docs, D)
+        assert docs.count() == 0
+    from pyspark.sql import functions as F
+
+    names = ["kept", "keep_id", "node", "score", "component_id", "kept_doc_id", "repeated_id", "picked", "label"]
+    few = table(spark, D, "documents").where("doc_id < 40").withColumns({n: F.lit(1) for n in names})
+    for _, stage in P.STAGES[2:4]:
+        assert stage(spark, few, D).columns == few.columns
