@@ -124,9 +124,9 @@ class Index:
             elif d.vectors is not None:
                 out[name] = sc.cosine(levels.apply(d.vectors), d.encode(term.text))  # type: ignore[operator]
             else:
-                spark = d.records.sparkSession
-                wanted = sc.query_terms(spark, term.text)
-                out[name] = sc.bm25(levels.apply(d.records), wanted, sc.federated_stats(d.records, wanted))
+                wanted = sc.query_terms(d.records.sparkSession, term.text)
+                slim = scratch.materialize(sc.matched(d.records, wanted), "matched")
+                out[name] = sc.bm25(levels.apply(slim), wanted, sc.federated_stats(slim, wanted))
         return out
 
     def find_at(self, query: Mapping[str, Term], limit: int | None, levels: LevelFilter = LevelFilter("all"), candidates: DataFrame | None = None) -> DataFrame:

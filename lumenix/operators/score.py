@@ -38,6 +38,12 @@ def postings(records: DataFrame, wanted: list[str] | None = None) -> DataFrame:
     return records.select(*PLACE, "level", "len", F.explode(terms).alias("term")).groupBy(*PLACE, "level", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def matched(records: DataFrame, wanted: list[str]) -> DataFrame:
+    """All records with their lengths, but only the ``wanted`` ones of their terms: what statistics and scores of one query
+    need, so that records are cut and read once for both."""
+    return records.select(*PLACE, "level", F.filter("terms", lambda t: t.isin(wanted)).alias("terms"), "len")
+
+
 @dataclass(frozen=True)
 class CorpusStats:
     """Mergeable statistics of one dimension: slots, total length as average times slots, document frequencies."""

@@ -21,18 +21,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, over all cores if its files fit a single split: one task would cut and tokenise all of it else. Larger tables
+    are read in as many splits as they have, without a shuffle; results are the same."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    size = int(str(plan.stats().sizeInBytes()))
+    one = df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= one else df
+
+
 def _key(prefix: str, number: str):  # type: ignore[no-untyped-def]
     return F.concat(F.lit(prefix + "/"), F.lpad(F.col(number).cast("string"), 9, "0"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return d.select(F.lit("docs").alias("origin"), _key("doc", "doc_id").alias("resource"), "text")
+    return spread(d.select(F.lit("docs").alias("origin"), _key("doc", "doc_id").alias("resource"), "text"))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "pages")
-    return d.select(F.lit("pages").alias("origin"), _key("page", "page_id").alias("resource"), F.col("html").alias("text"))
+    return spread(d.select(F.lit("pages").alias("origin"), _key("page", "page_id").alias("resource"), F.col("html").alias("text")))
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
