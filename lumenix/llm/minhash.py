@@ -5,11 +5,11 @@
    its own number). Equal sets become one node.
 2. Buckets with several nodes propose star edges: every member to the least one, so pairs grow with members, not with
    their squares.
-3. Buckets whose nodes are not in one component by then are looked at again. Those of up to ``bucket_rows`` nodes are
-   compared by their bins within a task, which emits spanning forests over the components: eight in the first round, eight
-   times as many in each further one, so edges grow with nodes and rounds with the logarithm of a bucket. Larger ones get up to ``stars`` + 1 further stars a round, around a node of the largest component and of small
-   ones; a centre leaves its bucket once it has been compared. Rounds end when no bucket proposes an edge that has not
-   been tested. No partner or candidate is dropped.
+3. Buckets whose nodes are not in one component by then are looked at again, by bins: one of up to ``bucket_rows`` nodes in
+   one task, a larger one as all pairs of its blocks, spread over tasks. The first round proposes the eight best pairs of each
+   component, each further one eight times as many, so rounds grow with the logarithm of a bucket. Proposed pairs are
+   tested in cells of many nodes, to which each text moves once. Rounds end when every bucket has proposed all its pairs. No
+   partner or candidate is dropped.
 
 Nodes that share a bucket get a finer signature, one byte for each of ``fine_bins`` bins. Before texts are compared, a pair
 must pass an exact bound (sets of sizes m <= n are never more similar than m / n) and agree in so many fine bins that a pair
@@ -44,7 +44,7 @@ from lumenix.llm import common, groups
 @dataclass(frozen=True)
 class MinHashParams:
     """Words to a shingle, similarity in percent, banding, bins of the finer signature, nodes of a bucket that one task
-    compares, stars to a larger bucket and round, members to a task's share of a star."""
+    compares, nodes to a side of a cell of pairs. ``stars`` has no effect: larger buckets are compared block by block."""
 
     words: int = 5
     percent: int = 80
@@ -62,6 +62,9 @@ class MinHashParams:
         return max(0, int(n * j - 5 * (n * j * (1 - j)) ** 0.5))
 
 
+#: Shingles to a side of a cell of pairs: what a task holds.
+CELL_SHINGLES = 2_000_000
+
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -170,37 +173,46 @@ def plausible(pairs: DataFrame, nodes: DataFrame, p: MinHashParams) -> DataFrame
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, p: MinHashParams) -> DataFrame:
-    """``pairs(a, b)`` of nodes that are similar enough on full sets; ``texts(node, text)``. ``pairs`` is a written table.
+    """``links(a, b)``: of ``pairs(a, b, g)`` of nodes that are similar enough on full sets, one for each ``a`` and cell at least;
+    ``texts(node, text, n)``. ``pairs`` is a written table.
 
-    The text of ``a`` leads each group, its partners follow in a sorted stream. Stars with many members are
-    split over tasks of about ``star_share`` members, each with its own copy of the centre.
+    ``g`` is the component of ``b``, so the first link of ``a`` in a cell settles its other pairs there. The pairs of a
+    component are cut into cells of about ``star_share`` nodes and ``CELL_SHINGLES`` shingles on either side. A text moves
+    once for each cell that has a pair of it, not for each pair: dense pairs move texts with the root of their number.
     """
-    shares = F.ceil(F.col("group_rows") / p.star_share).cast("int")
-    stars = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("group_rows")).select("a", shares.alias("shares"))
-    wide = lambda k: groups.sieve(texts.select(F.col("node").alias(k), "text"), [k], pairs.select(k)).hint("merge")
-    lead = wide("a").join(stars, "a").select("a", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(None).cast("binary").alias("b"), "text")
-    rest = groups.attach(pairs, ["a"], []).select("a", "b", shares.alias("shares")).join(wide("b"), "b")
-    rest = rest.select("a", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int").alias("share"), "b", "text")
+    size = lambda k: groups.lookup(pairs.select("g", k).distinct(), texts.select(F.col("node").alias(k), "n"), [k]).groupBy("g").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / p.star_share), F.ceil(F.sum("n") / CELL_SHINGLES)).cast("int").alias(f"cuts_{k}")
+    )
+    cuts = size("a").join(size("b"), "g")
+    cell = lambda k: F.pmod(F.xxhash64(k), F.col(f"cuts_{k}")).cast("int")
+    placed = common.materialize(groups.lookup(pairs, cuts, ["g"], row_salt=["a", "b"]).select(F.xxhash64("g", cell("a"), cell("b")).alias("cell"), "a", "b"), "cells")
+    lead = placed.select("cell", F.col("b").alias("node"), F.lit(None).cast("array<binary>").alias("partners")).distinct()
+    rest = placed.groupBy("cell", F.col("a").alias("node")).agg(F.collect_list("b").alias("partners"))
+    wide = groups.sieve(texts.select("node", "text"), ["node"], pairs.select(F.explode(F.array("a", "b")).alias("node"))).hint("merge")
+    both = lead.unionByName(rest).join(wide, "node").select("cell", F.col("partners").isNotNull().alias("tested"), "node", "partners", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre, own = None, None
+        here, held = None, {}
         for batch in batches:
             good = []
             sets: list[np.ndarray] = []
-            raw, off = common.text_bytes(batch.column(3))
+            raw, off = common.text_bytes(batch.column(4))
             for i, j in common.blocks(off, 1 << 21):
                 sets += shingle_sets(raw[off[i] : off[j]], off[i : j + 1] - off[i], p.words)
-            for a, b, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), sets):
-                if b is None:
-                    centre, own = a, x
-                elif a == centre:
-                    both = len(np.intersect1d(own, x, assume_unique=True))
-                    if 100 * both >= p.percent * (len(own) + len(x) - both):
+            for at, a, partners, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), sets):
+                if at != here:
+                    here, held = at, {}
+                if partners is None:
+                    held[a] = x
+                    continue
+                for b in partners:
+                    both = len(np.intersect1d(held[b], x, assume_unique=True))
+                    if 100 * both >= p.percent * (len(held[b]) + len(x) - both):
                         good.append((a, b))
+                        break
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in good], pa.binary()), pa.array([g[1] for g in good], pa.binary())], ["a", "b"])
 
-    both = lead.unionByName(rest)
-    return both.repartition("a", "share").sortWithinPartitions("a", "share", F.col("b").asc_nulls_first()).mapInArrow(run, "a binary, b binary")
+    return both.repartition("cell").sortWithinPartitions("cell", "tested").mapInArrow(run, "a binary, b binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -221,85 +233,103 @@ def components(edges: DataFrame) -> DataFrame:
     return state
 
 
-def forests(at: DataFrame, failed: DataFrame, nodes: DataFrame, p: MinHashParams, most: int) -> DataFrame:
-    """key, a, b: edges that may join the components of each bucket in ``at(key, node, comp)``, without the pairs ``failed(a, b)``.
+def candidates(at: DataFrame, nodes: DataFrame, p: MinHashParams, most: int) -> DataFrame:
+    """key, a, b, g: pairs that may join the components of each bucket in ``at(key, node, comp, group_rows)``, ``g`` being the
+    component of ``b``; and a row without ``a`` for each key that has more of them. ``nodes(node, n, bins, keys)``.
 
-    A bucket is compared in one task, by bins; it has ``bucket_rows`` nodes at most. Of all plausible pairs between
-    components up to ``most`` spanning forests are emitted, most equal bins first, so edges grow with nodes, not with pairs.
+    A bucket of up to ``bucket_rows`` nodes is one unit, compared by bins within a task; a larger one is cut into blocks of half
+    as many, and any two blocks make a unit. Every pair of a bucket meets in a unit at once, whatever the bucket's size.
     """
-    none = lambda kind: F.lit(None).cast(kind)
-    known = failed.join(at.select("key", F.col("node").alias("a")), "a").select("key", F.col("a").alias("node"), F.col("b").alias("comp"), none("long").alias("n"), none("binary").alias("bins"))
-    rows = at.join(nodes.select("node", "n", "bins").hint("merge"), "node").select("key", "node", "comp", "n", "bins").unionByName(known)
+    blocks = F.when(F.col("group_rows") > p.bucket_rows, F.ceil(F.col("group_rows") / max(1, p.bucket_rows // 2))).otherwise(1).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    others = F.expr("CASE WHEN blocks = 1 THEN array(0) ELSE filter(sequence(0, blocks - 1), x -> x <> own) END")
+    units = at.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(others))
+    home = F.col("other") == F.pmod(F.col("own") + 1, F.col("blocks"))  # where the pairs inside a block are compared
+    units = units.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("unit"), "key", "node", "comp", "own", home.alias("home"))
+    rows = units.join(nodes.select("node", "n", "bins", "keys").hint("merge"), "node").select("unit", "key", "node", "comp", "own", "home", "n", "bins", "keys")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def edges() -> pa.RecordBatch:
+        def edges() -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(held).combine_chunks()
-            keys = t["key"].to_numpy()
-            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
-            out = [(int(keys[i]), a, b) for i, j in zip(cuts, cuts[1:]) if j > i for a, b in forest(t.slice(i, j - i), p, most)]
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["key", "a", "b"])
+            unit = t["unit"].to_numpy()
+            cuts = [0, *(np.flatnonzero(unit[1:] != unit[:-1]) + 1).tolist(), len(unit)]
+            for i, j in zip(cuts, cuts[1:]):
+                if j > i:
+                    yield between(t.slice(i, j - i), p, most)
 
-        for batch in batches:  # sorted by key: all buckets but the last one of a batch are whole
+        for batch in batches:  # sorted by unit: all units but the last one of a batch are whole
             if not len(batch):
                 continue
-            keys = batch.column(0).to_numpy()
-            last = int(np.searchsorted(keys, keys[-1]))
-            if last or (held and held[-1].column(0)[-1].as_py() != keys[0]):
+            unit = batch.column(0).to_numpy()
+            last = int(np.searchsorted(unit, unit[-1]))
+            if last or (held and held[-1].column(0)[-1].as_py() != unit[0]):
                 held.append(batch.slice(0, last))
-                yield edges()
+                yield from edges()
                 held = [batch.slice(last)]
             else:
                 held.append(batch)
         if held:
-            yield edges()
-
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, a binary, b binary")
-
-
-def forest(bucket: pa.Table, p: MinHashParams, most: int) -> list[tuple[bytes, bytes]]:
-    """Up to ``most`` spanning forests of plausible pairs between the components of one bucket; rows without bins are pairs that failed."""
-    nodes, comps, size, bins = (bucket[c].to_pylist() for c in ("node", "comp", "n", "bins"))
-    failed = {(a, b) for a, b, n in zip(nodes, comps, size) if n is None}
-    rows = sorted((a, c, n, x) for a, c, n, x in zip(nodes, comps, size, bins) if n is not None)
-    names, n = [r[0] for r in rows], np.array([r[2] for r in rows], np.int64)
-    sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
-    label = np.unique(np.array([r[1].hex() for r in rows]), return_inverse=True)[1]
+            yield from edges()
+
+    return rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "key long, a binary, b binary, g binary")
+
+
+def equal_bins(sig: np.ndarray, by_bin: np.ndarray, i: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Equal bins of rows ``i[x]`` and ``y``; ``by_bin`` is ``sig`` turned. Where most pairs are asked, all are counted bin by bin."""
+    if 8 * len(x) < len(i) * len(sig) or len(sig) < 64:
+        return np.concatenate([(sig[i[x[q : q + 4096]]] == sig[y[q : q + 4096]]).sum(1) for q in range(0, len(x), 4096)] or [np.zeros(0, np.int64)])
+    total = np.zeros((len(i), len(sig)), np.uint16)
+    for k in range(0, len(by_bin), 128):
+        part = np.zeros(total.shape, np.uint8)
+        for row in by_bin[k : k + 128]:
+            part += (row[i][:, None] == row).view(np.uint8)
+        total += part
+    return total[x, y].astype(np.int64)
+
+
+def between(unit: pa.Table, p: MinHashParams, most: int) -> pa.RecordBatch:
+    """The plausible pairs between the components of a unit: for each component but the largest the ``most`` ones with
+    most equal bins, so pairs grow with nodes. A pair that shares an earlier band as well is left to that band's bucket."""
+    key = unit["key"][0].as_py()
+    names = unit["node"].combine_chunks().cast(pa.binary())
+    n = unit["n"].to_numpy()
+    sig, comps = _matrix(unit["bins"].combine_chunks()), unit["comp"].combine_chunks().dictionary_encode()
+    keys = unit["keys"].combine_chunks().flatten().to_numpy().reshape(len(n), -1)
+    earlier = np.ascontiguousarray(keys[:, : next(iter(np.flatnonzero((keys == key).all(0))), 0)].T)
+    by_bin = np.ascontiguousarray(sig.T)
+    own, home = unit["own"].to_numpy(), unit["home"].to_numpy()
+    label = comps.indices.to_numpy().astype(np.int64)
     sizes = np.bincount(label)
     largest = int(sizes.argmax())
     few = np.flatnonzero(label != largest)
-    found: list[tuple[int, int, int]] = []
+    at = np.arange(len(n))
+    found = [np.zeros((3, 0), np.int64)]
     for k in range(0, len(few), 32):
         i = few[k : k + 32]
-        fit = (label[i][:, None] != label) & near_in_size(n[i][:, None], n, p) & ((label == largest) | (np.arange(len(rows)) > i[:, None]))
+        fit = (label[i][:, None] != label) & near_in_size(n[i][:, None], n, p) & ((label == largest) | (at > i[:, None]))
+        fit &= home[i][:, None] | (own[i][:, None] != own)
+        for band in earlier:
+            fit &= band[i][:, None] != band
         x, y = np.nonzero(fit)
-        same = np.concatenate([(sig[i[x[q : q + 4096]]] == sig[y[q : q + 4096]]).sum(1) for q in range(0, len(x), 4096)] or [np.zeros(0, np.int64)])
+        same = equal_bins(sig, by_bin, i, x, y)
         ok = same >= p.least_equal
-        found += zip((-same[ok]).tolist(), np.minimum(i[x], y)[ok].tolist(), np.maximum(i[x], y)[ok].tolist())
-    rest = [(i, j) for _, i, j in sorted(found) if (names[i], names[j]) not in failed]
-    parent: list[int] = []
-
-    def root(c: int) -> int:
-        while parent[c] != c:
-            parent[c] = parent[parent[c]]
-            c = parent[c]
-        return c
-
-    out = []
-    for _ in range(most):
-        if not rest:
-            break
-        parent[:], later = range(len(sizes)), []
-        for i, j in rest:
-            a, b = root(int(label[i])), root(int(label[j]))
-            if a == b:
-                later.append((i, j))
-            else:
-                parent[a] = b
-                out.append((names[i], names[j]))
-        rest = later
-    return out
+        found.append(np.stack([i[x[ok]], y[ok], same[ok]]))
+    x, y, same = np.concatenate(found, 1)
+    pair, of = np.tile(np.arange(len(x)), 2), np.concatenate([label[x], label[y]])
+    pair, of = pair[of != largest], of[of != largest]
+    order = np.lexsort((-same[pair], of))
+    pair, of = pair[order], of[order]
+    first = np.searchsorted(of, of)
+    chosen = np.zeros(len(x), bool)
+    chosen[pair[np.arange(len(of)) - first < most]] = True
+    x, y = x[chosen], y[chosen]
+    swap = sizes[label[x]] > sizes[label[y]]
+    x, y = np.where(swap, y, x), np.where(swap, x, y)
+    more = [None] * (not chosen.all())
+    columns = [pa.concat_arrays([c, pa.array(more, c.type)]) for c in (names.take(pa.array(x)), names.take(pa.array(y)), comps.dictionary.take(pa.array(label[y])))]
+    return pa.RecordBatch.from_arrays([pa.array([key] * len(columns[0]), pa.int64()), *columns], ["key", "a", "b", "g"])
 
 
 def near_duplicates(documents: DataFrame, p: MinHashParams = MinHashParams()) -> DataFrame:
@@ -312,47 +342,34 @@ def near_duplicates(documents: DataFrame, p: MinHashParams = MinHashParams()) ->
     met = common.materialize(groups.sieve(rows, ["key"], often), "bands")
     bucket = common.materialize(groups.attach(met, ["key"], [F.min("node").alias("first")], at_least=2, row_salt=["node"]), "buckets")
     common.discard(often, met)
-    shared = common.materialize(bucket.select("node").distinct().join(nodes.select("node", "rep"), "node"), "shared")
+    shared = common.materialize(bucket.select("node").distinct().join(nodes.select("node", "rep", "keys"), "node"), "shared")
     labels = common.materialize(shared.select("node", F.col("node").alias("comp")), "labels")
     if not bucket.isEmpty():
         some = groups.sieve(documents.select(F.col("doc_id").alias("rep"), "text"), ["rep"], shared)
-        texts = some.select(F.col("rep").alias("doc_id"), "text").hint("merge").join(shared, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
+        texts = some.select(F.col("rep").alias("doc_id"), "text").hint("merge").join(shared, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text", "keys")
         texts = common.materialize(own_texts(texts, p), "texts")
-        fine = texts.select("node", "n", "bins")
         first = common.materialize(bucket.where(F.col("node") != F.col("first")).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-        fresh = common.materialize(plausible(first, fine, p), "pairs")  # the first centre is the least node, so a < b
+        fresh = plausible(first, texts.select("node", "n", "bins"), p)  # the first centre is the least node
+        fresh = common.materialize(fresh.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("a").alias("g")), "pairs")
         links = common.materialize(confirmed(fresh, texts, p), "links")
-        failed = common.materialize(fresh.join(links, ["a", "b"], "left_anti"), "failed")
+        failed = common.materialize(untied(fresh).join(untied(links), ["lo", "hi"], "left_anti"), "failed")
         labels = relabelled(labels, links)
         common.discard(first, fresh, links)
-        live = bucket.where("group_rows > 2").select("key", "node")  # a bucket of two is settled by its star
+        live = common.materialize(bucket.where("group_rows > 2").select("key", "node"), "live")  # a bucket of two is settled by its star
         for turn in count(1):
             placed = common.materialize(live.join(labels, "node"), "placed")
             at = common.materialize(open_buckets(placed), "open")
-            small, large = at.where(F.col("group_rows") <= p.bucket_rows), at.where(F.col("group_rows") > p.bucket_rows)
-            edges = common.materialize(forests(small, failed, fine, p, 8**turn), "forest")
-            planned, live = edges.select("a", "b").distinct(), small.join(edges.select("key").distinct(), "key", "left_semi").select("key", "node")
-            done, crowded = [placed, at, edges], not large.isEmpty()
-            if crowded:
-                centres = common.materialize(star_centres(large, p.stars), "centres")
-                met = groups.lookup(large, centres, ["key"], row_salt=["node"]).where(F.col("comp") != F.col("centre_comp"))
-                met = met.groupBy(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).agg(F.min("centre").alias("centre"))
-                other = F.when(F.col("a") == F.col("centre"), F.col("b")).otherwise(F.col("a"))
-                met = common.materialize(met.join(failed, ["a", "b"], "left_anti").select(F.col("centre").alias("a"), other.alias("b")), "stars")
-                planned = planned.unionByName(plausible(met, fine, p)).distinct()
-                live = live.unionByName(large.join(centres.select("key", F.col("centre").alias("node")), ["key", "node"], "left_anti").select("key", "node"))
-                done += [centres, met]
-            fresh = common.materialize(planned, "pairs")
-            if not crowded and fresh.isEmpty():
-                common.discard(*done, fresh)
-                break
+            edges = common.materialize(candidates(at, texts, p, 8**turn), "edges")
+            met = edges.where("a IS NOT NULL").groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.min(F.struct("a", "b", "g")).alias("pair"))
+            fresh = common.materialize(met.join(failed, ["lo", "hi"], "left_anti").select("pair.*"), "pairs")
+            old, live = [live, failed], common.materialize(at.join(edges.where("a IS NULL").select("key").distinct(), "key", "left_semi").select("key", "node"), "live")
             links = common.materialize(confirmed(fresh, texts, p), "links")
-            tested = fresh.join(links, ["a", "b"], "left_anti").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            old, failed = failed, common.materialize(failed.unionByName(tested), "failed")
+            failed = common.materialize(failed.unionByName(untied(fresh)), "failed")  # linked pairs are in one component now
             labels = relabelled(labels, links)
-            live = common.materialize(live, "live")
-            common.discard(*done, fresh, links, old)
-        common.discard(texts, failed)
+            common.discard(placed, at, edges, fresh, links, *old)
+            if live.isEmpty():
+                break
+        common.discard(texts, failed, live)
     named = nodes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
     named = common.materialize(named, "named")
     named = common.materialize(groups.attach(named, ["comp"], [F.min("rep").alias("component_id")], row_salt=["node"]).select("node", "component_id"), "components")
@@ -368,14 +385,9 @@ def open_buckets(at: DataFrame) -> DataFrame:
     return both.where("lo <> hi").select("key", "node", "comp", "group_rows")
 
 
-def star_centres(at: DataFrame, stars: int) -> DataFrame:
-    """key, centre, centre_comp: a node of each bucket's largest component, and of the smallest one of each of
-    ``stars`` classes of components. Aggregates only, so a bucket of any size is never in one task."""
-    parts = at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead"))
-    largest = parts.groupBy("key").agg(F.min(F.struct((-F.col("n")).alias("n"), "lead", "comp")).alias("c"))
-    small = parts.groupBy("key", F.pmod(F.xxhash64("comp"), F.lit(stars)).alias("slot")).agg(F.min(F.struct("n", "lead", "comp")).alias("c")).select("key", "c")
-    both = largest.select("key", "c").unionByName(small)
-    return both.select("key", F.col("c.lead").alias("centre"), F.col("c.comp").alias("centre_comp")).distinct()
+def untied(pairs: DataFrame) -> DataFrame:
+    """``pairs(a, b)`` as (lo, hi), whichever of the two led."""
+    return pairs.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
 
 
 def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -389,7 +401,7 @@ def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def own_texts(texts: DataFrame, p: MinHashParams) -> DataFrame:
-    """node, text, n (size of its set), bins (a byte of each fine bin): rows whose text has the set that ``node`` stands for,
+    """node, text, keys, n (size of its set), bins (a byte of each fine bin): rows whose text has the set that ``node`` stands for,
     one per node (an id that several rows share fetches them all)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -405,10 +417,10 @@ def own_texts(texts: DataFrame, p: MinHashParams) -> DataFrame:
                 mine += own
                 sizes += [len(x) for x in sets]
                 bins += [x.tobytes() for x in (signature(sets, p.fine_bins) >> np.uint64(56)).astype(np.uint8)]
-            node, text = batch.filter(pa.array(mine, pa.bool_())).columns
-            yield pa.RecordBatch.from_arrays([node, text, pa.array(sizes, pa.int64()), pa.array(bins, pa.binary())], ["node", "text", "n", "bins"])
+            node, text, keys = batch.filter(pa.array(mine, pa.bool_())).columns
+            yield pa.RecordBatch.from_arrays([node, text, keys, pa.array(sizes, pa.int64()), pa.array(bins, pa.binary())], ["node", "text", "keys", "n", "bins"])
 
-    return texts.mapInArrow(run, "node binary, text string, n long, bins binary").dropDuplicates(["node"])
+    return texts.mapInArrow(run, "node binary, text string, keys array<long>, n long, bins binary").dropDuplicates(["node"])
 
 
 def keep_first(documents: DataFrame, p: MinHashParams = MinHashParams()) -> DataFrame:

@@ -256,3 +256,14 @@ def test_punctuation_around_words_does_not_hide_them():
     assert number[0] == number[1] == number[2] and len({*number.tolist()}) == 5
     a, b = toxicity.bare(raw, s, e)
     assert [raw[i:j].tobytes().decode() for i, j in zip(a, b)] == ["Scum", "SCUM", "scum", "“scum”", "don't", "!!!", "***"]
+
+
+def test_equal_bins_counted_either_way():
+    rng = np.random.default_rng(4)
+    sig = rng.integers(0, 2, (70, 256)).astype(np.uint8)
+    sig[5] = sig[40]
+    i = np.arange(3, 35)
+    x, y = np.nonzero(np.ones((32, 70), bool))
+    want = (sig[i[x]] == sig[y]).sum(1)
+    assert (minhash.equal_bins(sig, np.ascontiguousarray(sig.T), i, x, y) == want).all() and want.max() == 256
+    assert (minhash.equal_bins(sig, np.ascontiguousarray(sig.T), i, x[:50], y[:50]) == want[:50]).all()

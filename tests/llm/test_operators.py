@@ -115,6 +115,22 @@ def test_near_duplicates(spark, mixed, words, bucket_rows):
         assert (got[i]["n_shingles"], got[i]["component_id"], got[i]["kept"]) == (n, comp, comp == i)
 
 
+def test_a_bucket_of_any_size_is_settled_in_few_rounds(spark, monkeypatch):
+    rng = random.Random(21)
+    base = [rng.choice(WORDS) + str(rng.randint(0, 9)) for _ in range(80)]
+    texts = [" ".join(base)]
+    for k in range(48):  # some in the first text's component, most in none, all in common buckets
+        w = list(base)
+        for _ in range(rng.randint(1, 2) if k % 4 == 0 else rng.randint(5, 8)):
+            w[rng.randrange(80)] = f"new{rng.randint(0, 9999)}"
+        texts.append(" ".join(w))
+    rounds, spread = [], minhash.relabelled
+    monkeypatch.setattr(minhash, "relabelled", lambda *a: rounds.append(1) or spread(*a))
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(make(spark, texts), minhash.MinHashParams(words=4, bucket_rows=8, stars=1, star_share=5)).collect()}
+    assert got == {i: c for i, (_, c) in enumerate(brute_components(texts, list(range(49)), 4))}
+    assert len(rounds) <= 4
+
+
 def test_near_duplicates_edge_cases(spark):
     assert minhash.near_duplicates(make(spark, [])).count() == 0
     same_id = make(spark, ["a b c d e f", "g h i j k l", "a b c d e f", None], [7, 7, None, None])
