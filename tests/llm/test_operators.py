@@ -131,6 +131,22 @@ def test_a_bucket_of_any_size_is_settled_in_few_rounds(spark, monkeypatch):
     assert len(rounds) <= 4
 
 
+def test_keep_first_of_a_family_larger_than_a_unit(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [rng.choice(WORDS) + str(rng.randint(0, 9)) for _ in range(90)]
+    texts = [" ".join([*base[:k], f"new{k}", *base[k + 1 :]]) for k in range(6)]  # found by way of the first
+    for _ in range(30):
+        w = list(base)
+        for _ in range(rng.randint(4, 7)):
+            w[rng.randrange(90)] = f"new{rng.randint(100, 9999)}"
+        texts.append(" ".join(w))
+    rounds, spread = [], minhash.relabelled
+    monkeypatch.setattr(minhash, "relabelled", lambda *a: rounds.append(1) or spread(*a))
+    kept = minhash.keep_first(make(spark, texts), minhash.MinHashParams(bucket_rows=6, stars=1))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, c in brute_components(texts, list(range(36)), 5)})
+    assert len(rounds) <= 4
+
+
 def test_near_duplicates_edge_cases(spark):
     assert minhash.near_duplicates(make(spark, [])).count() == 0
     same_id = make(spark, ["a b c d e f", "g h i j k l", "a b c d e f", None], [7, 7, None, None])
