@@ -5,15 +5,21 @@ reference's words; a word that does not occur there is a phrase by itself. With
 of reference the cross term is c * log2(N + 2) / n; the self term is c' * log2(c') / n for the c' phrases of the
 document's own incremental (Lempel-Ziv 1978) parse. The score is their difference: low for text like the reference.
 
-Every document is parsed against the whole reference except its own text (an equal text with another id stays in). The
-reference is written once, as hashes of words with a number of its owner (id and text). Each task reads it pass by pass,
-``held_shards`` shards at a time, for ``held_units`` units of documents held in memory, and keeps for every word position
-the longest match any pass has given; the greedy parse follows when all passes are done. Scores do not depend on how the
-reference or the documents are cut. Work grows with documents times reference; memory does not.
-
-In a pass, match lengths are found level by level: positions whose grams of the length tested also occur in another
-owner's text go up, the others down, and only reference positions that share a gram with a document stay. Grams are
-compared by 64-bit hashes.
+Every document is parsed against the whole reference except its own text (an equal text with another id stays in).
+Documents and reference are cut into units, and the longest match from each word position is found in rounds. In a round
+every unit sends hashes of the grams it asks for, with their owners (id and text), to the task that has their part of all
+hashes, and learns which of them another owner has on the other side. Positions of either side go on only with grams that
+were found, so most words leave after two rounds. No unit meets another: work and traffic grow with documents and reference,
+not with their product.
+
+1. Grams of 1, then 2, then 3 and 4, then 5 to 8 words; a gram is asked only if all shorter ones asked inside it were found.
+2. The powers of two from 16 words on, all in one round.
+3. A match ends no earlier than that of the position before it. So ends of neighbours bound each other, and the first position
+   of each stretch that is still open is searched between its power of two and the next, in steps of an eighth of the
+   interval; then all positions that are open after that. A position of the reference takes part where a position with its
+   gram searches.
+
+Grams are compared by 64-bit hashes. Scores do not depend on how the reference or the documents are cut.
 
 Edge cases: null, empty and blank texts have no words and score 0; without any reference the cross term takes every
 word as a phrase of log2(2) bits; repeated rows are scored alike; texts of any length are read whole on both sides.
@@ -21,7 +27,10 @@ word as a phrase of log2(2) bits; repeated rows are scored alike; texts of any l
 
 from __future__ import annotations
 
+import gc
 import math
+import pickle
+import re
 from collections.abc import Hashable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -29,22 +38,25 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenix.llm import common
+from lumenix.sources.tables import spread
 
 
 @dataclass(frozen=True)
 class CrossParseParams:
-    """Bytes of a shard of reference text and of a unit of documents, and how many of each a task holds at a time; results do
-    not depend on them. ``piece_words`` has no effect: reference texts are not cut."""
+    """Text of a unit (``unit_bytes`` x ``held_units``) and hashes that meet in a task (at eight for each word, twice
+    ``shard_bytes`` x ``held_shards`` bytes, 1 MB at least); results do not depend on them. ``piece_words`` has no effect:
+    texts are not cut."""
 
     shard_bytes: int = 400_000
     unit_bytes: int = 4_000_000
     piece_words: int = 2000
     held_shards: int = 24
-    held_units: int = 4
+    held_units: int = 2
 
 
 def suffix_automaton(symbols: Sequence[Hashable]) -> list[dict]:
@@ -119,22 +131,6 @@ def relative_entropy(cross: int, own: int, n: int, reference: int) -> float:
     return (cross * math.log2(reference + 2) - own * math.log2(max(own, 1))) / n
 
 
-class Words:
-    """Word hashes of several texts behind each other; a gram is ``n`` words of one text from a position on."""
-
-    def __init__(self, texts: list[np.ndarray], owners: list[int]):
-        sizes = np.array([len(t) for t in texts], np.int64)
-        words = np.concatenate([np.zeros(0, np.uint64), *texts])
-        self.owner = np.repeat(np.array(owners, np.int64), sizes)
-        self.left = np.repeat(np.cumsum(sizes), sizes).astype(np.int32) - np.arange(len(words), dtype=np.int32)
-        up, self.down = common._powers(max(len(words), 1))
-        self.total = np.zeros(len(words) + 1, np.uint64)
-        np.cumsum(words * up[: len(words)], out=self.total[1:])
-
-    def grams(self, at: np.ndarray, n: int) -> np.ndarray:
-        return (self.total[at + n] - self.total[at]) * self.down[at]
-
-
 def seen_in(grams: np.ndarray, among: np.ndarray) -> np.ndarray:
     """Which ``grams`` may be among the others: no miss, few false hits."""
     bits = min(max(len(among).bit_length() + 3, 8), 24)
@@ -160,30 +156,6 @@ def occurs_elsewhere(grams: np.ndarray, owner: np.ndarray, among: np.ndarray, am
     return out
 
 
-def lengthen(longest: np.ndarray, d: Words, r: Words) -> None:
-    """Raise ``longest``, the longest match from each position of ``d``, to what the texts in ``r`` give."""
-    if not len(d.left) or not len(r.left):
-        return
-    end = int(min(d.left.max(), r.left.max())) + 1
-    todo = [(np.arange(len(d.left), dtype=np.int32), np.arange(len(r.left), dtype=np.int32), 0, end)]
-    while todo:
-        at, other, lo, hi = todo.pop()  # matches of ``lo`` words are known or looked for, those of ``hi`` do not occur here
-        at = at[(longest[at] < hi - 1) & (longest[at] < d.left[at])]
-        if hi - lo < 2 or not len(at) or not len(other):
-            continue
-        n = min(lo + max(1, lo // 2), hi - 1) if hi == end else (lo + hi) // 2
-        fit = other[r.left[other] >= n]
-        grams = r.grams(fit, n)
-        new = at[(longest[at] < n) & (d.left[at] >= n)]
-        if len(new):
-            found = occurs_elsewhere(d.grams(new, n), d.owner[new], grams, r.owner[fit])
-            longest[new[found]] = n
-        above = longest[at] >= n
-        if n > 2:
-            fit = fit[seen_in(grams, d.grams(at[above], n))]
-        todo += [(at[~above], other, lo, n), (at[above], fit, n, hi)]
-
-
 def greedy_phrases(longest: Sequence[int]) -> tuple[int, int]:
     """``cross_phrases`` of a text from the longest match at each of its positions."""
     i = phrases = most = 0
@@ -204,24 +176,341 @@ def _hashed(column: pa.Array) -> Iterator[np.ndarray]:
         yield from (h[first[r] : first[r + 1]] for r in range(j - i))
 
 
-def _passes(files: list[str], size: int) -> Iterator[Words]:
-    """The written reference, about ``size`` bytes of text at a time."""
-    texts: list[np.ndarray] = []
-    owners: list[int] = []
-    held = 0
-    for file in files:
-        store, path = fs.FileSystem.from_uri(file)
-        with store.open_input_file(path) as f:
-            for batch in pq.ParquetFile(f).iter_batches(1024):
-                for owner, text, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                    if held and held + text > size:
-                        yield Words(texts, owners)
-                        texts, owners, held = [], [], 0
-                    texts.append(np.frombuffer(words.as_buffer(), np.uint64))
-                    owners.append(owner)
-                    held += text
-    if texts:
-        yield Words(texts, owners)
+def _pack(x: object) -> bytes:
+    raw = pickle.dumps(x, 5)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+
+
+def _unpack(blob: bytes) -> object:
+    return pickle.loads(pa.Codec("zstd").decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True))
+
+
+class Unit:
+    """Texts of documents, or of the reference, and what is known of each word position.
+
+    ``longest`` is the longest gram found so far from a position on. Words out of which no longer gram can come are dropped by
+    ``compact``; what is left are segments of texts. ``full`` keeps the lengths of all positions, ``at`` their places in it.
+    ``entries`` are the searches under way: position, length known to occur, and how many words above it do not occur.
+    """
+
+    def __init__(self, documents: bool, texts: list[np.ndarray], owners: list[int], ids: list | None = None, kind: pa.DataType | None = None):
+        self.documents, self.ids, self.kind = documents, ids, kind
+        self.owners = np.array(owners, np.int64)
+        self.sizes = np.array([len(t) for t in texts], np.int64)
+        self.own = [self_phrases(t.tolist()) for t in texts] if documents else None
+        words, codes, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *texts]), return_inverse=True, return_counts=True)
+        order = np.argsort(-counts, kind="stable")  # small codes for frequent words, as they are stored
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        self.vocabulary, self.codes = words[order], rank[codes]
+        self.segments, self.segment_text = self.sizes, np.arange(len(texts), dtype=np.int32)
+        self.longest = np.zeros(len(codes), np.uint8)
+        self.at = self.full = self.exact = None
+        self.entries = np.zeros((3, 0), np.int64)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"codes": np.ascontiguousarray(self.codes.view(np.uint8).reshape(-1, 4).T)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state | {"codes": np.ascontiguousarray(state["codes"].T).view(np.int32).reshape(-1)}
+
+    @property
+    def text(self) -> np.ndarray:
+        return np.repeat(self.segment_text, self.segments)
+
+    @property
+    def left(self) -> np.ndarray:
+        return np.repeat(np.cumsum(self.segments), self.segments) - np.arange(len(self.codes))
+
+    def grams(self):
+        """A function that gives the hashes of grams of ``n`` words (a number or an array) from positions on."""
+        words = self.vocabulary[self.codes]
+        up, down = common._powers(max(len(words), 1))
+        total = np.zeros(len(words) + 1, np.uint64)
+        np.cumsum(words * up[: len(words)], out=total[1:])
+        return lambda at, n: (total[at + n] - total[at]) * down[at]
+
+    def asks(self, stage: str) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Positions (in ``entries``, once they are used) and the hashes they ask for, in parts of one length or step."""
+        if not len(self.codes) or stage == "1":
+            return []
+        grams, left, out = self.grams(), self.left, []
+        if stage in ("first", "search"):
+            at, known, span = self.entries
+            step = np.maximum(1, span // STEPS)
+            for j in range(1 if stage == "first" else STEPS):
+                n = known + step * j
+                ok = np.flatnonzero((step * j < span) & (left[at] >= n))
+                node = _salt(known[ok] << 32 | span[ok] << 4 | j)  # j < 8 and spans are below 2^28
+                out.append((ok, common.mix64(grams(at[ok], n[ok]) + node)))
+            return out
+        known, lengths = GRAMS[stage]
+        place = np.arange(len(self.codes))
+        ends = np.minimum.accumulate(np.where(self.longest >= known, len(place), place)[::-1])[::-1]
+        run = np.minimum(ends - place, left - known + 1)
+        for n in lengths or [16 << k for k in range(int(run.max() + known).bit_length())]:
+            at = np.flatnonzero(run >= n - known + 1)
+            if not len(at):
+                break
+            out.append((at, common.mix64(grams(at, n) + _salt(np.array([n])))))
+        return out
+
+    def learn(self, stage: str, found: list[np.ndarray]) -> None:
+        """Take the answers to ``asks``."""
+        asked = self.asks(stage)
+        if stage in ("first", "search"):
+            at, known, span = self.entries
+            hits = np.zeros((STEPS, len(at)), bool)
+            for j, ((ok, _), hit) in enumerate(zip(asked, found)):
+                hits[j, ok] = hit
+            step = np.maximum(1, span // STEPS)
+            if stage == "first":
+                self.entries = self.entries if self.documents else self.entries[:, hits[0]]
+            elif self.documents:
+                best = STEPS - 1 - np.argmax(hits[::-1], axis=0)
+                known = np.where(hits.any(axis=0), known + step * best, known)
+                done = step == 1
+                self.longest[at[done]] = known[done]
+                self.exact[at[done]] = True
+                self.entries = np.stack([at, known, step])[:, ~done]
+            else:  # who searches here may end below any of the lengths met, or below the first of them
+                hits[:, ~hits[0] | (step == 1)] = False
+                j, i = np.nonzero(hits)
+                self.entries = np.stack([at[i], known[i] + step[i] * j, step[i]])
+            return
+        if stage == "16":
+            self.longest = self.longest.astype(np.int32)
+        for (at, _), hit, n in zip(asked, found, GRAMS[stage][1] or [16 << k for k in range(len(asked))]):
+            self.longest[at[hit]] = n
+        if stage == "16":
+            self.exact = self.longest < 8
+        else:
+            self.compact(GRAMS[stage][1][-1])
+
+    def compact(self, n: int) -> None:
+        """Keep the words of grams of ``n`` words that were found."""
+        if self.documents:
+            if self.full is None:
+                self.full, self.at = self.longest.copy(), np.arange(len(self.codes), dtype=np.int32)
+            else:
+                self.full[self.at] = self.longest
+        first = np.flatnonzero(self.longest >= n)
+        cover = np.zeros(len(self.codes) + 1, np.int64)
+        cover[first] += 1
+        cover[first + n] -= 1
+        keep = np.flatnonzero(np.cumsum(cover[:-1]))
+        part, text = np.repeat(np.arange(len(self.segments)), self.segments)[keep], self.text[keep]
+        begin = np.flatnonzero(np.concatenate([[True], (np.diff(keep) > 1) | (np.diff(part) > 0)])[: len(keep)])
+        self.segments, self.segment_text = np.diff(np.append(begin, len(keep))), text[begin]
+        self.codes, self.longest = self.codes[keep], self.longest[keep]
+        used = np.zeros(len(self.vocabulary), bool)
+        used[self.codes] = True
+        self.vocabulary, self.codes = self.vocabulary[used], (np.cumsum(used, dtype=np.int32) - np.int32(1))[self.codes]
+        if self.documents:
+            self.at = self.at[keep]
+
+    def bounds(self) -> tuple[np.ndarray, np.ndarray]:
+        """The least and the greatest place at which the longest match of each position may end."""
+        place, left = np.arange(len(self.codes)), self.left
+        most = np.minimum(np.where(self.exact, self.longest, 2 * self.longest - 1), left)
+        low = np.maximum.accumulate(place + np.minimum(self.longest, left))
+        return low, np.minimum.accumulate((place + most)[::-1])[::-1]
+
+    def start(self, every: bool) -> None:
+        """Begin a search between a power of two and the next: of the documents' open positions, the first of each stretch or
+        all; of the reference, wherever a power of two was found."""
+        if self.documents:
+            low, high = self.bounds()
+            opened = (low < high) & ~self.exact
+            if not every:
+                opened[1:] &= ~(opened[:-1] & (high[1:] == high[:-1]))
+            at = np.flatnonzero(opened)
+            self.entries = np.stack([at, self.longest[at], self.longest[at]]).astype(np.int64)
+        else:
+            each = [np.flatnonzero(self.longest >= 8 << k) for k in range(int(self.longest.max(initial=0)).bit_length())]
+            power = np.repeat([8 << k for k in range(len(each))], [len(e) for e in each]).astype(np.int64)
+            self.entries = np.stack([np.concatenate([np.zeros(0, np.int64), *each]), power, power])
+
+    def scored(self, n_reference: int) -> pa.RecordBatch:
+        full = self.full.astype(np.int64)
+        low, high = self.bounds()
+        far = np.flatnonzero(self.longest >= 8)
+        assert (self.exact | (low == high))[far].all()
+        full[self.at[far]] = low[far] - far
+        rows, at = [], 0
+        for size, own in zip(self.sizes.tolist(), self.own):
+            cross, most = greedy_phrases(full[at : at + size].tolist())
+            rows.append((size, cross, own, most, relative_entropy(cross, own, size, n_reference)))
+            at += size
+        columns = [pa.array([r[k] for r in rows], pa.int64() if k < 4 else pa.float64()) for k in range(5)]
+        return pa.RecordBatch.from_arrays([pa.array(self.ids, self.kind), *columns], ["doc_id", "n_words", "cross_phrases", "self_phrases", "longest_match", "score"])
+
+
+#: Parts into which a search cuts its interval in a round.
+STEPS = 8
+#: By stage: the length that must have been found all along, and the lengths asked for; none are the powers of two from 16 on.
+GRAMS: dict[str, tuple[int, tuple[int, ...]]] = {"2": (1, (2,)), "3": (2, (3, 4)), "5": (4, (5, 6, 7, 8)), "16": (8, ())}
+
+
+def _salt(x: np.ndarray) -> np.ndarray:
+    return common.mix64(x.astype(np.uint64) + common._P)
+
+
+def _split(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of ``keys`` by part of all hashes, the same for the same keys, and where each part begins."""
+    part = ((keys >> np.uint64(48)) * np.uint64(parts) >> np.uint64(16)).astype(np.uint16)
+    return np.argsort(part, kind="stable"), np.append(0, np.cumsum(np.bincount(part, minlength=parts)))
+
+
+def _messages(u: Unit, stage: str, parts: int) -> Iterator[tuple[int, bytes]]:
+    """(part, what the unit asks of it); keys come with runs of owners, words of the first stage with least and greatest owner."""
+    if stage == "1":
+        keys = common.mix64(u.vocabulary)
+        order, begin = _split(keys, parts)
+        least, most = np.full(len(keys), 2**63 - 1), np.full(len(keys), -(2**63))
+        if not u.documents:
+            np.minimum.at(least, u.codes, u.owners[u.text])
+            np.maximum.at(most, u.codes, u.owners[u.text])
+        for q in range(parts):
+            i = order[begin[q] : begin[q + 1]]
+            if len(i):
+                yield q, _pack((u.documents, keys[i]) if u.documents else (u.documents, keys[i], least[i], most[i]))
+        return
+    asked = u.asks(stage)
+    if not asked:
+        return
+    keys = np.concatenate([k for _, k in asked])
+    at = np.concatenate([a if stage not in ("first", "search") else u.entries[0][a] for a, _ in asked])
+    order, begin = _split(keys, parts)
+    text = u.text[at]
+    for q in range(parts):
+        i = order[begin[q] : begin[q + 1]]
+        if len(i):
+            t = text[i]
+            runs = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+            yield q, _pack((u.documents, keys[i], u.owners[t[runs]], np.diff(np.append(runs, len(t))).astype(np.int32)))
+
+
+def _words_met(asked: list[tuple]) -> list[bytes]:
+    """For words of documents: how many owners in the reference have them (two for more), and the owner if it is one."""
+    given = [m for m in asked if not m[0]]
+    keys, least, most = (np.concatenate([m[k] for m in given]) if given else np.zeros(0, np.uint64 if k == 1 else np.int64) for k in (1, 2, 3))
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    if len(first):
+        keys, least, most = keys[first], np.minimum.reduceat(least[order], first), np.maximum.reduceat(most[order], first)
+    out = []
+    for m in asked:
+        if not m[0] or not len(keys):
+            out.append(_pack((np.zeros(len(m[1]), np.uint8), np.zeros(len(m[1]), np.int64))))
+            continue
+        at = np.minimum(np.searchsorted(keys, m[1]), len(keys) - 1)
+        n = (keys[at] == m[1]) * (1 + (least[at] != most[at])).astype(np.uint8)
+        out.append(_pack((n, np.where(n == 1, least[at], 0))))
+    return out
+
+
+def _grams_met(asked: list[tuple]) -> list[bytes]:
+    """Which of the grams of either side another owner has on the other."""
+    sizes = [(int(m[0]), len(m[1])) for m in asked]
+    sides = []
+    for documents in (False, True):
+        own = [m for m in asked if m[0] == documents]
+        sides.append([np.concatenate([np.zeros(0, np.uint64), *(m[1] for m in own)]), np.concatenate([np.zeros(0, np.int64), *(np.repeat(m[2], m[3]) for m in own)])])
+    asked.clear()  # they take as much memory again
+    del own
+    found = [occurs_elsewhere(*sides[k], *sides[1 - k]) if len(sides[k][0]) else np.zeros(0, bool) for k in (0, 1)]
+    done, out = [0, 0], []
+    for k, n in sizes:
+        out.append(np.packbits(found[k][done[k] : done[k] + n]).tobytes())
+        done[k] += n
+    return out
+
+
+def _learn(u: Unit, stage: str, answers: dict[int, bytes], parts: int) -> None:
+    if stage == "1":
+        if not u.documents:
+            u.longest[:] = 1
+            return
+        order, begin = _split(common.mix64(u.vocabulary), parts)
+        n, owner = np.zeros(len(order), np.uint8), np.zeros(len(order), np.int64)
+        for q, blob in answers.items():
+            n[order[begin[q] : begin[q + 1]]], owner[order[begin[q] : begin[q + 1]]] = _unpack(blob)
+        n, owner = n[u.codes], owner[u.codes]
+        u.longest[:] = (n == 2) | ((n == 1) & (owner != u.owners[u.text]))
+        return
+    asked = u.asks(stage)
+    keys = np.concatenate([np.zeros(0, np.uint64), *(k for _, k in asked)])
+    order, begin = _split(keys, parts)
+    found = np.zeros(len(keys), bool)
+    for q, blob in answers.items():
+        i = order[begin[q] : begin[q + 1]]
+        found[i] = np.unpackbits(np.frombuffer(blob, np.uint8), count=len(i)).astype(bool)
+    u.learn(stage, np.split(found, np.cumsum([len(k) for _, k in asked])[:-1]) if asked else [])
+
+
+#: Units (of part -1, with their number of words) or messages and the answers to them, with the longest interval that documents
+#: search; ``target`` is the unit or the part that a row goes to.
+ROWS = "target int, unit int, part int, asking long, body binary"
+
+
+def _rows(rows: Iterator[tuple], most: int = 16_000_000) -> Iterator[pa.RecordBatch]:
+    """Batches of ``ROWS``, of little more than ``most`` bytes."""
+    held: list[tuple] = []
+    schema = pa.schema([("target", pa.int32()), ("unit", pa.int32()), ("part", pa.int32()), ("asking", pa.int64()), ("body", pa.binary())])
+    size = 0
+    for row in rows:
+        held.append(row)
+        size += len(row[4])
+        if size >= most:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
+
+def _known(blob: bytes, unit: int, answered: list[tuple[str, bool, dict[int, str]]], parts: int) -> Unit:
+    """A unit with what was answered since it was written: stage, whether all open positions search, and a file for each unit."""
+    u = _unpack(blob)
+    for stage, every, files in answered:
+        if stage == "first":
+            u.start(every)
+        answers = {}
+        if unit in files:
+            store, path = fs.FileSystem.from_uri(files[unit])
+            with store.open_input_file(path) as f:
+                rows = pq.ParquetFile(f).read(["unit", "part", "body"])
+            assert set(rows["unit"].to_pylist()) <= {unit}
+            answers = dict(zip(rows["part"].to_pylist(), rows["body"].to_pylist()))
+        _learn(u, stage, answers, parts)
+    return u
+
+
+def _units(texts: DataFrame, documents: bool, most: int) -> DataFrame:
+    """``texts(doc_id, owner, text)`` as units of about ``most`` bytes, numbered within their partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def cut() -> Iterator[tuple]:
+            ids, words, owners, held, n = [], [], [], 0, 0
+            partition, kind = TaskContext.get().partitionId(), None
+            for batch in batches:
+                off, kind = common.text_bytes(batch.column(2))[1], batch.schema.field(0).type
+                for i, j in common.blocks(off, most):  # a batch may hold more text than a unit
+                    part = batch.slice(i, j - i)
+                    ids += part.column(0).to_pylist()
+                    owners += part.column(1).to_pylist()
+                    words += _hashed(part.column(2))
+                    held += int(off[j] - off[i])
+                    if held >= most:
+                        yield partition, n, -1, sum(map(len, words)), _pack(Unit(documents, words, owners, ids if documents else None, kind))
+                        ids, words, owners, held, n = [], [], [], 0, n + 1
+            if words:
+                yield partition, n, -1, sum(map(len, words)), _pack(Unit(documents, words, owners, ids if documents else None, kind))
+
+        yield from _rows(cut())
+
+    return texts.mapInArrow(run, ROWS)
 
 
 def score(documents: DataFrame, reference: DataFrame, p: CrossParseParams = CrossParseParams()) -> DataFrame:
@@ -231,54 +520,101 @@ def score(documents: DataFrame, reference: DataFrame, p: CrossParseParams = Cros
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
     owner = F.xxhash64("doc_id", "text").alias("owner")
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    size = p.unit_bytes * p.held_units
+    of = [common.materialize(_units(spread(t.select("doc_id", owner, "text")), k == 0, size), "units") for k, t in enumerate((documents, reference))]
+    made = [[(k, r["target"], r["unit"], r["asking"]) for r in t.select("target", "unit", "asking").collect()] for k, t in enumerate(of)]
+    n_reference = sum(r[3] for r in made[1])
+    number = [(*r[:3], i) for i, r in enumerate(sorted(made[0] + made[1]))]
+    units = max(1, len(number))
+    parts = min(1 << 15, max(1, -(-8 * sum(r[3] for r in made[0] + made[1]) // max(1 << 20, 2 * p.shard_bytes * p.held_shards))))
+
+    numbers = documents.sparkSession.createDataFrame(number, "side int, partition int, nth int, number int")
+
+    def numbered(k: int) -> DataFrame:
+        own = F.broadcast(numbers.where(F.col("side") == k))
+        unit = F.col("number")
+        return of[k].join(own, (F.col("target") == F.col("partition")) & (F.col("unit") == F.col("nth"))).select(unit.alias("target"), unit.alias("unit"), "part", "asking", "body")
+
+    rows, written = numbered(0).unionByName(numbered(1)), of
+    answered: list[tuple[str, bool, dict[int, str]]] = []
+
+    def answers_to(stage: str, every: bool = False) -> DataFrame:
+        """One round. Its answers are written in a file for each unit."""
+        before = list(answered)
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def out() -> Iterator[tuple]:
+                for batch in batches:
+                    for unit, body in zip(batch.column(1).to_pylist(), batch.column(4)):
+                        u = _known(body.as_py(), unit, before, parts)
+                        if stage == "first":
+                            u.start(every)
+                        asking = int(u.entries[2].max(initial=0)) if u.documents else 0
+                        for q, blob in _messages(u, stage, parts):
+                            yield q, unit, q, asking, blob
+
+            yield from _rows(out())
+
+        def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            to, asked = [], []
+            for batch in batches:
+                for *row, body in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), batch.column(4)):
+                    to.append((row[0], *row))
+                    asked.append(_unpack(body.as_py()))
+            if asked:
+                yield from _rows((*row, blob) for row, blob in zip(to, (_words_met if stage == "1" else _grams_met)(asked)))
+
+        asked = rows.mapInArrow(ask, ROWS).repartitionById(parts, "target")
+        return common.materialize(asked.mapInArrow(answer, ROWS).repartitionById(units, "target"), "answers")
+
+    def learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> Iterator[tuple]:
+            for batch in batches:
+                for unit, body in zip(batch.column(1).to_pylist(), batch.column(4)):
+                    yield unit, unit, -1, 0, _pack(_known(body.as_py(), unit, answered, parts))
+
+        yield from _rows(out())
+
+    def turn(stage: str, every: bool = False) -> int:
+        """One round; the longest interval that documents search in it."""
+        nonlocal rows, written, answered
+        got = answers_to(stage, every)
+        files = {int(re.search(r"part-(\d+)-[^/]*$", f)[1]): f for f in got.inputFiles()}
+        asking = got.agg(F.max("asking")).first()[0] or 0 if stage in ("first", "search") else 0
+        answered.append((stage, every, files))
+        written = [*written, got]
+        if stage in ("2", "3", "5", "16", "first"):  # these change much; what later ones change is quickly done again
+            rows = common.materialize(rows.mapInArrow(learnt, ROWS), "units")
+            common.discard(*written)
+            written, answered = [rows], []
+        _drop_shuffles(got)
+        return asking
+
+    _drop_shuffles(rows)
+    for stage in ("1", "2", "3", "5", "16"):
+        turn(stage)
+    for every in (False, True):
+        asking = turn("first", every)
+        if not asking:
+            break
+        while asking > 1:
+            turn("search")
+            asking //= STEPS
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [h.tobytes() for h in _hashed(batch.column(1))]
-            size = pa.array(np.diff(common.text_bytes(batch.column(1))[1]), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), size, pa.array(words, pa.binary())], ["owner", "bytes", "words"])
+            for unit, body in zip(batch.column(1).to_pylist(), batch.column(4)):
+                u = _known(body.as_py(), unit, answered, parts)
+                if u.documents:
+                    yield u.scored(n_reference)
 
-    written = common.materialize(reference.select(owner, "text").mapInArrow(hashed, "owner long, bytes long, words binary"), "words")
-    n_reference = written.agg(F.sum(F.octet_length("words"))).first()[0] or 0
-    n_reference //= 8
-    files = sorted(written.inputFiles())
+    return rows.mapInArrow(finish, f"doc_id {kind}, n_words long, cross_phrases long, self_phrases long, longest_match long, score double")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[pa.Array] = []
-        texts: list[np.ndarray] = []
-        owners: list[int] = []
-        held = 0
-
-        def scored() -> pa.RecordBatch:
-            d = Words(texts, owners)
-            longest = np.zeros(len(d.left), np.int32)
-            for r in _passes(files, p.shard_bytes * p.held_shards):
-                lengthen(longest, d, r)
-            rows, at = [], 0
-            for h in texts:
-                cross, most = greedy_phrases(longest[at : at + len(h)].tolist())
-                own = self_phrases(h.tolist())
-                rows.append((len(h), cross, own, most, relative_entropy(cross, own, len(h), n_reference)))
-                at += len(h)
-            columns = [pa.array([r[k] for r in rows], pa.int64() if k < 4 else pa.float64()) for k in range(5)]
-            return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), *columns], ["doc_id", "n_words", "cross_phrases", "self_phrases", "longest_match", "score"])
-
-        most = p.unit_bytes * p.held_units
-        for batch in batches:
-            off = common.text_bytes(batch.column(2))[1]
-            for i, j in common.blocks(off, most):  # a batch may hold more text than a unit
-                part = batch.slice(i, j - i)
-                ids.append(part.column(0))
-                owners += part.column(1).to_pylist()
-                texts += _hashed(part.column(2))
-                held += int(off[j] - off[i])
-                if held >= most:
-                    yield scored()
-                    ids, texts, owners, held = [], [], [], 0
-        if ids:
-            yield scored()
-
-    return documents.select("doc_id", owner, "text").mapInArrow(run, f"doc_id {kind}, n_words long, cross_phrases long, self_phrases long, longest_match long, score double")
+
+def _drop_shuffles(df: DataFrame) -> None:
+    """Have Spark delete the files of shuffles whose plans are gone; it notices when the driver collects garbage."""
+    gc.collect()
+    df.sparkSession._jvm.java.lang.System.gc()
 
 
 def good_reference(documents: DataFrame, labels: DataFrame) -> DataFrame:

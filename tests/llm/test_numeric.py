@@ -49,6 +49,76 @@ def test_self_parse():
     assert cross_parsing.relative_entropy(0, 0, 0, 5) == 0
 
 
+def parse(texts, reference, parts=3):
+    """(cross phrases, longest match) of each text by the rounds of ``cross_parsing``, and how many hashes were asked."""
+    made = [cross_parsing.Unit(k < 2, [t for _, t in rows], [o for o, _ in rows], [o for o, _ in rows], pa.int64()) for k, rows in enumerate((texts[::2], texts[1::2], reference[::2], reference[1::2]))]
+    asked = 0
+
+    def turn(stage):
+        nonlocal asked
+        sent = [list(cross_parsing._messages(u, stage, parts)) for u in made]
+        answers = [{} for _ in made]
+        for q in range(parts):
+            to = [(k, cross_parsing._unpack(m)) for k, ms in enumerate(sent) for at, m in ms if at == q]
+            asked += sum(len(m[1]) for _, m in to)
+            for (k, _), a in zip(to, (cross_parsing._words_met if stage == "1" else cross_parsing._grams_met)([m for _, m in to])):
+                answers[k][q] = a
+        for k, u in enumerate(made):
+            cross_parsing._learn(u, stage, answers[k], parts)
+            made[k] = cross_parsing._unpack(cross_parsing._pack(u))
+
+    for stage in ("1", "2", "3", "5", "16"):
+        turn(stage)
+    searched = []
+    for every in (False, True):
+        for u in made:
+            u.start(every)
+        span = max(int(u.entries[2].max(initial=0)) for u in made if u.documents)
+        searched.append(span)
+        turn("first")
+        while span > 1:
+            turn("search")
+            span //= cross_parsing.STEPS
+    scored = [u.scored(1).to_pydict() for u in made[:2]]
+    got = {i: r for d in scored for i, r in zip(d["doc_id"], zip(d["cross_phrases"], d["longest_match"]))}
+    return got, asked, searched
+
+
+def patchwork(rng, family, n):
+    """Texts of pieces of a common text and of few words between, so that matches of all lengths overlap."""
+    common_text = rng.integers(1, 2**63, 600, dtype=np.uint64)
+    few = rng.integers(1, 2**63, 6, dtype=np.uint64)
+    out = []
+    for i in range(n):
+        pieces = []
+        for _ in range(rng.integers(0, 6)):
+            at = rng.integers(0, 600)
+            pieces += [common_text[at : at + rng.integers(1, 250)], rng.choice(few, rng.integers(0, 30))]
+        out.append((family * 1000 + i, np.concatenate([np.zeros(0, np.uint64), *pieces])))
+    return out
+
+
+def test_cross_parsing_rounds_give_the_automatons_matches():
+    late = 0
+    for seed in range(12):
+        rng = np.random.default_rng(seed)
+        texts = patchwork(rng, seed, 14)
+        reference = texts[3:12] + texts[5:7]  # repeated rows are one owner
+        got, _, searched = parse(texts, reference)
+        late += searched[1] > 0
+        for i, t in texts:
+            symbols = [w for j, u in reference if j != i for w in (*u.tolist(), ("end", j))]
+            assert got[i] == cross_parsing.cross_phrases(cross_parsing.suffix_automaton(symbols), t.tolist())
+    assert late
+
+
+def test_cross_parsing_work_grows_with_the_table():
+    """Twice the documents and twice the reference ask for about twice the hashes, not for four times as many."""
+    families = [patchwork(np.random.default_rng(20 + k), k, 20) for k in range(8)]
+    half, whole = (parse([r for f in families[:k] for r in f], [r for f in families[:k] for r in f[::2]])[1] for k in (4, 8))
+    assert whole < 2.5 * half
+
+
 def test_bitsliced_scores_and_top():
     rng = np.random.default_rng(0)
     for n, d, m in ((5, 3, 9), (300, 8, 1025), (70, 64, 1024), (1, 1, 1)):
