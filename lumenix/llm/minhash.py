@@ -3,13 +3,13 @@
 1. One narrow pass turns each text into the size of its shingle set, a 128-bit fingerprint of the full set and its band
    keys (``bands`` x ``band_rows`` bins of one permutation; an empty bin borrows from a bin drawn by a universal hash of
    its own number). Equal sets become one node.
-2. Buckets with several nodes propose star edges: every member to the least one, so pairs grow with members, not with
-   their squares.
-3. Buckets whose nodes are not in one component by then are looked at again, by bins: one of up to ``bucket_rows`` nodes in
-   one task, a larger one as all pairs of its blocks, spread over tasks. The first round proposes the eight best pairs of each
-   component, each further one eight times as many, so rounds grow with the logarithm of a bucket. Proposed pairs are
-   tested in cells of many nodes, to which each text moves once. Rounds end when every bucket has proposed all its pairs. No
-   partner or candidate is dropped.
+2. Buckets with several nodes propose star pairs: every member with the least one, so pairs grow with members, not with
+   their squares. Plausible pairs (see below) tie nodes into families.
+3. Buckets whose nodes are not in one family by then are looked at again, by bins: one of up to ``bucket_rows`` nodes in
+   one task, a larger one as all pairs of its blocks, spread over tasks. Only pairs that join families are written, so they grow
+   with nodes. So any plausible pair that shares a bucket is in one family.
+4. All pairs of a family are compared on full sets, in cells of many nodes: a text moves once for each block of its family, not
+   for each pair, and pairs that are no links are written nowhere. No partner is dropped.
 
 Nodes that share a bucket get a finer signature, one byte for each of ``fine_bins`` bins. Before texts are compared, a pair
 must pass an exact bound (sets of sizes m <= n are never more similar than m / n) and agree in so many fine bins that a pair
@@ -31,7 +31,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -172,47 +171,110 @@ def plausible(pairs: DataFrame, nodes: DataFrame, p: MinHashParams) -> DataFrame
     return both.select("a", "b", "n_a", "n_b", "bins_a", "bins_b").mapInArrow(run, "a binary, b binary")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, p: MinHashParams) -> DataFrame:
-    """``links(a, b)``: of ``pairs(a, b, g)`` of nodes that are similar enough on full sets, one for each ``a`` and cell at least;
-    ``texts(node, text, n)``. ``pairs`` is a written table.
+def confirmed(families: DataFrame, texts: DataFrame, p: MinHashParams) -> DataFrame:
+    """``links(a, b)`` that join all nodes of a family which similar enough full sets connect; ``families(node, comp)`` and
+    ``texts(node, text, n)`` are written tables.
 
-    ``g`` is the component of ``b``, so the first link of ``a`` in a cell settles its other pairs there. The pairs of a
-    component are cut into cells of about ``star_share`` nodes and ``CELL_SHINGLES`` shingles on either side. A text moves
-    once for each cell that has a pair of it, not for each pair: dense pairs move texts with the root of their number.
+    A family is one cell, a larger one is cut into blocks of about ``star_share`` nodes and ``CELL_SHINGLES`` shingles, and any two
+    blocks make a cell. A text moves once for each block of its family, not for each pair. All pairs of a cell are compared.
     """
-    size = lambda k: groups.lookup(pairs.select("g", k).distinct(), texts.select(F.col("node").alias(k), "n"), [k]).groupBy("g").agg(
-        F.greatest(F.ceil(F.count(F.lit(1)) / p.star_share), F.ceil(F.sum("n") / CELL_SHINGLES)).cast("int").alias(f"cuts_{k}")
-    )
-    cuts = size("a").join(size("b"), "g")
-    cell = lambda k: F.pmod(F.xxhash64(k), F.col(f"cuts_{k}")).cast("int")
-    placed = common.materialize(groups.lookup(pairs, cuts, ["g"], row_salt=["a", "b"]).select(F.xxhash64("g", cell("a"), cell("b")).alias("cell"), "a", "b"), "cells")
-    lead = placed.select("cell", F.col("b").alias("node"), F.lit(None).cast("array<binary>").alias("partners")).distinct()
-    rest = placed.groupBy("cell", F.col("a").alias("node")).agg(F.collect_list("b").alias("partners"))
-    wide = groups.sieve(texts.select("node", "text"), ["node"], pairs.select(F.explode(F.array("a", "b")).alias("node"))).hint("merge")
-    both = lead.unionByName(rest).join(wide, "node").select("cell", F.col("partners").isNotNull().alias("tested"), "node", "partners", "text")
+    sized = common.materialize(families.select("node", F.col("comp").alias("family")).join(texts.select("node", "n"), "node"), "sized")
+    placed = groups.attach(sized, ["family"], [F.sum("n").alias("held")], at_least=2, row_salt=["node"])
+    cuts = F.greatest(F.ceil(F.col("group_rows") / p.star_share), F.ceil(F.col("held") / CELL_SHINGLES)).cast("int")
+    placed = placed.withColumn("cuts", cuts).withColumn("own", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, cuts - 1)")))
+    cell = F.xxhash64("family", F.least("own", "other"), F.greatest("own", "other")).alias("cell")
+    placed = common.materialize(placed.select(cell, (F.col("own") > F.col("other")).alias("late"), "node"), "cells")
+    wide = groups.sieve(texts.select("node", "text"), ["node"], placed).hint("merge")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, held = None, {}
+        here, held = None, ([], [], [])
+
+        def links(good: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([g[k] for g in good], pa.binary()) for k in (0, 1)], ["a", "b"])
+
         for batch in batches:
             good = []
             sets: list[np.ndarray] = []
-            raw, off = common.text_bytes(batch.column(4))
+            raw, off = common.text_bytes(batch.column(3))
             for i, j in common.blocks(off, 1 << 21):
                 sets += shingle_sets(raw[off[i] : off[j]], off[i : j + 1] - off[i], p.words)
-            for at, a, partners, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), sets):
+            for at, *row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), sets):
                 if at != here:
-                    here, held = at, {}
-                if partners is None:
-                    held[a] = x
-                    continue
-                for b in partners:
-                    both = len(np.intersect1d(held[b], x, assume_unique=True))
-                    if 100 * both >= p.percent * (len(held[b]) + len(x) - both):
-                        good.append((a, b))
-                        break
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in good], pa.binary()), pa.array([g[1] for g in good], pa.binary())], ["a", "b"])
+                    good += linked(*held, p)
+                    here, held = at, ([], [], [])
+                for of, x in zip(held, row):
+                    of.append(x)
+            yield links(good)
+        yield links(linked(*held, p))
+
+    rows = placed.join(wide, "node").select("cell", "late", "node", "text")
+    return rows.repartition("cell").sortWithinPartitions("cell", "late").mapInArrow(run, "a binary, b binary")
+
+
+def linked(late: list[bool], names: list[bytes], sets: list[np.ndarray], p: MinHashParams) -> list[tuple[bytes, bytes]]:
+    """A spanning forest of the links of a cell: between its two blocks, or all if it has none that is ``late``."""
+    n, k = len(names), late.index(True) if True in late else len(names)
+    whole = k == n
+    shared = overlaps(sets[:k], sets[:k] if whole else sets[k:])
+    size = np.array([len(x) for x in sets], np.int64)
+    fresh = np.ones(n, bool)
+    out = []
+    for root in range(n):
+        todo = [root] if fresh[root] else []
+        fresh[root] = False
+        while todo:
+            u = todo.pop()
+            both, start = (shared[u], 0 if whole else k) if u < k else (shared[:, u - k], 0)
+            both, stop = both.astype(np.int64), start + len(both)
+            near = fresh[start:stop] & (100 * both >= p.percent * (size[u] + size[start:stop] - both))
+            got = (start + np.flatnonzero(near)).tolist()
+            fresh[got] = False
+            out += [(names[u], names[v]) for v in got]
+            todo += got
+    return out
 
-    return both.repartition("cell").sortWithinPartitions("cell", "tested").mapInArrow(run, "a binary, b binary")
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The size of the intersection of each set on the left with each on the right; ``left`` may be ``right``.
+
+    Shingles of many pairs are counted by products of matrices, others pair by pair.
+    """
+    shape = len(left), len(right)
+    counts = np.zeros(shape, np.int32)
+    if not counts.size:
+        return counts
+    sides = []
+    for sets in (left, right):
+        h, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        order = np.argsort(h, kind="stable")
+        sides.append((h[order], row[order]))
+    common_ones = np.intersect1d(*(h for h, _ in sides))
+    of = [np.searchsorted(h, common_ones, side) for h, _ in sides for side in ("left", "right")]
+    n_left, n_right = of[1] - of[0], of[3] - of[2]
+    dense = n_left * n_right * 4096 > shape[0] * shape[1]
+    many = np.flatnonzero(dense)
+    width = max(1, 4_000_000 // (shape[0] + shape[1]))
+    for q in range(0, len(many), width):
+        part = many[q : q + width]
+        m = []
+        for (_, row), begin, n, rows in zip(sides, of[::2], (n_left, n_right), shape):
+            m.append(np.zeros((rows, len(part)), np.float32))
+            m[-1][row[_ranges(begin[part], n[part])], np.repeat(np.arange(len(part)), n[part])] = 1
+        counts += (m[0] @ m[1].T).astype(np.int32)
+    few = np.flatnonzero(~dense)
+    pairs = np.cumsum(n_left[few] * n_right[few])
+    for q in range(0, int(pairs[-1]) if len(pairs) else 0, 1_000_000):
+        part = few[np.searchsorted(pairs, q, "right") if q else 0 : np.searchsorted(pairs, q + 1_000_000, "right")]
+        i = _ranges(of[0][part], n_left[part])
+        n = np.repeat(n_right[part], n_left[part])
+        j = _ranges(np.repeat(of[2][part], n_left[part]), n)
+        np.add.at(counts.reshape(-1), np.repeat(sides[0][1][i], n) * shape[1] + sides[1][1][j], 1)
+    return counts
+
+
+def _ranges(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges that begin there, of these lengths."""
+    return np.arange(int(n.sum())) + np.repeat(begin - np.cumsum(n) + n, n)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -233,12 +295,12 @@ def components(edges: DataFrame) -> DataFrame:
     return state
 
 
-def candidates(at: DataFrame, nodes: DataFrame, p: MinHashParams, most: int) -> DataFrame:
-    """key, a, b, g: pairs that may join the components of each bucket in ``at(key, node, comp, group_rows)``, ``g`` being the
-    component of ``b``; and a row without ``a`` for each key that has more of them. ``nodes(node, n, bins, keys)``.
+def candidates(at: DataFrame, nodes: DataFrame, p: MinHashParams) -> DataFrame:
+    """``ties(a, b)``: plausible pairs that join those components of each bucket in ``at(key, node, comp, group_rows)`` that any
+    plausible pairs of it join. ``nodes(node, n, bins, keys)``.
 
     A bucket of up to ``bucket_rows`` nodes is one unit, compared by bins within a task; a larger one is cut into blocks of half
-    as many, and any two blocks make a unit. Every pair of a bucket meets in a unit at once, whatever the bucket's size.
+    as many, and any two blocks make a unit. Every pair of a bucket meets in a unit, whatever the bucket's size.
     """
     blocks = F.when(F.col("group_rows") > p.bucket_rows, F.ceil(F.col("group_rows") / max(1, p.bucket_rows // 2))).otherwise(1).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
@@ -257,7 +319,7 @@ def candidates(at: DataFrame, nodes: DataFrame, p: MinHashParams, most: int) ->
             cuts = [0, *(np.flatnonzero(unit[1:] != unit[:-1]) + 1).tolist(), len(unit)]
             for i, j in zip(cuts, cuts[1:]):
                 if j > i:
-                    yield between(t.slice(i, j - i), p, most)
+                    yield between(t.slice(i, j - i), p)
 
         for batch in batches:  # sorted by unit: all units but the last one of a batch are whole
             if not len(batch):
@@ -273,7 +335,7 @@ def candidates(at: DataFrame, nodes: DataFrame, p: MinHashParams, most: int) ->
         if held:
             yield from edges()
 
-    return rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "key long, a binary, b binary, g binary")
+    return rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a binary, b binary")
 
 
 def equal_bins(sig: np.ndarray, by_bin: np.ndarray, i: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -289,9 +351,9 @@ def equal_bins(sig: np.ndarray, by_bin: np.ndarray, i: np.ndarray, x: np.ndarray
     return total[x, y].astype(np.int64)
 
 
-def between(unit: pa.Table, p: MinHashParams, most: int) -> pa.RecordBatch:
-    """The plausible pairs between the components of a unit: for each component but the largest the ``most`` ones with
-    most equal bins, so pairs grow with nodes. A pair that shares an earlier band as well is left to that band's bucket."""
+def between(unit: pa.Table, p: MinHashParams) -> pa.RecordBatch:
+    """Plausible pairs between the components of a unit, fewer than its nodes: a pair within what earlier ones join is left
+    out, and so is one that shares an earlier band as well, which is left to that band's bucket."""
     key = unit["key"][0].as_py()
     names = unit["node"].combine_chunks().cast(pa.binary())
     n = unit["n"].to_numpy()
@@ -301,35 +363,25 @@ def between(unit: pa.Table, p: MinHashParams, most: int) -> pa.RecordBatch:
     by_bin = np.ascontiguousarray(sig.T)
     own, home = unit["own"].to_numpy(), unit["home"].to_numpy()
     label = comps.indices.to_numpy().astype(np.int64)
-    sizes = np.bincount(label)
-    largest = int(sizes.argmax())
-    few = np.flatnonzero(label != largest)
+    largest = label == np.bincount(label).argmax()
+    few = np.flatnonzero(~largest)
     at = np.arange(len(n))
-    found = [np.zeros((3, 0), np.int64)]
+    found = []
     for k in range(0, len(few), 32):
         i = few[k : k + 32]
-        fit = (label[i][:, None] != label) & near_in_size(n[i][:, None], n, p) & ((label == largest) | (at > i[:, None]))
+        fit = (label[i][:, None] != label) & near_in_size(n[i][:, None], n, p) & (largest | (at > i[:, None]))
         fit &= home[i][:, None] | (own[i][:, None] != own)
         for band in earlier:
             fit &= band[i][:, None] != band
         x, y = np.nonzero(fit)
-        same = equal_bins(sig, by_bin, i, x, y)
-        ok = same >= p.least_equal
-        found.append(np.stack([i[x[ok]], y[ok], same[ok]]))
-    x, y, same = np.concatenate(found, 1)
-    pair, of = np.tile(np.arange(len(x)), 2), np.concatenate([label[x], label[y]])
-    pair, of = pair[of != largest], of[of != largest]
-    order = np.lexsort((-same[pair], of))
-    pair, of = pair[order], of[order]
-    first = np.searchsorted(of, of)
-    chosen = np.zeros(len(x), bool)
-    chosen[pair[np.arange(len(of)) - first < most]] = True
-    x, y = x[chosen], y[chosen]
-    swap = sizes[label[x]] > sizes[label[y]]
-    x, y = np.where(swap, y, x), np.where(swap, x, y)
-    more = [None] * (not chosen.all())
-    columns = [pa.concat_arrays([c, pa.array(more, c.type)]) for c in (names.take(pa.array(x)), names.take(pa.array(y)), comps.dictionary.take(pa.array(label[y])))]
-    return pa.RecordBatch.from_arrays([pa.array([key] * len(columns[0]), pa.int64()), *columns], ["key", "a", "b", "g"])
+        ok = equal_bins(sig, by_bin, i, x, y) >= p.least_equal
+        x, y = i[x[ok]], y[ok]
+        while len(x):  # one pair joins two labels, the others between these two are done
+            found.append((int(x[0]), int(y[0])))
+            label[label == label[y[0]]] = label[x[0]]
+            apart = label[x] != label[y]
+            x, y = x[apart], y[apart]
+    return pa.RecordBatch.from_arrays([names.take(pa.array([f[k] for f in found], pa.int64())) for k in (0, 1)], ["a", "b"])
 
 
 def near_duplicates(documents: DataFrame, p: MinHashParams = MinHashParams()) -> DataFrame:
@@ -349,27 +401,15 @@ def near_duplicates(documents: DataFrame, p: MinHashParams = MinHashParams()) ->
         texts = some.select(F.col("rep").alias("doc_id"), "text").hint("merge").join(shared, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text", "keys")
         texts = common.materialize(own_texts(texts, p), "texts")
         first = common.materialize(bucket.where(F.col("node") != F.col("first")).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-        fresh = plausible(first, texts.select("node", "n", "bins"), p)  # the first centre is the least node
-        fresh = common.materialize(fresh.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("a").alias("g")), "pairs")
-        links = common.materialize(confirmed(fresh, texts, p), "links")
-        failed = common.materialize(untied(fresh).join(untied(links), ["lo", "hi"], "left_anti"), "failed")
-        labels = relabelled(labels, links)
-        common.discard(first, fresh, links)
-        live = common.materialize(bucket.where("group_rows > 2").select("key", "node"), "live")  # a bucket of two is settled by its star
-        for turn in count(1):
-            placed = common.materialize(live.join(labels, "node"), "placed")
-            at = common.materialize(open_buckets(placed), "open")
-            edges = common.materialize(candidates(at, texts, p, 8**turn), "edges")
-            met = edges.where("a IS NOT NULL").groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.min(F.struct("a", "b", "g")).alias("pair"))
-            fresh = common.materialize(met.join(failed, ["lo", "hi"], "left_anti").select("pair.*"), "pairs")
-            old, live = [live, failed], common.materialize(at.join(edges.where("a IS NULL").select("key").distinct(), "key", "left_semi").select("key", "node"), "live")
-            links = common.materialize(confirmed(fresh, texts, p), "links")
-            failed = common.materialize(failed.unionByName(untied(fresh)), "failed")  # linked pairs are in one component now
-            labels = relabelled(labels, links)
-            common.discard(placed, at, edges, fresh, links, *old)
-            if live.isEmpty():
-                break
-        common.discard(texts, failed, live)
+        ties = common.materialize(plausible(first, texts.select("node", "n", "bins"), p), "ties")  # the first centre is the least node
+        families = relabelled(labels, ties)
+        placed = common.materialize(bucket.where("group_rows > 2").select("key", "node").join(families, "node"), "placed")  # a bucket of two is settled by its star
+        at = common.materialize(open_buckets(placed), "open")
+        more = common.materialize(candidates(at, texts, p).distinct(), "ties")
+        families = relabelled(families, more)
+        links = common.materialize(confirmed(families, texts, p), "links")
+        labels = components(links)
+        common.discard(first, ties, placed, at, more, families, links, texts)
     named = nodes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
     named = common.materialize(named, "named")
     named = common.materialize(groups.attach(named, ["comp"], [F.min("rep").alias("component_id")], row_salt=["node"]).select("node", "component_id"), "components")
@@ -385,11 +425,6 @@ def open_buckets(at: DataFrame) -> DataFrame:
     return both.where("lo <> hi").select("key", "node", "comp", "group_rows")
 
 
-def untied(pairs: DataFrame) -> DataFrame:
-    """``pairs(a, b)`` as (lo, hi), whichever of the two led."""
-    return pairs.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
-
-
 def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``labels(node, comp)`` after more links: only components that a link joins are solved again."""
     ends = links.join(labels.toDF("a", "ca"), "a").join(labels.toDF("b", "cb"), "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()

@@ -337,3 +337,27 @@ def test_equal_bins_counted_either_way():
     want = (sig[i[x]] == sig[y]).sum(1)
     assert (minhash.equal_bins(sig, np.ascontiguousarray(sig.T), i, x, y) == want).all() and want.max() == 256
     assert (minhash.equal_bins(sig, np.ascontiguousarray(sig.T), i, x[:50], y[:50]) == want[:50]).all()
+
+
+@pytest.mark.parametrize("spread", [8, 60, 4000])
+def test_overlaps_and_links_of_a_cell(spread):
+    rng = np.random.default_rng(spread)
+    base = rng.integers(0, 2**63, 60).astype(np.uint64)
+    pool = np.concatenate([base, rng.integers(0, 2**63, spread).astype(np.uint64)])
+    sets = [np.unique(np.concatenate([base[rng.random(60) > 0.1], rng.choice(pool, 6)])) for _ in range(90)] + [np.unique(rng.choice(pool, 4)) for _ in range(90)]
+    sets = [sets[i] for i in rng.permutation(180)]
+    both = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    assert (minhash.overlaps(sets, sets) == both).all()
+    assert (minhash.overlaps(sets[:70], sets[70:]) == both[:70, 70:]).all()
+    size = both.diagonal()
+    near = 100 * both >= 80 * (size[:, None] + size - both)
+    for late in ([False] * 180, [False] * 70 + [True] * 110):
+        asked = near if not any(late) else near & (np.array(late)[:, None] != np.array(late))
+        links = minhash.linked(late, [bytes([k]) for k in range(180)], sets, minhash.MinHashParams())
+        assert all(asked[a[0], b[0]] for a, b in links)
+        reach = np.linalg.matrix_power((asked | np.eye(180, dtype=bool)).astype(float), 16) > 0
+        parts = np.eye(180, dtype=bool)
+        for a, b in links:  # each joins two parts: a forest
+            assert not parts[a[0], b[0]]
+            parts |= np.outer(parts[a[0]] | parts[b[0]], parts[a[0]] | parts[b[0]])
+        assert (parts == (np.linalg.matrix_power(reach.astype(float), 16) > 0)).all()

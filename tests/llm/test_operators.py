@@ -147,6 +147,29 @@ def test_keep_first_of_a_family_larger_than_a_unit(spark, monkeypatch):
     assert len(rounds) <= 4
 
 
+def test_pairs_that_are_no_links_are_not_written(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [rng.choice(WORDS) + str(rng.randint(0, 9)) for _ in range(120)]
+    texts = []
+    for k in range(100):  # most at a similarity of about 0.7, a few linked
+        w = list(base) if k < 88 else texts[k - 88].split(" ")
+        for j in rng.sample(range(120), 5 if k < 88 else 1):
+            w[j] = f"new{rng.randint(0, 99999)}"
+        texts.append(" ".join(w))
+    rows, write = [], common.materialize
+
+    def counted(df, label):
+        out = write(df, label)
+        rows.append(out.count() if {"a", "b"} <= set(out.columns) or "cell" in out.columns else 0)
+        return out
+
+    monkeypatch.setattr(common, "materialize", counted)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(make(spark, texts), minhash.MinHashParams(words=2, star_share=30)).collect()}
+    want = {i: c for i, (_, c) in enumerate(brute_components(texts, list(range(100)), 2))}
+    assert got == want and 20 < len(set(want.values())) < 100
+    assert max(rows) <= 1500  # of 4,950 pairs
+
+
 def test_near_duplicates_edge_cases(spark):
     assert minhash.near_duplicates(make(spark, [])).count() == 0
     same_id = make(spark, ["a b c d e f", "g h i j k l", "a b c d e f", None], [7, 7, None, None])
