@@ -15,7 +15,7 @@ not with their product.
 1. Grams of 1, then 2, then 3 and 4, then 5 to 8 words; a gram is asked only if all shorter ones asked inside it were found.
 2. The powers of two from 16 words on, all in one round.
 3. A match ends no earlier than that of the position before it. So ends of neighbours bound each other, and the first position
-   of each stretch that is still open is searched between its power of two and the next, in steps of an eighth of the
+   of each stretch that is still open is searched between its power of two and the next, in steps of a sixteenth of the
    interval; then all positions that are open after that. A position of the reference takes part where a position with its
    gram searches.
 
@@ -27,7 +27,6 @@ word as a phrase of log2(2) bits; repeated rows are scored alike; texts of any l
 
 from __future__ import annotations
 
-import gc
 import math
 import pickle
 import re
@@ -125,51 +124,114 @@ def self_phrases(symbols: Sequence[Hashable]) -> int:
     return count + (node != 0)
 
 
+def coded_self_phrases(codes: Sequence[int], size: int) -> int:
+    """``self_phrases`` of codes below ``size``; a node and a symbol are one number."""
+    seen: dict[int, int] = {}
+    put = seen.setdefault
+    node, new = 0, size
+    for c in codes:
+        node = put(node + c, new)
+        if node == new:
+            new += size
+            node = 0
+    return new // size - 1 + (node != 0)
+
+
 def relative_entropy(cross: int, own: int, n: int, reference: int) -> float:
     if not n:
         return 0.0
     return (cross * math.log2(reference + 2) - own * math.log2(max(own, 1))) / n
 
 
-def seen_in(grams: np.ndarray, among: np.ndarray) -> np.ndarray:
-    """Which ``grams`` may be among the others: no miss, few false hits."""
-    bits = min(max(len(among).bit_length() + 3, 8), 24)
-    table = np.zeros(1 << bits, bool)
-    table[among >> np.uint64(64 - bits)] = True
-    return table[grams >> np.uint64(64 - bits)]
-
-
-def occurs_elsewhere(grams: np.ndarray, owner: np.ndarray, among: np.ndarray, among_owner: np.ndarray) -> np.ndarray:
-    """Which ``grams`` are among the others with another owner."""
-    keep = seen_in(among, grams)
-    among, among_owner = among[keep], among_owner[keep]
-    if not len(among):
-        return np.zeros(len(grams), bool)
-    order = np.argsort(among)
-    among, among_owner = among[order], among_owner[order]
-    first = np.flatnonzero(np.append(True, among[1:] != among[:-1]))
-    among, least, most = among[first], np.minimum.reduceat(among_owner, first), np.maximum.reduceat(among_owner, first)
-    out = seen_in(grams, among)
-    grams, owner = grams[out], owner[out]
-    at = np.minimum(np.searchsorted(among, grams), len(among) - 1)
-    out[out] = (among[at] == grams) & ((least[at] != owner) | (most[at] != owner))
-    return out
-
-
-def greedy_phrases(longest: Sequence[int]) -> tuple[int, int]:
-    """``cross_phrases`` of a text from the longest match at each of its positions."""
-    i = phrases = most = 0
-    while i < len(longest):
-        phrases += 1
-        most = max(most, longest[i])
-        i += longest[i] or 1
+def sorted_order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that sorts ``keys``, and the sorted keys: places are sorted as the last bits of keys, in half of argsort's time."""
+    bits = np.uint64(len(keys).bit_length())
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    order = (keys & ~low) | np.arange(len(keys), dtype=np.uint64)
+    order.sort()
+    order = (order & low).view(np.int64)
+    keys = keys[order]
+    wrong = np.flatnonzero(keys[1:] < keys[:-1])
+    if len(wrong):  # keys that differ in the last bits only
+        lead = keys >> bits
+        run = np.cumsum(np.append(True, lead[1:] != lead[:-1]))
+        mixed = np.zeros(run[-1] + 1, bool)
+        mixed[run[wrong]] = True
+        at = np.flatnonzero(mixed[run])
+        order[at] = order[at][np.argsort(keys[at])]
+        keys[at] = np.sort(keys[at])
+    return order, keys
+
+
+def met_elsewhere(keys: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Which ``keys`` are on the other side with another owner; the first ``n`` are one side, the rest the other. All are sorted
+    once: a search for each in the others, in no order, takes several times as long."""
+    found = np.zeros(len(keys), bool)
+    if not 0 < n < len(keys):
+        return found
+    if not 0.1 < n / len(keys) < 0.9:  # few of the larger side can be on the smaller
+        small, large = (slice(n), slice(n, None)) if 2 * n < len(keys) else (slice(n, None), slice(n))
+        shift = np.uint64(64 - min(len(keys[small]).bit_length() + 3, 24))
+        spread = keys * common._P  # all keys of a part begin alike
+        there = np.zeros(1 << (64 - int(shift)), bool)
+        there[spread[small] >> shift] = True
+        keep = np.ones(len(keys), bool)
+        keep[large] = there[spread[large] >> shift]
+        if not keep.all():
+            found[keep] = met_elsewhere(keys[keep], owner[keep], int(keep[:n].sum())) if keep[large].any() else False
+            return found
+    order, keys = sorted_order(keys)
+    same = keys[1:] == keys[:-1]
+    keep = np.flatnonzero(np.append(same, False) | np.append(False, same))
+    if not len(keep):
+        return found
+    first = np.flatnonzero(~np.append(False, same)[keep])
+    order = order[keep]
+    owner, sizes = owner[order], np.diff(np.append(first, len(order)))
+    many = np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)
+    keep, sizes = np.repeat(many, sizes), sizes[many]
+    order, owner = order[keep], owner[keep]
+    if not len(order):
+        return found
+    first, hit = np.cumsum(sizes) - sizes, np.zeros(len(order), bool)
+    for there in (order < n, order >= n):
+        least = np.minimum.reduceat(np.where(there, owner, 2**63 - 1), first)
+        most = np.maximum.reduceat(np.where(there, owner, -(2**63)), first)  # below least if no owner is there
+        more, one = np.repeat(least < most, sizes), np.repeat(least == most, sizes)
+        hit |= ~there & (more | (one & (np.repeat(least, sizes) != owner)))
+    found[order] = hit
+    return found
+
+
+def greedy_phrases(longest: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``cross_phrases`` of each of the texts of ``sizes`` words that follow each other, from the longest match at each position.
+    All texts take a step at once; the last, which are long, are walked one by one."""
+    phrases, most = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+    end = np.cumsum(sizes)
+    step = np.maximum(longest, 1)
+    text = np.flatnonzero(sizes)
+    at, stop = (end - sizes)[text], end[text]
+    while len(text) > 100:
+        phrases[text] += 1
+        most[text] = np.maximum(most[text], longest[at])
+        at = at + step[at]
+        on = at < stop
+        if not on.all():
+            text, at, stop = text[on], at[on], stop[on]
+    for k, i, j in zip(text.tolist(), at.tolist(), stop.tolist()):
+        each, n, x, path = step[i:j].tolist(), j - i, 0, []
+        while x < n:
+            path.append(x)
+            x += each[x]
+        phrases[k] += len(path)
+        most[k] = max(most[k], longest[i:j][path].max())
     return phrases, most
 
 
 def _hashed(column: pa.Array) -> Iterator[np.ndarray]:
     """The word hashes of each text."""
     raw, off = common.text_bytes(column)
-    for i, j in common.blocks(off, 1 << 21):
+    for i, j in common.blocks(off, 1 << 18):  # arrays that stay in the cache
         part = raw[off[i] : off[j]]
         s, e, first = common.word_bounds(part, off[i : j + 1] - off[i])
         h = common.hash_spans(part, s, e, True)
@@ -197,19 +259,21 @@ class Unit:
         self.documents, self.ids, self.kind = documents, ids, kind
         self.owners = np.array(owners, np.int64)
         self.sizes = np.array([len(t) for t in texts], np.int64)
-        self.own = [self_phrases(t.tolist()) for t in texts] if documents else None
-        words, codes, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *texts]), return_inverse=True, return_counts=True)
-        order = np.argsort(-counts, kind="stable")  # small codes for frequent words, as they are stored
+        coded = pa.array(np.concatenate([np.zeros(0, np.uint64), *texts])).dictionary_encode()
+        words, codes = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+        order = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")  # small codes for frequent words, as they are stored
         rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order), dtype=np.int32)
         self.vocabulary, self.codes = words[order], rank[codes]
+        ends = np.cumsum(self.sizes).tolist()
+        self.own = [coded_self_phrases(self.codes[e - n : e].tolist(), len(words)) for e, n in zip(ends, self.sizes.tolist())] if documents else None
         self.segments, self.segment_text = self.sizes, np.arange(len(texts), dtype=np.int32)
         self.longest = np.zeros(len(codes), np.uint8)
-        self.at = self.full = self.exact = None
+        self.at = self.full = self.exact = self._sums = None
         self.entries = np.zeros((3, 0), np.int64)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"codes": np.ascontiguousarray(self.codes.view(np.uint8).reshape(-1, 4).T)}
+        return self.__dict__ | {"_sums": None, "codes": np.ascontiguousarray(self.codes.view(np.uint8).reshape(-1, 4).T)}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__ |= state | {"codes": np.ascontiguousarray(state["codes"].T).view(np.int32).reshape(-1)}
@@ -223,12 +287,14 @@ class Unit:
         return np.repeat(np.cumsum(self.segments), self.segments) - np.arange(len(self.codes))
 
     def grams(self):
-        """A function that gives the hashes of grams of ``n`` words (a number or an array) from positions on."""
-        words = self.vocabulary[self.codes]
-        up, down = common._powers(max(len(words), 1))
-        total = np.zeros(len(words) + 1, np.uint64)
-        np.cumsum(words * up[: len(words)], out=total[1:])
-        return lambda at, n: (total[at + n] - total[at]) * down[at]
+        """A function that gives the hashes of grams of ``n`` words (a number or an array) from positions on, or from a slice of
+        them."""
+        if self._sums is None:
+            words = self.vocabulary[self.codes]
+            self._sums = np.zeros(len(words) + 1, np.uint64)
+            np.cumsum(words * common._powers(max(len(words), 1))[0][: len(words)], out=self._sums[1:])
+        total, down = self._sums, common._powers(max(len(self.codes), 1))[1]
+        return lambda at, n: (total[slice(at.start + n, at.stop + n) if isinstance(at, slice) else at + n] - total[at]) * down[at]
 
     def asks(self, stage: str) -> list[tuple[np.ndarray, np.ndarray]]:
         """Positions (in ``entries``, once they are used) and the hashes they ask for, in parts of one length or step."""
@@ -237,11 +303,11 @@ class Unit:
         grams, left, out = self.grams(), self.left, []
         if stage in ("first", "search"):
             at, known, span = self.entries
-            step = np.maximum(1, span // STEPS)
+            step, room = np.maximum(1, span // STEPS), left[at]
             for j in range(1 if stage == "first" else STEPS):
                 n = known + step * j
-                ok = np.flatnonzero((step * j < span) & (left[at] >= n))
-                node = _salt(known[ok] << 32 | span[ok] << 4 | j)  # j < 8 and spans are below 2^28
+                ok = np.flatnonzero((step * j < span) & (room >= n))
+                node = _salt(known[ok] << 32 | span[ok] << 4 | j)  # j < 16 and spans are below 2^28
                 out.append((ok, common.mix64(grams(at[ok], n[ok]) + node)))
             return out
         known, lengths = GRAMS[stage]
@@ -252,12 +318,20 @@ class Unit:
             at = np.flatnonzero(run >= n - known + 1)
             if not len(at):
                 break
-            out.append((at, common.mix64(grams(at, n) + _salt(np.array([n])))))
+            salt, keys = _salt(np.array([n])), np.empty(len(at), np.uint64)
+            for i in range(0, len(at), 1 << 14):  # arrays that stay in the cache
+                some = at[i : i + (1 << 14)]
+                a, b = int(some[0]), int(some[-1]) + 1
+                if b - a < 2 * len(some):  # slices are faster than places
+                    some, every = some - a, grams(slice(a, b), n)
+                    keys[i : i + (1 << 14)] = common.mix64((every + salt)[some])
+                else:
+                    keys[i : i + (1 << 14)] = common.mix64(grams(some, n) + salt)
+            out.append((at, keys))
         return out
 
-    def learn(self, stage: str, found: list[np.ndarray]) -> None:
-        """Take the answers to ``asks``."""
-        asked = self.asks(stage)
+    def learn(self, stage: str, asked: list[tuple[np.ndarray, np.ndarray]], found: list[np.ndarray]) -> None:
+        """Take the answers to what ``asks`` gave."""
         if stage in ("first", "search"):
             at, known, span = self.entries
             hits = np.zeros((STEPS, len(at)), bool)
@@ -302,7 +376,7 @@ class Unit:
         part, text = np.repeat(np.arange(len(self.segments)), self.segments)[keep], self.text[keep]
         begin = np.flatnonzero(np.concatenate([[True], (np.diff(keep) > 1) | (np.diff(part) > 0)])[: len(keep)])
         self.segments, self.segment_text = np.diff(np.append(begin, len(keep))), text[begin]
-        self.codes, self.longest = self.codes[keep], self.longest[keep]
+        self.codes, self.longest, self._sums = self.codes[keep], self.longest[keep], None
         used = np.zeros(len(self.vocabulary), bool)
         used[self.codes] = True
         self.vocabulary, self.codes = self.vocabulary[used], (np.cumsum(used, dtype=np.int32) - np.int32(1))[self.codes]
@@ -337,17 +411,14 @@ class Unit:
         far = np.flatnonzero(self.longest >= 8)
         assert (self.exact | (low == high))[far].all()
         full[self.at[far]] = low[far] - far
-        rows, at = [], 0
-        for size, own in zip(self.sizes.tolist(), self.own):
-            cross, most = greedy_phrases(full[at : at + size].tolist())
-            rows.append((size, cross, own, most, relative_entropy(cross, own, size, n_reference)))
-            at += size
+        parsed = zip(self.sizes.tolist(), *(x.tolist() for x in greedy_phrases(full, self.sizes)), self.own)
+        rows = [(size, cross, own, most, relative_entropy(cross, own, size, n_reference)) for size, cross, most, own in parsed]
         columns = [pa.array([r[k] for r in rows], pa.int64() if k < 4 else pa.float64()) for k in range(5)]
         return pa.RecordBatch.from_arrays([pa.array(self.ids, self.kind), *columns], ["doc_id", "n_words", "cross_phrases", "self_phrases", "longest_match", "score"])
 
 
 #: Parts into which a search cuts its interval in a round.
-STEPS = 8
+STEPS = 16
 #: By stage: the length that must have been found all along, and the lengths asked for; none are the powers of two from 16 on.
 GRAMS: dict[str, tuple[int, tuple[int, ...]]] = {"2": (1, (2,)), "3": (2, (3, 4)), "5": (4, (5, 6, 7, 8)), "16": (8, ())}
 
@@ -358,7 +429,7 @@ def _salt(x: np.ndarray) -> np.ndarray:
 
 def _split(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """An order of ``keys`` by part of all hashes, the same for the same keys, and where each part begins."""
-    part = ((keys >> np.uint64(48)) * np.uint64(parts) >> np.uint64(16)).astype(np.uint16)
+    part = ((keys >> np.uint64(48)) * np.uint64(parts) >> np.uint64(16)).astype(np.uint8 if parts <= 256 else np.uint16)
     return np.argsort(part, kind="stable"), np.append(0, np.cumsum(np.bincount(part, minlength=parts)))
 
 
@@ -413,18 +484,16 @@ def _words_met(asked: list[tuple]) -> list[bytes]:
 
 def _grams_met(asked: list[tuple]) -> list[bytes]:
     """Which of the grams of either side another owner has on the other."""
-    sizes = [(int(m[0]), len(m[1])) for m in asked]
-    sides = []
-    for documents in (False, True):
-        own = [m for m in asked if m[0] == documents]
-        sides.append([np.concatenate([np.zeros(0, np.uint64), *(m[1] for m in own)]), np.concatenate([np.zeros(0, np.int64), *(np.repeat(m[2], m[3]) for m in own)])])
+    order = sorted(range(len(asked)), key=lambda i: asked[i][0])  # the reference first
+    sizes = [len(asked[i][1]) for i in order]
+    n = sum(len(m[1]) for m in asked if not m[0])
+    keys = np.concatenate([np.zeros(0, np.uint64), *(asked[i][1] for i in order)])
+    owner = np.concatenate([np.zeros(0, np.int64), *(np.repeat(asked[i][2], asked[i][3]) for i in order)])
     asked.clear()  # they take as much memory again
-    del own
-    found = [occurs_elsewhere(*sides[k], *sides[1 - k]) if len(sides[k][0]) else np.zeros(0, bool) for k in (0, 1)]
-    done, out = [0, 0], []
-    for k, n in sizes:
-        out.append(np.packbits(found[k][done[k] : done[k] + n]).tobytes())
-        done[k] += n
+    found, out, done = met_elsewhere(keys, owner, n), [b""] * len(order), 0
+    for i, size in zip(order, sizes):
+        out[i] = np.packbits(found[done : done + size]).tobytes()
+        done += size
     return out
 
 
@@ -447,11 +516,13 @@ def _learn(u: Unit, stage: str, answers: dict[int, bytes], parts: int) -> None:
     for q, blob in answers.items():
         i = order[begin[q] : begin[q + 1]]
         found[i] = np.unpackbits(np.frombuffer(blob, np.uint8), count=len(i)).astype(bool)
-    u.learn(stage, np.split(found, np.cumsum([len(k) for _, k in asked])[:-1]) if asked else [])
+    u.learn(stage, asked, np.split(found, np.cumsum([len(k) for _, k in asked])[:-1]) if asked else [])
 
 
-#: Units (of part -1, with their number of words) or messages and the answers to them, with the longest interval that documents
-#: search; ``target`` is the unit or the part that a row goes to.
+#: Units whose answers share a file.
+GROUP = 8
+#: Units (of part -1, with their number of words left) or messages and the answers to them, with the longest interval that documents
+#: search; ``target`` is the group of units or the part that a row goes to.
 ROWS = "target int, unit int, part int, asking long, body binary"
 
 
@@ -470,20 +541,40 @@ def _rows(rows: Iterator[tuple], most: int = 16_000_000) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 
 
-def _known(blob: bytes, unit: int, answered: list[tuple[str, bool, dict[int, str]]], parts: int) -> Unit:
-    """A unit with what was answered since it was written: stage, whether all open positions search, and a file for each unit."""
+@dataclass(frozen=True)
+class Answered:
+    """A round whose answers are written: whether all open positions search in it, and the file of each group of units."""
+
+    stage: str
+    every: bool
+    parts: int
+    files: dict[int, str]
+
+
+def _answers(file: str) -> dict[int, dict[int, bytes]]:
+    """By unit and part."""
+    store, path = fs.FileSystem.from_uri(file)
+    with store.open_input_file(path) as f:
+        rows = pq.ParquetFile(f).read(["unit", "part", "body"])
+    out: dict[int, dict[int, bytes]] = {}
+    for unit, part, body in zip(rows["unit"].to_pylist(), rows["part"].to_pylist(), rows["body"].to_pylist()):
+        out.setdefault(unit, {})[part] = body
+    return out
+
+
+def _known(blob: bytes, unit: int, answered: list[Answered], held: dict[str, dict]) -> Unit:
+    """A unit with what was answered since it was written. ``held`` has the answers to the group met last."""
     u = _unpack(blob)
-    for stage, every, files in answered:
-        if stage == "first":
-            u.start(every)
-        answers = {}
-        if unit in files:
-            store, path = fs.FileSystem.from_uri(files[unit])
-            with store.open_input_file(path) as f:
-                rows = pq.ParquetFile(f).read(["unit", "part", "body"])
-            assert set(rows["unit"].to_pylist()) <= {unit}
-            answers = dict(zip(rows["part"].to_pylist(), rows["body"].to_pylist()))
-        _learn(u, stage, answers, parts)
+    files = [a.files.get(unit // GROUP) for a in answered]
+    for file in [f for f in held if f not in files]:
+        del held[file]
+    for a, file in zip(answered, files):
+        if a.stage == "first":
+            u.start(a.every)
+        if file and file not in held:
+            held[file] = _answers(file)
+            assert {k // GROUP for k in held[file]} <= {unit // GROUP}  # a file may have no rows
+        _learn(u, a.stage, held[file].get(unit, {}) if file else {}, a.parts)
     return u
 
 
@@ -521,12 +612,17 @@ def score(documents: DataFrame, reference: DataFrame, p: CrossParseParams = Cros
     kind = documents.schema["doc_id"].dataType.simpleString()
     owner = F.xxhash64("doc_id", "text").alias("owner")
     size = p.unit_bytes * p.held_units
-    of = [common.materialize(_units(spread(t.select("doc_id", owner, "text")), k == 0, size), "units") for k, t in enumerate((documents, reference))]
+    of = [_written(_units(spread(t.select("doc_id", owner, "text")), k == 0, size), "units") for k, t in enumerate((documents, reference))]
     made = [[(k, r["target"], r["unit"], r["asking"]) for r in t.select("target", "unit", "asking").collect()] for k, t in enumerate(of)]
     n_reference = sum(r[3] for r in made[1])
     number = [(*r[:3], i) for i, r in enumerate(sorted(made[0] + made[1]))]
-    units = max(1, len(number))
-    parts = min(1 << 15, max(1, -(-8 * sum(r[3] for r in made[0] + made[1]) // max(1 << 20, 2 * p.shard_bytes * p.held_shards))))
+    groups = max(1, -(-len(number) // GROUP))
+    left = sum(r[3] for r in made[0] + made[1])
+
+    def parts_of(stage: str) -> int:
+        """Tasks that answer: as many as the words that are left may need. Later stages ask more of each of fewer words."""
+        each = {"1": 4, "2": 8, "3": 8, "5": 32, "16": 32}.get(stage, 16)
+        return min(1 << 15, max(1, -(-each * left // max(1 << 20, 2 * p.shard_bytes * p.held_shards))))
 
     numbers = documents.sparkSession.createDataFrame(number, "side int, partition int, nth int, number int")
 
@@ -536,17 +632,22 @@ def score(documents: DataFrame, reference: DataFrame, p: CrossParseParams = Cros
         return of[k].join(own, (F.col("target") == F.col("partition")) & (F.col("unit") == F.col("nth"))).select(unit.alias("target"), unit.alias("unit"), "part", "asking", "body")
 
     rows, written = numbered(0).unionByName(numbered(1)), of
-    answered: list[tuple[str, bool, dict[int, str]]] = []
+    answered: list[Answered] = []
 
-    def answers_to(stage: str, every: bool = False) -> DataFrame:
-        """One round. Its answers are written in a file for each unit."""
+    def read() -> DataFrame:
+        """The units, in no more tasks than the words that are left are worth."""
+        return rows.coalesce(max(documents.sparkSession.sparkContext.defaultParallelism, left // 600_000))
+
+    def answers_to(stage: str, every: bool, parts: int) -> DataFrame:
+        """One round. Its answers are written in a file for each group of units."""
         before = list(answered)
 
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def out() -> Iterator[tuple]:
+                held: dict = {}
                 for batch in batches:
                     for unit, body in zip(batch.column(1).to_pylist(), batch.column(4)):
-                        u = _known(body.as_py(), unit, before, parts)
+                        u = _known(body.as_py(), unit, before, held)
                         if stage == "first":
                             u.start(every)
                         asking = int(u.entries[2].max(initial=0)) if u.documents else 0
@@ -559,38 +660,40 @@ def score(documents: DataFrame, reference: DataFrame, p: CrossParseParams = Cros
             to, asked = [], []
             for batch in batches:
                 for *row, body in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), batch.column(4)):
-                    to.append((row[0], *row))
+                    to.append((row[0] // GROUP, *row))
                     asked.append(_unpack(body.as_py()))
             if asked:
                 yield from _rows((*row, blob) for row, blob in zip(to, (_words_met if stage == "1" else _grams_met)(asked)))
 
-        asked = rows.mapInArrow(ask, ROWS).repartitionById(parts, "target")
-        return common.materialize(asked.mapInArrow(answer, ROWS).repartitionById(units, "target"), "answers")
+        asked = read().mapInArrow(ask, ROWS).repartitionById(parts, "target")
+        return _written(asked.mapInArrow(answer, ROWS).repartitionById(groups, "target"), "answers")
 
     def learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> Iterator[tuple]:
+            held: dict = {}
             for batch in batches:
                 for unit, body in zip(batch.column(1).to_pylist(), batch.column(4)):
-                    yield unit, unit, -1, 0, _pack(_known(body.as_py(), unit, answered, parts))
+                    u = _known(body.as_py(), unit, answered, held)
+                    yield unit, unit, -1, len(u.codes), _pack(u)
 
         yield from _rows(out())
 
     def turn(stage: str, every: bool = False) -> int:
         """One round; the longest interval that documents search in it."""
-        nonlocal rows, written, answered
-        got = answers_to(stage, every)
+        nonlocal rows, written, answered, left
+        parts = parts_of(stage)
+        got = answers_to(stage, every, parts)
         files = {int(re.search(r"part-(\d+)-[^/]*$", f)[1]): f for f in got.inputFiles()}
-        asking = got.agg(F.max("asking")).first()[0] or 0 if stage in ("first", "search") else 0
-        answered.append((stage, every, files))
+        asking = got.agg(F.max("asking")).first()[0] or 0 if stage == "first" else 0
+        answered.append(Answered(stage, every, parts, files))
         written = [*written, got]
         if stage in ("2", "3", "5", "16", "first"):  # these change much; what later ones change is quickly done again
-            rows = common.materialize(rows.mapInArrow(learnt, ROWS), "units")
+            rows = common.materialize(read().mapInArrow(learnt, ROWS), "units")
+            left = rows.agg(F.sum("asking")).first()[0] or 0
             common.discard(*written)
             written, answered = [rows], []
-        _drop_shuffles(got)
         return asking
 
-    _drop_shuffles(rows)
     for stage in ("1", "2", "3", "5", "16"):
         turn(stage)
     for every in (False, True):
@@ -602,19 +705,29 @@ def score(documents: DataFrame, reference: DataFrame, p: CrossParseParams = Cros
             asking //= STEPS
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
         for batch in batches:
             for unit, body in zip(batch.column(1).to_pylist(), batch.column(4)):
-                u = _known(body.as_py(), unit, answered, parts)
+                u = _known(body.as_py(), unit, answered, held)
                 if u.documents:
                     yield u.scored(n_reference)
 
     return rows.mapInArrow(finish, f"doc_id {kind}, n_words long, cross_phrases long, self_phrases long, longest_match long, score double")
 
 
-def _drop_shuffles(df: DataFrame) -> None:
-    """Have Spark delete the files of shuffles whose plans are gone; it notices when the driver collects garbage."""
-    gc.collect()
-    df.sparkSession._jvm.java.lang.System.gc()
+def _written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` by ``materialize``. The files of its shuffles are deleted at once: the driver's garbage collector would leave them
+    until after the next table is written."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, None)
+    conf.set(name, "true")
+    try:
+        return common.materialize(df, label)
+    finally:
+        if before is None:
+            conf.unset(name)
+        else:
+            conf.set(name, before)
 
 
 def good_reference(documents: DataFrame, labels: DataFrame) -> DataFrame:

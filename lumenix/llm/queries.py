@@ -127,11 +127,10 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 
 @query
 def op1_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lumenix.llm import common, cross_parsing
+    from lumenix.llm import cross_parsing
 
     documents = table(spark, sf_dir, "documents")
-    reference = common.materialize(cross_parsing.good_reference(documents, table(spark, sf_dir, "labels")), "reference")
-    return cross_parsing.score(documents, reference)
+    return cross_parsing.score(documents, cross_parsing.good_reference(documents, table(spark, sf_dir, "labels")))
 
 
 ORACLES["op10_minhash"] = r"""

@@ -119,6 +119,34 @@ def test_cross_parsing_work_grows_with_the_table():
     assert whole < 2.5 * half
 
 
+def test_cross_parsing_finds_grams_of_other_owners():
+    """Brute force, also of keys that differ in their last bits only, and of sides of very different size."""
+    rng = np.random.default_rng(3)
+    for seed in range(60):
+        keys = rng.integers(0, 40, rng.integers(2, 300)).astype(np.uint64) << np.uint64((0, 3, 50)[seed % 3])
+        owner, n = rng.integers(-3, 3, len(keys)), int(rng.integers(0, len(keys) + 1)) if seed % 2 else 1 + seed % 4
+        order, ordered = cross_parsing.sorted_order(keys)
+        assert (keys[order] == ordered).all() and (np.sort(keys) == ordered).all()
+        sides = [set(zip(keys[i].tolist(), owner[i].tolist())) for i in (slice(n, None), slice(n))]
+        want = [any(k == x and o != y for x, y in sides[i >= n]) for i, (k, o) in enumerate(zip(keys.tolist(), owner.tolist()))]
+        assert cross_parsing.met_elsewhere(keys, owner, n).tolist() == want
+
+
+def test_cross_parsing_walks_all_texts_of_a_unit():
+    rng = np.random.default_rng(4)
+    for n in (0, 3, 400):
+        texts = [rng.integers(0, 9, rng.integers(0, 40)) for _ in range(n)]
+        longest = [np.minimum(rng.integers(0, 7, len(t)), len(t) - np.arange(len(t))) for t in texts]
+        got = cross_parsing.greedy_phrases(np.concatenate([np.zeros(0, np.int64), *longest]), np.array([len(t) for t in texts], np.int64))
+        for k, most in enumerate(longest):
+            i, path = 0, []
+            while i < len(most):
+                path.append(int(most[i]))
+                i += path[-1] or 1
+            assert (got[0][k], got[1][k]) == (len(path), max(path, default=0))
+        assert [cross_parsing.coded_self_phrases(t.tolist(), 9) for t in texts] == [cross_parsing.self_phrases(t.tolist()) for t in texts]
+
+
 def test_bitsliced_scores_and_top():
     rng = np.random.default_rng(0)
     for n, d, m in ((5, 3, 9), (300, 8, 1025), (70, 64, 1024), (1, 1, 1)):

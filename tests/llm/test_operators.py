@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -351,6 +352,36 @@ def test_cross_parsing_meets_the_whole_reference(spark):
     assert results[0] == results[1] and results[0][25]["longest_match"] == 300
 
 
+def test_cross_parsing_writes_few_files_a_round(spark, monkeypatch):
+    """Before, every round wrote a file for each unit."""
+    written, real = [], common.materialize
+
+    def noted(df, label):
+        out = real(df, label)
+        written.append((label, out.count(), len(out.inputFiles())))
+        return out
+
+    monkeypatch.setattr(common, "materialize", noted)
+    rng = random.Random(6)
+    docs = make(spark, [long_text(rng, 30) for _ in range(40)])
+    cross_parsing.score(docs, docs.select("doc_id", "text"), cross_parsing.CrossParseParams(shard_bytes=500, unit_bytes=50, held_units=1)).collect()
+    units = sum(rows for label, rows, _ in written[:2] if label == "units")
+    files = [n for label, _, n in written if label == "answers"]
+    assert units > 16 and files and max(files) <= units / 8 + 1
+
+
+def test_cross_parsing_leaves_no_files_of_shuffles(spark):
+    """Before, they stayed while the next table was written."""
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f for k in range(blocks.getAllFiles().size()) if (f := blocks.getAllFiles().apply(k).getName()).startswith("shuffle_")}
+    before = shuffled()
+    out = cross_parsing._written(spark.range(5000).repartition(3, "id"), "some")
+    until = time.time() + 5
+    while (left := shuffled() - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left and out.count() == 5000
+
+
 def test_bitsliced_takes_components_of_any_size(spark):
     """As Python's integers; before, vectors with a component of 4,096 or more were left out."""
     v = [[5000.0, 0.5], [4096.0, -3.0], [-1e6, 2.0], [0.25, 8.0], [3.0, 1e8], [2.0**60, 0.0], [0.0, 1.5]]
