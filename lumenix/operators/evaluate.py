@@ -22,8 +22,9 @@ def holders(documents: DataFrame, passages: DataFrame) -> DataFrame:
     ``passages(query_id, passage)``, a stated query set.
 
     White space in a passage bounds its inner words in any text that holds it, so such a text has the longest of them as a
-    word: texts are looked through once for these words, the join is by word, and the passage itself decides. Passages of
-    fewer than three words have no inner word; only for them, if there are any, every text is tried.
+    word: texts are looked through once for these words, the join is by word, and the passage itself decides. The passages are
+    sent to the texts, so no text moves. Passages of fewer than three words have no inner word; only for them, if there are
+    any, every text is tried.
     """
     words = lambda c: F.split(c, r"[ \n\t\r]+")
     inner = F.slice(words(F.col("passage")), F.lit(2), F.greatest(F.size(words(F.col("passage"))) - 2, F.lit(0)))
@@ -31,10 +32,10 @@ def holders(documents: DataFrame, passages: DataFrame) -> DataFrame:
     keyed = passages.withColumn("anchor", longest)
     anchors = keyed.agg(F.coalesce(F.collect_set("anchor"), F.array().cast("array<string>")).alias("a")).scalar()
     met = documents.withColumn("anchor", F.explode(F.array_intersect(words(F.col("text")), anchors)))
-    found = met.join(keyed, "anchor").where(F.expr("contains(text, passage)")).drop("anchor")
+    found = met.join(F.broadcast(keyed), "anchor").where(F.expr("contains(text, passage)")).drop("anchor")
     short = passages.join(keyed.where(F.col("anchor").isNotNull()).select("query_id"), "query_id", "left_anti")
     if not short.isEmpty():
-        found = found.unionByName(documents.join(short, F.expr("contains(text, passage)")))
+        found = found.unionByName(documents.join(F.broadcast(short), F.expr("contains(text, passage)")))
     return found
 
 

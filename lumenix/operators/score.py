@@ -10,9 +10,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenix.functions import text as tx
 from lumenix.functions import vectors as vec
+from lumenix.sources import scratch
 
 PLACE = ["origin", "resource", "start", "end"]
 K1, B = 1.2, 0.75
@@ -163,28 +165,125 @@ def rank(hits: DataFrame, limit: int | None = None) -> DataFrame:
     return out if limit is None else out.limit(limit)
 
 
-def bm25_batch(records: DataFrame, queries: DataFrame, limit: int | None = None) -> DataFrame:
-    """BM25 of many queries at once: query_id, location, level, score[, rank].
+#: Scores of so many (record, query) pairs are held at once; so many candidates a place are kept before they are cut to the best.
+CELLS, SLACK = 1 << 20, 4
 
-    ``queries(query_id, text)`` become (query_id, term) rows that are joined with postings by term, so each posting is
-    read once for all queries. Corpus statistics are one row; document frequencies are counted for asked terms only.
-    The optimizer broadcasts the query terms when its size estimate allows.
+
+def bm25_batch(records: DataFrame, queries: DataFrame, limit: int | None = None, *more: str) -> DataFrame:
+    """BM25 of many queries at once: query_id, location, level, score, further columns named[, rank].
+
+    ``queries(query_id, text)`` is a stated set: the driver sends its terms and their weights to the tasks. Records are cut
+    once, to a written table of their asked terms; each is scored for all queries where it is read, and a task returns no more
+    than its best ``limit`` of a query. So what is written grows with the records and what is shuffled with the tasks, neither
+    with records times queries. Records at the same place are one.
     """
+    import math
+
     from pyspark.sql import Window
 
-    asked = queries.select("query_id", F.explode(F.array_distinct(tx.terms(F.col("text")))).alias("term"))
-    post = records.select(*PLACE, "level", "len", F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    post = post.groupBy(*PLACE, "level", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    per = records.groupBy("origin").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.when(F.col("len") > 0, F.col("len"))), F.lit(0.0)).alias("a"))
-    whole = per.agg(F.sum("n").alias("n"), (F.sum(F.col("a") * F.col("n")) / F.sum("n")).alias("avgdl"))
-    weighted = asked.join(df, "term").join(F.broadcast(whole)).withColumn("idf", idf(F.col("n"), F.col("df")))
-    ceiling = weighted.groupBy("query_id").agg(F.sum(F.col("idf") * (K1 + 1)).alias("ceiling"))
-    length = 1 - B + B * F.col("len") / F.greatest(F.col("avgdl"), F.lit(1.0))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * length)
-    raw = post.join(weighted.select("query_id", "term", "idf", "avgdl"), "term").groupBy("query_id", *PLACE, "level").agg(F.sum(part).alias("raw"))
-    out = raw.where("raw > 0").join(ceiling, "query_id").select("query_id", *PLACE, "level", F.least(F.col("raw") / F.col("ceiling"), F.lit(1.0)).alias("score"))
+    asked = {(r[0], r[1]) for r in queries.select("query_id", F.explode(tx.terms(F.col("text"))).alias("term")).distinct().collect()}
+    place = [*PLACE, "level", "len", *more]
+    slim = scratch.materialize(records.select(*place, F.filter("terms", lambda t: t.isin(sorted({t for _, t in asked}))).alias("terms")), "asked")
+    twice = slim.groupBy(F.xxhash64(*place).alias("_h")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_h")
+    own = slim
+    if not twice.isEmpty():
+        keyed = slim.withColumn("_h", F.xxhash64(*place))
+        merged = keyed.join(twice, "_h", "left_semi").groupBy(*place).agg(F.flatten(F.collect_list("terms")).alias("terms"))
+        own = keyed.join(twice, "_h", "left_anti").select(*place, "terms").unionByName(merged)
+    df = {r[0]: r[1] for r in own.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1))).collect()}
+    per = slim.groupBy("origin").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.when(F.col("len") > 0, F.col("len"))), F.lit(0.0)).alias("a"))
+    n, average = per.agg(F.sum("n"), F.sum(F.col("a") * F.col("n")) / F.sum("n")).first()
+    weight = {t: math.log((n - k + 0.5) / (k + 0.5) + 1) for t, k in sorted(df.items())}
+    kind = queries.schema["query_id"]
+    schema = T.StructType([T.StructField("query_id", kind.dataType), *[slim.schema[c] for c in (*PLACE, "level", *more)], T.StructField("score", T.DoubleType()), T.StructField("key", T.LongType())])
+    found = own.mapInArrow(_scorer(sorted(((q, t) for q, t in asked if t in weight), key=lambda x: (str(x[0]), x[1])), weight, max(average or 0.0, 1.0), limit, kind.dataType, [*PLACE, "level", *more]), schema)
     if limit is None:
-        return out
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "origin", "resource", "start")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+        return found.drop("key")
+    w = Window.partitionBy("query_id").orderBy(F.desc("key"), "origin", "resource", "start")
+    out = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).drop("key")
+    out = scratch.materialize(out, "hits")
+    scratch.discard(slim)
+    return out
+
+
+def _scorer(asked: list[tuple], weight: dict[str, float], average: float, limit: int | None, kind: T.DataType, kept: list[str]):  # type: ignore[no-untyped-def]
+    """For ``mapInArrow`` over records with ``terms`` and ``len``: (query_id, what is ``kept`` of the record, score, key), the
+    key being the score in billionths, by which ranks go."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    words = list(weight)
+    number = {t: i for i, t in enumerate(words)}
+    ids = list(dict.fromkeys(q for q, _ in asked))
+    at = {q: i for i, q in enumerate(ids)}
+    by_term = sorted((number[t], at[q]) for q, t in asked)
+    idf_of = np.array([weight[t] for t in words])
+    askers = np.array([q for _, q in by_term], np.int64)
+    degree = np.bincount(np.array([t for t, _ in by_term], np.int64), minlength=len(words))
+    begin = np.cumsum(degree) - degree
+    ceiling = np.bincount(askers, np.repeat(idf_of, degree) * (K1 + 1), minlength=len(ids))
+    order = [("_q", "ascending"), ("key", "descending"), *[(c, "ascending") for c in ("origin", "resource", "start")]]
+
+    def scores(terms, length):  # type: ignore[no-untyped-def]
+        """Of some records, by query: the sum of their parts in order of the terms."""
+        ends = terms.offsets.to_numpy()
+        row = np.repeat(np.arange(len(terms)), np.diff(ends))
+        term = pc.index_in(terms.flatten(), value_set=pa.array(words, pa.string())).to_numpy(zero_copy_only=False)
+        pair, tf = np.unique(row * len(words) + term.astype(np.int64), return_counts=True)
+        row, term = pair // len(words), pair % len(words)
+        part = idf_of[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[row] / average))
+        times = degree[term]
+        inside = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        cell = np.repeat(row, times) * len(ids) + askers[np.repeat(begin[term], times) + inside]
+        return np.bincount(cell, np.repeat(part, times), minlength=len(terms) * len(ids)).reshape(len(terms), len(ids))
+
+    def run(batches):  # type: ignore[no-untyped-def]
+        names = pa.array(ids, to_arrow_type(kind))
+        least = np.full(len(ids), -1, np.int64)
+        held: list = []
+
+        def best():  # type: ignore[no-untyped-def]
+            """The best of what is held, and the key that a query's next ones must reach."""
+            if not held:
+                return None
+            whole = pa.Table.from_batches(held).combine_chunks()
+            whole = whole.take(pc.sort_indices(whole, sort_keys=order, null_placement="at_start"))
+            q = whole["_q"].to_numpy()
+            first = np.searchsorted(q, q, "left")
+            keep = np.arange(len(q)) - first < limit
+            last = np.arange(len(q)) - first == limit - 1
+            least[q[last]] = whole["key"].to_numpy()[last]
+            return whole.filter(pa.array(keep)).combine_chunks()
+
+        def out(table):  # type: ignore[no-untyped-def]
+            for b in table.to_batches():
+                yield pa.RecordBatch.from_arrays([names.take(b.column("_q")), *[b.column(c) for c in (*kept, "score", "key")]], ["query_id", *kept, "score", "key"])
+
+        step = max(1, CELLS // max(len(ids), 1))
+        for whole in batches:
+            for lo in range(0, whole.num_rows, step):
+                batch = whole.slice(lo, step)
+                terms = batch.column("terms")
+                terms = pa.ListArray.from_arrays(pa.array(terms.offsets.to_numpy() - terms.offsets[0].as_py(), pa.int32()), terms.flatten())
+                raw = scores(terms, batch.column("len").to_numpy().astype(np.float64))
+                score = np.minimum(raw / ceiling, 1.0)
+                key = np.floor(score * 1e9 + 0.5).astype(np.int64)
+                good = raw > 0
+                if limit is not None:
+                    good &= key >= least
+                    if len(key) > limit and good.sum() > SLACK * limit * len(ids):
+                        good &= key >= np.partition(np.where(good, key, -1), len(key) - limit, 0)[len(key) - limit]
+                row, q = np.nonzero(good)
+                part = pa.RecordBatch.from_arrays([pa.array(q), *[batch.column(c).take(pa.array(row)) for c in kept], pa.array(score[row, q]), pa.array(key[row, q])], ["_q", *kept, "score", "key"])
+                if limit is None:
+                    yield from out(pa.Table.from_batches([part]))
+                    continue
+                held.append(part)
+                if sum(b.num_rows for b in held) > SLACK * limit * len(ids):
+                    held = best().to_batches()
+        if limit is not None and held:
+            yield from out(best())
+
+    return run

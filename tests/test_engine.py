@@ -404,3 +404,42 @@ def test_regions_number_hits_without_one_task(spark):
     got = [(r["rn"], r["resource"], r["start"]) for r in retrieve.numbered(hits).orderBy("rn").collect()]
     want = sorted(rows, key=lambda r: (-r[5], r[0], r[1], r[2]))
     assert got == [(k + 1, r[1], r[2]) for k, r in enumerate(want)]
+
+
+def _shuffled_rows(spark, after: int = -1) -> tuple[int, int]:
+    """(rows written to shuffles by stages with a number above ``after``, the last stage's number)."""
+    sc_ = spark.sparkContext
+    sc_._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    found = sc_._jsc.sc().statusStore().stageList(None, False, False, sc_._gateway.new_array(sc_._jvm.double, 0), None)
+    stages = [found.apply(i) for i in range(found.size())]
+    return sum(s.shuffleWriteRecords() for s in stages if s.stageId() > after), max([s.stageId() for s in stages], default=after)
+
+
+def test_batch_scores_are_not_shuffled_by_record_and_query(spark):
+    from lumenix.operators import score as sc
+
+    n = 400
+    texts = [(f"d{i:03}", f"common word{i} " + "filler " * (i % 7)) for i in range(n)] + [("d001", "common word1 filler ")]
+    rec = sc.structural(spark.createDataFrame([("c", r, 0, len(t), t) for r, t in texts], "origin string, resource string, start bigint, end bigint, text string"))
+    asked = [(q, f"common word{q * 9}") for q in range(40)]
+    _, last = _shuffled_rows(spark)
+    got = sc.bm25_batch(rec, spark.createDataFrame(asked, "query_id int, text string"), 5).collect()
+    assert _shuffled_rows(spark, last)[0] < n * len(asked) / 4
+
+    docs: dict = {}
+    for r, t in texts:
+        docs.setdefault((r, len(t)), []).append(t.split())
+    df: dict = {}
+    for ts in docs.values():
+        for t in {t for x in ts for t in x}:
+            df[t] = df.get(t, 0) + 1
+    mean = sum(len(t.split()) for _, t in texts) / len(texts)
+    idf = {t: math.log((len(texts) - k + 0.5) / (k + 0.5) + 1) for t, k in df.items()}
+    for q, text in asked:
+        scored = []
+        for (r, _), ts in docs.items():
+            tf = {t: sum(x.count(t) for x in ts) for t in text.split()}
+            raw = sum(idf[t] * k * 2.2 / (k + 1.2 * (0.25 + 0.75 * len(ts[0]) / mean)) for t, k in tf.items())
+            scored.append((-round(raw / sum(idf[t] * 2.2 for t in text.split()), 9), r))
+        want = [(r, rank) for rank, (_, r) in enumerate(sorted(scored)[:5], 1)]
+        assert [(x["resource"], x["rank"]) for x in sorted(got, key=lambda x: x["rank"]) if x["query_id"] == q] == want
