@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+#: Rows of an Arrow batch that are worked on at once.
+SLICE = 512
 WORD_RUN = r"[\p{IsAlphabetic}\p{N}_]+"
 
 
@@ -13,11 +19,24 @@ def normalize_newlines(text: Column) -> Column:
     return F.regexp_replace(text, "\r\n?", "\n")
 
 
+#: An upper-case letter behind a lower-case one or a digit, ``_``, and the letters whose lower case depends on what is around
+#: them, is not all letters, is a single byte or is known to one of folding and matching only.
+UNEVEN = r"[_\p{IsUppercase}\ua7cb-\ua7dc](?<=[_\u0130\u03a3\u212a\ua7cb-\ua7dc]|[\p{IsLowercase}\p{N}].)"
+
+
+def uneven(text: Column) -> Column:
+    """Whether a run of ``text`` may have parts, or be folded otherwise on its own than within the text; so all texts with
+    characters beyond the basic plane, which are two units each."""
+    return text.rlike(UNEVEN) | (F.octet_length(F.encode(text, "UTF-16BE")) != 2 * F.length(text))
+
+
 def terms(text: Column) -> Column:
     """Search terms in order: of every run of letters, digits and ``_`` first its parts (cut at ``_`` and where
     an upper-case letter follows a lower-case one or a digit), then the run itself, all in lower case. Runs and
-    parts under two bytes are left out, and so is a last part that equals the run."""
-    runs = F.filter(F.regexp_extract_all(text, F.lit(f"({WORD_RUN})"), F.lit(1)), lambda r: F.octet_length(r) >= 2)
+    parts under two bytes are left out, and so is a last part that equals the run.
+
+    Texts without anything to cut, nearly all, are folded whole and their runs taken out by one expression."""
+    runs = lambda of: F.filter(F.regexp_extract_all(of, F.lit(WORD_RUN), F.lit(0)), lambda r: F.octet_length(r) >= 2)
 
     def of(run: Column) -> Column:
         cut = F.split(F.regexp_replace(run, r"(?<=[\p{IsLowercase}\p{N}])(?=\p{IsUppercase})", "_"), "_")
@@ -27,25 +46,70 @@ def terms(text: Column) -> Column:
         plain = ~run.rlike(r"_|[\p{IsLowercase}\p{N}]\p{IsUppercase}")
         return F.when(plain, F.array(whole)).otherwise(F.concat(F.filter(parts, lambda p: p != whole), F.array(whole)))
 
-    return F.flatten(F.transform(runs, of))
+    return F.when(uneven(text), F.flatten(F.transform(runs(text), of))).otherwise(runs(F.lower(text)))
 
 
 def encode_frequencies(counts: Column) -> Column:
     """A map of term to count as ``term[:count]``, sorted, blank-separated; a count of one is not spelt out."""
-    entries = F.array_sort(F.map_entries(counts))
+    entries = F.sort_array(F.map_entries(counts))  # keys are unique, so values are not compared
     return F.array_join(F.transform(entries, lambda e: F.when(e["value"] == 1, e["key"]).otherwise(F.concat(e["key"], F.lit(":"), e["value"].cast("string")))), " ")
 
 
 def decode_frequencies(descriptor: Column) -> Column:
     """Structs (term, tf) of a frequency descriptor; a count that cannot be read is one."""
     words = F.filter(F.split(descriptor, r"\s+"), lambda w: w != "")
-    return F.transform(
-        words,
-        lambda w: F.struct(
-            F.substring_index(w, ":", 1).alias("term"),
-            F.coalesce(F.regexp_extract(w, r"^[^:]*:(\d{1,10})$", 1).try_cast("bigint"), F.lit(1)).cast("bigint").alias("tf"),
-        ),
-    )
+    read = lambda w: F.coalesce(F.regexp_extract(w, r"^[^:]*:(\d{1,10})$", 1).try_cast("bigint"), F.lit(1).cast("bigint"))
+    # Most terms occur once and have no count to read.
+    return F.transform(words, lambda w: F.when(w.contains(":"), F.struct(F.substring_index(w, ":", 1).alias("term"), read(w).alias("tf"))).otherwise(F.struct(w.alias("term"), F.lit(1).cast("bigint").alias("tf"))))
+
+
+def _runs(terms):  # type: ignore[no-untyped-def]
+    """(row, term, count) of an Arrow array of term arrays: per row its distinct terms in byte order, nulls left out."""
+    lengths = pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False)
+    coded = pc.dictionary_encode(terms.flatten())
+    order = pc.array_sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    row, code = np.repeat(np.arange(len(terms), dtype=np.int64), lengths), pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False)
+    key = np.sort(((row << 32) + rank[code])[code >= 0] if len(order) else np.zeros(0, np.int64))
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    own = key[first]
+    return own >> 32, coded.dictionary.take(pa.array(order[own & 0xFFFFFFFF])), np.diff(np.append(first, len(key)))
+
+
+def counted(df: DataFrame, terms: str = "terms") -> DataFrame:
+    """The other columns of ``df``, term, tf: a row for every distinct term of each row's array, without a shuffle."""
+    kept = [c for c in df.columns if c != terms]
+    schema = T.StructType([*[df.schema[c] for c in kept], T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])
+
+    def run(batches):  # type: ignore[no-untyped-def]
+        for whole in batches:
+            for lo in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(lo, SLICE)
+                row, term, n = _runs(batch.column(terms))
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(row)) for c in kept], term, pa.array(n, pa.int64())], [*kept, "term", "tf"])
+
+    return df.select(*kept, terms).mapInArrow(run, schema)
+
+
+def described(df: DataFrame, terms: str, name: str) -> DataFrame:
+    """The other columns of ``df`` and ``name``, the stored form of each row's array of terms: ``term[:count]``, sorted,
+    blank-separated; nulls in an array do not count."""
+    kept = [c for c in df.columns if c != terms]
+    schema = T.StructType([*[df.schema[c] for c in kept], T.StructField(name, T.StringType())])
+
+    def run(batches):  # type: ignore[no-untyped-def]
+        for whole in batches:
+            for lo in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(lo, SLICE)
+                own = batch.column(terms)
+                row, term, n = _runs(own)
+                several = pc.binary_join_element_wise(term, pa.array(n).cast(pa.string()), ":")
+                ends = np.searchsorted(row, np.arange(len(own) + 1))
+                text = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pc.if_else(pa.array(n > 1), several, term)), " ")
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pc.if_else(own.is_valid(), text, pa.scalar(None, pa.string()))], [*kept, name])
+
+    return df.select(*kept, terms).mapInArrow(run, schema)
 
 
 def slice_bytes(text: Column, start: Column, end: Column) -> Column:

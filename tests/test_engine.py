@@ -469,3 +469,22 @@ assert sum(map(len, groups)) > 11_000 and max(map(len, groups)) == 15
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     done = subprocess.run([sys.executable, "-c", code], check=True, capture_output=True, text=True, env=os.environ | {"OPENBLAS_NUM_THREADS": "1", "OMP_NUM_THREADS": "1", "PYTHONPATH": root})
     assert float(done.stdout.split()[0]) < 2.5
+
+
+def test_term_frequencies_are_counted_without_a_shuffle_of_terms(spark, tmp_path):
+    """A number that occurs on two rows is one document, as in the SQL."""
+    from collections import Counter
+
+    from lumenix import catalog
+
+    texts = {i: " ".join(f"word{i % 5}x{j % 40}" for j in range(60)) for i in range(50)}
+    rows = [*texts.items(), (51, None)]
+    save = lambda r, name: spark.createDataFrame(r, "doc_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / name / "documents.parquet"))
+    save(rows, "once")
+    save([*rows, (3, texts[3]), (3, "other word3x1")], "twice")
+    _, last = _shuffled_rows(spark)
+    want = Counter((f"doc/{i:09}", t) for i, text in texts.items() for t in text.split())
+    assert Counter({(r["resource"], r["term"]): r["tf"] for r in catalog.tok_term_freq(spark, str(tmp_path / "once")).collect()}) == want
+    assert _shuffled_rows(spark, last)[0] < 400
+    want.update(("doc/000000003", t) for t in f"{texts[3]} other word3x1".split())
+    assert Counter({(r["resource"], r["term"]): r["tf"] for r in catalog.tok_term_freq(spark, str(tmp_path / "twice")).collect()}) == want

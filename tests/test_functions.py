@@ -164,3 +164,28 @@ def test_tensors(spark):
         back = {r["id"]: r["b"] for r in vec.decode_tensors(coded, "t", "b").collect()}
         assert back == {1: [1.0, -2.5 if dtype != "i8" else -2.0, 0.0], 2: None, 3: [4.0]}
         assert vec.decode_tensors(coded, "t", "b", 3).where("b is not null").count() == 1
+
+
+def test_terms_of_even_texts_are_those_of_their_runs(spark):
+    """A text in which one word is to be cut is taken run by run, others whole: terms are the same either way."""
+    import random
+
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("aAbZ09_ -'\n.İıΣσςKÅßÑé́Ⓐⅷ中𐀀𐐀ǅﬁꟋꟜ") for _ in range(rng.randrange(14))) for _ in range(4000)]
+    cut = F.lit(" xX")
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.terms(F.col("t")).alias("own"), tx.terms(F.concat("t", cut)).alias("cut"))
+    assert rows.where(~tx.uneven(F.col("t"))).count() > 500
+    assert rows.where(F.concat("own", F.array(F.lit("xx"))) != F.col("cut")).count() == 0
+
+
+def test_counts_within_rows(spark):
+    from collections import Counter
+
+    from lumenix.operators import classify
+
+    rows = [(i, t) for i, t in enumerate([["b", "a", "b", "é", "𐀀", "a", "￿"], [], None, [None, "a", None], *[[f"w{(i * j) % 7}" for j in range(i % 9)] for i in range(1500)]])]
+    df = spark.createDataFrame(rows, "i int, terms array<string>")
+    got = Counter({(r["i"], r["term"]): r["tf"] for r in tx.counted(df).collect()})
+    assert got == Counter((i, t) for i, ts in rows for t in ts or [] if t is not None)
+    both = tx.described(df.withColumn("want", classify.frequency_descriptor(F.col("terms"))), "terms", "got")
+    assert both.where(~F.col("want").eqNullSafe(F.col("got"))).count() == 0 and both.count() == len(rows)
