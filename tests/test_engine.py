@@ -488,3 +488,15 @@ def test_term_frequencies_are_counted_without_a_shuffle_of_terms(spark, tmp_path
     assert _shuffled_rows(spark, last)[0] < 400
     want.update(("doc/000000003", t) for t in f"{texts[3]} other word3x1".split())
     assert Counter({(r["resource"], r["term"]): r["tf"] for r in catalog.tok_term_freq(spark, str(tmp_path / "twice")).collect()}) == want
+
+
+def test_a_classifier_is_built_once_a_task(spark, tmp_path):
+    import uuid
+
+    def make():
+        (tmp_path / uuid.uuid4().hex).touch()
+        return classify.ChatClassifier(classify.stub_client(1))
+
+    rows = classify.describe(windows(contents(spark, [f"hello hello world\nline{i}line" for i in range(60)]), 1, 0), ["d"], make).collect()
+    assert len(rows) == 120 and {r["descriptor"] for r in rows if r["start"] == 0} == {"hello"}
+    assert len(list(tmp_path.iterdir())) <= 4
