@@ -7,7 +7,6 @@ import re
 import unicodedata
 from pathlib import Path
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,9 +26,12 @@ def find_root(start: str) -> str | None:
     return next((str(p) for p in [here, *here.parents] if (p / INDEX_DIR / CONFIG).is_file()), None)
 
 
-@F.pandas_udf(T.StringType())
-def nfc(keys: pd.Series) -> pd.Series:
-    return keys.map(lambda k: None if k is None else unicodedata.normalize("NFC", k))
+@F.arrow_udf(T.StringType())
+def nfc(keys: pa.Array) -> pa.Array:
+    """Texts of an Arrow batch are objects of Python only a few at a time."""
+    one = lambda k: k if k is None or k.isascii() else unicodedata.normalize("NFC", k)
+    parts = [pa.array([one(k) for k in keys.slice(lo, 64).to_pylist()], pa.string()) for lo in range(0, len(keys), 64)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
 
 def ignore_patterns(listed: DataFrame) -> list[tuple[str, bool, str, bool]]:

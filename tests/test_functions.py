@@ -10,6 +10,7 @@ from lumenix.functions import declaration as decl
 from lumenix.functions import identity
 from lumenix.functions import text as tx
 from lumenix.functions import vectors as vec
+from lumenix.sources import files
 
 
 def one(spark, text, f):
@@ -189,3 +190,24 @@ def test_counts_within_rows(spark):
     assert got == Counter((i, t) for i, ts in rows for t in ts or [] if t is not None)
     both = tx.described(df.withColumn("want", classify.frequency_descriptor(F.col("terms"))), "terms", "got")
     assert both.where(~F.col("want").eqNullSafe(F.col("got"))).count() == 0 and both.count() == len(rows)
+
+
+def test_hashed_rows_equal_one_by_one(spark):
+    rows = [(i, t) for i, t in enumerate([["a", "b", "a"], [], None, ["é𐀀"], *[[f"w{(i * j) % 97}" for j in range(i % 40)] for i in range(1200)]])]
+    df = spark.createDataFrame(rows, "i int, terms array<string>").repartition(2)
+    want = vec.embed_rows(df, "terms", "want", lambda t: vec.hash_vector(t, 16))
+    assert vec.hashed_rows(want, "terms", "got", 16).where(~F.col("want").eqNullSafe(F.col("got"))).count() == 0
+
+
+def test_nfc_holds_few_texts_at_once():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    keys = pa.array([f"{i}" + "xé" * 20_000 for i in range(1000)] + [None, "abc"])
+    tracemalloc.start()
+    got = files.nfc.func(keys)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[-1].as_py() == "abc" and got[-2].as_py() is None and got[7].as_py() == "7" + "xé" * 20_000
+    assert peak < keys.nbytes / 4
