@@ -165,6 +165,40 @@ def embed_rows(df, source: str, name: str, embed: Callable[[Sequence], np.ndarra
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.FloatType()))]))
 
 
+def hashed_rows(df, source: str, name: str, width: int = 256):  # type: ignore[no-untyped-def]
+    """``embed_rows`` by ``hash_vector``: a word is hashed once a task, or once for every million different ones, and the vectors
+    of many rows are added up together."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    at = df.columns.index(source)
+
+    def run(batches):  # type: ignore[no-untyped-def]
+        known: dict[str, int] = {}
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 512):
+                batch = whole.slice(lo, 512)
+                terms = batch.column(at)
+                coded = pc.dictionary_encode(terms.flatten())
+                words = coded.dictionary.to_pylist()
+                if len(known) > 1_000_000:
+                    known.clear()
+                for w in words:
+                    if w not in known:
+                        known[w] = fnv1a(w.encode())
+                h = np.fromiter((known[w] for w in words), np.uint64, len(words))
+                code = coded.indices.to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(terms)), pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False))
+                sign, slot = np.where(h >> np.uint64(63), -1.0, 1.0), (h % np.uint64(width)).astype(np.int64)
+                v = np.bincount(row * width + slot[code], sign[code], len(terms) * width).reshape(-1, width)
+                n = np.sqrt((v * v).sum(1).astype(np.float32))[:, None]
+                v = v.astype(np.float32) / np.where(n > 0, n, np.float32(1))
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(terms) + 1) * width, pa.int32()), pa.array(v.ravel(), pa.float32()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, vectors], [*batch.schema.names, name])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.FloatType()))]))
+
+
 def verified_weights(data: bytes, size: int, sha256: str) -> bytes:
     """Model bytes only if their length and digest are the pinned ones."""
     if len(data) != size or hashlib.sha256(data).hexdigest() != sha256:
