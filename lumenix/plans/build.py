@@ -142,7 +142,7 @@ def _cache(spark: SparkSession, out: str, keyed: DataFrame, version: str, active
         own = keyed.where(F.col("dimension") == name).join(have.select("object_key", "payload"), "object_key")
         rows = own.select("origin", "resource", F.explode(F.from_json("payload", BODY)).alias("r")).select("origin", "resource", "r.*")
         if descriptor:
-            sc.term_records(rows).write.mode("overwrite").parquet(f"{out}/cache/{version}/records/dimension={name}")
+            sc.term_records(rows).write.mode("overwrite").option("compression", "zstd").parquet(f"{out}/cache/{version}/records/dimension={name}")
         if tensor:
             rows.select(*sc.PLACE, "level", "vec").write.mode("overwrite").parquet(f"{out}/cache/{version}/vectors/dimension={name}")
 
@@ -160,7 +160,7 @@ def build(spark: SparkSession, contents: DataFrame, out: str, config: Config, st
         store.verify(have, store.load_manifest(spark, f"{out}/manifest").objects)
     version = uuid.uuid4().hex[:16]
     seg_path = f"{out}/cache/{version}/segments"
-    stages.segmenter(contents, config.lines, config.overlap).write.parquet(seg_path)
+    stages.segmenter(contents, config.lines, config.overlap).write.option("compression", "zstd").parquet(seg_path)
     stats.segments = spark.read.parquet(seg_path).count()
     stages.progress("segments", "", stats.segments)
     identities, trees, roots = [], [], spark.createDataFrame([], store.SCHEMAS["roots"])

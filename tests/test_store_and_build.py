@@ -320,3 +320,24 @@ def test_stream_adds_objects_once(spark, tmp_path):
     spark.createDataFrame([(4, "gamma"), (5, "delta")], "doc_id long, text string").write.mode("append").parquet(src)
     run()
     assert store.read(spark, str(tmp_path / "objects")).count() == 3
+
+
+def test_putting_and_verifying_leaves_payloads_in_place(spark, tmp_path):
+    """Only keys, hashes and lengths are shuffled; a key that comes twice is still written once."""
+
+    def shuffled() -> int:
+        c = spark.sparkContext
+        c._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found = c._jsc.sc().statusStore().stageList(None, False, False, c._gateway.new_array(c._jvm.double, 0), None)
+        return sum(found.apply(i).shuffleWriteBytes() for i in range(found.size()))
+
+    path = str(tmp_path / "objects")
+    rows = [(f"k{i}", os.urandom(20_000).hex()) for i in range(100)]
+    fresh = store.as_objects(spark.createDataFrame(rows, "k string, p string"), F.col("k"), F.col("p"))
+    more = store.as_objects(spark.createDataFrame([("other", "x" * 40_000)], "k string, p string"), F.col("k"), F.col("p"))
+    before = shuffled()
+    assert store.put(path, fresh) == 100 and store.put(path, more) == 1
+    store.verify(store.read(spark, path), fresh.drop("payload"))
+    assert shuffled() - before < 400_000
+    twice = store.as_objects(spark.createDataFrame([("k1", rows[1][1]), ("new", "y"), ("new", "y")], "k string, p string"), F.col("k"), F.col("p"))
+    assert store.put(path, twice) == 1 and store.read(spark, path).count() == 102
